@@ -86,7 +86,7 @@ def _offer(out: np.ndarray, row: np.ndarray, h: np.ndarray, places: int) -> None
     seed, own = mix(h ^ np.uint64(0x2545F4914F6CDD1D)), row.astype(np.int64)
     order = None
     for step in range(places):
-        draw = mix(seed + np.uint64(step + 1) * _STEP)
+        draw = mix(seed + np.uint64((step + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
         swap = step + ((draw & np.uint64(0xFFFFFF)) * np.uint64(places - step) >> np.uint64(24)).astype(np.int64)
         if order is None:
             place = swap

@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality, sharding
+from . import decontam, huffman, minhash, packing, quality, sharding, tokencount
 from .common import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.op1_minhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.op4_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op5_sharding(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op6_packing(table(spark, sf_dir, "documents"))
+
+
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.op7_token_binary(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -23,7 +39,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
+    "op7_token_binary": op7_token_binary,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
 }
