@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, islice
 
 import numpy as np
 
@@ -28,6 +29,14 @@ _KEPT = 400_000
 _KEPT_CHARS = 16 << 20
 
 
+class Places(dict):
+    """Numbers its keys in the order in which they are first met."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = at = len(self)
+        return at
+
+
 class Encoder:
     """Ids of texts. ``path``: a file of the tokenizers library; ``stretch``: where texts may be cut."""
 
@@ -41,24 +50,24 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.chars = 0
         self.hits = np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _learn(self, stretches: list[str]) -> None:
+    def _learn(self, known: int) -> None:
+        """Ids of the stretches that have got a place since there were ``known``."""
+        stretches = list(islice(self.place, known, None))
         found = [e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
-        at, sizes = len(self.place), np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
-        self._reserve(len(found), total)
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.size[at : at + len(found)] = sizes
-        self.start[at : at + len(found)] = self.used + np.cumsum(sizes) - sizes
+        self._reserve(total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.size[known : known + len(found)] = sizes
+        self.start[known : known + len(found)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
         self.chars += sum(map(len, stretches))
-        for k, s in enumerate(stretches, at):
-            self.place[s] = k
 
     def _forget(self) -> None:
         """Keep the half that was met most often, if short."""
@@ -68,17 +77,17 @@ class Encoder:
         ids = {s: self.flat[self.start[k] : self.start[k] + self.size[k]] for s, k in old.items()}
         self.clear()
         at = np.cumsum([0, *map(len, ids.values())])
-        self._reserve(len(ids), int(at[-1]))
+        self.place = Places((s, k) for k, s in enumerate(ids))
+        self._reserve(int(at[-1]))
         if ids:
             self.flat[: at[-1]] = np.concatenate(list(ids.values()))
         self.start[: len(ids)], self.size[: len(ids)], self.used = at[:-1], np.diff(at), int(at[-1])
-        self.place = {s: k for k, s in enumerate(ids)}
         self.chars = sum(map(len, ids))
 
-    def _reserve(self, entries: int, ids: int) -> None:
+    def _reserve(self, ids: int) -> None:
         while self.used + ids > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.place) + entries > len(self.start):
+        while len(self.place) > len(self.start):
             self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +96,10 @@ class Encoder:
             self._forget()
         # an added token ends the text before it, white space too; such a text is one stretch
         per_text = [[t] if self.added and self.added(t) else self.find(t) for t in texts]
-        stretches = [s for x in per_text for s in x]
-        places = list(map(self.place.get, stretches))
-        if None in places:
-            self._learn(list(dict.fromkeys(s for s, k in zip(stretches, places, strict=True) if k is None)))
-            places = list(map(self.place.get, stretches))
+        known = len(self.place)
+        places = list(map(self.place.__getitem__, chain.from_iterable(per_text)))
+        if len(self.place) > known:
+            self._learn(known)
         at = np.array(places, np.int64)
         self.hits[: len(self.place)] += np.bincount(at, minlength=len(self.place))
         size = self.size[at]
