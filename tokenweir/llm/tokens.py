@@ -25,8 +25,8 @@ _RUNS = (rf"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]++{_ENDS}", rf"[0-9]++{_ENDS}"
 BYTE_LEVEL = "|".join([*(f" ?{x}" for x in _RUNS), rf" ?[^{SPACE}]+", rf"[{SPACE}]+(?![^{SPACE}])", f"[{SPACE}]"])
 #: Word-level: white space is dropped.
 WORD_LEVEL = "|".join([*_RUNS, rf"[^{SPACE}]+"])
-_KEPT = 400_000
-_KEPT_CHARS = 16 << 20
+_KEPT = 1_000_000
+_KEPT_CHARS = 24 << 20
 
 
 class Places(dict):
@@ -47,6 +47,9 @@ class Encoder:
         self.find = re.compile(stretch).findall
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else None
+        # byte-level: a line feed is a piece by itself; word-level: so is a bar between spaces
+        self.mark = next(m for m in ("\n", " | ") if len(self.tokenizer.encode(m, add_special_tokens=False).ids) == 1)
+        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
         self.clear()
 
     def clear(self) -> None:
@@ -59,16 +62,34 @@ class Encoder:
     def _learn(self, known: int) -> None:
         """Ids of the stretches that have got a place since there were ``known``."""
         stretches = list(islice(self.place, known, None))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        self._reserve(total)
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.size[known : known + len(found)] = sizes
-        self.start[known : known + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
+        sizes, starts = np.zeros(len(stretches), np.int64), np.zeros(len(stretches), np.int64)
+        # many stretches go to the library as one text, with a mark of one id between them; what holds the mark, or could join it, goes alone
+        plain = [k for k, s in enumerate(stretches) if self.mark.strip(" ") not in s and not s.isspace() and not (self.added and self.added(s))]
+        alone = set(range(len(stretches))).difference(plain)
+        for first in range(0, len(plain), 20_000):
+            own = plain[first : first + 20_000]
+            texts = [self.mark.join([stretches[k] for k in own[i : i + 200]]) + self.mark for i in range(0, len(own), 200)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) != len(own):
+                alone.update(own)
+                continue
+            at = np.concatenate([[0], ends[:-1] + 1])
+            sizes[own], starts[own] = ends - at, self.used + at
+            self._append(ids)
+        alone = sorted(alone)
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast([stretches[k] for k in alone], add_special_tokens=False), strict=True):
+            sizes[k], starts[k] = len(e.ids), self.used
+            self._append(np.array(e.ids, np.uint32))
+        self._reserve(0)
+        self.size[known : known + len(sizes)], self.start[known : known + len(sizes)] = sizes, starts
         self.chars += sum(map(len, stretches))
 
+    def _append(self, ids: np.ndarray) -> None:
+        self._reserve(len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
     def _forget(self) -> None:
         """Keep the half that was met most often, if short."""
         hits = self.hits[: len(self.place)]
