@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, huffman, minhash, packing, quality, sharding, tokencount
+from . import decontam, html, huffman, linededup, minhash, packing, quality, sharding, tokencount, toxicity
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op1_minhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.op2_line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.op3_html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.op4_token_counts(table(spark, sf_dir, "documents"))
 
@@ -38,16 +46,24 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op9_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_token_binary": op7_token_binary,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": linededup.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_decontamination": decontam.ORACLE_SQL,
 }
