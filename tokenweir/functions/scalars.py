@@ -1,0 +1,93 @@
+"""Scalar expressions and schedules."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def is_finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A non-negative number with ``digits`` decimals, rounded half to even on its exact binary value.
+
+    Java's formats round the shortest decimal text instead. The fraction is split in two so that both parts times
+    10**digits are exact, and the remainder is compared with one half without rounding."""
+    scale = 10**digits
+    whole = F.floor(x)
+    part = x - whole
+    high = F.floor(part * float(1 << 26)) / float(1 << 26)
+    low = (part - high) * float(scale)
+    units = F.floor(high * float(scale))
+    rest = high * float(scale) - units - 0.5
+    up = (rest > -low) | ((rest == -low) & (units % 2 == 1))
+    total = whole * scale + units + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(total / scale).cast("long").cast("string"), F.lit("."), F.lpad((total % scale).cast("long").cast("string"), digits, "0"))
+
+
+def format_rate(rate: Column, unit: str) -> Column:
+    """A rate with a compact SI unit; a dash where it is not finite or not positive."""
+    text = (
+        F.when(~is_finite(rate) | (rate <= 0), F.lit("—"))
+        .when(rate >= 1e9, F.concat(fixed(rate / 1e9, 2), F.lit("G")))
+        .when(rate >= 1e6, F.concat(fixed(rate / 1e6, 2), F.lit("M")))
+        .when(rate >= 1e3, F.concat(fixed(rate / 1e3, 1), F.lit("k")))
+        .otherwise(fixed(rate, 1))
+    )
+    return F.concat(text, F.lit(f" {unit}/s"))
+
+
+def run_name(kind: str, at: Column, given: str | None = None) -> Column:
+    return F.lit(given) if given else F.concat(F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(f"-{kind}"))
+
+
+def wsd_rate(step: Column, rate: float, least: float, warmup: int, steps: int, decay_from: float = 0.8) -> Column:
+    """Warm-up, plateau to ``decay_from`` of all steps, linear decay."""
+    start = int(decay_from * steps)
+    ratio = (step - start) / F.lit(max(1, steps - start))
+    return F.when(step < warmup, F.lit(rate) * (step + 1) / F.lit(warmup)).when(step < start, F.lit(rate)).otherwise(F.lit(least) + (1.0 - ratio) * (rate - least))
+
+
+def parse_list(text: Column) -> Column:
+    """Trimmed, non-empty, distinct parts in their order."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def normalize_limit(limit: int) -> int | None:
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    return limit or None
+
+
+def select_accuracy(metrics: Column) -> Column:
+    """The preferred metric; a value of 0 counts."""
+    return F.coalesce(*[F.try_element_at(metrics, F.lit(k)) for k in ("acc,none", "acc_norm,none", "acc")])
+
+
+def strip_prefix(key: Column, prefix: str = "_orig_mod.") -> Column:
+    return F.when(F.startswith(key, F.lit(prefix)), F.substr(key, F.lit(len(prefix) + 1))).otherwise(key)
+
+
+def shard_name(prefix: str, index: Column) -> Column:
+    return F.format_string(f"{prefix}_%04d", index)
+
+
+def keep_last(tokens: Column, total: int, new: int) -> Column:
+    """The last max(1, total - new) tokens of a prompt."""
+    n = max(1, total - new)
+    return F.slice(tokens, F.greatest(F.lit(1), F.size(tokens) - n + 1), n)
+
+
+def optimizer_group(name: Column, ndim: Column) -> Column:
+    return F.when(name == "transformer.wte.weight", "adamw_nodecay").when(ndim == 2, "muon").otherwise("adamw_decay")
+
+
+def rms_norm(x: Column, eps: float = 1e-5) -> Column:
+    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")) / F.size(x)
+    return F.transform(x, lambda v: v.cast("double") / F.sqrt(mean + eps))
+
+
+def soft_cap(x: Column, cap: float) -> Column:
+    return cap * F.tanh(x / cap)
