@@ -6,9 +6,17 @@ one shingle are correlated and signatures vary less than with independent hashes
 step j together, and a document leaves as soon as no later step can lower its signature.
 
 Equal sets are one class from the start. Classes of equal bands are candidates: in each bucket the member that shares most
-buckets is the pivot and is compared with the rest on their full sets, which joins a large group of copies in one round.
-A bucket whose members are not yet one component takes further pivots, PIVOTS a round, until each pair in it is joined or
-refused, so no link is lost to the pivots and no bucket is expanded into all its pairs at once.
+buckets is the pivot and is compared with the rest on their full sets, which joins a large group of copies in one round; a
+bucket of SMALL members at most is compared throughout.
+
+What a bucket holds besides its pivot's component is settled without comparing all pairs. Let n be the size of the pivot's
+set, a and b what x and y lack of it, c and d what they have beyond it, and o the number of shingles beyond it that they
+share. Then x and y can only be similar enough if 9 (o + min(a, b)) >= 5 (a + b) + 4 (c + d) - n. So members meet once more by
+shared shingles beyond the pivot, again around the member that shares most, and what then still has different components is
+joined on those shingles; pairs are counted up to o, and only those that the inequality lets through are compared. With
+o = 0 it takes a member that lacks more of the pivot than it adds; such members are held against the others. No link
+between texts that share a bucket is lost. The join grows with the texts that are linked with no pivot, times those that
+share a shingle beyond the same pivot.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a null doc_id is linked
 with nothing, has no component and is kept; rows of one doc_id are one node, which all its texts link; extra columns pass.
@@ -20,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PLAIN_WORD, int64, materialise, mix, text_views, words
@@ -31,7 +39,7 @@ PLACES = 128
 BANDS = 32
 SHINGLE = 4
 SIMILAR = 80
-PIVOTS = 16
+SMALL = 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that take a step together; their permutations are held, a byte for each place.
 _TOGETHER = 1 << 17
@@ -148,11 +156,22 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) of the candidate pairs, on their full sets."""
+def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a member (b) against its pivot (a): how many shingles it lacks, and those that it adds."""
+    for batch in batches:
+        lacks, adds = [], []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            new = np.setdiff1d(y, x, assume_unique=True)
+            lacks.append(len(x) - (len(y) - len(new)))
+            adds.append(int64(new))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([len(x.as_buffer()) // 8 for x in batch.column("set_a")], pa.int64()), pa.array(lacks, pa.int64()), pa.array(adds, pa.list_(pa.int64()))], ["pivot", "id", "n", "lacks", "adds"])
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their full sets."""
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return with_b.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long, linked boolean")
+    return with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
 
 def _pairs(of: DataFrame) -> DataFrame:
@@ -161,9 +180,29 @@ def _pairs(of: DataFrame) -> DataFrame:
     return of.where(fits & (F.col("id") != F.col("pivot"))).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
+def _star(met: DataFrame) -> DataFrame:
+    """Members (key, id, n, c) with the pivot of their bucket and its size: the member of most and largest buckets."""
+    degree = met.groupBy("id").agg(F.sum("c").alias("degree"))
+    best = met.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("degree", (-F.col("id")).alias("low"))).alias("p"))
+    return met.join(best.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("m")), "key")
+
+
+def _test(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return materialise(_with_sets(materialise(pairs, "pairs"), sets).mapInArrow(_linked, "a long, b long, linked boolean"), "tested")
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _unjoined(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose components differ."""
+    of_a, of_b = found.select(F.col("id").alias("a"), F.col("component").alias("x")), found.select(F.col("id").alias("b"), F.col("component").alias("y"))
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
-    spark = docs.sparkSession
     signed = materialise(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n long, f1 long, f2 long, keys array<long>"), "signed")
     full = signed.where("n > 0 and doc_id is not null")
     # classes of equal sets, by two sums over the set; each is known by its smallest doc_id
@@ -173,37 +212,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = firsts.select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")).distinct()
     full_keys = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = materialise(members.join(full_keys, "key"), "members")
-    degree = met.groupBy("id").agg(F.sum("c").alias("degree"))
-    ranked = met.join(degree, "id")
-    pivots = ranked.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("degree", (-F.col("id")).alias("low"))).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"))
-    pairs = materialise(_pairs(ranked.join(pivots, "key")), "pairs")
     involved = met.select("id").distinct()
     sets = materialise(docs.select("doc_id", "text").join(involved, docs["doc_id"] == involved["id"], "left_semi").mapInArrow(_sets, "id long, set binary"), "sets", "none")
-    tested = materialise(_verified(pairs, sets), "tested")
-    # equal sets of several ids that are each a class of another set: tie the ids of one class to its first
+    # ids of one class that are each a class of another set, as rows of one doc_id differ: tied to the first
     same = full.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     same = same.join(classes.select(F.col("id").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+    star = materialise(_star(met), "star")
+    few = met.where(F.col("c") <= SMALL)
+    each = few.select("key", F.col("id").alias("pivot"), F.col("n").alias("m")).join(few, "key").where("pivot < id")
+    tested = _test(_pairs(star.where(F.col("c") > SMALL)).unionByName(_pairs(each)).distinct(), sets)
+    found = components(tested.where("linked").select("a", "b").unionByName(same))
+
+    # large buckets of several components: every member against the pivot
+    marked = _labelled(star.where(F.col("c") > SMALL), found)
+    split = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    left = marked.join(split, "key").where(F.col("id") != F.col("pivot")).select("pivot", "id").distinct()
+    beyond = _with_sets(left.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets).mapInArrow(_beyond, "pivot long, id long, n long, lacks long, adds array<long>")
+    beyond = materialise(beyond, "beyond")
+    size = F.col("n") - F.col("lacks") + F.size("adds")
+    shared = beyond.select("pivot", "id", size.alias("n"), F.explode("adds").alias("s")).withColumn("key", F.xxhash64("pivot", "s"))
+    often = shared.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > SMALL)
+    again = _pairs(_star(materialise(shared.select("key", "id", "n").join(often, "key"), "members")))
+    more = _test(_unjoined(again.join(tested.select("a", "b"), ["a", "b"], "left_anti"), found), sets)
+    tested = tested.unionByName(more)
     found = components(tested.where("linked").select("a", "b").unionByName(same))
 
-    def unsettled(rows: DataFrame) -> DataFrame:
-        labelled = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        return labelled.join(split, "key")
-
-    order = Window.partitionBy("key").orderBy(F.desc("degree"), "id")
-    left = materialise(unsettled(ranked.select("id", "n", "key", "degree")).withColumn("rank", F.row_number().over(order)), "open")
-    done = 1  # the first in rank was the pivot of the first round
-    while left.where(F.col("rank") > done).limit(1).count():
-        own = left.where((F.col("rank") > done) & (F.col("rank") <= done + PIVOTS)).select("key", F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("rank").alias("at"), F.col("component").alias("of"))
-        next_pairs = _pairs(left.join(own, "key").where("rank > at and component <> of"))
-        next_pairs = materialise(next_pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        more = materialise(_verified(next_pairs, sets), "tested")
-        if more.where("linked").limit(1).count():
-            found = components(tested.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")).unionByName(same))
-        tested = tested.unionByName(more)
-        done += PIVOTS
-        # a bucket with no rank left is settled; so is one of a single component
-        left = materialise(unsettled(left.drop("component")), "open")
+    # what is still apart, of which one member is not of the pivot's component
+    of_pivot = found.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
+    rows = _labelled(beyond, found).join(of_pivot, "pivot", "left").withColumn("home", F.coalesce("home", "pivot")).withColumn("new", F.size("adds"))
+    rows = materialise(rows.select("pivot", "id", "n", "lacks", "new", "adds", "component", (F.col("component") != F.col("home")).alias("out")), "apart")
+    one = rows.where("out").select("pivot", F.col("id").alias("i"), "n", F.col("lacks").alias("a"), F.col("new").alias("c"), F.col("component").alias("of"), F.col("adds").alias("adds_i"))
+    two = rows.select("pivot", F.col("id").alias("j"), F.col("lacks").alias("b"), F.col("new").alias("d"), F.col("component").alias("to"), "out", F.col("adds").alias("adds_j"))
+    sizes = (F.col("n") - F.col("a") + F.col("c"), F.col("n") - F.col("b") + F.col("d"))
+    apart = (F.col("of") != F.col("to")) & (~F.col("out") | (F.col("i") < F.col("j"))) & (100 * F.least(*sizes) >= SIMILAR * F.greatest(*sizes))
+    need = 5 * (F.col("a") + F.col("b")) + 4 * (F.col("c") + F.col("d")) - F.col("n") - 9 * F.least("a", "b")  # 9 times the shingles to share
+    by = one.select("pivot", "i", "n", "a", "c", "of", F.explode("adds_i").alias("s")).join(two.select("pivot", "j", "b", "d", "to", "out", F.explode("adds_j").alias("s")), ["pivot", "s"]).where(apart)
+    by = by.withColumn("need", need).groupBy("pivot", "i", "j").agg(F.count("*").alias("o"), F.first("need").alias("need")).where("9 * o >= need").select("i", "j")
+    bare = one.drop("adds_i").join(two.drop("adds_j").where("b > d"), "pivot").where(apart & (need <= 0)).select("i", "j")
+    bare_too = one.drop("adds_i").where("a > c").join(two.drop("adds_j"), "pivot").where(apart & (need <= 0)).select("i", "j")
+    last = by.unionByName(bare).unionByName(bare_too).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    more = _test(last.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets)
+    found = components(tested.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")).unionByName(same))
     of_class = classes.join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     empty = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     by_row = full.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"]).select("doc_id", "n", "component").unionByName(empty)
