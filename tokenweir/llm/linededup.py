@@ -31,7 +31,7 @@ STRIDE = 64
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(lower_ascii(text), r"[\x20\x09\x0B-\x0D]+", " "), "\n"), F.trim)
+    return F.transform(F.split(F.regexp_replace(lower_ascii(text), r"[\x20\x09\x0B-\x0D]+", " "), "\n"), lambda x: F.trim(x))
 
 
 def _quarter(n: Column) -> Column:
