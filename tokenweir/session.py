@@ -51,9 +51,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: a later loss of executors replays nothing above it."""
+_SCRATCH: list[str] = []
+
+
+def materialise(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: a later loss of executors replays nothing above it.
+
+    Tables that are not to be kept go with the next ``sweep``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    if not keep:
+        _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far. Only between steps whose results have been written."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
