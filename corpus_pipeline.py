@@ -1,7 +1,8 @@
 """A training corpus in five stages: quality rules, line dedup, near-duplicate removal, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
-of ``documents``.
+of ``documents``. A stage's result is to be written before the next stage starts, which first deletes the intermediate
+tables of the stages before it.
 """
 
 from __future__ import annotations
@@ -10,34 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenweir.llm import decontam, linededup, minhash, packing, quality
-from tokenweir.llm.common import materialise, table
+from tokenweir.llm.common import materialise, sweep, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass every rule."""
+    sweep(spark)
     return quality.filter_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document whose every line stands in an earlier one goes. n_chars follows the text."""
-    out = linededup.dedup_lines(docs).where((F.col("n_removed") <= 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    sweep(spark)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))  # so that no other column can clash
+    out = linededup.dedup_lines(rows).where((F.col("n_removed") <= 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    now = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[now.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    sweep(spark)
     return minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a passage of the benchmark."""
+    sweep(spark)
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their sequences."""
+    sweep(spark)
     return packing.pack_documents(docs)
 
 
@@ -57,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

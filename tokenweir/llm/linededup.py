@@ -44,19 +44,40 @@ def _frames(line: Column, q: Column) -> list[Column]:
     for t in range(4):
         front = F.call_function("substring_index", line, F.lit(" "), q * t) if t else F.lit("")
         back = F.call_function("substring_index", line, F.lit(" "), q * (t - 3)) if t < 3 else F.lit("")
-        out.append(F.struct(F.xxhash64(F.lit(t), q, front, back).alias("k"), F.lit(t).alias("t"), q.alias("q")))
+        out.append(F.xxhash64(F.lit(t), q, front, back))
     return out
 
 
+def _size(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
-    """A light row for each line that may go: its place, hashes, words and frames; no text."""
+    """A light row for each line that may go: its place, hashes, words, frames and a number; no text."""
     at = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("x"), F.posexplode(_lines(F.col("text"))).alias("p", "line"))
-    n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    at = at.withColumn("n", n.cast("int")).where(F.col("n") >= MIN_WORDS).withColumns({"q": _quarter(F.col("n")), "q1": _quarter(F.col("n") - 1)})
+    at = at.withColumn("n", _size(F.col("line"))).where(F.col("n") >= MIN_WORDS).withColumns({"q": _quarter(F.col("n")), "q1": _quarter(F.col("n") - 1)})
     frames = F.array(*_frames(F.col("line"), F.col("q")))
     # a line of one word more has its partners' quarters, too
     frames = F.when(F.col("q1") < F.col("q"), F.concat(frames, F.array(*_frames(F.col("line"), F.col("q1"))))).otherwise(frames)
-    return at.select("d", "x", "p", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), frames.alias("frames"))
+    return at.select("d", "x", "p", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "n", frames.alias("frames"), F.monotonically_increasing_id().alias("lid"))
+
+
+BITS = 1 << 22
+
+
+def _bit(d: Column) -> Column:
+    return F.pmod(F.xxhash64(d), F.lit(BITS))
+
+
+def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``__may``: false only if doc_id is not among ``ids`` (d). The sieve is a bitmap of BITS bits, whatever the
+    number of ids; a full one lets all documents through to the join that follows."""
+    part, at = F.floor(_bit(F.col("d")) / 32768), _bit(F.col("d")) % 32768
+    maps = ids.select(part.alias("__part"), at.alias("at")).groupBy("__part").agg(F.bitmap_construct_agg("at").alias("__map"))
+    own = _bit(F.col("doc_id"))
+    byte = F.conv(F.hex(F.call_function("substring", F.col("__map"), (F.floor((own % 32768) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.col("__map").isNotNull() & (F.floor(byte / F.pow(F.lit(2.0), own % 8)) % 2 == 1)
+    return docs.withColumn("__part", F.floor(own / 32768)).join(F.broadcast(maps), "__part", "left").withColumn("__may", F.coalesce(may, F.lit(False))).drop("__part", "__map")
 
 
 def _chain(w: Column, n: Column) -> Column:
@@ -73,75 +94,78 @@ def _prefix(chain: Column, i: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """A row for each variant key of each line (place, w, open: first and end of the places that may differ)."""
+    """(id, role, v, i): a row for each variant key of each line (id, w, open: low and high of the places that may differ, and whether lengths may)."""
     rows = lines.withColumn("n", F.size("w")).withColumns({"front": _chain(F.col("w"), F.col("n")), "back": _chain(F.reverse("w"), F.col("n"))})
     n, front, back = F.col("n"), F.col("front"), F.col("back")
-    key = lambda role, size, i, tail: F.struct(F.xxhash64(F.lit(role), size, i, _prefix(front, i), _prefix(back, tail)).alias("v"), i.alias("i"))
-    places = F.array_distinct(F.flatten(F.transform("open", lambda o: F.sequence(o["low"], o["high"]))))
-    rows = rows.withColumn("places", places)
-    out = None
-    for role, keys in (
-        (0, F.transform(F.filter("places", lambda i: i < n), lambda i: key(1, n, i, n - 1 - i))),
-        (1, F.transform(F.filter("places", lambda i: i < n), lambda i: key(2, n - 1, i, n - 1 - i))),
-        (2, F.transform("places", lambda i: key(2, n, i, n - i))),
-    ):
-        part = rows.select("d", "x", "p", F.lit(role).alias("role"), F.explode(keys).alias("e")).select("d", "x", "p", "role", "e.v", "e.i")
-        out = part if out is None else out.unionByName(part)
-    return out
+    key = lambda role, kind, size, i, rest: F.struct(F.lit(role).alias("role"), F.xxhash64(F.lit(kind), size, i, _prefix(front, i), _prefix(back, rest)).alias("v"), i.alias("i"))
+    places = lambda o: F.array_distinct(F.flatten(F.transform(o, lambda x: F.sequence(x["low"], x["high"]))))
+    rows = rows.withColumns({"all": places(F.col("open")), "mixed": places(F.filter("open", lambda x: x["mixed"]))})
+    keys = F.concat(
+        F.transform(F.filter("all", lambda i: i < n), lambda i: key(0, 1, n, i, n - 1 - i)),
+        F.transform(F.filter("mixed", lambda i: i < n), lambda i: key(1, 2, n - 1, i, n - 1 - i)),
+        F.transform("mixed", lambda i: key(2, 2, n, i, n - i)),
+    )
+    return rows.select("id", F.explode(keys).alias("e")).select("id", "e.role", "e.v", "e.i")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(d, x, p): doc_id, text hash and place of every line that goes."""
     light = materialise(_hashed(docs), "lines")
     place = F.struct("d", "x", "p")
-    groups = materialise(light.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("c")), "groups")
-    equal = light.select("d", "x", "p", "h", "g").join(groups.where("c > 1").select("h", "g", "first"), ["h", "g"]).where(~place.eqNullSafe(F.col("first"))).select("d", "x", "p")
-
-    framed = light.select("d", "x", "p", "h", "g", F.explode("frames").alias("f")).select("d", "x", "p", "h", "g", "f.k", "f.t", "f.q")
-    shared = framed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
+    often = light.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
+    copies = materialise(light.select("d", "x", "p", "h", "g", "lid").join(often, ["h", "g"]), "copies")
+    first = copies.groupBy("h", "g").agg(F.min(place).alias("first"))
+    equal = materialise(copies.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("first"))).select("d", "x", "p", "lid"), "equal")
+
+    framed = light.select("lid", "h", "n", F.posexplode("frames").alias("j", "k"))
+    shared = framed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("n").alias("least"), F.max("n").alias("most")).where("a <> b").select("k", (F.col("least") != F.col("most")).alias("mixed"))
+    met = framed.select("k", "lid", "j").join(shared, "k").groupBy("lid", "j").agg(F.max("mixed").alias("mixed"))
     # of equal lines the first stands for all
-    met = framed.join(shared, "k", "left_semi").join(groups.select("h", "g", "first"), ["h", "g"]).where(place.eqNullSafe(F.col("first")))
-    wanted = materialise(met.groupBy("d", "x").agg(F.collect_list(F.struct("p", "t", "q")).alias("asked")), "asked")
-    texts = docs.select(F.col("doc_id").alias("d"), "text", F.xxhash64("text").alias("x"))
-    held = texts.join(wanted.select(F.col("d").alias("d1"), F.col("x").alias("x1"), "asked"), F.col("d").eqNullSafe(F.col("d1")) & (F.col("x") == F.col("x1"))).dropDuplicates(["d", "x"])
-    held = held.select("d", "x", "asked", _lines(F.col("text")).alias("lines")).select("d", "x", "lines", F.explode("asked").alias("a"))
-    held = held.select("d", "x", "a.p", "a.t", "a.q", F.get("lines", F.col("a.p")).alias("line"))
+    met = met.join(equal.select("lid"), "lid", "left_anti").join(light.select("lid", "d", "x", "p", "n"), "lid")
+    t, q = F.col("j") % 4, _quarter(F.when(F.col("j") < 4, F.col("n")).otherwise(F.col("n") - 1))
     # places from t quarters on, up to 3 - t quarters before the end; the end itself is one for an insertion
-    size = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    held = held.withColumn("o", F.struct((F.col("t") * F.col("q")).cast("int").alias("low"), (size - (3 - F.col("t")) * F.col("q")).cast("int").alias("high")))
-    chosen = materialise(held.groupBy("d", "x", "p").agg(F.first("line").alias("line"), F.collect_set("o").alias("open")), "chosen")
+    asked = F.struct("p", (t * q).cast("int").alias("low"), (F.col("n") - (3 - t) * q).cast("int").alias("high"), "mixed")
+    wanted = materialise(met.groupBy("d", "x").agg(F.collect_list(asked).alias("asked")), "asked")
+    texts = _sieved(docs.select("doc_id", "text"), wanted.select("d")).where("__may").select(F.col("doc_id").alias("d1"), F.xxhash64("text").alias("x1"), "text")
+    held = texts.join(wanted, F.col("d").eqNullSafe(F.col("d1")) & (F.col("x") == F.col("x1"))).dropDuplicates(["d", "x"])
+    held = held.select("d", "x", "asked", _lines(F.col("text")).alias("lines")).select("d", "x", "lines", F.explode("asked").alias("a"))
+    held = held.select("d", "x", "a.p", F.get("lines", F.col("a.p")).alias("line"), F.struct("a.low", "a.high", "a.mixed").alias("o"))
+    chosen = held.groupBy("d", "x", "p").agg(F.first("line").alias("line"), F.collect_set("o").alias("open"))
+    # numbered in their order, so that the earliest line is the least number
+    chosen = materialise(chosen.repartitionByRange("d", "x", "p").sortWithinPartitions("d", "x", "p").withColumn("id", F.monotonically_increasing_id()), "chosen")
 
-    variants = materialise(_variants(chosen.withColumn("w", F.split("line", " "))), "variants")
-    own = F.struct("d", "x", "p")
+    variants = materialise(_variants(chosen.select("id", "open", F.split("line", " ").alias("w"))), "variants")
     # a replaced word meets a replaced word; a line with a word left out meets the full line
-    first = variants.groupBy("v").agg(F.count("*").alias("c"), F.min(F.when(F.col("role") <= 1, own)).alias("left"), F.min(F.when(F.col("role") != 1, own)).alias("full")).where("c > 1")
-    mate = F.when(F.col("role") == 2, F.col("left")).otherwise(F.col("full"))
-    near = variants.join(first, "v").withColumn("mate", mate).where(F.col("mate") < own).groupBy("d", "x", "p").agg(F.min(F.struct("mate", "i", "role")).alias("m")).select("d", "x", "p", "m.mate", "m.i", "m.role")
-    mine = chosen.select("d", "x", "p", F.split("line", " ").alias("w"))
-    theirs = chosen.select(F.struct("d", "x", "p").alias("place"), F.split("line", " ").alias("u"))
-    both = near.join(mine.select(F.col("d").alias("d2"), F.col("x").alias("x2"), F.col("p").alias("p2"), "w"), F.col("d").eqNullSafe(F.col("d2")) & (F.col("x") == F.col("x2")) & (F.col("p") == F.col("p2")))
-    both = both.join(theirs, F.col("mate").eqNullSafe(F.col("place")))
+    role = F.col("role")
+    best = variants.groupBy("v").agg(F.count("*").alias("c"), F.min(F.when(role <= 1, F.col("id"))).alias("left"), F.min(F.when(role != 1, F.col("id"))).alias("full")).where("c > 1").select("v", "left", "full")
+    mate = F.when(role == 2, F.col("left")).otherwise(F.col("full"))
+    near = variants.join(best, "v").withColumn("mate", mate).where("mate < id").groupBy("id").agg(F.min(F.struct("mate", "i", "role")).alias("m")).select("id", "m.mate", "m.i", "m.role")
+    mine = chosen.select("id", "d", "x", "p", F.split("line", " ").alias("w"))
+    both = near.join(mine, "id").join(chosen.select(F.col("id").alias("mate"), F.split("line", " ").alias("u")), "mate")
     i = F.col("i")
-    after_w, after_u = F.when(F.col("role") == 2, i + 1).otherwise(i + 2), F.when(F.col("role") == 1, i + 1).otherwise(i + 2)
+    after_w, after_u = F.when(role == 2, i + 1).otherwise(i + 2), F.when(role == 1, i + 1).otherwise(i + 2)
     same = (F.slice("w", F.lit(1), i) == F.slice("u", F.lit(1), i)) & (F.slice(F.col("w"), after_w, F.size("w")) == F.slice(F.col("u"), after_u, F.size("u")))
-    return equal.unionByName(both.where(same).select("d", "x", "p"))
+    return equal.select("d", "x", "p").unionByName(both.where(same).select("d", "x", "p"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` rid of repeated lines, and n_lines and n_removed; other columns as they are."""
-    gone = repeated_lines(docs).groupBy("d", "x").agg(F.collect_set("p").alias("gone"))
-    kept = docs.withColumn("__x", F.xxhash64("text")).join(gone, docs["doc_id"].eqNullSafe(F.col("d")) & (F.col("__x") == F.col("x")), "left")
+    """The documents with ``text`` rid of repeated lines, and n_lines and n_removed; other columns as they are. Texts that lose nothing are not shuffled."""
+    gone = materialise(repeated_lines(docs).groupBy("d", "x").agg(F.collect_set("p").alias("gone")), "gone")
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))  # so that no other column can clash
+    marked = _sieved(rows, gone.select("d"))
+    some, rest = marked.where("__may").withColumn("__x", F.xxhash64("text")), marked.where("not __may").withColumn("gone", F.lit(None).cast("array<int>"))
+    kept = some.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__x") == F.col("x")), "left").select("text", "__row", "gone").unionByName(rest.select("text", "__row", "gone"))
     lines = F.split("text", "\n")
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    names = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns]
-    return kept.select(*names, n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    names = [F.col("__row")[c].alias(c) if c != "text" else text.alias("text") for c in docs.columns]
+    return kept.select(*names, n.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
 def op2_line_dedup(docs: DataFrame) -> DataFrame:
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"), "text")
+    return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
 #: DuckDB: (doc_id, x, p) of the lines that go, from the documents {docs}; variants are whole strings here.
