@@ -241,15 +241,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_pivot = found.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
     rows = _labelled(beyond, found).join(of_pivot, "pivot", "left").withColumn("home", F.coalesce("home", "pivot")).withColumn("new", F.size("adds"))
     rows = materialise(rows.select("pivot", "id", "n", "lacks", "new", "adds", "component", (F.col("component") != F.col("home")).alias("out")), "apart")
-    one = rows.where("out").select("pivot", F.col("id").alias("i"), "n", F.col("lacks").alias("a"), F.col("new").alias("c"), F.col("component").alias("of"), F.col("adds").alias("adds_i"))
-    two = rows.select("pivot", F.col("id").alias("j"), F.col("lacks").alias("b"), F.col("new").alias("d"), F.col("component").alias("to"), "out", F.col("adds").alias("adds_j"))
+    # a row for each member and shingle that it adds, written once for both sides of the join
+    postings = materialise(rows.select("pivot", "id", "n", "lacks", "new", "component", "out", F.explode("adds").alias("s")), "postings")
+
+    def side_one(of: DataFrame, *more: str) -> DataFrame:
+        return of.where("out").select("pivot", F.col("id").alias("i"), "n", F.col("lacks").alias("a"), F.col("new").alias("c"), F.col("component").alias("of"), *more)
+
+    def side_two(of: DataFrame, *more: str) -> DataFrame:
+        return of.select("pivot", F.col("id").alias("j"), F.col("lacks").alias("b"), F.col("new").alias("d"), F.col("component").alias("to"), "out", *more)
+
     sizes = (F.col("n") - F.col("a") + F.col("c"), F.col("n") - F.col("b") + F.col("d"))
     apart = (F.col("of") != F.col("to")) & (~F.col("out") | (F.col("i") < F.col("j"))) & (100 * F.least(*sizes) >= SIMILAR * F.greatest(*sizes))
     need = 5 * (F.col("a") + F.col("b")) + 4 * (F.col("c") + F.col("d")) - F.col("n") - 9 * F.least("a", "b")  # 9 times the shingles to share
-    by = one.select("pivot", "i", "n", "a", "c", "of", F.explode("adds_i").alias("s")).join(two.select("pivot", "j", "b", "d", "to", "out", F.explode("adds_j").alias("s")), ["pivot", "s"]).where(apart)
+    by = side_one(postings, "s").join(side_two(postings, "s"), ["pivot", "s"]).where(apart)
     by = by.withColumn("need", need).groupBy("pivot", "i", "j").agg(F.count("*").alias("o"), F.first("need").alias("need")).where("9 * o >= need").select("i", "j")
-    bare = one.drop("adds_i").join(two.drop("adds_j").where("b > d"), "pivot").where(apart & (need <= 0)).select("i", "j")
-    bare_too = one.drop("adds_i").where("a > c").join(two.drop("adds_j"), "pivot").where(apart & (need <= 0)).select("i", "j")
+    bare = side_one(rows).join(side_two(rows).where("b > d"), "pivot").where(apart & (need <= 0)).select("i", "j")
+    bare_too = side_one(rows).where("a > c").join(side_two(rows), "pivot").where(apart & (need <= 0)).select("i", "j")
     last = by.unionByName(bare).unionByName(bare_too).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     more = _test(last.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets)
     found = components(tested.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")).unionByName(same))
