@@ -1,6 +1,6 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions alone.
 
-A line is compared as its words, lower-cased (A-Z), with runs of white space as one space. A line of MIN_WORDS words or
+A line is compared as its words, lower-cased, with runs of white space as one space. A line of MIN_WORDS words or
 more goes when an earlier line (by doc_id, text hash, place) is equal to it or one word edit away: a word replaced,
 inserted or deleted. Shorter lines stay.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise
+from .common import materialise
 
 MIN_WORDS = 6
 #: Words in a block of a prefix hash: variants of a line of n words cost n * STRIDE, not n * n.
@@ -31,7 +31,7 @@ STRIDE = 64
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(lower_ascii(text), r"[\x20\x09\x0B-\x0D]+", " "), "\n"), lambda x: F.trim(x))
+    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), "\n"), lambda x: F.trim(x))
 
 
 def _quarter(n: Column) -> Column:
@@ -171,7 +171,7 @@ def op2_line_dedup(docs: DataFrame) -> DataFrame:
 #: DuckDB: (doc_id, x, p) of the lines that go, from the documents {docs}; variants are whole strings here.
 GONE_SQL = r"""
 l0 AS (SELECT doc_id, md5(text) AS x, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM {docs} WHERE text IS NOT NULL),
-l1 AS (SELECT *, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line FROM l0),
+l1 AS (SELECT *, trim(regexp_replace(lower(raw), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line FROM l0),
 l AS (SELECT doc_id, x, p, line, string_split(line, ' ') AS w FROM l1 WHERE len(string_split(line, ' ')) >= 6),
 f AS (SELECT line, w, min(row(doc_id, p)) AS first FROM l GROUP BY line, w),
 v AS (
