@@ -1,6 +1,6 @@
 """Token shards as files: headerless little-endian uint16 ids (inputs) beside int32 targets, with a JSON description each.
 
-``spark.read.format("token_shards")`` reads a folder, one input partition for a shard, over memory-mapped files;
+``spark.read.format("token_shards")`` reads a folder of memory-mapped files, small shards together in an input partition;
 ``df.write.format("token_shards")`` writes a shard for each row of (shard, tokens[, targets]). A shard is written under a
 name of its own attempt and renamed when the job commits, so a failed or repeated task leaves no half file under a final
 name; readers skip names that start with a dot, and the next job sweeps them. The folder must be one that driver and
@@ -65,13 +65,22 @@ def discover(folder: str, paired: bool = False) -> list[Path]:
     return found
 
 
+#: Small shards share an input partition up to about so many bytes.
+PARTITION_BYTES = 8 << 20
+
+
 @dataclass
-class Shard(InputPartition):
+class Shard:
     index: int
     path: str
     paired: bool
 
 
+@dataclass
+class Shards(InputPartition):
+    shards: list[Shard]
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.paired = options["path"], options.get("paired", "false").lower() == "true"
@@ -89,14 +98,28 @@ class Reader(DataSourceReader):
                 continue
             self.wanted = own if self.wanted is None else self.wanted & own
 
-    def partitions(self) -> list[Shard]:
+    def partitions(self) -> list[Shards]:
         shards = []
         for k, p in enumerate(discover(self.path, self.paired)):
             m = re.search(r"_(\d{4,})(?:_inputs)?\.bin$", p.name)
             shards.append(Shard(int(m[1]) if m else k, str(p), self.paired))
-        return [s for s in shards if self.wanted is None or s.index in self.wanted]
+        out: list[Shards] = []
+        room = 0
+        for s in shards:
+            if self.wanted is None or s.index in self.wanted:
+                size = os.path.getsize(s.path)
+                if size > room:
+                    out.append(Shards([]))
+                    room = PARTITION_BYTES
+                out[-1].shards.append(s)
+                room -= size
+        return out
+
+    def read(self, partition: Shards) -> Iterator[pa.RecordBatch]:
+        for shard in partition.shards:
+            yield from self._read(shard)
 
-    def read(self, shard: Shard) -> Iterator[pa.RecordBatch]:
+    def _read(self, shard: Shard) -> Iterator[pa.RecordBatch]:
         inputs = np.memmap(shard.path, IDS, "r") if os.path.getsize(shard.path) else np.zeros(0, IDS)
         targets = None
         if shard.paired:
