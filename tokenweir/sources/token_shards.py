@@ -108,7 +108,7 @@ class Reader(DataSourceReader):
         for s in shards:
             if self.wanted is None or s.index in self.wanted:
                 size = os.path.getsize(s.path)
-                if size > room:
+                if not out or size > room:
                     out.append(Shards([]))
                     room = PARTITION_BYTES
                 out[-1].shards.append(s)
