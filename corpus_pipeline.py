@@ -23,9 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document whose every line stands in an earlier one goes. n_chars follows the text."""
     sweep(spark)
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))  # so that no other column can clash
+    # other columns go as one, so that none can clash
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__0"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
     out = linededup.dedup_lines(rows).where((F.col("n_removed") <= 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    now = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    now = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[now.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 

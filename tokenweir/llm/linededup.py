@@ -151,15 +151,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with ``text`` rid of repeated lines, and n_lines and n_removed; other columns as they are. Texts that lose nothing are not shuffled."""
     gone = materialise(repeated_lines(docs).groupBy("d", "x").agg(F.collect_set("p").alias("gone")), "gone")
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))  # so that no other column can clash
+    # other columns go as one, so that none can clash
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__0"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("__row"))
     marked = _sieved(rows, gone.select("d"))
     some, rest = marked.where("__may").withColumn("__x", F.xxhash64("text")), marked.where("not __may").withColumn("gone", F.lit(None).cast("array<int>"))
-    kept = some.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__x") == F.col("x")), "left").select("text", "__row", "gone").unionByName(rest.select("text", "__row", "gone"))
+    kept = some.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__x") == F.col("x")), "left").select("doc_id", "text", "__row", "gone").unionByName(rest.select("doc_id", "text", "__row", "gone"))
     lines = F.split("text", "\n")
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    names = [F.col("__row")[c].alias(c) if c != "text" else text.alias("text") for c in docs.columns]
+    own = {"doc_id": F.col("doc_id"), "text": text}
+    names = [own.get(c, F.col("__row")[c]).alias(c) for c in docs.columns]
     return kept.select(*names, n.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 

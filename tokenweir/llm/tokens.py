@@ -25,8 +25,8 @@ _RUNS = (rf"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]++{_ENDS}", rf"[0-9]++{_ENDS}"
 BYTE_LEVEL = "|".join([*(f" ?{x}" for x in _RUNS), rf" ?[^{SPACE}]+", rf"[{SPACE}]+(?![^{SPACE}])", f"[{SPACE}]"])
 #: Word-level: white space is dropped.
 WORD_LEVEL = "|".join([*_RUNS, rf"[^{SPACE}]+"])
-_KEPT = 1_000_000
-_KEPT_CHARS = 24 << 20
+_KEPT = 600_000
+_KEPT_CHARS = 16 << 20
 
 
 class Places(dict):
