@@ -12,11 +12,11 @@ bucket of SMALL members at most is compared throughout.
 What a bucket holds besides its pivot's component is settled without comparing all pairs. Let n be the size of the pivot's
 set, a and b what x and y lack of it, c and d what they have beyond it, and o the number of shingles beyond it that they
 share. Then x and y can only be similar enough if 9 (o + min(a, b)) >= 5 (a + b) + 4 (c + d) - n. So members meet once more by
-shared shingles beyond the pivot, again around the member that shares most, and what then still has different components is
-joined on those shingles; pairs are counted up to o, and only those that the inequality lets through are compared. With
-o = 0 it takes a member that lacks more of the pivot than it adds; such members are held against the others. No link
-between texts that share a bucket is lost. The join grows with the texts that are linked with no pivot, times those that
-share a shingle beyond the same pivot.
+shared shingles beyond the pivot, again around the member that shares most. What then still has different components is
+joined on those of the shingles that OFTEN members at most add; pairs are counted, and all frequent shingles that both add
+are taken as shared. Pairs that frequent shingles alone could link are found by the inequality within a pivot's members.
+Only what the inequality lets through is compared. No link between texts that share a bucket is lost. That last search
+looks at the texts that are linked with no pivot times the members of the pivot, though it makes no rows for what it refuses.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a null doc_id is linked
 with nothing, has no component and is kept; rows of one doc_id are one node, which all its texts link; extra columns pass.
@@ -40,6 +40,8 @@ BANDS = 32
 SHINGLE = 4
 SIMILAR = 80
 SMALL = 12
+#: Members of a pivot beyond which a shingle that they add is counted, not joined.
+OFTEN = 48
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that take a step together; their permutations are held, a byte for each place.
 _TOGETHER = 1 << 17
@@ -241,23 +243,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_pivot = found.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
     rows = _labelled(beyond, found).join(of_pivot, "pivot", "left").withColumn("home", F.coalesce("home", "pivot")).withColumn("new", F.size("adds"))
     rows = materialise(rows.select("pivot", "id", "n", "lacks", "new", "adds", "component", (F.col("component") != F.col("home")).alias("out")), "apart")
-    # a row for each member and shingle that it adds, written once for both sides of the join
-    postings = materialise(rows.select("pivot", "id", "n", "lacks", "new", "component", "out", F.explode("adds").alias("s")), "postings")
+    # a row for each member and shingle that it adds; frequent ones are counted for each member instead of joined
+    postings = rows.select("pivot", "id", F.explode("adds").alias("s"))
+    seen = postings.groupBy("pivot", "s").agg(F.count("*").alias("k")).where("k > 1")
+    postings = materialise(postings.join(seen, ["pivot", "s"]), "postings")
+    often = postings.where(F.col("k") > OFTEN).groupBy("pivot", "id").agg(F.count("*").alias("f"))
+    rows = materialise(rows.drop("adds").join(often, ["pivot", "id"], "left").withColumn("f", F.coalesce("f", F.lit(0))), "apart")
+    rare = postings.where(F.col("k") <= OFTEN).select("pivot", "id", "s").join(rows, ["pivot", "id"])
 
     def side_one(of: DataFrame, *more: str) -> DataFrame:
-        return of.where("out").select("pivot", F.col("id").alias("i"), "n", F.col("lacks").alias("a"), F.col("new").alias("c"), F.col("component").alias("of"), *more)
+        return of.where("out").select("pivot", F.col("id").alias("i"), "n", F.col("lacks").alias("a"), F.col("new").alias("c"), F.col("component").alias("of"), F.col("f").alias("f_i"), *more)
 
     def side_two(of: DataFrame, *more: str) -> DataFrame:
-        return of.select("pivot", F.col("id").alias("j"), F.col("lacks").alias("b"), F.col("new").alias("d"), F.col("component").alias("to"), "out", *more)
+        return of.select("pivot", F.col("id").alias("j"), F.col("lacks").alias("b"), F.col("new").alias("d"), F.col("component").alias("to"), "out", F.col("f").alias("f_j"), *more)
 
     sizes = (F.col("n") - F.col("a") + F.col("c"), F.col("n") - F.col("b") + F.col("d"))
     apart = (F.col("of") != F.col("to")) & (~F.col("out") | (F.col("i") < F.col("j"))) & (100 * F.least(*sizes) >= SIMILAR * F.greatest(*sizes))
-    need = 5 * (F.col("a") + F.col("b")) + 4 * (F.col("c") + F.col("d")) - F.col("n") - 9 * F.least("a", "b")  # 9 times the shingles to share
-    by = side_one(postings, "s").join(side_two(postings, "s"), ["pivot", "s"]).where(apart)
+    # 9 times the rare shingles to share, if all frequent ones that both add are shared
+    need = 5 * (F.col("a") + F.col("b")) + 4 * (F.col("c") + F.col("d")) - F.col("n") - 9 * F.least("a", "b") - 9 * F.least("f_i", "f_j")
+    by = side_one(rare, "s").join(side_two(rare, "s"), ["pivot", "s"]).where(apart)
     by = by.withColumn("need", need).groupBy("pivot", "i", "j").agg(F.count("*").alias("o"), F.first("need").alias("need")).where("9 * o >= need").select("i", "j")
-    bare = side_one(rows).join(side_two(rows).where("b > d"), "pivot").where(apart & (need <= 0)).select("i", "j")
-    bare_too = side_one(rows).where("a > c").join(side_two(rows), "pivot").where(apart & (need <= 0)).select("i", "j")
-    last = by.unionByName(bare).unionByName(bare_too).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    bare = side_one(rows).join(side_two(rows), "pivot").where(apart & (need <= 0)).select("i", "j")
+    last = by.unionByName(bare).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     more = _test(last.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets)
     found = components(tested.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")).unionByName(same))
     of_class = classes.join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
