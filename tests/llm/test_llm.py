@@ -213,6 +213,19 @@ def test_html_copies_keep_their_text(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_differencing_decides_beside_and_inside_articles():
+    """Plain frame lines inside of main go; a body beside a teaser article stays; repeated articles stay whole."""
+    inside = [html.lines(f"<main><div>Home and all topics</div><p>Story {k} is {'x' * (k + 40)} long</p><div>Read more of us</div></main>") for k in range(4)]
+    assert html.main_text(inside[0], inside[1:]) == f"Story 0 is {'x' * 40} long"
+    assert "Home and all topics" in html.main_text(inside[0], inside[1:2])  # one neighbour does not decide inside
+    teaser = [html.lines(f"<div>Site name</div><div>Body {k} is {'y' * (k + 60)} long</div><article><p>See our shop</p></article>") for k in range(4)]
+    assert html.main_text(teaser[0], teaser[1:]) == f"Body 0 is {'y' * 60} long"
+    copies = [html.lines(f"<div>Version {k}</div><article><p>The whole story of the day</p><p>in two parts</p></article>") for k in range(4)]
+    assert html.main_text(copies[0], copies[1:]) == "Version 0\n\nThe whole story of the day\n\nin two parts"
+    alone = html.lines("<div>Site name</div><article><p>The whole story of the day</p></article>")
+    assert html.main_text(alone, []) == "The whole story of the day"
+
+
 @given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
 @settings(max_examples=150, deadline=None)
 def test_longest_common_subsequence(a, b):

@@ -4,11 +4,13 @@ A page is cut into text lines, one for each block of its markup. Pages are sorte
 with its nearest neighbours there: NEIGHBOURS pages before and after it of the same host. The lines of a pair are aligned by
 their longest common subsequence; lines that both pages share are the site's frame and are deleted.
 
-Two rules keep that right. A line inside the page's article or main element is content even where a neighbour has it, too:
-sites repeat whole articles. And a neighbour whose shared lines hold most of the page's text is a copy, and tells nothing
-about the frame. Lines in elements that are never content (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments, by element, role or class) go with or without a neighbour, and where a page has an article or main
-element, lines outside of it go as well, so a site of one page needs no neighbour.
+A line outside of the page's article and main elements goes when one neighbour has it, too. A line inside them goes when
+every neighbour that differs from the page has it, and there are two at least: single lines recur in articles by chance.
+Sites repeat whole articles: where nothing would be left of the article and main elements and they hold more text than is
+left outside of them, they are a copy and stay. A neighbour whose shared lines hold most of the page's text is a copy, too,
+and tells nothing about the frame by itself. Lines in elements that are never content (menus, headers, footers, sidebars,
+notices, adverts, forms, reader comments, by element, role or class) go with or without a neighbour. A page with no
+neighbour to tell its frame is cut to its article and main elements if they hold most of its text.
 
 Defined cases: null and empty html give an empty text of 0 characters; a page without a block gives an empty text; a tag that
 never ends is dropped, as is an entity that names nothing kept as it stands; a null url is a host of its own; rows of one
@@ -188,13 +190,30 @@ def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]
     keys = [hash(t) for t, _ in page]
     total = sum(len(t) for t, _ in page)
     shared: set[int] = set()
-    for other in neighbours:
-        met = common(keys, [hash(t) for t, _ in other])
+    every: set[int] | None = None
+    own = _body(page)
+    others = {_body(other) for other in neighbours} - {own, ()}  # equal pages count once, copies of this page not at all
+    for other in others:
+        met = common(keys, [hash(t) for t in other])
         if sum(len(page[k][0]) for k in met) <= COPY * total:
             shared |= met
-    has_main = any(where == CONTENT for _, where in page)
-    keep = (t for k, (t, where) in enumerate(page) if where == CONTENT or where == OUTSIDE and not has_main and k not in shared)
-    return "\n\n".join(keep)
+        every = met if every is None else every & met
+    inside = {k for k, (_, where) in enumerate(page) if where == CONTENT}
+    outside = {k for k, (_, where) in enumerate(page) if where == OUTSIDE}
+    size = lambda at: sum(len(page[k][0]) for k in at)
+    frame = every if every is not None and len(others) > 1 else set()
+    left = outside - shared - frame
+    if inside <= frame and size(inside) > size(left):
+        frame = frame - inside
+    if not others and size(inside) > size(outside):
+        left = set()
+    keep = (inside - frame) | left
+    return "\n\n".join(t for k, (t, _) in enumerate(page) if k in keep)
+
+
+def _body(page: list[tuple[str, int]]) -> tuple[str, ...]:
+    """The lines that stand in no frame element."""
+    return tuple(t for t, where in page if where != FRAMED)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
