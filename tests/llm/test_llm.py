@@ -236,6 +236,26 @@ def test_longest_common_subsequence(a, b):
     assert len(html.common(a, b)) == best[-1][-1]
 
 
+@given(st.lists(st.integers(0, 6), max_size=30), st.lists(st.integers(0, 6), max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_cut_alignments_are_as_long(a, b):
+    whole, table = len(html.common(a, b)), html.TABLE
+    html.TABLE = 8
+    try:
+        assert len(html.common(a, b)) == whole
+    finally:
+        html.TABLE = table
+
+
+@pytest.mark.parametrize("n", [500, 3000])
+def test_long_pages_lose_their_whole_frame(n):
+    """Repeated frame lines go from pages of any length; an early line with a late partner blocks nothing."""
+    listing = lambda k: [("Late" if k else "Early", html.OUTSIDE), *[(t, html.OUTSIDE) for i in range(n) for t in (f"post {k} {i} {'z' * 20}", "Reply")], ("Early" if k else "Late", html.OUTSIDE)]
+    assert "Reply" not in html.main_text(listing(0), [listing(1)]).split("\n\n")
+    a, b = [-1, *range(n), *range(n)], [*range(n), *range(n), -1]
+    assert html.common(a, b) == set(range(1, 2 * n + 1))
+
+
 def test_token_counts_equal_brute_force(docs, texts, odd, none):
     model = tokencount.Unigram(tokens.vocabulary_file("piece_bpe_32k.model"))
 

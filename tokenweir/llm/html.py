@@ -24,6 +24,7 @@ import html as entities
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 NEIGHBOURS = 2
 #: Part of a page's text that a neighbour must share to be taken for a copy.
 COPY = 0.8
-#: Lines of a page beyond which an alignment is done on runs between lines that stand once in both.
-ALIGNED = 400
+#: Bits of an alignment table that is held at once; a larger one is cut in two, without a loss.
+TABLE = 1 << 24
 
 # HTML elements and class words, by what they hold.
 NO_TEXT = "script style noscript template svg math iframe object embed canvas audio video map head title select option datalist textarea".split()
@@ -140,7 +141,7 @@ def lines(html: str) -> list[tuple[str, int]]:
 
 
 def common(a: list[int], b: list[int]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``. Equal ends are taken first; a very long middle is cut at lines that stand once in both."""
+    """Places in ``a`` of a longest common subsequence with ``b``, at every length."""
     out: set[int] = set()
     low, top = 0, min(len(a), len(b))
     while low < top and a[low] == b[low]:
@@ -154,34 +155,54 @@ def common(a: list[int], b: list[int]) -> set[int]:
     x = [k for k in range(low, i) if a[k] in known]  # lines of one page alone are in no common subsequence
     known = {a[k] for k in x}
     y = [v for v in b[low:j] if v in known]
-    if not x or not y:
-        return out
-    if len(x) > ALIGNED or len(y) > ALIGNED:
-        once_x = {v: k for k, v in enumerate(a[p] for p in x)}
-        once_y = {v: k for k, v in enumerate(y)}
-        xs = [a[p] for p in x]
-        anchors = [(once_x[v], once_y[v]) for v in once_x if xs.count(v) == 1 and y.count(v) == 1] if len(x) * len(y) < 4_000_000 else []
-        kept: list[tuple[int, int]] = []
-        for p, q in sorted(anchors):
-            if not kept or q > kept[-1][1]:
-                kept.append((p, q))
-        out |= {x[p] for p, _ in kept}
-        return out
-    best = [[0] * (len(y) + 1)]
-    for p in x:
-        row, last = [0], best[-1]
-        for k, v in enumerate(y, 1):
-            row.append(last[k - 1] + 1 if a[p] == v else max(last[k], row[k - 1]))
-        best.append(row)
-    p, q = len(x), len(y)
+    todo = [(0, len(x), 0, len(y))]
+    xs = [a[k] for k in x]
+    while todo:
+        p, q, u, v = todo.pop()
+        if p == q or u == v:
+            continue
+        if (q - p) * (v - u) <= TABLE or q - p == 1:
+            out |= {x[p + k] for k in _aligned(xs[p:q], y[u:v])}
+            continue
+        # Hirschberg: the halves of x meet y where their common subsequences are longest together
+        mid = (p + q) // 2
+        front = _lengths(xs[p:mid], y[u:v])
+        back = _lengths(xs[mid:q][::-1], y[u:v][::-1])[::-1]
+        at = u + max(range(len(front)), key=lambda k: front[k] + back[k])
+        todo += [(p, mid, u, at), (mid, q, at, v)]
+    return out
+
+
+def _rows(x: list[int], y: list[int]) -> Iterator[int]:
+    """For each line of x, the row of the alignment table as bits: a 0 at k where the length grows from the first k to k + 1 lines of y."""
+    places: dict[int, int] = {}
+    for k, v in enumerate(y):
+        places[v] = places.get(v, 0) | 1 << k
+    full = row = (1 << len(y)) - 1
+    for v in x:
+        met = row & places.get(v, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _lengths(x: list[int], y: list[int]) -> list[int]:
+    """Lengths of the longest common subsequences of x with the first 0, 1, ... lines of y."""
+    row = deque(_rows(x, y), maxlen=1).pop()
+    return list(accumulate((bit == "0" for bit in reversed(f"{row:0{len(y)}b}")), initial=0))
+
+
+def _aligned(x: list[int], y: list[int]) -> list[int]:
+    """Places in x of a longest common subsequence, from the whole table."""
+    rows = list(_rows(x, y))
+    out, p, q = [], len(x), len(y)
     while p and q:
-        if a[x[p - 1]] == y[q - 1]:
-            out.add(x[p - 1])
+        if x[p - 1] == y[q - 1]:
+            out.append(p - 1)
             p, q = p - 1, q - 1
-        elif best[p - 1][q] >= best[p][q - 1]:
-            p -= 1
-        else:
+        elif rows[p - 1] >> q - 1 & 1:
             q -= 1
+        else:
+            p -= 1
     return out
 
 
