@@ -256,6 +256,17 @@ def test_long_pages_lose_their_whole_frame(n):
     assert html.common(a, b) == set(range(1, 2 * n + 1))
 
 
+def test_large_frames_go_and_blocks_do_not_matter(spark):
+    """A frame of most of the text goes if several differing pages have it; every page has its neighbours, however pages are dealt out."""
+    frame = "<div>Home and a very long menu of all the topics that this site has ever had</div><div>{}</div><div>All rights reserved by the owners of the site and by no others</div>"
+    pages = [(k, f"http://h.example.com/a/{k:02}", page(frame.format(f"Note {k}"))) for k in range(20)] + [(50, None, None), (None, "http://z.example.com/", "<p>last</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {k: f"Note {k}" for k in range(20)} | {50: "", None: "last"}
+    for blocks in (1, 7, 40):
+        got = html.extract(df, blocks).collect()
+        assert len(got) == len(pages) and {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_token_counts_equal_brute_force(docs, texts, odd, none):
     model = tokencount.Unigram(tokens.vocabulary_file("piece_bpe_32k.model"))
 

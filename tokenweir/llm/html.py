@@ -7,22 +7,23 @@ their longest common subsequence; lines that both pages share are the site's fra
 A line outside of the page's article and main elements goes when one neighbour has it, too. A line inside them goes when
 every neighbour that differs from the page has it, and there are two at least: single lines recur in articles by chance.
 Sites repeat whole articles: where nothing would be left of the article and main elements and they hold more text than is
-left outside of them, they are a copy and stay. A neighbour whose shared lines hold most of the page's text is a copy, too,
-and tells nothing about the frame by itself. Lines in elements that are never content (menus, headers, footers, sidebars,
+left outside of them, they are a copy and stay. A neighbour that shares most of the page's text beside its frame
+elements may be a copy or have the same large frame: of it only those lines count that every other differing neighbour has. Lines in elements that are never content (menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments, by element, role or class) go with or without a neighbour. A page with no
 neighbour to tell its frame is cut to its article and main elements if they hold most of its text.
 
 Defined cases: null and empty html give an empty text of 0 characters; a page without a block gives an empty text; a tag that
 never ends is dropped, as is an entity that names nothing kept as it stands; a null url is a host of its own; rows of one
-page_id are pages of their own; extra columns are ignored. The pages at the ends of a range partition have neighbours on one
-side.
+page_id are pages of their own; extra columns are ignored. Pages are dealt to blocks by ranges of their keys; a block also
+gets the pages next to it on both sides, so what a page is compared with does not depend on the blocks.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from bisect import bisect_right
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -31,6 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEIGHBOURS = 2
+#: Blocks of pages for each shuffle partition, and keys looked at for each block.
+DEALT = 6
+SAMPLED = 8
 #: Part of a page's text that a neighbour must share to be taken for a copy.
 COPY = 0.8
 #: Bits of an alignment table that is held at once; a larger one is cut in two, without a loss.
@@ -208,14 +212,15 @@ def _aligned(x: list[int], y: list[int]) -> list[int]:
 
 def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
     """The lines of a page that are left once shared lines and frame elements are gone."""
-    keys = [hash(t) for t, _ in page]
-    total = sum(len(t) for t, _ in page)
+    places = [k for k, (_, where) in enumerate(page) if where != FRAMED]
+    keys = [hash(page[k][0]) for k in places]
+    total = sum(len(page[k][0]) for k in places)
     shared: set[int] = set()
     every: set[int] | None = None
     own = _body(page)
     others = {_body(other) for other in neighbours} - {own, ()}  # equal pages count once, copies of this page not at all
     for other in others:
-        met = common(keys, [hash(t) for t in other])
+        met = {places[k] for k in common(keys, [hash(t) for t in other])}
         if sum(len(page[k][0]) for k in met) <= COPY * total:
             shared |= met
         every = met if every is None else every & met
@@ -237,15 +242,72 @@ def _body(page: list[tuple[str, int]]) -> tuple[str, ...]:
     return tuple(t for t, where in page if where != FRAMED)
 
 
+def _key(host: str, path: str, page_id: int | None, url: str | None) -> tuple:
+    """A page's place in the order of pages, as Spark sorts it."""
+    return host, path, page_id is not None, page_id or 0, url is not None, url or ""
+
+
+def _keys(batch: pa.RecordBatch) -> list[tuple]:
+    return [_key(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "page_id", "url")), strict=True)]
+
+
+def _dealt(bounds: list[tuple], more: dict[tuple, list[int]]):
+    """Rows with their block, and again (``own`` false) for each block that they stand next to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, block, own = [], [], []
+            for k, key in enumerate(_keys(batch)):
+                to = [bisect_right(bounds, key), *more.get(key, ())]
+                at += [k] * len(to)
+                block += to
+                own += [True] + [False] * (len(to) - 1)
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(block, pa.int32()), pa.array(own, pa.bool_())], [*batch.schema.names, "block", "own"])
+
+    return run
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last NEIGHBOURS rows of each block."""
+    first: list[pa.RecordBatch] = []
+    last: deque[pa.RecordBatch] = deque(maxlen=NEIGHBOURS)
+    now = None
+    for batch in batches:
+        for k, block in enumerate(batch.column("block").to_pylist()):
+            if block != now:
+                yield from [*first, *last]
+                first, now = [], block
+                last.clear()
+            if len(first) < NEIGHBOURS:
+                first.append(batch.slice(k, 1))
+            else:
+                last.append(batch.slice(k, 1))
+    yield from [*first, *last]
+
+
+def _beside(ends: list[tuple[int, tuple]]) -> dict[tuple, list[int]]:
+    """For each key that stands next to a block, the blocks; from the ends (block, key) of all blocks."""
+    ends = sorted(ends)
+    out: dict[tuple, set[int]] = defaultdict(set)
+    for block in {b for b, _ in ends}:
+        low, high = bisect_right(ends, block - 1, key=lambda e: e[0]), bisect_right(ends, block, key=lambda e: e[0])
+        for _, key in ends[max(0, low - NEIGHBOURS) : low] + ends[high : high + NEIGHBOURS]:
+            out[key].add(block)
+    return {key: sorted(blocks) for key, blocks in out.items()}
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    window: deque[tuple] = deque()  # (page_id, url, host, lines), with up to NEIGHBOURS done pages in front
-    done = 0
+    window: deque[tuple] = deque()  # (page_id, url, host, lines, own), with up to NEIGHBOURS done pages in front
+    done, now = 0, None
 
-    def finish(k: int) -> tuple:
-        page_id, url, host, page = window[k]
+    def finish(k: int) -> list[tuple]:
+        page_id, url, host, page, own = window[k]
+        if not own:
+            return []
         near = [window[i][3] for i in range(max(0, k - NEIGHBOURS), min(len(window), k + NEIGHBOURS + 1)) if i != k and window[i][2] == host]
         text = main_text(page, near)
-        return page_id, url, text, len(text)
+        return [(page_id, url, text, len(text))]
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
@@ -253,10 +315,14 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for page_id, url, host, raw in zip(*(batch.column(c) for c in ("page_id", "url", "host", "html")), strict=True):
-            window.append((page_id.as_py(), url.as_py(), host.as_py(), lines(raw.as_py() or "")))
+        for page_id, url, host, raw, block, own in zip(*(batch.column(c) for c in ("page_id", "url", "host", "html", "block", "own")), strict=True):
+            if block.as_py() != now:
+                out += [r for k in range(done, len(window)) for r in finish(k)]
+                window.clear()
+                done, now = 0, block.as_py()
+            window.append((page_id.as_py(), url.as_py(), host.as_py(), lines(raw.as_py() or ""), own.as_py()))
             if len(window) - done > NEIGHBOURS:
-                out.append(finish(done))
+                out += finish(done)
                 done += 1
                 if done > NEIGHBOURS:
                     window.popleft()
@@ -265,7 +331,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows(out)
                 out = []
         yield rows(out)
-    yield rows([finish(k) for k in range(done, len(window))])
+    yield rows([r for k in range(done, len(window)) for r in finish(k)])
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -273,12 +339,23 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.lower(F.substring_index(bare, "/", 1)), F.regexp_replace(F.regexp_replace(bare, r"^[^/]*", ""), r"[?#].*$", "")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each page. One shuffle puts the pages of a host side by side; a large host takes several partitions."""
+def extract(pages: DataFrame, blocks: int | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of each page. Blocks of pages in a row are found from the keys alone, SAMPLED of them for
+    each block; then one shuffle deals the pages out. A large host takes several blocks."""
     host, path = host_and_path(F.col("url"))
     keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-    near = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
-    return near.select("page_id", "url", "host", "html").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    light, kinds = keyed.drop("html"), "page_id long, url string, host string, path string"
+    blocks = blocks or DEALT * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = min(1.0, SAMPLED * blocks / max(1, light.count()))
+    found = sorted({_key(r["host"], r["path"], r["page_id"], r["url"]) for r in light.sample(part, 1).toLocalIterator()})
+    bounds = sorted({found[k * len(found) // blocks] for k in range(1, blocks)}) if found else []
+    order = ("block", "host", "path", "page_id", "url")
+    placed = light.mapInArrow(_dealt(bounds, {}), kinds + ", block int, own boolean").repartition("block").sortWithinPartitions(*order)
+    ends = placed.mapInArrow(_ends, placed.schema).collect()
+    more = _beside([(r["block"], _key(r["host"], r["path"], r["page_id"], r["url"])) for r in ends])
+    near = keyed.mapInArrow(_dealt(bounds, more), "page_id long, url string, html string, host string, path string, block int, own boolean")
+    near = near.repartition("block").sortWithinPartitions(*order)
+    return near.select("page_id", "url", "host", "html", "block", "own").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extraction(pages: DataFrame) -> DataFrame:
