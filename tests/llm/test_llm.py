@@ -436,6 +436,18 @@ def test_decontamination_blocks_and_odd_rows(spark, odd, none, docs, data):
     assert one == many
 
 
+def test_decontamination_judges_each_row(odd, spark):
+    """Null and repeated ids are rows of their own, for one block of the benchmark and for several."""
+    items = spark.createDataFrame([(1, LINE), (2, "two"), (3, "nothing of this kind")], "item_id long, text string")
+    for limit in (1 << 22, 1):
+        found = decontam.contamination(odd, items, limit=limit).collect()
+        assert sorted((str(r["doc_id"]), r["n_hit"]) for r in found if r["doc_id"] in (None, 7)) == [("7", 0), ("7", 30), ("7", 30), ("None", 0), ("None", 15)]
+        assert len(found) == len(ODD)
+        kept = decontam.remove_contaminated(odd, items, limit=limit)
+        assert kept.columns == odd.columns
+        assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect() if r["doc_id"] in (None, 7)) == [("7", "another text under one id"), ("None", None)]
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(4)
     x = np.append(rng.integers(1, 4, 60), 0)

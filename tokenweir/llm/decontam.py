@@ -3,7 +3,8 @@
 Each shard (a run of documents in one task) is turned into word numbers, and the suffixes that can hold a whole window
 are sorted into a suffix array by prefix doubling. Every suffix of every benchmark item is then searched in it by
 narrowing its interval one word at a time, which gives the longest verbatim match and all places of each window. The
-benchmark goes to the tasks in blocks of a stated size, whatever its total; results of several blocks are joined.
+benchmark goes to the tasks in blocks of a stated size, whatever its total; for several blocks the rows are numbered and
+written first, and their results meet by that number, so each row is judged by itself.
 
 Words: runs of ASCII letters, digits and characters beyond ASCII after lower-casing A-Z. A window is ``window`` words in
 a row, or the whole item where that has fewer. Defined cases: null texts have no words; items without words have no
@@ -15,13 +16,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, lower_ascii, text_views, words
+from .common import ALNUM_WORD, lower_ascii, materialise, text_views, words
 
 WINDOW = 10
 #: Bytes of benchmark text in one block, the most that is sent to the tasks at once.
@@ -143,17 +146,23 @@ def matches(numbers: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray,
     return live[array[at]], suffix, longest[suffix]
 
 
-def _search(block: Block):
+def _hits(column: pa.Array, block: Block) -> Iterator[tuple]:
+    """For each run of rows: first row, end row, n_words and where each row's words begin, and of each place found its row, the place, the suffix and the longest match."""
+    for first, end, data, offsets in text_views(column):
+        starts, _, row, h = words(data, offsets, ALNUM_WORD)
+        # a place of number 0 between documents, so that no match crosses one
+        numbers = np.zeros(len(h) + (end - first), np.int64)
+        numbers[np.arange(len(h)) + row] = block.number(h)
+        cuts = np.searchsorted(row, np.arange(end - first + 1))
+        begin = cuts + np.arange(end - first + 1)
+        place, suffix, longest = matches(numbers, block)
+        yield first, end, np.diff(cuts), begin, np.searchsorted(begin, place, side="right") - 1, place, suffix, longest
+
+
+def _search(block: Block, key: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_views(batch.column("text")):
-                starts, _, row, h = words(data, offsets, ALNUM_WORD)
-                # a place of number 0 between documents, so that no match crosses one
-                numbers = np.zeros(len(h) + (end - first), np.int64)
-                numbers[np.arange(len(h)) + row] = block.number(h)
-                begin = np.searchsorted(row, np.arange(end - first + 1)) + np.arange(end - first + 1)
-                place, suffix, longest = matches(numbers, block)
-                doc = np.searchsorted(begin, place, side="right") - 1
+            for first, end, n_words, begin, doc, place, suffix, longest in _hits(batch.column("text"), block):
                 order = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[order], np.arange(end - first + 1))
                 spans, items, most = [], [], []
@@ -168,15 +177,27 @@ def _search(block: Block):
                     spans.append(merge(at, at + size))
                     items.append(sorted({block.ids[x] for x in np.unique(block.item[suffix[own]]).tolist()} - {None}))
                     most.append(int(longest[own].max()))
-                n_words = np.diff(np.searchsorted(row, np.arange(end - first + 1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, end - first), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(most, pa.int64())],
-                    ["doc_id", "n_words", "spans", "items", "longest_match"],
+                    [*(batch.column(c).slice(first, end - first) for c in key), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(most, pa.int64())],
+                    [*key, "n_words", "spans", "items", "longest_match"],
                 )
 
     return run
 
 
+def _clean(block: Block):
+    """The rows without a hit, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for first, _, _, _, doc, *_ in _hits(batch.column("text"), block):
+                keep[first + doc] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def merge(starts: np.ndarray, ends: np.ndarray) -> list[int]:
     """The union of spans as a flat list: start, end, start, end."""
     order = np.argsort(starts, kind="stable")
@@ -200,28 +221,35 @@ def blocks(benchmark: DataFrame, window: int, limit: int = BLOCK_BYTES) -> Itera
     yield Block(ids, texts, window)
 
 
+FOUND = "doc_id long, n_words long, spans array<long>, items array<string>, longest_match long"
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, n_hit, spans of hit words, item ids found and the longest verbatim match in words."""
-    schema = "doc_id long, n_words long, spans array<long>, items array<string>, longest_match long"
-    parts = [docs.select("doc_id", "text").mapInArrow(_search(b), schema) for b in blocks(benchmark, window, limit)]
-    if len(parts) > 1:
-        # one pass over the documents for each block; rows of one document meet by its id, a repeated id as one document
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        met = whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match"))
+    """Per row: doc_id, n_words, n_hit, spans of hit words, item ids found and the longest verbatim match in words."""
+    first, *more = islice(every := blocks(benchmark, window, limit), 2)
+    if more:
+        # one pass over the rows for each block; what they find meets by the row's number
+        rows = materialise(docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id()), "rows")
+        parts = [rows.mapInArrow(_search(b, ["__row", "doc_id"]), "__row long, " + FOUND) for b in chain([first, *more], every)]
+        met = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match"))
         union = F.udf(lambda x: merge(np.array(x[::2], np.int64), np.array(x[1::2], np.int64)) if x else [], "array<long>")
-        whole = met.withColumn("spans", union("spans"))
+        whole = met.drop("__row").withColumn("spans", union("spans"))
     else:
-        whole = parts[0]
+        whole = docs.select("doc_id", "text").mapInArrow(_search(first, ["doc_id"]), FOUND)
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return whole.withColumn("n_hit", hit)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a hit word, with the columns of ``docs``; only ids of affected documents are shuffled or broadcast."""
-    bad = contamination(docs, benchmark, window).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows without a hit word, with the columns of ``docs``; each row is judged by its own text, and no row is shuffled for one block."""
+    first, *more = islice(every := blocks(benchmark, window, limit), 2)
+    if not more:
+        return docs.mapInArrow(_clean(first), docs.schema)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*docs.columns).alias("__all")), "rows")
+    texts = rows.select("__row", F.col("__all")["doc_id"].alias("doc_id"), F.col("__all")["text"].alias("text"))
+    parts = [texts.mapInArrow(_search(b, ["__row", "doc_id"]), "__row long, " + FOUND) for b in chain([first, *more], every)]
+    bad = reduce(DataFrame.unionByName, parts).where(F.size("spans") > 0).select("__row").distinct()
+    return rows.join(bad, "__row", "left_anti").select("__all.*")
 
 
 def op9_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
