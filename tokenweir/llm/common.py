@@ -25,6 +25,25 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bits of a sieve, whatever the number of its ids: the bitmap that is broadcast has 512 KB.
+BITS = 1 << 22
+
+
+def _bit(d: Column) -> Column:
+    return F.pmod(F.xxhash64(d), F.lit(BITS))
+
+
+def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``__may``: false only if doc_id is not among ``ids`` (d). The sieve is a bitmap of BITS bits, whatever the
+    number of ids; a full one lets all documents through to the join that follows."""
+    part, at = F.floor(_bit(F.col("d")) / 32768), _bit(F.col("d")) % 32768
+    maps = ids.select(part.alias("__part"), at.alias("at")).groupBy("__part").agg(F.bitmap_construct_agg("at").alias("__map"))
+    own = _bit(F.col("doc_id"))
+    byte = F.conv(F.hex(F.call_function("substring", F.col("__map"), (F.floor((own % 32768) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.col("__map").isNotNull() & (F.floor(byte / F.pow(F.lit(2.0), own % 8)) % 2 == 1)
+    return docs.withColumn("__part", F.floor(own / 32768)).join(F.broadcast(maps), "__part", "left").withColumn("__may", F.coalesce(may, F.lit(False))).drop("__part", "__map")
+
+
 def text_views(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about ``limit`` bytes: (first row, end row, UTF-8 bytes, row offsets from 0). Null reads as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

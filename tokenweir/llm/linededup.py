@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sieved
 
 MIN_WORDS = 6
 #: Words in a block of a prefix hash: variants of a line of n words cost n * STRIDE, not n * n.
@@ -62,24 +62,6 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return at.select("d", "x", "p", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "n", frames.alias("frames"), F.monotonically_increasing_id().alias("lid"))
 
 
-BITS = 1 << 22
-
-
-def _bit(d: Column) -> Column:
-    return F.pmod(F.xxhash64(d), F.lit(BITS))
-
-
-def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with ``__may``: false only if doc_id is not among ``ids`` (d). The sieve is a bitmap of BITS bits, whatever the
-    number of ids; a full one lets all documents through to the join that follows."""
-    part, at = F.floor(_bit(F.col("d")) / 32768), _bit(F.col("d")) % 32768
-    maps = ids.select(part.alias("__part"), at.alias("at")).groupBy("__part").agg(F.bitmap_construct_agg("at").alias("__map"))
-    own = _bit(F.col("doc_id"))
-    byte = F.conv(F.hex(F.call_function("substring", F.col("__map"), (F.floor((own % 32768) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    may = F.col("__map").isNotNull() & (F.floor(byte / F.pow(F.lit(2.0), own % 8)) % 2 == 1)
-    return docs.withColumn("__part", F.floor(own / 32768)).join(F.broadcast(maps), "__part", "left").withColumn("__may", F.coalesce(may, F.lit(False))).drop("__part", "__map")
-
-
 def _chain(w: Column, n: Column) -> Column:
     """Hashes of the first 0, 1, ... n words: a chain over blocks, and the words of a block after it."""
     blocks = F.when(n >= STRIDE, F.sequence(F.lit(1), F.floor(n / STRIDE).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -126,7 +108,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # places from t quarters on, up to 3 - t quarters before the end; the end itself is one for an insertion
     asked = F.struct("p", (t * q).cast("int").alias("low"), (F.col("n") - (3 - t) * q).cast("int").alias("high"), "mixed")
     wanted = materialise(met.groupBy("d", "x").agg(F.collect_list(asked).alias("asked")), "asked")
-    texts = _sieved(docs.select("doc_id", "text"), wanted.select("d")).where("__may").select(F.col("doc_id").alias("d1"), F.xxhash64("text").alias("x1"), "text")
+    texts = sieved(docs.select("doc_id", "text"), wanted.select("d")).where("__may").select(F.col("doc_id").alias("d1"), F.xxhash64("text").alias("x1"), "text")
     held = texts.join(wanted, F.col("d").eqNullSafe(F.col("d1")) & (F.col("x") == F.col("x1"))).dropDuplicates(["d", "x"])
     held = held.select("d", "x", "asked", _lines(F.col("text")).alias("lines")).select("d", "x", "lines", F.explode("asked").alias("a"))
     held = held.select("d", "x", "a.p", F.get("lines", F.col("a.p")).alias("line"), F.struct("a.low", "a.high", "a.mixed").alias("o"))
@@ -153,7 +135,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = materialise(repeated_lines(docs).groupBy("d", "x").agg(F.collect_set("p").alias("gone")), "gone")
     # other columns go as one, so that none can clash
     rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__0"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("__row"))
-    marked = _sieved(rows, gone.select("d"))
+    marked = sieved(rows, gone.select("d"))
     some, rest = marked.where("__may").withColumn("__x", F.xxhash64("text")), marked.where("not __may").withColumn("gone", F.lit(None).cast("array<int>"))
     kept = some.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__x") == F.col("x")), "left").select("doc_id", "text", "__row", "gone").unionByName(rest.select("doc_id", "text", "__row", "gone"))
     lines = F.split("text", "\n")

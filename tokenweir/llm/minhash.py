@@ -9,14 +9,13 @@ Equal sets are one class from the start. Classes of equal bands are candidates:
 buckets is the pivot and is compared with the rest on their full sets, which joins a large group of copies in one round; a
 bucket of SMALL members at most is compared throughout.
 
-What a bucket holds besides its pivot's component is settled without comparing all pairs. Let n be the size of the pivot's
-set, a and b what x and y lack of it, c and d what they have beyond it, and o the number of shingles beyond it that they
-share. Then x and y can only be similar enough if 9 (o + min(a, b)) >= 5 (a + b) + 4 (c + d) - n. So members meet once more by
-shared shingles beyond the pivot, again around the member that shares most. What then still has different components is
-joined on those of the shingles that OFTEN members at most add; pairs are counted, and all frequent shingles that both add
-are taken as shared. Pairs that frequent shingles alone could link are found by the inequality within a pivot's members.
-Only what the inequality lets through is compared. No link between texts that share a bucket is lost. That last search
-looks at the texts that are linked with no pivot times the members of the pivot, though it makes no rows for what it refuses.
+Large buckets that still hold several components are settled by shingles instead of by comparing all pairs. Similar texts
+share 0.8 of either's shingles, so a text of which fewer are also in a text of another component can have no link to one and
+goes; then the shingles that only it held in common go, and so on until none does. Of what is left, shingles are put in order
+from rare to frequent, and texts meet by the first fifth of theirs, which similar texts have one of in common (a prefix
+filter; how far up a shingle stands bounds what may follow it). The texts of a shingle are compared across components: of
+OFTEN texts at most throughout, of more first with a pivot of their largest component, and then, after all steps once more
+with the components found, those outside of the largest with the rest. No link between texts that share a bucket is lost.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a null doc_id is linked
 with nothing, has no component and is kept; rows of one doc_id are one node, which all its texts link; extra columns pass.
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, int64, materialise, mix, text_views, words
+from .common import PLAIN_WORD, int64, materialise, mix, sieved, text_views, words
 from .components import components
 
 PLACES = 128
@@ -40,8 +39,8 @@ BANDS = 32
 SHINGLE = 4
 SIMILAR = 80
 SMALL = 12
-#: Members of a pivot beyond which a shingle that they add is counted, not joined.
-OFTEN = 48
+#: Texts beyond which a shingle of theirs has a pivot.
+OFTEN = 24
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that take a step together; their permutations are held, a byte for each place.
 _TOGETHER = 1 << 17
@@ -158,16 +157,20 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
 
-def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a member (b) against its pivot (a): how many shingles it lacks, and those that it adds."""
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a text."""
     for batch in batches:
-        lacks, adds = [], []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            new = np.setdiff1d(y, x, assume_unique=True)
-            lacks.append(len(x) - (len(y) - len(new)))
-            adds.append(int64(new))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([len(x.as_buffer()) // 8 for x in batch.column("set_a")], pa.int64()), pa.array(lacks, pa.int64()), pa.array(adds, pa.list_(pa.int64()))], ["pivot", "id", "n", "lacks", "adds"])
+        sets = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column("set")]
+        first = 0
+        while first < len(sets):
+            end, size = first, 0
+            while end < len(sets) and size < _TOGETHER:
+                size += len(sets[end])
+                end += 1
+            at = np.repeat(np.arange(first, end), [len(x) for x in sets[first:end]])
+            own = batch.select(["id", "n", "component"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(int64(np.concatenate(sets[first:end])))], ["id", "n", "component", "s"])
+            first = end
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,7 +189,9 @@ def _star(met: DataFrame) -> DataFrame:
     """Members (key, id, n, c) with the pivot of their bucket and its size: the member of most and largest buckets."""
     degree = met.groupBy("id").agg(F.sum("c").alias("degree"))
     best = met.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("degree", (-F.col("id")).alias("low"))).alias("p"))
-    return met.join(best.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("m")), "key")
+    # written, so that both sides of the join come straight from an exchange and a hot bucket can be split
+    best = materialise(best.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("m")), "pivots")
+    return met.join(best, "key")
 
 
 def _test(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,10 +202,65 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _unjoined(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose components differ."""
-    of_a, of_b = found.select(F.col("id").alias("a"), F.col("component").alias("x")), found.select(F.col("id").alias("b"), F.col("component").alias("y"))
-    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+def _shared_across(postings: DataFrame) -> DataFrame:
+    """Postings (id, n, component, s) of the texts that can be similar to one of another component, rid of all shingles that no
+    such text has, with the number of texts of each shingle (k) and of shingles left of each text (left)."""
+    before = postings.count()
+    while True:
+        shared = postings.groupBy("s").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+        met = postings.drop("k", "left").join(materialise(shared.select("s", "k"), "shared"), "s")
+        alive = met.groupBy("id").agg(F.count("*").alias("left"), F.first("n").alias("n")).where(100 * F.col("left") >= SIMILAR * F.col("n"))
+        postings = materialise(met.join(materialise(alive.select("id", "left"), "alive"), "id").select("id", "n", "component", "s", "k", "left"), "postings")
+        size = postings.count()
+        if size > 0.95 * before or not size:  # another round would drop little, and dropping only saves work
+            return postings
+        before = size
+
+
+def _fronts(postings: DataFrame) -> DataFrame:
+    """(key, id, n, component, after): the shingles of each text, rare ones first, that one similar to it must share one of, and
+    how many of its shingles come after. Those that no other component has come first of all and meet nothing."""
+    gone = F.col("n") - F.col("left")
+    front = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - gone
+    texts = postings.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.first("left").alias("left"), F.sort_array(F.collect_list(F.struct("k", "s"))).alias("order"))
+    return texts.select("id", "n", "component", "left", F.posexplode(F.slice("order", F.lit(1), front.cast("int"))).alias("p", "e")).select(F.col("e.s").alias("key"), "id", "n", "component", (F.col("left") - 1 - F.col("p")).alias("after"))
+
+
+def _across(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (a < b) of rows and others (key, id, n, component, after) of one key that may be similar and are of different
+    components. The first shingle that two texts share has all others that they share after it."""
+    other = others.select("key", F.col("id").alias("i"), F.col("n").alias("m"), F.col("component").alias("of"), F.col("after").alias("behind"))
+    fits = 100 * F.least("n", "m") >= SIMILAR * F.greatest("n", "m")
+    room = (100 + SIMILAR) * (1 + F.least("after", "behind")) >= SIMILAR * (F.col("n") + F.col("m"))
+    return rows.join(other, "key").where((F.col("component") != F.col("of")) & fits & room).select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
+
+
+def _rest(opened: DataFrame, sets: DataFrame, tested: DataFrame, same: DataFrame, found: DataFrame) -> DataFrame:
+    """The components, once every text of ``opened`` (id, n) has met those of other components that it can be similar to."""
+    fronts = None
+    for last in (False, True):
+        if fronts is None:
+            texts = _labelled(opened, found).join(sets, "id")
+            left = _shared_across(materialise(texts.select("id", "n", "component", "set").mapInArrow(_exploded, "id long, n long, component long, s long"), "shingles"))
+            fronts = materialise(_fronts(left), "fronts")
+            parts = fronts.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("id", "n", "after")).alias("first"))
+            of_key = parts.groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("parts"), F.max_by(F.struct("component", "first"), F.struct("c", "component")).alias("most")).where("parts > 1")
+            of_key = materialise(of_key.select("key", "c", F.col("most.component").alias("home"), "most.first"), "keys")
+        often = of_key.where(F.col("c") > OFTEN)
+        if last:  # texts outside of a shingle's largest component with all of its texts; rare ones, too, as the order may be new
+            many = fronts.join(of_key.select("key", "home"), "key").where("component <> home").drop("home")
+            pairs = _across(many, fronts)
+        else:
+            rare = fronts.join(of_key.where(F.col("c") <= OFTEN).select("key"), "key")
+            pivots = often.select("key", "first.id", "first.n", F.col("home").alias("component"), "first.after")
+            pairs = _across(rare, rare).unionByName(_across(pivots, fronts)).distinct()
+        more = _test(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets)
+        tested = tested.unionByName(more)
+        if not more.where("linked").isEmpty():
+            found, fronts = components(tested.where("linked").select("a", "b").unionByName(same)), None
+        if often.isEmpty():
+            break
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -214,8 +274,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = firsts.select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")).distinct()
     full_keys = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = materialise(members.join(full_keys, "key"), "members")
-    involved = met.select("id").distinct()
-    sets = materialise(docs.select("doc_id", "text").join(involved, docs["doc_id"] == involved["id"], "left_semi").mapInArrow(_sets, "id long, set binary"), "sets", "none")
+    involved = materialise(met.select("id").distinct(), "involved")
+    texts = sieved(docs.select("doc_id", "text"), involved.select(F.col("id").alias("d"))).where("__may")
+    sets = materialise(texts.join(involved, texts["doc_id"] == involved["id"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, set binary"), "sets", "none")
     # ids of one class that are each a class of another set, as rows of one doc_id differ: tied to the first
     same = full.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     same = same.join(classes.select(F.col("id").alias("b")).distinct(), "b", "left_semi").select("a", "b")
@@ -225,49 +286,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tested = _test(_pairs(star.where(F.col("c") > SMALL)).unionByName(_pairs(each)).distinct(), sets)
     found = components(tested.where("linked").select("a", "b").unionByName(same))
 
-    # large buckets of several components: every member against the pivot
-    marked = _labelled(star.where(F.col("c") > SMALL), found)
-    split = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = marked.join(split, "key").where(F.col("id") != F.col("pivot")).select("pivot", "id").distinct()
-    beyond = _with_sets(left.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets).mapInArrow(_beyond, "pivot long, id long, n long, lacks long, adds array<long>")
-    beyond = materialise(beyond, "beyond")
-    size = F.col("n") - F.col("lacks") + F.size("adds")
-    shared = beyond.select("pivot", "id", size.alias("n"), F.explode("adds").alias("s")).withColumn("key", F.xxhash64("pivot", "s"))
-    often = shared.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > SMALL)
-    again = _pairs(_star(materialise(shared.select("key", "id", "n").join(often, "key"), "members")))
-    more = _test(_unjoined(again.join(tested.select("a", "b"), ["a", "b"], "left_anti"), found), sets)
-    tested = tested.unionByName(more)
-    found = components(tested.where("linked").select("a", "b").unionByName(same))
-
-    # what is still apart, of which one member is not of the pivot's component
-    of_pivot = found.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
-    rows = _labelled(beyond, found).join(of_pivot, "pivot", "left").withColumn("home", F.coalesce("home", "pivot")).withColumn("new", F.size("adds"))
-    rows = materialise(rows.select("pivot", "id", "n", "lacks", "new", "adds", "component", (F.col("component") != F.col("home")).alias("out")), "apart")
-    # a row for each member and shingle that it adds; frequent ones are counted for each member instead of joined
-    postings = rows.select("pivot", "id", F.explode("adds").alias("s"))
-    seen = postings.groupBy("pivot", "s").agg(F.count("*").alias("k")).where("k > 1")
-    postings = materialise(postings.join(seen, ["pivot", "s"]), "postings")
-    often = postings.where(F.col("k") > OFTEN).groupBy("pivot", "id").agg(F.count("*").alias("f"))
-    rows = materialise(rows.drop("adds").join(often, ["pivot", "id"], "left").withColumn("f", F.coalesce("f", F.lit(0))), "apart")
-    rare = postings.where(F.col("k") <= OFTEN).select("pivot", "id", "s").join(rows, ["pivot", "id"])
-
-    def side_one(of: DataFrame, *more: str) -> DataFrame:
-        return of.where("out").select("pivot", F.col("id").alias("i"), "n", F.col("lacks").alias("a"), F.col("new").alias("c"), F.col("component").alias("of"), F.col("f").alias("f_i"), *more)
-
-    def side_two(of: DataFrame, *more: str) -> DataFrame:
-        return of.select("pivot", F.col("id").alias("j"), F.col("lacks").alias("b"), F.col("new").alias("d"), F.col("component").alias("to"), "out", F.col("f").alias("f_j"), *more)
-
-    sizes = (F.col("n") - F.col("a") + F.col("c"), F.col("n") - F.col("b") + F.col("d"))
-    apart = (F.col("of") != F.col("to")) & (~F.col("out") | (F.col("i") < F.col("j"))) & (100 * F.least(*sizes) >= SIMILAR * F.greatest(*sizes))
-    # 9 times the rare shingles to share, if all frequent ones that both add are shared
-    need = 5 * (F.col("a") + F.col("b")) + 4 * (F.col("c") + F.col("d")) - F.col("n") - 9 * F.least("a", "b") - 9 * F.least("f_i", "f_j")
-    by = side_one(rare, "s").join(side_two(rare, "s"), ["pivot", "s"]).where(apart)
-    by = by.withColumn("need", need).groupBy("pivot", "i", "j").agg(F.count("*").alias("o"), F.first("need").alias("need")).where("9 * o >= need").select("i", "j")
-    bare = side_one(rows).join(side_two(rows), "pivot").where(apart & (need <= 0)).select("i", "j")
-    last = by.unionByName(bare).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    more = _test(last.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets)
-    found = components(tested.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")).unionByName(same))
-    of_class = classes.join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
+    # the texts of large buckets that hold several components
+    marked = _labelled(star.where(F.col("c") > SMALL).select("key", "id", "n"), found)
+    split = materialise(marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "split")
+    opened = materialise(marked.join(split, "key").select("id", "n").distinct(), "opened")
+    if not opened.isEmpty():
+        found = _rest(opened, sets, tested, same, found)
+    of_class = materialise(classes.join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component")), "labels")
     empty = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     by_row = full.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"]).select("doc_id", "n", "component").unionByName(empty)
     return by_row.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
