@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokenizers as T
 from ..operators import packing, validation
-from ..session import load, shared_dir
+from ..session import load, scratch
 from ..sources import token_shards
 from ..streaming import ingest
 from . import catalog
@@ -32,7 +31,7 @@ def _byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
     token_shards.register(spark)
-    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    folder = scratch(spark, "shards")
     _byte_shards(spark, sf_dir).write.format("token_shards").option("path", folder).mode("append").save()
     return folder
 
@@ -77,7 +76,7 @@ def bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT count(*) // 1 AS documents, (sum(strlen(coalesce(text, '')) + 1) // {SHARD})::BIGINT AS shards, (sum(strlen(coalesce(text, '')) + 1) % {SHARD})::BIGINT AS pending FROM documents")
 def stream_pack_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files, packed with exact resume."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     load(spark, sf_dir, "documents").select("doc_id", "text").repartitionByRange(6, "doc_id").write.parquet(f"{base}/in")
     sink = ingest.PackingSink(f"{base}/out", SHARD, T.byte_ids, EOS)
     state = ingest.ingest(spark, f"{base}/in", "doc_id long, text string", sink, f"{base}/checkpoint", 2)

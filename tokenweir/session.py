@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,32 +47,76 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where the session names none (tests)."""
+    """The folder that driver and executors share; one of this machine only where the session names none and runs on it alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tokenweir-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-_SCRATCH: list[str] = []
+#: Where the folders of intermediate tables are listed: that of the innermost ``collecting``, else of the application.
+_LISTS: ContextVar[list[str] | None] = ContextVar("tokenweir_folders", default=None)
+_OWN: list[str] = []
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: a later loss of executors replays nothing above it.
+@contextmanager
+def collecting(into: list[str]) -> Iterator[list[str]]:
+    """What is written inside is listed in ``into`` alone, so that its owner, and nobody else, can drop it."""
+    before = _LISTS.set(into)
+    try:
+        yield into
+    finally:
+        _LISTS.reset(before)
 
-    Tables that are not to be kept go with the next ``sweep``."""
-    spark = df.sparkSession
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Intermediate tables written inside go at its end; results that read them are to be written before."""
+    with collecting([]) as own:
+        try:
+            yield own
+        finally:
+            drop(spark, own)
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    """Delete the folders, and empty the list."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while folders:
+        path = jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _at_exit() -> None:
+    """What no scope has dropped goes with the application, if its session is still there."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _OWN:
+        with suppress(Exception):
+            drop(spark, _OWN)
+
+
+atexit.register(_at_exit)
+
+
+def adopt(folders: list[str]) -> None:
+    """List folders in the list that holds here."""
+    own = _LISTS.get()
+    (_OWN if own is None else own).extend(folders)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of this name in the shared folder, listed to be dropped."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    if not keep:
-        _SCRATCH.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    adopt([path])
+    return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far. Only between steps whose results have been written."""
-    jvm = spark.sparkContext._jvm
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: a later loss of executors replays nothing above it."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
