@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, shared_dir, sweep  # noqa: F401
+from ..session import adopt, collecting, drop, materialise, scratch  # noqa: F401
 
 #: Bytes of text that a Python task works on at once; a single longer text is taken whole.
 CHUNK_BYTES = 2 << 20
@@ -33,12 +33,17 @@ def _bit(d: Column) -> Column:
     return F.pmod(F.xxhash64(d), F.lit(BITS))
 
 
-def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with ``__may``: false only if doc_id is not among ``ids`` (d). The sieve is a bitmap of BITS bits, whatever the
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever stands in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def sieved(docs: DataFrame, ids: DataFrame, key: Column | None = None) -> DataFrame:
+    """``docs`` with ``__may``: false only if doc_id (or ``key``) is not among ``ids`` (d). The sieve is a bitmap of BITS bits, whatever the
     number of ids; a full one lets all documents through to the join that follows."""
     part, at = F.floor(_bit(F.col("d")) / 32768), _bit(F.col("d")) % 32768
     maps = ids.select(part.alias("__part"), at.alias("at")).groupBy("__part").agg(F.bitmap_construct_agg("at").alias("__map"))
-    own = _bit(F.col("doc_id"))
+    own = _bit(F.col("doc_id") if key is None else key)
     byte = F.conv(F.hex(F.call_function("substring", F.col("__map"), (F.floor((own % 32768) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     may = F.col("__map").isNotNull() & (F.floor(byte / F.pow(F.lit(2.0), own % 8)) % 2 == 1)
     return docs.withColumn("__part", F.floor(own / 32768)).join(F.broadcast(maps), "__part", "left").withColumn("__may", F.coalesce(may, F.lit(False))).drop("__part", "__map")

@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions alone.
 
-A line is compared as its words, lower-cased, with runs of white space as one space. A line of MIN_WORDS words or
-more goes when an earlier line (by doc_id, text hash, place) is equal to it or one word edit away: a word replaced,
-inserted or deleted. Shorter lines stay.
+A line is compared as its words, lower-cased, with runs of white space as one space. A line that holds a word goes when an
+earlier line (by doc_id, text hash, place) is equal to it, however short. A line of NEAR_WORDS words or more (an argument)
+also goes when an earlier one is one word edit away: a word replaced, inserted or deleted. What has no white space is one
+word, so such a line goes only if it is equal. Edits are whole words: a line has about 200 times as many variants by letters.
 
 Equal lines are grouped by two hashes. Near ones: every variant of a line within the bound is emitted as a hashed key,
 its words with one place blanked (replacement) or left out (deletion), and its full form at every place (insertion). A key
@@ -10,9 +11,10 @@ holds the place and the number of words, so lines that share one are within the
 of a key stands for all of it: groups are summed up to their earliest line, never expanded into pairs. Each line found is
 then compared with that earliest line word by word.
 
-To keep variants few, only lines that share a frame are expanded, and only at its open places: a line of n words is cut
-into quarters of q = 2**floor(log2(n / 4)) words, and the edit lies in one of four parts while q words of each other quarter
-stay at a fixed distance from the front or the end. This drops no pair.
+To keep variants few, only lines that share a part are expanded, and only at its open places. Of two lines within the bound
+one half is equal, the words of the shorter one's first or last half: lines that share a half with no other line go first.
+Of the rest, a line of n words is cut into quarters of q = 2**floor(log2(n / 4)) words, and the edit lies in one of four parts
+while q words of each other quarter stay at a fixed distance from the front or the end. This drops no pair.
 
 Defined cases: a null text stays null and has no lines; lines of no words stay; rows of one doc_id and equal text are
 judged alike; a null doc_id comes first; extra columns pass.
@@ -20,46 +22,57 @@ judged alike; a null doc_id comes first; extra columns pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, sieved
+from .common import materialise, quoted, sieved
 
-MIN_WORDS = 6
+#: Fewest words of a line that goes for a near one.
+NEAR_WORDS = 6
 #: Words in a block of a prefix hash: variants of a line of n words cost n * STRIDE, not n * n.
 STRIDE = 64
+_FIRST = -(1 << 63)
 
 
-def _lines(text: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), "\n"), lambda x: F.trim(x))
+def _flat(text: Column) -> Column:
+    """Lower-cased, with each run of white space but line feeds as one space."""
+    return F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
 
 
 def _quarter(n: Column) -> Column:
     return F.when(n >= 4, F.pow(F.lit(2.0), F.floor(F.log2(n / F.lit(4.0)) + 1e-9)).cast("int")).otherwise(F.lit(1))
 
 
+def _front(line: Column, words: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), words)
+
+
+def _halves(line: Column, f: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(0), f, _front(line, f)), F.xxhash64(F.lit(1), f, _front(line, -f))]
+
+
 def _frames(line: Column, q: Column) -> list[Column]:
     """Four keys: t quarters kept at the front, 3 - t at the end."""
     out = []
     for t in range(4):
-        front = F.call_function("substring_index", line, F.lit(" "), q * t) if t else F.lit("")
-        back = F.call_function("substring_index", line, F.lit(" "), q * (t - 3)) if t < 3 else F.lit("")
+        front, back = _front(line, q * t) if t else F.lit(""), _front(line, q * (t - 3)) if t < 3 else F.lit("")
         out.append(F.xxhash64(F.lit(t), q, front, back))
     return out
 
 
 def _size(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """A light row for each line that may go: its place, hashes, words, frames and a number; no text."""
-    at = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("x"), F.posexplode(_lines(F.col("text"))).alias("p", "line"))
-    at = at.withColumn("n", _size(F.col("line"))).where(F.col("n") >= MIN_WORDS).withColumns({"q": _quarter(F.col("n")), "q1": _quarter(F.col("n") - 1)})
-    frames = F.array(*_frames(F.col("line"), F.col("q")))
-    # a line of one word more has its partners' quarters, too
-    frames = F.when(F.col("q1") < F.col("q"), F.concat(frames, F.array(*_frames(F.col("line"), F.col("q1"))))).otherwise(frames)
-    return at.select("d", "x", "p", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "n", frames.alias("frames"), F.monotonically_increasing_id().alias("lid"))
+def _hashed(docs: DataFrame, near_words: int) -> DataFrame:
+    """A light row for each line that may go: its place, hashes, words, halves if it may go for a near one, and a number; no text."""
+    at = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("d"), F.xxhash64("text").alias("x"), F.posexplode(F.split(_flat(F.col("text")), "\n")).alias("p", "line"))
+    at = at.withColumn("line", F.trim("line")).where("line <> ''").withColumn("n", _size(F.col("line")))
+    own = F.array(*_halves(F.col("line"), F.floor(F.col("n") / 2).cast("int")))
+    # a line of an even number of words has other halves beside one of a word less
+    less = F.array(*_halves(F.col("line"), F.floor((F.col("n") - 1) / 2).cast("int")))
+    halves = F.when(F.col("n") < near_words, F.array().cast("array<long>")).when(F.col("n") % 2 == 1, own).otherwise(F.concat(own, less))
+    return at.select("d", "x", "p", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), halves.alias("halves"), F.monotonically_increasing_id().alias("lid"))
 
 
 def _chain(w: Column, n: Column) -> Column:
@@ -90,32 +103,51 @@ def _variants(lines: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(keys).alias("e")).select("id", "e.role", "e.v", "e.i")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(d, x, p): doc_id, text hash and place of every line that goes."""
-    light = materialise(_hashed(docs), "lines")
-    place = F.struct("d", "x", "p")
-    often = light.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
-    copies = materialise(light.select("d", "x", "p", "h", "g", "lid").join(often, ["h", "g"]), "copies")
-    first = copies.groupBy("h", "g").agg(F.min(place).alias("first"))
-    equal = materialise(copies.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("first"))).select("d", "x", "p", "lid"), "equal")
+def _equal(light: DataFrame) -> DataFrame:
+    """The lines (d, x, p, lid) that an earlier one is equal to."""
+    firsts = light.groupBy("h", "g").agg(F.count("*").alias("c"), F.min("d").alias("d0")).where("c > 1").select("h", "g", "d0")
+    # written, so that both sides of the join come straight from an exchange and a line of very many copies can be split
+    copies = materialise(light.select("d", "x", "p", "h", "g", "lid").join(materialise(firsts, "firsts"), ["h", "g"]), "copies")
+    within = copies.where("d = d0").withColumn("k", F.row_number().over(Window.partitionBy("h", "g").orderBy("x", "p"))).where("k > 1")
+    return materialise(copies.where("d > d0").select("d", "x", "p", "lid").unionByName(within.select("d", "x", "p", "lid")), "equal")
+
+
+def _candidates(docs: DataFrame, light: DataFrame, equal: DataFrame) -> DataFrame:
+    """The lines (id, d, x, p, line) that share a half with another one, numbered in their order; of equal lines the first alone."""
+    halves = light.select("lid", "h", "d", "x", "p", F.explode("halves").alias("k"))
+    shared = halves.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
+    met = halves.join(materialise(shared, "halves"), "k").select("lid", "d", "x", "p").distinct()
+    met = met.join(equal.select("lid"), "lid", "left_anti")
+    wanted = materialise(met.groupBy("d", "x").agg(F.collect_set("p").alias("asked")), "asked")
+    ids = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"), "text")
+    texts = sieved(ids, wanted.select("d")).where("__may").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("x"), "text")
+    held = texts.join(wanted, ["d", "x"]).dropDuplicates(["d", "x"]).select("d", "x", F.split(_flat(F.col("text")), "\n").alias("lines"), F.explode("asked").alias("p"))
+    held = held.select("d", "x", "p", F.trim(F.get("lines", F.col("p"))).alias("line"))
+    # numbered in their order, so that the earliest line is the least number
+    return materialise(held.repartitionByRange("d", "x", "p").sortWithinPartitions("d", "x", "p").withColumn("id", F.monotonically_increasing_id()), "candidates")
+
 
-    framed = light.select("lid", "h", "n", F.posexplode("frames").alias("j", "k"))
+def _opened(lines: DataFrame) -> DataFrame:
+    """(id, open) of the lines that share a frame with another one: the places that may differ, and whether lengths may."""
+    rows = lines.select("id", "line", F.xxhash64("line").alias("h"), _size(F.col("line")).alias("n"))
+    rows = rows.withColumns({"q": _quarter(F.col("n")), "q1": _quarter(F.col("n") - 1)})
+    # a line of one word more has its partners' quarters, too
+    more = F.when(F.col("q1") < F.col("q"), F.array(*_frames(F.col("line"), F.col("q1")))).otherwise(F.array().cast("array<long>"))
+    framed = rows.select("id", "h", "n", F.posexplode(F.concat(F.array(*_frames(F.col("line"), F.col("q"))), more)).alias("j", "k"))
     shared = framed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("n").alias("least"), F.max("n").alias("most")).where("a <> b").select("k", (F.col("least") != F.col("most")).alias("mixed"))
-    met = framed.select("k", "lid", "j").join(shared, "k").groupBy("lid", "j").agg(F.max("mixed").alias("mixed"))
-    # of equal lines the first stands for all
-    met = met.join(equal.select("lid"), "lid", "left_anti").join(light.select("lid", "d", "x", "p", "n"), "lid")
+    met = framed.select("k", "id", "n", "j").join(materialise(shared, "frames"), "k")
     t, q = F.col("j") % 4, _quarter(F.when(F.col("j") < 4, F.col("n")).otherwise(F.col("n") - 1))
     # places from t quarters on, up to 3 - t quarters before the end; the end itself is one for an insertion
-    asked = F.struct("p", (t * q).cast("int").alias("low"), (F.col("n") - (3 - t) * q).cast("int").alias("high"), "mixed")
-    wanted = materialise(met.groupBy("d", "x").agg(F.collect_list(asked).alias("asked")), "asked")
-    texts = sieved(docs.select("doc_id", "text"), wanted.select("d")).where("__may").select(F.col("doc_id").alias("d1"), F.xxhash64("text").alias("x1"), "text")
-    held = texts.join(wanted, F.col("d").eqNullSafe(F.col("d1")) & (F.col("x") == F.col("x1"))).dropDuplicates(["d", "x"])
-    held = held.select("d", "x", "asked", _lines(F.col("text")).alias("lines")).select("d", "x", "lines", F.explode("asked").alias("a"))
-    held = held.select("d", "x", "a.p", F.get("lines", F.col("a.p")).alias("line"), F.struct("a.low", "a.high", "a.mixed").alias("o"))
-    chosen = held.groupBy("d", "x", "p").agg(F.first("line").alias("line"), F.collect_set("o").alias("open"))
-    # numbered in their order, so that the earliest line is the least number
-    chosen = materialise(chosen.repartitionByRange("d", "x", "p").sortWithinPartitions("d", "x", "p").withColumn("id", F.monotonically_increasing_id()), "chosen")
+    asked = F.struct((t * q).cast("int").alias("low"), (F.col("n") - (3 - t) * q).cast("int").alias("high"), "mixed")
+    return met.groupBy("id").agg(F.collect_set(asked).alias("open"))
+
 
+def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(d, x, p): doc_id (the least long for null), text hash and place of every line that goes."""
+    light = materialise(_hashed(docs, near_words), "lines")
+    equal = _equal(light)
+    lines = _candidates(docs, light, equal)
+    chosen = materialise(lines.join(_opened(lines), "id"), "chosen")
     variants = materialise(_variants(chosen.select("id", "open", F.split("line", " ").alias("w"))), "variants")
     # a replaced word meets a replaced word; a line with a word left out meets the full line
     role = F.col("role")
@@ -130,21 +162,22 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return equal.select("d", "x", "p").unionByName(both.where(same).select("d", "x", "p"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` rid of repeated lines, and n_lines and n_removed; other columns as they are. Texts that lose nothing are not shuffled."""
-    gone = materialise(repeated_lines(docs).groupBy("d", "x").agg(F.collect_set("p").alias("gone")), "gone")
+def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """The documents with ``text`` rid of repeated lines, and n_lines and n_removed in the place of columns of these names; other
+    columns as they are. Texts that lose nothing are not shuffled."""
+    gone = materialise(repeated_lines(docs, near_words).groupBy("d", "x").agg(F.collect_set("p").alias("gone")), "gone")
     # other columns go as one, so that none can clash
-    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__0"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("__row"))
-    marked = sieved(rows, gone.select("d"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__0"), *[quoted(c) for c in names if c not in ("doc_id", "text")]).alias("__row"))
+    marked = sieved(rows, gone.select("d"), F.coalesce("doc_id", F.lit(_FIRST)))
     some, rest = marked.where("__may").withColumn("__x", F.xxhash64("text")), marked.where("not __may").withColumn("gone", F.lit(None).cast("array<int>"))
-    kept = some.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__x") == F.col("x")), "left").select("doc_id", "text", "__row", "gone").unionByName(rest.select("doc_id", "text", "__row", "gone"))
+    kept = some.join(gone, (F.coalesce("doc_id", F.lit(_FIRST)) == F.col("d")) & (F.col("__x") == F.col("x")), "left").select("doc_id", "text", "__row", "gone").unionByName(rest.select("doc_id", "text", "__row", "gone"))
     lines = F.split("text", "\n")
-    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0))
+    n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     own = {"doc_id": F.col("doc_id"), "text": text}
-    names = [own.get(c, F.col("__row")[c]).alias(c) for c in docs.columns]
-    return kept.select(*names, n.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
+    return kept.select(*[own.get(c, F.col("__row")[c]).alias(c) for c in names], n.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
 def op2_line_dedup(docs: DataFrame) -> DataFrame:
@@ -156,15 +189,16 @@ def op2_line_dedup(docs: DataFrame) -> DataFrame:
 GONE_SQL = r"""
 l0 AS (SELECT doc_id, md5(text) AS x, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM {docs} WHERE text IS NOT NULL),
 l1 AS (SELECT *, trim(regexp_replace(lower(raw), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line FROM l0),
-l AS (SELECT doc_id, x, p, line, string_split(line, ' ') AS w FROM l1 WHERE len(string_split(line, ' ')) >= 6),
-f AS (SELECT line, w, min(row(doc_id, p)) AS first FROM l GROUP BY line, w),
+l AS (SELECT doc_id, x, p, line, string_split(line, ' ') AS w FROM l1 WHERE line <> ''),
+e AS (SELECT line, w, min(row(doc_id, p)) AS first FROM l GROUP BY line, w),
+f AS (SELECT * FROM e WHERE len(w) >= 6),
 v AS (
   SELECT line, first, 1 AS role, unnest(list_transform(range(1, len(w) + 1), lambda i: 'r' || i || ' ' || array_to_string(list_concat(w[1 : i - 1], [chr(1)], w[i + 1 :]), ' '))) AS v FROM f
   UNION ALL SELECT line, first, 2, unnest(list_transform(range(1, len(w) + 1), lambda i: 'd' || array_to_string(list_concat(w[1 : i - 1], w[i + 1 :]), ' '))) FROM f
   UNION ALL SELECT line, first, 3, 'd' || line FROM f),
 k AS (SELECT v, min(first) FILTER (role <> 2) AS full_, min(first) FILTER (role <> 3) AS left_ FROM v GROUP BY v HAVING count(*) > 1),
 near AS (SELECT DISTINCT line FROM v JOIN k USING (v) WHERE CASE WHEN role = 3 THEN left_ ELSE full_ END < first),
-gone AS (SELECT DISTINCT doc_id, x, p FROM l JOIN f USING (line) WHERE row(l.doc_id, l.p) <> f.first OR line IN (SELECT line FROM near))
+gone AS (SELECT DISTINCT doc_id, x, p FROM l JOIN e USING (line) WHERE row(l.doc_id, l.p) <> e.first OR line IN (SELECT line FROM near))
 """
 TEXT_SQL = r"""
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
