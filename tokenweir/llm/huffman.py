@@ -18,7 +18,6 @@ come first; a corpus without documents has empty tables; extra columns are ignor
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, text_views
+from .common import materialise, scratch, text_views
 from .tokens import WORD_LEVEL, encoder, vocabulary_file
 
 END_ID = 2
@@ -136,35 +135,41 @@ def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray], bits: int
     return [None if x else int(d) for x, d in zip(null, doc, strict=True)], sizes, out.T.ravel()[:n]
 
 
+ENCODED = "doc_id long, ids binary, width int, counts binary"
+
+
 def tokenized(docs: DataFrame, path: str, stretch: str = WORD_LEVEL, end_id: int = END_ID) -> DataFrame:
-    """doc_id and the ids of each whole text with the end id, as little-endian bytes of two or four each."""
+    """A row for each whole text: doc_id and its ids with the end id, as little-endian bytes of ``width`` each. Each task adds one
+    row of its own, with how often it met each id (64-bit counts in order of id) and no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, stretch)
-        kind = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        names, size = ["doc_id", "ids", "width", "counts"], max(enc.tokenizer.get_vocab_size(), end_id + 1)
+        kind, counts = "<u2" if size <= 1 << 16 else "<u4", np.zeros(size, np.int64)
         for batch in batches:
             texts = batch.column("text")
             for first, end, _, _ in text_views(texts):
                 ids, sizes = enc.encode([t or "" for t in texts.slice(first, end - first).to_pylist()])
+                counts += np.bincount(ids, minlength=size)
+                counts[end_id] += end - first
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id).astype(kind)
                 cuts = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * ids.itemsize
                 values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), values.cast(pa.binary()), pa.array(np.full(end - first, ids.itemsize), pa.int32())], ["doc_id", "ids", "width"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), values.cast(pa.binary()), pa.array(np.full(end - first, ids.itemsize), pa.int32()), pa.nulls(end - first, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, width int")
+    return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
 
 
 def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the counts of the tasks."""
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for width in batch.column("width").unique().to_pylist():
-            own = batch.filter(pa.compute.equal(batch.column("width"), width)).column("ids")
-            for raw in own:
-                got = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"))
-                if len(got) > len(total):
-                    total = np.append(total, np.zeros(len(got) - len(total), np.int64))
-                total[: len(got)] += got
+        for raw in batch.column("counts"):
+            got = np.frombuffer(raw.as_buffer(), "<i8")
+            total = np.append(total, np.zeros(max(0, len(got) - len(total)), np.int64))
+            total[: len(got)] += got
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "n"])
 
@@ -204,8 +209,9 @@ def _blocks(ids: np.ndarray, lengths: np.ndarray):
 def write_corpus(docs: DataFrame, path: str, vocabulary: str | None = None, max_bits: int = MAX_BITS) -> None:
     """Tokenize, count, and write the corpus folder at ``path``. The counts on the driver are bounded by the vocabulary."""
     spark = docs.sparkSession
-    ids = materialise(tokenized(docs, vocabulary or vocabulary_file("word_bpe_49k.json")), "ids")
-    counts = ids.select("ids", "width").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    encoded = materialise(tokenized(docs, vocabulary or vocabulary_file("word_bpe_49k.json")), "ids")
+    ids = encoded.where("ids is not null").drop("counts")
+    counts = encoded.select("counts").where("counts is not null").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     dense = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         dense[r["id"]] = r["n"]
@@ -249,6 +255,6 @@ def _decoded(spark: SparkSession, path: str, digest: bool) -> DataFrame:
 
 
 def op7_token_binary(docs: DataFrame) -> DataFrame:
-    path = f"{shared_dir(docs.sparkSession)}/corpus-{uuid.uuid4().hex}"
+    path = scratch(docs.sparkSession, "corpus")
     write_corpus(docs, path)
     return _decoded(docs.sparkSession, path, digest=True)
