@@ -145,11 +145,13 @@ def gone_lines(rows):
     for i, text in rows:
         for p, raw in enumerate((text or "").split("\n") if text is not None else []):
             w = re.sub(r"[\x20\x09\x0B-\x0D]+", " ", raw.translate(LOWER)).strip(" ").split(" ")
-            if len(w) >= linededup.MIN_WORDS:
+            if w != [""]:
                 lines.append((i, p, w))
 
     def near(a, b):
-        if abs(len(a) - len(b)) > 1:
+        if a == b:
+            return True
+        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < linededup.NEAR_WORDS:
             return False
         front = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         back = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1], strict=False)) if x != y), min(len(a), len(b)))
@@ -177,6 +179,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert {(r["d"], r["p"]) for r in linededup.repeated_lines(df).collect()} == gone_lines(rows)
 
 
+def test_line_dedup_takes_exact_repeats_of_any_length(spark):
+    rows = [(3, "Subscribe now\n\nthe first part\nall of it"), (1, "a b\nsubscribe  NOW\n"), (2, "A\tb\nc"), (4, "one two three four five six\nsix words that are near by far"), (5, "one two three four six\nsix words that are near by now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_lines", "2 AS `a.b`")
+    gone = {(r["d"], r["p"]) for r in linededup.repeated_lines(df).collect()}
+    assert gone == gone_lines(rows) == {(2, 0), (3, 0), (5, 1)}  # a line of five words is no near one
+    out = linededup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "a.b", "n_lines", "n_removed"] and {r["doc_id"]: r["text"] for r in out.collect()}[3] == "\nthe first part\nall of it"
+    assert {(r["d"], r["p"]) for r in linededup.repeated_lines(df, 5).collect()} == {(2, 0), (3, 0), (5, 0), (5, 1)}
+
+
 def test_line_dedup_odd_rows(odd, none):
     got = defaultdict(list)
     for r in linededup.op2_line_dedup(odd).collect():
@@ -463,11 +475,57 @@ def test_longest_match(spark):
     assert r["longest_match"] == 25 and r["spans"] == [1, 26] and r["n_hit"] == 25
 
 
+def clause_scores(g, text):
+    return [x[0] for x in g.clauses([*toxicity._TOKEN.findall(text.lower()), "."])]
+
+
 def test_grammar_states():
     g = toxicity.Grammar({"idiot": 3.0, "mor*": 1.0, "moron*": 2.0})
-    plain, denied, quoted, aimed = (g.features(t) for t in ("an idiot here", "not an idiot", "it said idiot", "you idiot"))
-    assert plain[0] > 0 and denied[2] > 0 and quoted[3] > 0 and aimed[1] > 0 and denied[5] == 0 < quoted[5] < plain[5]
-    assert g.weight("moronic") == 2.0 and g.weight("mo") == 0.0 and not any(g.features("")) and g.features("i will kill you")[4] == 0 < g.features("you die")[4]
+    plain, denied, quoted, aimed, after = (clause_scores(g, t) for t in ("an idiot here", "not an idiot", "it said idiot", "you idiot", "idiot, said nobody. an idiot you"))
+    assert plain == [3.0] and denied == [3.0 * toxicity.DENIED_FACTOR] and aimed[0] == 3.0 * toxicity.AIMED_FACTOR and after[1] == aimed[0]
+    assert quoted == [3.0 * toxicity.REPORTED_FACTOR] == clause_scores(g, "the \u201cidiot\u201d there") == clause_scores(g, "\u201ca b. idiot. c\u201d")
+    assert clause_scores(g, "\u201ca b.\u201d an idiot") == [3.0]
+    assert g.weight("moronic") == 2.0 and g.weight("mo") == 0.0 and not any(g.features(""))
+
+
+def test_grammar_threats():
+    g = toxicity.Grammar({"idiot": 3.0})
+    threat = lambda t: g.features(t)[5]
+    assert threat("i will kill you") > threat("kill you") > 0 == threat("we kill time") == threat("die Frau sagt, sie hat die Blumen")
+    assert threat("you will die") > 0 and threat("ich werde dich töten") > 0 and threat("i will never kill you") < threat("i will kill you")
+    quote = "she said \u201ci will kill you\u201d"
+    assert 0 < threat(quote) < threat("i will kill you") and clause_scores(g, "we, the idiot") == [3.0]
+
+
+def test_grammar_is_the_product_of_its_parts():
+    """Each path of the composed automaton is that of its five parts."""
+    parts = (toxicity.INSULTED, toxicity.THREATENING, toxicity.AIMED, toxicity.DENIED, toxicity.REPORTED)
+    rng, state, own = np.random.default_rng(3), 0, [0] * 5
+    for symbol in rng.integers(0, toxicity.END + 1, 3000):
+        state, own = toxicity.NEXT[state][symbol], [p.step(x, symbol) for p, x in zip(parts, own, strict=True)]
+        assert toxicity.STATES[state] == tuple(own)
+
+
+def test_states_change_scores(spark):
+    """With the same words, where they stand decides: aimed insults are learned as toxic, denied ones as clean."""
+    rng = np.random.default_rng(7)
+    rows, marks = [], []
+    for k in range(1, 1500):
+        toxic = int(rng.integers(0, 2))
+        parts = ["you are an idiot", "the weather is not bad"] if toxic else ["you are not an idiot", "the weather is bad"]
+        rows.append((k, ". ".join(parts[:: 1 if rng.integers(0, 2) else -1])))
+        marks.append((k, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    link = toxicity.fit_link(np.array([toxicity.Grammar({"idiot": 3.0}).features(t) for _, t in rows]), np.array([t for _, t in marks], float))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, {"idiot": 3.0}, link).collect()}
+    assert all((got[k] >= 0.5) == bool(t) for k, t in marks) and labels.count() == len(marks)
+
+
+def test_toxicity_ties_and_repeated_rows(spark):
+    rows = [(k, "you idiot" if k % 2 else "a calm day") for k in range(400)] + [(1, "you idiot")] * 3
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)] + [(5, 0)], "doc_id long, toxic int")
+    got = toxicity.op10_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 403 and {(r["doc_id"] % 2, r["predicted"]) for r in got} == {(0, 0), (1, 1)}
 
 
 def test_toxicity_learns(spark, odd, none):
