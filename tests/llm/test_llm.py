@@ -268,6 +268,71 @@ def test_long_pages_lose_their_whole_frame(n):
     assert html.common(a, b) == set(range(1, 2 * n + 1))
 
 
+def plain_alignment(a, b):
+    """Places in a of a longest common subsequence, by the whole table; of equal ways the one that ``html.common`` takes: fronts and
+    ends of equal lines first, then from the end, a step in b where it loses nothing."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    i, j = len(a), len(b)
+    while i > low and j > low and a[i - 1] == b[j - 1]:
+        i, j = i - 1, j - 1
+    out = {*range(low), *range(i, len(a))}
+    x = [k for k in range(low, i) if a[k] in b[low:j]]
+    y = [v for v in b[low:j] if v in [a[k] for k in x]]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for p, k in enumerate(x):
+        for q, v in enumerate(y):
+            best[p + 1][q + 1] = best[p][q] + 1 if a[k] == v else max(best[p][q + 1], best[p + 1][q])
+    p, q = len(x), len(y)
+    while p and q:
+        if a[x[p - 1]] == y[q - 1]:
+            out.add(x[p - 1])
+            p, q = p - 1, q - 1
+        elif best[p][q - 1] == best[p][q]:
+            q -= 1
+        else:
+            p -= 1
+    return out
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_html_equals_brute_force_over_pages(spark, data, plain):
+    """All pages, as they are and with plain elements for all that tells a frame, where the differences between pages decide."""
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()]
+    if plain:
+        rows = [(i, u, re.sub(r"<(/?)(nav|article|footer|h1)\b[^>]*>", r"<\1div>", h or "").replace(' class="ad"', "")) for i, u, h in rows]
+        rows = [(i, u, h.replace("<body>", f"<body><p>Welcome to {(u or '').split('/')[2]} and all of its many pages</p>")) for i, u, h in rows]
+    places = {}
+    for i, u, _ in rows:
+        bare = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "", u or "")
+        places[i] = (bare.split("/", 1)[0].lower(), re.sub(r"[?#].*$", "", re.sub(r"^[^/]*", "", bare)), i, u)
+    parsed = {i: html.lines(h or "") for i, _, h in rows}
+    order, want = sorted(places.values()), {}
+    for k, (host, _, i, _) in enumerate(order):
+        near = [parsed[o[2]] for d in (-2, -1, 1, 2) if 0 <= k + d < len(order) for o in [order[k + d]] if o[0] == host]
+        page = parsed[i]
+        own = [t for t, w in page if w != html.FRAMED]
+        at = [n for n, (_, w) in enumerate(page) if w != html.FRAMED]
+        others = {tuple(t for t, w in n if w != html.FRAMED) for n in near} - {tuple(own), ()}
+        met = [{at[m] for m in plain_alignment(own, list(o))} for o in others]
+        shared = set().union(*(m for m in met if sum(len(page[n][0]) for n in m) <= html.COPY * sum(map(len, own))))
+        every = set.intersection(*met) if len(met) > 1 else set()
+        inside, outside = ({n for n, (_, w) in enumerate(page) if w == c} for c in (html.CONTENT, html.OUTSIDE))
+        left, size = outside - shared - every, lambda x, page=page: sum(len(page[n][0]) for n in x)
+        if not (inside <= every and size(inside) > size(left)):
+            inside = inside - every
+        if not others and size(inside) > size(outside):
+            left = set()
+        want[i] = "\n\n".join(t for n, (t, _) in enumerate(page) if n in inside | left)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for blocks in (1, 8, 400):
+        assert {r["page_id"]: r["text"] for r in html.extract(df, blocks).collect()} == want
+    if plain:  # frames that no element marks go by the differences alone
+        hosts = Counter(o[0] for o in order)
+        assert all("and all of its many pages" not in want[o[2]] for o in order if hosts[o[0]] > 2 and len(want[o[2]]) > 500)
+
+
 def test_large_frames_go_and_blocks_do_not_matter(spark):
     """A frame of most of the text goes if several differing pages have it; every page has its neighbours, however pages are dealt out."""
     frame = "<div>Home and a very long menu of all the topics that this site has ever had</div><div>{}</div><div>All rights reserved by the owners of the site and by no others</div>"
@@ -342,6 +407,12 @@ def test_packing_pieces(docs, texts, odd, none):
     assert packing.op6_packing(odd).select("doc_id").distinct().count() == len({i for i, _ in ODD}) and packing.op6_packing(none).count() == 0
 
 
+def test_packing_pads_little_in_small_partitions(docs):
+    got = packing.op6_packing(docs.repartition(60)).toPandas()
+    assert got.sequence_id.nunique() * 1024 / got.length.sum() < 1.02 and got.groupby("sequence_id").length.sum().max() <= 1024
+    assert not got.duplicated(["sequence_id", "offset"]).any() and len(got.drop_duplicates(["doc_id", "start"])) == len(got)
+
+
 @given(st.lists(st.integers(1, 128), min_size=1, max_size=120))
 @settings(max_examples=60, deadline=None)
 def test_differencing(sizes):
@@ -539,6 +610,16 @@ def test_toxicity_learns(spark, odd, none):
     assert len(few) == len(ODD) and all(r["score"] < 0.5 for r in few) and toxicity.op10_toxicity(none, labels).count() == 0
 
 
+def test_stages_leave_other_results_alone(spark, data, docs):
+    """A result that is held lazily lives through the pipeline; what the stages wrote is gone when the next one starts."""
+    held = minhash.op1_minhash_dedup(docs)
+    n = corpus_pipeline.run(spark, data).count()
+    first = list(corpus_pipeline._WRITTEN)
+    assert n > 0 and held.count() == docs.count()
+    corpus_pipeline.STAGES[0][1](spark, docs, data)
+    assert not set(first) & set(corpus_pipeline._WRITTEN)
+
+
 def test_pipeline(spark, data, texts):
     """Each stage against a brute-force version of it."""
     docs = spark.read.parquet(f"{data}/documents.parquet")

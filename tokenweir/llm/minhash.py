@@ -11,11 +11,11 @@ bucket of SMALL members at most is compared throughout.
 
 Large buckets that still hold several components are settled by shingles instead of by comparing all pairs. Similar texts
 share 0.8 of either's shingles, so a text of which fewer are also in a text of another component can have no link to one and
-goes; then the shingles that only it held in common go, and so on until none does. Of what is left, shingles are put in order
-from rare to frequent, and texts meet by the first fifth of theirs, which similar texts have one of in common (a prefix
-filter; how far up a shingle stands bounds what may follow it). The texts of a shingle are compared across components: of
-OFTEN texts at most throughout, of more first with a pivot of their largest component, and then, after all steps once more
-with the components found, those outside of the largest with the rest. No link between texts that share a bucket is lost.
+goes. Of what is left, shingles are put in order from rare to frequent, and texts meet by the first fifth of theirs, which
+similar texts have one of in common (a prefix filter; how far up a shingle stands bounds what may follow it). Texts outside
+of a shingle's largest component are compared with all of the shingle's texts of other components. Where frequent shingles
+would need many of these comparisons, all texts first meet a pivot of the largest component, and the steps are repeated with
+the components found. No link between texts that share a bucket is lost.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a null doc_id is linked
 with nothing, has no component and is kept; rows of one doc_id are one node, which all its texts link; extra columns pass.
@@ -39,8 +39,8 @@ BANDS = 32
 SHINGLE = 4
 SIMILAR = 80
 SMALL = 12
-#: Texts beyond which a shingle of theirs has a pivot.
-OFTEN = 24
+#: Comparisons for each text of a shingle, on average, from which on pivots come first. It chooses a way, not a result.
+MANY = 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that take a step together; their permutations are held, a byte for each place.
 _TOGETHER = 1 << 17
@@ -202,28 +202,18 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _shared_across(postings: DataFrame) -> DataFrame:
-    """Postings (id, n, component, s) of the texts that can be similar to one of another component, rid of all shingles that no
-    such text has, with the number of texts of each shingle (k) and of shingles left of each text (left)."""
-    before = postings.count()
-    while True:
-        shared = postings.groupBy("s").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        met = postings.drop("k", "left").join(materialise(shared.select("s", "k"), "shared"), "s")
-        alive = met.groupBy("id").agg(F.count("*").alias("left"), F.first("n").alias("n")).where(100 * F.col("left") >= SIMILAR * F.col("n"))
-        postings = materialise(met.join(materialise(alive.select("id", "left"), "alive"), "id").select("id", "n", "component", "s", "k", "left"), "postings")
-        size = postings.count()
-        if size > 0.95 * before or not size:  # another round would drop little, and dropping only saves work
-            return postings
-        before = size
-
-
 def _fronts(postings: DataFrame) -> DataFrame:
-    """(key, id, n, component, after): the shingles of each text, rare ones first, that one similar to it must share one of, and
-    how many of its shingles come after. Those that no other component has come first of all and meet nothing."""
-    gone = F.col("n") - F.col("left")
-    front = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - gone
-    texts = postings.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.first("left").alias("left"), F.sort_array(F.collect_list(F.struct("k", "s"))).alias("order"))
-    return texts.select("id", "n", "component", "left", F.posexplode(F.slice("order", F.lit(1), front.cast("int"))).alias("p", "e")).select(F.col("e.s").alias("key"), "id", "n", "component", (F.col("left") - 1 - F.col("p")).alias("after"))
+    """Of postings (id, n, component, s), a row (key, id, n, component, after) for each shingle of which a text must share one with any
+    text similar to it, and how many of its shingles come after. In their order those that no other component has come first
+    of all, and meet nothing; then rare ones before frequent ones. A text that has too few others has no row."""
+    shared = postings.groupBy("s").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    # written, so that both sides of the join come straight from an exchange and a frequent shingle can be split
+    met = postings.join(materialise(shared.select("s", "k"), "shared"), "s")
+    texts = met.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("k", "s"))).alias("order"))
+    left = F.size("order")
+    front = left - F.ceil(F.col("n") * SIMILAR / 100).cast("int") + 1
+    rows = texts.where(front > 0).select("id", "n", "component", left.alias("left"), F.posexplode(F.slice("order", F.lit(1), F.greatest(front, F.lit(0)))).alias("p", "e"))
+    return rows.select(F.col("e.s").alias("key"), "id", "n", "component", (F.col("left") - 1 - F.col("p")).alias("after"))
 
 
 def _across(rows: DataFrame, others: DataFrame) -> DataFrame:
@@ -237,29 +227,25 @@ def _across(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 def _rest(opened: DataFrame, sets: DataFrame, tested: DataFrame, same: DataFrame, found: DataFrame) -> DataFrame:
     """The components, once every text of ``opened`` (id, n) has met those of other components that it can be similar to."""
-    fronts = None
-    for last in (False, True):
-        if fronts is None:
-            texts = _labelled(opened, found).join(sets, "id")
-            left = _shared_across(materialise(texts.select("id", "n", "component", "set").mapInArrow(_exploded, "id long, n long, component long, s long"), "shingles"))
-            fronts = materialise(_fronts(left), "fronts")
-            parts = fronts.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("id", "n", "after")).alias("first"))
-            of_key = parts.groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("parts"), F.max_by(F.struct("component", "first"), F.struct("c", "component")).alias("most")).where("parts > 1")
-            of_key = materialise(of_key.select("key", "c", F.col("most.component").alias("home"), "most.first"), "keys")
-        often = of_key.where(F.col("c") > OFTEN)
-        if last:  # texts outside of a shingle's largest component with all of its texts; rare ones, too, as the order may be new
-            many = fronts.join(of_key.select("key", "home"), "key").where("component <> home").drop("home")
-            pairs = _across(many, fronts)
+    for first in (True, False):
+        texts = _labelled(opened, found).join(sets, "id").select("id", "n", "component", "set")
+        fronts = materialise(_fronts(materialise(texts.mapInArrow(_exploded, "id long, n long, component long, s long"), "shingles")), "fronts")
+        parts = fronts.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("id", "n", "after")).alias("first"))
+        of_key = parts.groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("parts"), F.max("c").alias("most"), F.max_by(F.struct("component", "first"), F.struct("c", "component")).alias("home"))
+        of_key = materialise(of_key.where("parts > 1").select("key", "c", "most", "home.component", "home.first"), "keys")
+        # frequent shingles of many texts outside of their largest component: a pivot of it comes first, and all steps once more
+        work = of_key.agg(F.sum((F.col("c") - F.col("most")) * F.col("c")).alias("n"), F.sum("c").alias("rows")).first()
+        pivots = of_key.select("key", "first.id", "first.n", "component", "first.after")
+        if first and (work["n"] or 0) > MANY * (work["rows"] or 1):
+            pairs = _across(pivots, fronts)
         else:
-            rare = fronts.join(of_key.where(F.col("c") <= OFTEN).select("key"), "key")
-            pivots = often.select("key", "first.id", "first.n", F.col("home").alias("component"), "first.after")
-            pairs = _across(rare, rare).unionByName(_across(pivots, fronts)).distinct()
+            outside = fronts.join(of_key.select("key", F.col("component").alias("home")), "key").where("component <> home").drop("home")
+            pairs, first = _across(outside, fronts), False
         more = _test(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets)
         tested = tested.unionByName(more)
-        if not more.where("linked").isEmpty():
-            found, fronts = components(tested.where("linked").select("a", "b").unionByName(same)), None
-        if often.isEmpty():
-            break
+        found = components(tested.where("linked").select("a", "b").unionByName(same))
+        if not first:
+            return found
     return found
 
 

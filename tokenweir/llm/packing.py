@@ -6,9 +6,12 @@ partial partition of its group's windows, and the two partitions with the widest
 fullest windows of one upon the emptiest of the other, until one is left. A group starts with as few windows as its ids
 need; whenever a window exceeds the capacity the count rises and the group is merged anew.
 
-A task packs the rows of its own partition in their order: there is no shuffle, and a lost task gives the same rows
-again. Defined cases: a null or empty text is its end id alone; repeated rows are packed each; a null doc_id is kept; an
-empty table gives no rows; extra columns are ignored.
+A task packs the rows of its own partition in their order, so no text is shuffled and a lost task gives the same rows again.
+What does not fill a task's last group is left over: the leftovers of all tasks, a light row for each piece, are dealt out
+to as many tasks as they need and packed there, so that many small partitions cost no padding.
+
+Defined cases: a null or empty text is its end id alone; a text of any length is encoded whole, by itself if it is longer than
+a run of texts; repeated rows are packed each; a null doc_id is kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import text_views
+from .common import materialise, text_views
 from .tokens import BYTE_LEVEL, encoder, vocabulary_file
 
 CAPACITY = 1024
@@ -65,30 +69,49 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return []
 
 
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+#: Sequence ids of leftovers start here.
+LATER = 1 << 61
+#: Groups of leftovers for a task.
+TOGETHER = 4
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], NAMES)
+
+
+class _Waiting:
+    """Pieces (doc_id, start, size, checksum, ids of the document) that wait for a full group; numbers sequences from ``base`` on."""
+
+    def __init__(self, base: int, capacity: int, group_windows: int) -> None:
+        self.number, self.capacity, self.full = base, capacity, group_windows * capacity
+        self.pieces: list[tuple[int | None, int, int, int, int]] = []
+        self.held = 0
+
+    def add(self, piece: tuple[int | None, int, int, int, int]) -> None:
+        self.pieces.append(piece)
+        self.held += piece[2]
+
+    def take(self) -> int:
+        self.number += 1
+        return self.number - 1
+
+    def packed(self) -> list[tuple]:
+        out = []
+        for part in pack([w[2] for w in self.pieces], self.capacity):
+            at, number = 0, self.take()
+            for i in sorted(part):
+                out.append((*self.pieces[i], number, at))
+                at += self.pieces[i][2]
+        self.pieces.clear()
+        self.held = 0
+        return out
+
+
 def _pieces(path: str, capacity: int, piece: int, group_windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, BYTE_LEVEL)
-        base, made = TaskContext.get().partitionId() << 40, 0
-        waiting: list[tuple[int | None, int, int, int, int]] = []
-        held = 0
-
-        def packed() -> list[tuple]:
-            nonlocal made, held
-            out = []
-            for part in pack([w[2] for w in waiting], capacity):
-                at = 0
-                for i in sorted(part):
-                    doc, start, size, crc, total = waiting[i]
-                    out.append((doc, start, size, crc, total, base + made, at))
-                    at += size
-                made += 1
-            waiting.clear()
-            held = 0
-            return out
-
-        def rows(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
+        waiting = _Waiting(TaskContext.get().partitionId() << 40, capacity, group_windows)
         for batch in batches:
             texts = batch.column("text")
             for first, end, _, _ in text_views(texts):
@@ -99,17 +122,29 @@ def _pieces(path: str, capacity: int, piece: int, group_windows: int):
                     at += n
                     whole = total // capacity * capacity
                     for start in range(0, whole, capacity):
-                        out.append((doc, start, capacity, zlib.crc32(own[4 * start : 4 * (start + capacity)]), total, base + made, 0))
-                        made += 1
+                        out.append((doc, start, capacity, zlib.crc32(own[4 * start : 4 * (start + capacity)]), total, waiting.take(), 0))
                     for start in range(whole, total, piece):
                         size = min(piece, total - start)
-                        waiting.append((doc, start, size, zlib.crc32(own[4 * start : 4 * (start + size)]), total))
-                        held += size
-                    if held >= group_windows * capacity:
-                        out += packed()
-                yield rows(out)
-        if waiting:
-            yield rows(packed())
+                        waiting.add((doc, start, size, zlib.crc32(own[4 * start : 4 * (start + size)]), total))
+                    if waiting.held >= waiting.full:
+                        out += waiting.packed()
+                yield _rows(out)
+        yield _rows([(*w, None, None) for w in waiting.pieces])
+
+    return run
+
+
+def _left_over(capacity: int, group_windows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = _Waiting(LATER + (TaskContext.get().partitionId() << 40), capacity, group_windows)
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in NAMES[:5]), strict=True):
+                waiting.add(row)
+                if waiting.held >= waiting.full:
+                    out += waiting.packed()
+            yield _rows(out)
+        yield _rows(waiting.packed())
 
     return run
 
@@ -117,7 +152,12 @@ def _pieces(path: str, capacity: int, piece: int, group_windows: int):
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, piece: int = PIECE, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """One row for each piece: its document, place in it, checksum of its ids, and its sequence and place there."""
     path = vocabulary or vocabulary_file("byte_bpe_50k.json")
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, piece, group_windows), SCHEMA)
+    made = materialise(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, piece, group_windows), SCHEMA), "pieces")
+    left = made.where("sequence_id is null")
+    ids = left.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-ids // (TOGETHER * group_windows * capacity)))
+    dealt = left.repartition(tasks).sortWithinPartitions("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    return made.where("sequence_id is not null").unionByName(dealt.mapInArrow(_left_over(capacity, group_windows), SCHEMA))
 
 
 def op6_packing(docs: DataFrame) -> DataFrame:
