@@ -25,6 +25,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows of a few numbers that are broadcast at most.
+SMALL_ROWS = 1 << 19
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, broadcast if its rows have been counted and are few; else Spark joins as it sees fit."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
+def once(column: Column) -> Column:
+    """A value that is not written out again where it is used, as the optimizer takes it for no pure function of the row."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 #: Bits of a sieve, whatever the number of its ids: the bitmap that is broadcast has 512 KB.
 BITS = 1 << 22
 

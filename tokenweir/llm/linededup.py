@@ -11,10 +11,10 @@ holds the place and the number of words, so lines that share one are within the
 of a key stands for all of it: groups are summed up to their earliest line, never expanded into pairs. Each line found is
 then compared with that earliest line word by word.
 
-To keep variants few, only lines that share a part are expanded, and only at its open places. Of two lines within the bound
-one half is equal, the words of the shorter one's first or last half: lines that share a half with no other line go first.
-Of the rest, a line of n words is cut into quarters of q = 2**floor(log2(n / 4)) words, and the edit lies in one of four parts
-while q words of each other quarter stay at a fixed distance from the front or the end. This drops no pair.
+To keep variants few, only lines that share a part are expanded, and only at its open places. Two lines within the bound agree
+in nearly half of the shorter one's words, the first or the last: lines that share such a half with no other line go first.
+For the rest, let m be the words of the shorter line of a pair and q = m // PARTS: the edit lies in one of PARTS parts (4 for
+short lines) while q words of each other part stay at a fixed distance from the front or the end. This drops no pair.
 
 Defined cases: a null text stays null and has no lines; lines of no words stay; rows of one doc_id and equal text are
 judged alike; a null doc_id comes first; extra columns pass.
@@ -22,10 +22,12 @@ judged alike; a null doc_id comes first; extra columns pass.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, quoted, sieved
+from .common import materialise, once, quoted, sieved, small
 
 #: Fewest words of a line that goes for a near one.
 NEAR_WORDS = 6
@@ -34,30 +36,42 @@ STRIDE = 64
 _FIRST = -(1 << 63)
 
 
-def _flat(text: Column) -> Column:
-    """Lower-cased, with each run of white space but line feeds as one space."""
-    return F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+#: Parts of a line of at least LONG words that are kept but for one; of a shorter line there are SHORT_PARTS.
+PARTS, SHORT_PARTS, LONG = 8, 4, 16
 
 
-def _quarter(n: Column) -> Column:
-    return F.when(n >= 4, F.pow(F.lit(2.0), F.floor(F.log2(n / F.lit(4.0)) + 1e-9)).cast("int")).otherwise(F.lit(1))
+def _flat(line: Column) -> Column:
+    """Lower-cased lines with each run of white space as one space and none at the ends. Few lines need more than a look."""
+    odd = reduce(Column.__or__, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line))
 
 
 def _front(line: Column, words: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), words)
 
 
-def _halves(line: Column, f: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(0), f, _front(line, f)), F.xxhash64(F.lit(1), f, _front(line, -f))]
+def _half(n: Column) -> Column:
+    """Nearly half of n words: the next 2**k or 3 * 2**k below, so that lines of n and n - 1 words mostly have the same."""
+    q = F.pow(F.lit(2.0), F.floor(F.log2(F.floor(n / 2)) + 1e-9))
+    return F.when(F.floor(n / 2) >= 1.5 * q, 1.5 * q).otherwise(q).cast("int")
+
+
+def _halves(line: Column, f: Column) -> Column:
+    return F.array(F.xxhash64(F.lit(0), f, _front(line, f)), F.xxhash64(F.lit(1), f, _front(line, -f)))
+
+
+def _parts(m: Column) -> Column:
+    return F.when(m >= LONG, PARTS).otherwise(SHORT_PARTS)
 
 
-def _frames(line: Column, q: Column) -> list[Column]:
-    """Four keys: t quarters kept at the front, 3 - t at the end."""
+def _frames(line: Column, m: Column) -> Column:
+    """A key for each part t that may differ, as a partner of ``m`` words at least has it: t parts kept at the front, the others at the end."""
+    parts, q = _parts(m), F.greatest(F.lit(1), F.floor(m / _parts(m)).cast("int"))
     out = []
-    for t in range(4):
-        front, back = _front(line, q * t) if t else F.lit(""), _front(line, q * (t - 3)) if t < 3 else F.lit("")
-        out.append(F.xxhash64(F.lit(t), q, front, back))
-    return out
+    for t in range(PARTS):
+        front, back = _front(line, q * t) if t else F.lit(""), _front(line, q * (F.lit(t + 1) - parts))
+        out.append(F.when(parts > t, F.xxhash64(F.lit(t), q, parts, front, F.when(parts > t + 1, back).otherwise(F.lit("")))))
+    return F.array(*out)
 
 
 def _size(line: Column) -> Column:
@@ -66,12 +80,12 @@ def _size(line: Column) -> Column:
 
 def _hashed(docs: DataFrame, near_words: int) -> DataFrame:
     """A light row for each line that may go: its place, hashes, words, halves if it may go for a near one, and a number; no text."""
-    at = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("d"), F.xxhash64("text").alias("x"), F.posexplode(F.split(_flat(F.col("text")), "\n")).alias("p", "line"))
-    at = at.withColumn("line", F.trim("line")).where("line <> ''").withColumn("n", _size(F.col("line")))
-    own = F.array(*_halves(F.col("line"), F.floor(F.col("n") / 2).cast("int")))
-    # a line of an even number of words has other halves beside one of a word less
-    less = F.array(*_halves(F.col("line"), F.floor((F.col("n") - 1) / 2).cast("int")))
-    halves = F.when(F.col("n") < near_words, F.array().cast("array<long>")).when(F.col("n") % 2 == 1, own).otherwise(F.concat(own, less))
+    at = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("d"), F.xxhash64("text").alias("x"), F.posexplode(F.split(F.lower("text"), "\n")).alias("p", "line"))
+    at = at.withColumn("line", once(_flat(F.col("line")))).where("line <> ''").withColumn("n", _size(F.col("line")))
+    at = at.withColumn("f", F.when(F.col("n") >= near_words, _half(F.col("n")))).withColumn("f1", _half(F.col("n") - 1))
+    own, less = (_halves(F.col("line"), F.col(f)) for f in ("f", "f1"))
+    # a line may have another half beside one of a word less
+    halves = F.when(F.col("f").isNull(), F.array().cast("array<long>")).when(F.col("f") == F.col("f1"), own).otherwise(F.concat(own, less))
     return at.select("d", "x", "p", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), halves.alias("halves"), F.monotonically_increasing_id().alias("lid"))
 
 
@@ -107,7 +121,7 @@ def _equal(light: DataFrame) -> DataFrame:
     """The lines (d, x, p, lid) that an earlier one is equal to."""
     firsts = light.groupBy("h", "g").agg(F.count("*").alias("c"), F.min("d").alias("d0")).where("c > 1").select("h", "g", "d0")
     # written, so that both sides of the join come straight from an exchange and a line of very many copies can be split
-    copies = materialise(light.select("d", "x", "p", "h", "g", "lid").join(materialise(firsts, "firsts"), ["h", "g"]), "copies")
+    copies = materialise(light.select("d", "x", "p", "h", "g", "lid").join(small(materialise(firsts, "firsts")), ["h", "g"]), "copies")
     within = copies.where("d = d0").withColumn("k", F.row_number().over(Window.partitionBy("h", "g").orderBy("x", "p"))).where("k > 1")
     return materialise(copies.where("d > d0").select("d", "x", "p", "lid").unionByName(within.select("d", "x", "p", "lid")), "equal")
 
@@ -116,13 +130,14 @@ def _candidates(docs: DataFrame, light: DataFrame, equal: DataFrame) -> DataFram
     """The lines (id, d, x, p, line) that share a half with another one, numbered in their order; of equal lines the first alone."""
     halves = light.select("lid", "h", "d", "x", "p", F.explode("halves").alias("k"))
     shared = halves.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
-    met = halves.join(materialise(shared, "halves"), "k").select("lid", "d", "x", "p").distinct()
+    met = halves.join(small(materialise(shared, "halves")), "k").select("lid", "d", "x", "p").distinct()
     met = met.join(equal.select("lid"), "lid", "left_anti")
     wanted = materialise(met.groupBy("d", "x").agg(F.collect_set("p").alias("asked")), "asked")
     ids = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"), "text")
     texts = sieved(ids, wanted.select("d")).where("__may").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("x"), "text")
-    held = texts.join(wanted, ["d", "x"]).dropDuplicates(["d", "x"]).select("d", "x", F.split(_flat(F.col("text")), "\n").alias("lines"), F.explode("asked").alias("p"))
-    held = held.select("d", "x", "p", F.trim(F.get("lines", F.col("p"))).alias("line"))
+    held = texts.join(wanted, ["d", "x"]).dropDuplicates(["d", "x"]).select("d", "x", "asked", once(F.split(F.lower("text"), "\n")).alias("lines"))
+    held = held.select("d", "x", F.explode(F.transform("asked", lambda p: F.struct(p.alias("p"), F.get("lines", p).alias("line")))).alias("e"))
+    held = held.select("d", "x", "e.p", _flat(F.col("e.line")).alias("line"))
     # numbered in their order, so that the earliest line is the least number
     return materialise(held.repartitionByRange("d", "x", "p").sortWithinPartitions("d", "x", "p").withColumn("id", F.monotonically_increasing_id()), "candidates")
 
@@ -130,15 +145,15 @@ def _candidates(docs: DataFrame, light: DataFrame, equal: DataFrame) -> DataFram
 def _opened(lines: DataFrame) -> DataFrame:
     """(id, open) of the lines that share a frame with another one: the places that may differ, and whether lengths may."""
     rows = lines.select("id", "line", F.xxhash64("line").alias("h"), _size(F.col("line")).alias("n"))
-    rows = rows.withColumns({"q": _quarter(F.col("n")), "q1": _quarter(F.col("n") - 1)})
-    # a line of one word more has its partners' quarters, too
-    more = F.when(F.col("q1") < F.col("q"), F.array(*_frames(F.col("line"), F.col("q1")))).otherwise(F.array().cast("array<long>"))
-    framed = rows.select("id", "h", "n", F.posexplode(F.concat(F.array(*_frames(F.col("line"), F.col("q"))), more)).alias("j", "k"))
+    # as the shorter line of a pair, or one of equal lengths, and as the longer one
+    frames = F.concat(*[_frames(F.col("line"), F.col("n") - k) for k in (0, 1)])
+    framed = rows.select("id", "h", "n", F.posexplode(frames).alias("j", "k")).where("k IS NOT NULL")
     shared = framed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("n").alias("least"), F.max("n").alias("most")).where("a <> b").select("k", (F.col("least") != F.col("most")).alias("mixed"))
-    met = framed.select("k", "id", "n", "j").join(materialise(shared, "frames"), "k")
-    t, q = F.col("j") % 4, _quarter(F.when(F.col("j") < 4, F.col("n")).otherwise(F.col("n") - 1))
-    # places from t quarters on, up to 3 - t quarters before the end; the end itself is one for an insertion
-    asked = F.struct((t * q).cast("int").alias("low"), (F.col("n") - (3 - t) * q).cast("int").alias("high"), "mixed")
+    met = framed.select("k", "id", "n", "j").join(small(materialise(shared, "frames")), "k")
+    m, t = F.col("n") - F.floor(F.col("j") / PARTS), F.col("j") % PARTS
+    parts, q = _parts(m), F.greatest(F.lit(1), F.floor(m / _parts(m)))
+    # places from t parts on, up to the others before the end; the end itself is one for an insertion
+    asked = F.struct((t * q).cast("int").alias("low"), (F.col("n") - (parts - 1 - t) * q).cast("int").alias("high"), "mixed")
     return met.groupBy("id").agg(F.collect_set(asked).alias("open"))
 
 
@@ -172,7 +187,8 @@ def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     marked = sieved(rows, gone.select("d"), F.coalesce("doc_id", F.lit(_FIRST)))
     some, rest = marked.where("__may").withColumn("__x", F.xxhash64("text")), marked.where("not __may").withColumn("gone", F.lit(None).cast("array<int>"))
     kept = some.join(gone, (F.coalesce("doc_id", F.lit(_FIRST)) == F.col("d")) & (F.col("__x") == F.col("x")), "left").select("doc_id", "text", "__row", "gone").unionByName(rest.select("doc_id", "text", "__row", "gone"))
-    lines = F.split("text", "\n")
+    kept = kept.withColumn("__lines", once(F.when(F.col("gone").isNotNull(), F.split("text", "\n"))))
+    lines = F.col("__lines")
     n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
