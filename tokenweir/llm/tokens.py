@@ -2,7 +2,8 @@
 
 Neither vocabulary joins characters across white space, but for one leading space in the byte-level one. So a text is cut
 at white space into stretches that encode alone as they do in place; distinct stretches go to the library in batches, and
-texts are put together from their ids with array operations. A task keeps a bounded table of stretches.
+texts are put together from their ids with array operations. A task keeps a bounded table of stretches. Most are words of
+Latin letters, which no rule before the merges changes but for lower-casing: they go to the library's model without those rules.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 # Latin letters that stay one letter under NFC and lower-casing; a run of them, of digits or of ASCII marks is a stretch where an
 # ASCII character or the end follows, as no rule of the pre-tokenizers can then reach across its end. The apostrophe is left out.
 _ENDS = r"(?=[\x00-\x7f]|\Z)"
-_RUNS = (rf"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]++{_ENDS}", rf"[0-9]++{_ENDS}", r"[!-&(-/:-@\[-`{-~]++(?=[A-Za-z0-9\t-\r ]|\Z)")
+_LETTERS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]"
+_RUNS = (rf"{_LETTERS}++{_ENDS}", rf"[0-9]++{_ENDS}", r"[!-&(-/:-@\[-`{-~]++(?=[A-Za-z0-9\t-\r ]|\Z)")
 #: Byte-level: a run with one space before it, or the rest up to white space; of white space, all but the last go first.
 BYTE_LEVEL = "|".join([*(f" ?{x}" for x in _RUNS), rf" ?[^{SPACE}]+", rf"[{SPACE}]+(?![^{SPACE}])", f"[{SPACE}]"])
 #: Word-level: white space is dropped.
@@ -29,6 +31,16 @@ _KEPT = 600_000
 _KEPT_CHARS = 16 << 20
 
 
+def _alphabet() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as: printable ones as they are in Latin-1, others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTES = _alphabet()
+
+
 class Places(dict):
     """Numbers its keys in the order in which they are first met."""
 
@@ -41,7 +53,7 @@ class Encoder:
     """Ids of texts. ``path``: a file of the tokenizers library; ``stretch``: where texts may be cut."""
 
     def __init__(self, path: str, stretch: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.find = re.compile(stretch).findall
@@ -50,6 +62,12 @@ class Encoder:
         # byte-level: a line feed is a piece by itself; word-level: so is a bar between spaces
         self.mark = next(m for m in ("\n", " | ") if len(self.tokenizer.encode(m, add_special_tokens=False).ids) == 1)
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
+        # a word, with a space before it where one belongs to it, as the merges see it
+        self.word = re.compile(f" ?{_LETTERS}+" if self.mark == "\n" else f"{_LETTERS}+").fullmatch
+        upper, lower = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in "Aa")
+        self.cased = upper != lower
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.clear()
 
     def clear(self) -> None:
@@ -64,19 +82,15 @@ class Encoder:
         stretches = list(islice(self.place, known, None))
         sizes, starts = np.zeros(len(stretches), np.int64), np.zeros(len(stretches), np.int64)
         # many stretches go to the library as one text, with a mark of one id between them; what holds the mark, or could join it, goes alone
-        plain = [k for k, s in enumerate(stretches) if self.mark.strip(" ") not in s and not s.isspace() and not (self.added and self.added(s))]
-        alone = set(range(len(stretches))).difference(plain)
+        words = [k for k, s in enumerate(stretches) if self.word(s) and not (self.added and self.added(s))]
+        self._words([stretches[k] for k in words], np.array(words, np.int64), sizes, starts)
+        rest, mark = set(range(len(stretches))).difference(words), self.mark.strip(" ")
+        plain = [k for k in sorted(rest) if mark not in stretches[k] and not stretches[k].isspace() and not (self.added and self.added(stretches[k]))]
+        alone = rest.difference(plain)
         for first in range(0, len(plain), 20_000):
             own = plain[first : first + 20_000]
-            texts = [self.mark.join([stretches[k] for k in own[i : i + 200]]) + self.mark for i in range(0, len(own), 200)]
-            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(own):
+            if not self._joined(self.tokenizer, [stretches[k] for k in own], self.mark, np.array(own, np.int64), sizes, starts):
                 alone.update(own)
-                continue
-            at = np.concatenate([[0], ends[:-1] + 1])
-            sizes[own], starts[own] = ends - at, self.used + at
-            self._append(ids)
         alone = sorted(alone)
         for k, e in zip(alone, self.tokenizer.encode_batch_fast([stretches[k] for k in alone], add_special_tokens=False), strict=True):
             sizes[k], starts[k] = len(e.ids), self.used
@@ -85,6 +99,31 @@ class Encoder:
         self.size[known : known + len(sizes)], self.start[known : known + len(sizes)] = sizes, starts
         self.chars += sum(map(len, stretches))
 
+    def _joined(self, tokenizer, texts: list[str], mark: str, at: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> bool:
+        """Encode texts with marks between them and note where their ids are; false if the marks cannot be told."""
+        runs = [mark.join(texts[i : i + 50]) + mark for i in range(0, len(texts), 50)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(ids == self.mark_id)
+        if len(ends) != len(texts):
+            return False
+        begin = np.concatenate([[0], ends[:-1] + 1])
+        sizes[at], starts[at] = ends - begin, self.used + begin
+        self._append(ids)
+        return True
+
+    def _words(self, words: list[str], at: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> None:
+        keys = Places()
+        own = np.array([keys[w if self.cased else w.lower()] for w in words], np.int64)
+        seen = [w if w.isascii() and w[0] != " " else w.encode().decode("latin-1").translate(_BYTES) for w in keys]
+        # the mark, too, is written as the merges see it
+        mark = f" {self.mark.strip(' ').translate(_BYTES)} "
+        size, start = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
+        for first in range(0, len(seen), 20_000):
+            part = seen[first : first + 20_000]
+            if not self._joined(self.model, part, mark, np.arange(first, first + len(part)), size, start):
+                raise ValueError("a word's ids hold the mark's")
+        sizes[at], starts[at] = size[own], start[own]
+
     def _append(self, ids: np.ndarray) -> None:
         self._reserve(len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
