@@ -25,9 +25,9 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(i, t, "en", "s", len(t or ""), "c", 1, 2, 3) for i, t in ODD]
-    # extra columns whose names operators use inside
-    return spark.createDataFrame(rows, SCHEMA + ", gone string, n_words int, key int, size int")
+    rows = [(i, t, "en", "s", len(t or ""), "c", 1, 2, 3, 4, 5, "q") for i, t in ODD]
+    # extra columns whose names operators use inside, and one with a dot
+    return spark.createDataFrame(rows, SCHEMA + ", gone string, n_words int, key int, size int, n_lines int, line int, `a.b` string")
 
 
 @pytest.fixture(scope="module")
@@ -472,10 +472,13 @@ def test_block_round_trip():
     book = huffman.Codebook(*(lambda lengths: (np.flatnonzero(lengths), lengths[np.flatnonzero(lengths)]))(huffman.code_lengths(np.bincount(ids), 18)))
     sizes = np.array([0, 1, 4000, 999])
     payload = huffman.encode_block([5, None, 7, -8], sizes, ids, *book.encoder())
-    docs, n, back = huffman.decode_block(payload, book.decoder(), book.bits)
-    assert docs == [5, None, 7, -8] and n.tolist() == sizes.tolist() and back.tolist() == ids.tolist()
+    empty, one = (huffman.encode_block(d, np.array(s, np.int64), np.array(x, np.int64), *book.encoder()) for d, s, x in (([], [], []), ([9], [1], ids[:1])))
+    for group in ([payload], [empty, payload, one, payload], [one, empty]):
+        for raw, (docs, n, back) in zip(group, huffman.decode_blocks(group, book.decoder(), book.bits), strict=True):
+            want = {payload: ([5, None, 7, -8], sizes.tolist(), ids.tolist()), empty: ([], [], []), one: ([9], [1], ids[:1].tolist())}[raw]
+            assert (docs, n.tolist(), back.tolist()) == want
     with pytest.raises(ValueError):
-        huffman.decode_block(b"nope" + payload[4:], book.decoder(), book.bits)
+        huffman.decode_blocks([b"nope" + payload[4:]], book.decoder(), book.bits)
 
 
 def test_token_binary_round_trip(docs, texts, odd, none):
@@ -519,10 +522,11 @@ def test_decontamination_blocks_and_odd_rows(spark, odd, none, docs, data):
     assert one == many
 
 
-def test_decontamination_judges_each_row(odd, spark):
+def test_decontamination_judges_each_row(odd, spark, monkeypatch):
     """Null and repeated ids are rows of their own, for one block of the benchmark and for several."""
     items = spark.createDataFrame([(1, LINE), (2, "two"), (3, "nothing of this kind")], "item_id long, text string")
-    for limit in (1 << 22, 1):
+    monkeypatch.setattr(decontam, "AT_ONCE", 2)
+    for limit in (1 << 22, 1):  # a single pass, and two
         found = decontam.contamination(odd, items, limit=limit).collect()
         assert sorted((str(r["doc_id"]), r["n_hit"]) for r in found if r["doc_id"] in (None, 7)) == [("7", 0), ("7", 30), ("7", 30), ("None", 0), ("None", 15)]
         assert len(found) == len(ODD)
@@ -539,6 +543,15 @@ def test_suffix_array_order():
     assert suffixes == sorted(suffixes)
 
 
+def test_union_of_spans(spark):
+    rng = np.random.default_rng(6)
+    rows = [[(int(a), int(a + n)) for a, n in zip(rng.integers(0, 30, k), rng.integers(1, 6, k), strict=True)] for k in (0, 1, 2, 5, 12)]
+    df = spark.createDataFrame([(k, [x for p in r for x in p]) for k, r in enumerate(rows)], "k int, spans array<long>")
+    for r in df.withColumn("u", decontam.union(F.col("spans"))).collect():
+        hit = sorted({x for a, b in rows[r["k"]] for x in range(a, b)})
+        assert [x for a, b in zip(r["u"][::2], r["u"][1::2], strict=True) for x in range(a, b)] == hit
+
+
 def test_longest_match(spark):
     items = spark.createDataFrame([(1, " ".join(f"k{i}" for i in range(40)))], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a " + " ".join(f"k{i}" for i in range(5, 30)) + " b")], "doc_id long, text string")

@@ -3,8 +3,9 @@
 Each shard (a run of documents in one task) is turned into word numbers, and the suffixes that can hold a whole window
 are sorted into a suffix array by prefix doubling. Every suffix of every benchmark item is then searched in it by
 narrowing its interval one word at a time, which gives the longest verbatim match and all places of each window. The
-benchmark goes to the tasks in blocks of a stated size, whatever its total; for several blocks the rows are numbered and
-written first, and their results meet by that number, so each row is judged by itself.
+benchmark is cut into blocks of a stated size. AT_ONCE of them go to the tasks together and are searched for in one pass over
+the documents, whose results a task puts together row by row; only a benchmark of more blocks needs more passes: then the rows
+are numbered and written first, and the passes' results meet by that number. Either way each row is judged by itself.
 
 Words: runs of ASCII letters, digits and characters beyond ASCII after lower-casing A-Z. A window is ``window`` words in
 a row, or the whole item where that has fewer. Defined cases: null texts have no words; items without words have no
@@ -21,14 +22,15 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM_WORD, lower_ascii, materialise, text_views, words
 
 WINDOW = 10
-#: Bytes of benchmark text in one block, the most that is sent to the tasks at once.
+#: Bytes of benchmark text in one block, and blocks that are sent to the tasks together at most.
 BLOCK_BYTES = 4 << 20
+AT_ONCE = 16
 
 
 def _numbers(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,52 +148,52 @@ def matches(numbers: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray,
     return live[array[at]], suffix, longest[suffix]
 
 
-def _hits(column: pa.Array, block: Block) -> Iterator[tuple]:
-    """For each run of rows: first row, end row, n_words and where each row's words begin, and of each place found its row, the place, the suffix and the longest match."""
+def _hits(column: pa.Array, blocks: list[Block]) -> Iterator[tuple]:
+    """For each run of rows: first row, end row, the words of each row, and of each place found its row, its first and end word in
+    the row, its item's id and the longest match there."""
     for first, end, data, offsets in text_views(column):
         starts, _, row, h = words(data, offsets, ALNUM_WORD)
-        # a place of number 0 between documents, so that no match crosses one
-        numbers = np.zeros(len(h) + (end - first), np.int64)
-        numbers[np.arange(len(h)) + row] = block.number(h)
         cuts = np.searchsorted(row, np.arange(end - first + 1))
         begin = cuts + np.arange(end - first + 1)
-        place, suffix, longest = matches(numbers, block)
-        yield first, end, np.diff(cuts), begin, np.searchsorted(begin, place, side="right") - 1, place, suffix, longest
-
-
-def _search(block: Block, key: list[str]):
+        found = []
+        for block in blocks:
+            # a place of number 0 between documents, so that no match crosses one
+            numbers = np.zeros(len(h) + (end - first), np.int64)
+            numbers[np.arange(len(h)) + row] = block.number(h)
+            place, suffix, longest = matches(numbers, block)
+            doc = np.searchsorted(begin, place, side="right") - 1
+            at, ids = place - begin[doc], np.array([*block.ids, None], object)[block.item[suffix]]
+            found.append((doc, at, at + block.need[suffix], ids, longest))
+        yield first, end, np.diff(cuts), *(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _search(blocks: list[Block], key: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, n_words, begin, doc, place, suffix, longest in _hits(batch.column("text"), block):
+            for first, end, n_words, doc, low, high, ids, longest in _hits(batch.column("text"), blocks):
                 order = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[order], np.arange(end - first + 1))
-                spans, items, most = [], [], []
-                for k in range(end - first):
-                    if cuts[k] == cuts[k + 1]:
-                        spans.append([])
-                        items.append([])
-                        most.append(0)
-                        continue
+                spans: list[list[int]] = [[] for _ in range(end - first)]
+                items: list[list[str]] = [[] for _ in range(end - first)]
+                most = np.zeros(end - first, np.int64)
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
                     own = order[cuts[k] : cuts[k + 1]]
-                    at, size = place[own] - begin[k], block.need[suffix[own]]
-                    spans.append(merge(at, at + size))
-                    items.append(sorted({block.ids[x] for x in np.unique(block.item[suffix[own]]).tolist()} - {None}))
-                    most.append(int(longest[own].max()))
+                    spans[k], items[k], most[k] = merge(low[own], high[own]), sorted(set(ids[own].tolist()) - {None}), longest[own].max()
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(first, end - first) for c in key), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(most, pa.int64())],
+                    [*(batch.column(c).slice(first, end - first) for c in key), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(most)],
                     [*key, "n_words", "spans", "items", "longest_match"],
                 )
 
     return run
 
 
-def _clean(block: Block):
+def _clean(blocks: list[Block]):
     """The rows without a hit, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for first, _, _, _, doc, *_ in _hits(batch.column("text"), block):
+            for first, _, _, doc, *_ in _hits(batch.column("text"), blocks):
                 keep[first + doc] = False
             yield batch.filter(pa.array(keep))
 
@@ -221,19 +223,38 @@ def blocks(benchmark: DataFrame, window: int, limit: int = BLOCK_BYTES) -> Itera
     yield Block(ids, texts, window)
 
 
+def passes(benchmark: DataFrame, window: int, limit: int) -> Iterator[list[Block]]:
+    """The blocks in the groups that are searched for in one pass."""
+    every = blocks(benchmark, window, limit)
+    while group := list(islice(every, AT_ONCE)):
+        yield group
+
+
 FOUND = "doc_id long, n_words long, spans array<long>, items array<string>, longest_match long"
 
 
+def union(spans: Column) -> Column:
+    """The union of spans in a flat list, as a flat list."""
+    pairs = F.array_sort(F.transform(F.filter(spans, lambda x, i: i % 2 == 0), lambda x, i: F.struct(x.alias("s"), F.get(spans, 2 * i + 1).alias("e"))))
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+
+    def add(held: Column, x: Column) -> Column:
+        last = F.element_at(held, -1)
+        longer = F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when(F.size(held) == 0, F.array(x)).when(F.element_at(held, F.when(F.size(held) > 0, -1).otherwise(1))["e"] >= x["s"], longer).otherwise(F.concat(held, F.array(x)))
+
+    return F.flatten(F.transform(F.aggregate(pairs, none, add), lambda x: F.array(x["s"], x["e"])))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, spans of hit words, item ids found and the longest verbatim match in words."""
-    first, *more = islice(every := blocks(benchmark, window, limit), 2)
+    first, *more = islice(every := passes(benchmark, window, limit), 2)
     if more:
-        # one pass over the rows for each block; what they find meets by the row's number
         rows = materialise(docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id()), "rows")
-        parts = [rows.mapInArrow(_search(b, ["__row", "doc_id"]), "__row long, " + FOUND) for b in chain([first, *more], every)]
+        # each pass is written before the blocks of the next are read
+        parts = [materialise(rows.mapInArrow(_search(b, ["__row", "doc_id"]), "__row long, " + FOUND), "found") for b in chain([first, *more], every)]
         met = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match"))
-        union = F.udf(lambda x: merge(np.array(x[::2], np.int64), np.array(x[1::2], np.int64)) if x else [], "array<long>")
-        whole = met.drop("__row").withColumn("spans", union("spans"))
+        whole = met.drop("__row").withColumn("spans", union(F.col("spans")))
     else:
         whole = docs.select("doc_id", "text").mapInArrow(_search(first, ["doc_id"]), FOUND)
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -241,15 +262,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The rows without a hit word, with the columns of ``docs``; each row is judged by its own text, and no row is shuffled for one block."""
-    first, *more = islice(every := blocks(benchmark, window, limit), 2)
-    if not more:
-        return docs.mapInArrow(_clean(first), docs.schema)
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*docs.columns).alias("__all")), "rows")
-    texts = rows.select("__row", F.col("__all")["doc_id"].alias("doc_id"), F.col("__all")["text"].alias("text"))
-    parts = [texts.mapInArrow(_search(b, ["__row", "doc_id"]), "__row long, " + FOUND) for b in chain([first, *more], every)]
-    bad = reduce(DataFrame.unionByName, parts).where(F.size("spans") > 0).select("__row").distinct()
-    return rows.join(bad, "__row", "left_anti").select("__all.*")
+    """The rows without a hit word, with the columns of ``docs``; each row is judged by its own text, and none is shuffled. A pass
+    takes what the pass before has left."""
+    # columns go by their place, as no name may be odd for a function over batches
+    rows = docs.toDF(*["text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)])
+    for k, group in enumerate(passes(benchmark, window, limit)):
+        rows = (materialise(rows, "rows") if k else rows).mapInArrow(_clean(group), rows.schema)
+    return rows.toDF(*docs.columns)
 
 
 def op9_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ whole documents. A payload is little-endian:
 
 A block is decoded by itself: its checkpoints are lanes that a table look-up advances together, one id a step.
 
-Defined cases: a null or empty text is its end id alone; documents of one doc_id stand by their ids' bytes; null doc_ids
-come first; a corpus without documents has empty tables; extra columns are ignored.
+Defined cases: a null or empty text is its end id alone; documents of one doc_id stand by a hash of their ids, then by their
+bytes, and repeated rows are documents each; null doc_ids come first; a long text is a block by itself, whose codes must fit
+in a cell of 2 GB; a corpus without documents has empty tables; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,9 +101,12 @@ def encode_block(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray,
     out = np.zeros((int(ends[-1]) if len(ends) else 0) // 64 + 2, np.uint64)
     word, room = at >> 6, 64 - (at & 63) - length
     value = code[ids]
-    np.add.at(out, word, np.where(room >= 0, value << np.maximum(room, 0).astype(np.uint64), value >> np.maximum(-room, 0).astype(np.uint64)))
-    over = np.flatnonzero(room < 0)
-    np.add.at(out, word[over] + 1, value[over] << (64 + room[over]).astype(np.uint64))
+    if len(ids):
+        # the codes that begin in one word of 64 bits stand together, and at most one of them goes on in the next word
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out[word[first]] = np.add.reduceat(np.where(room >= 0, value << np.maximum(room, 0).astype(np.uint64), value >> np.maximum(-room, 0).astype(np.uint64)), first)
+        over = np.flatnonzero(room < 0)
+        out[word[over] + 1] += value[over] << (64 + room[over]).astype(np.uint64)
     checkpoints = at[::CHECKPOINT].astype("<u8")
     return b"".join([
         MAGIC, struct.pack("<IQI", len(doc_ids), len(ids), len(checkpoints)), bytes(d is None for d in doc_ids), np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
@@ -110,29 +114,38 @@ def encode_block(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray,
     ])
 
 
-def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray], bits: int) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, ids of each document, and all ids of a block."""
-    if payload[:4] != MAGIC:
-        raise ValueError("not a block")
-    n_docs, n, lanes = struct.unpack_from("<IQI", payload, 4)
-    at = 20
-    null = payload[at : at + n_docs]
-    doc = np.frombuffer(payload, "<i8", n_docs, at + n_docs)
-    sizes = np.frombuffer(payload, "<u8", n_docs, at + 9 * n_docs).astype(np.int64)
-    place = np.frombuffer(payload, "<u8", lanes, at + 17 * n_docs).astype(np.int64)
-    words = np.frombuffer(payload, ">u8", -1, at + 17 * n_docs + 8 * lanes).astype(np.uint64)
-    out = np.zeros((CHECKPOINT, lanes), np.uint32)
+#: Ids decoded together at most, or one block.
+TOGETHER = 1 << 20
+
+
+def decode_blocks(payloads: list[bytes], table: tuple[np.ndarray, np.ndarray], bits: int) -> list[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """doc_ids, ids of each document, and all ids of each block. The lanes of all blocks take their steps together."""
+    docs, sizes, places, words, counts, base = [], [], [], [], [], 0
+    for payload in payloads:
+        if payload[:4] != MAGIC:
+            raise ValueError("not a block")
+        n_docs, n, lanes = struct.unpack_from("<IQI", payload, 4)
+        at = 20
+        null, doc = payload[at : at + n_docs], np.frombuffer(payload, "<i8", n_docs, at + n_docs)
+        docs.append([None if x else int(d) for x, d in zip(null, doc, strict=True)])
+        sizes.append(np.frombuffer(payload, "<u8", n_docs, at + 9 * n_docs).astype(np.int64))
+        places.append(np.frombuffer(payload, "<u8", lanes, at + 17 * n_docs).astype(np.int64) + 64 * base)
+        words.append(np.frombuffer(payload, ">u8", -1, at + 17 * n_docs + 8 * lanes).astype(np.uint64))
+        counts.append((lanes, n))
+        base += len(words[-1])
+    place, word = np.concatenate(places), np.concatenate(words)
+    out = np.zeros((CHECKPOINT, len(place)), np.uint32)
     ids, size = table
-    last = len(words) - 2
-    shift = np.uint64(64 - bits)
-    for step in range(CHECKPOINT if n else 0):
-        w = np.minimum(place >> 6, last)
+    last, shift = len(word) - 2, np.uint64(64 - bits)
+    for step in range(CHECKPOINT if len(place) else 0):
+        w = np.minimum(place >> 6, last)  # a lane that is through reads on, and what it reads is cut off below
         r = (place & 63).astype(np.uint64)
-        front = (words[w] << r) | ((words[w + 1] >> np.uint64(1)) >> (np.uint64(63) - r))
+        front = (word[w] << r) | ((word[w + 1] >> np.uint64(1)) >> (np.uint64(63) - r))
         front >>= shift
         out[step] = ids[front]
         place = place + size[front]
-    return [None if x else int(d) for x, d in zip(null, doc, strict=True)], sizes, out.T.ravel()[:n]
+    lane = np.cumsum([0, *(x for x, _ in counts)])
+    return [(docs[k], sizes[k], out[:, lane[k] : lane[k + 1]].T.ravel()[:n]) for k, (_, n) in enumerate(counts)]
 
 
 ENCODED = "doc_id long, ids binary, width int, counts binary"
@@ -218,7 +231,9 @@ def write_corpus(docs: DataFrame, path: str, vocabulary: str | None = None, max_
     lengths = code_lengths(dense, max_bits)
     at = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in at], "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
-    sorted_ids = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # by a hash, too, so that documents of one doc_id, or of none, need not all come to one task
+    keyed = ids.withColumn("h", F.xxhash64("ids"))
+    sorted_ids = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").drop("h")
     sorted_ids.mapInArrow(_blocks(at, lengths[at]), "part int, block long, first long, n_docs long, n_ids long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -239,19 +254,27 @@ def _decoded(spark: SparkSession, path: str, digest: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = codebook.decoder()
         for batch in batches:
-            for part, first, payload in zip(batch.column("part").to_pylist(), batch.column("first").to_pylist(), batch.column("payload"), strict=True):
-                docs, sizes, ids = decode_block(payload.as_py(), table, codebook.bits)
-                ends = np.cumsum(sizes)
-                starts = pa.array(base[part] + first + ends - sizes)
-                raw = ids.astype("<u4")
-                if digest:
-                    crc = [zlib.crc32(raw[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), starts, pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                else:
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), starts, lists], ["doc_id", "start", "ids"])
-
-    return blocks.select("part", "first", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" if digest else "doc_id long, start long, ids array<int>")
+            begin = 0
+            n_ids = batch.column("n_ids").to_pylist()
+            while begin < batch.num_rows:
+                end, n = begin + 1, n_ids[begin]
+                while end < batch.num_rows and n + n_ids[end] <= TOGETHER:
+                    n, end = n + n_ids[end], end + 1
+                own = batch.slice(begin, end - begin)
+                found = decode_blocks([x.as_py() for x in own.column("payload")], table, codebook.bits)
+                for part, first, (docs, sizes, ids) in zip(own.column("part").to_pylist(), own.column("first").to_pylist(), found, strict=True):
+                    ends = np.cumsum(sizes)
+                    starts = pa.array(base[part] + first + ends - sizes)
+                    if digest:
+                        raw = ids.astype("<u4")
+                        crc = [zlib.crc32(raw[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), starts, pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    else:
+                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), starts, lists], ["doc_id", "start", "ids"])
+                begin = end
+
+    return blocks.select("part", "first", "n_ids", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" if digest else "doc_id long, start long, ids array<int>")
 
 
 def op7_token_binary(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, int64, materialise, mix, sieved, text_views, words
+from .common import PLAIN_WORD, int64, materialise, mix, quoted, sieved, text_views, words
 from .components import components
 
 PLACES = 128
@@ -292,4 +292,4 @@ def op1_minhash_dedup(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of the smallest doc_id of each group, and those without words, with the columns of ``docs``."""
     gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))

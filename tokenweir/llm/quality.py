@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -123,7 +123,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``."""
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    marked = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("text"))
     return apply_rules(marked, rules).where("kept").select("row.*")
 
 
