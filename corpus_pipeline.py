@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenweir.llm import decontam, linededup, minhash, packing, quality
-from tokenweir.llm.common import adopt, collecting, drop, materialise, table
+from tokenweir.llm.common import adopt, collecting, drop, materialise, quoted, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Folders of the intermediate tables of the stages run so far.
@@ -41,7 +41,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document whose every line stands in an earlier one goes. n_chars follows the text."""
     # other columns go as one, so that none can clash
-    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__0"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__0"), *[quoted(c) for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
     out = linededup.dedup_lines(rows).where((F.col("n_removed") <= 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     now = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[now.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
