@@ -1,6 +1,7 @@
 import datetime
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +11,8 @@ from tokenweir.functions import scalars as S
 from tokenweir.functions import tokenizers as T
 from tokenweir.operators import chat, decoding, losses, metrics, packing, splits, validation
 from tokenweir.sources import token_shards
-from tokenweir.streaming import ingest
+from tokenweir.session import collecting, drop, materialise, scope, scratch
+from tokenweir.streaming import ingest, reports
 
 
 def shards(spark, *ranges):
@@ -199,12 +201,183 @@ def test_paired_shards(spark, tmp_path):
         spark.read.format("token_shards").option("paired", "true").load(path).collect()
 
 
+def test_runs_and_split_shards(spark, tmp_path, monkeypatch):
+    """A shard of many rows and several input partitions; runs hold the same ids as rows of one."""
+    token_shards.register(spark)
+    path = str(tmp_path / "r")
+    ids = np.random.default_rng(1).integers(0, 65_536, 150_000)
+    cuts = [0, 10, 10, 70_000, 149_999, 150_000]
+    rows = [(3, a, ids[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)] + [(4, 0, []), (5, 0, [7])]
+    df = packing.by_shard(spark.createDataFrame(rows, "shard int, first long, tokens array<int>").where("size(tokens) > 0 OR shard = 4"))
+    df.write.format("token_shards").option("path", path).mode("append").save()
+    assert np.fromfile(tmp_path / "r" / "shard_0003.bin", "<u2").tolist() == ids.tolist()
+    assert json.loads((tmp_path / "r" / "shard_0003_meta.json").read_text())["tokens"] == 150_000
+    monkeypatch.setattr(token_shards, "PARTITION_BYTES", 120_000)
+    parts = token_shards.Reader({"path": path}).partitions()
+    assert len(parts) == 3 and sum(x.high - x.low for p in parts for x in p.stretches) == 150_001
+    runs = spark.read.format("token_shards").option("runs", "true").load(path).orderBy("shard", "first").collect()
+    assert [t for r in runs if r["shard"] == 3 for t in r["tokens"]] == ids.tolist() and all(len(r["tokens"]) <= token_shards.RUN for r in runs)
+    assert {r["shard"] for r in runs} == {3, 5} and spark.read.format("token_shards").load(path).count() == 150_001
+    with pytest.raises(Exception, match="goes on at"):
+        spark.createDataFrame([(6, 0, [1]), (6, 5, [2])], "shard int, first long, tokens array<int>").coalesce(1).write.format("token_shards").option("path", path).mode("append").save()
+    with pytest.raises(Exception, match="do not come together"):
+        spark.createDataFrame([(6, [1]), (7, [2]), (6, [2])], "shard int, tokens array<int>").coalesce(1).write.format("token_shards").option("path", path).mode("append").save()
+    with pytest.raises(ValueError, match="mounted"):
+        token_shards.local("s3a://bucket/x")
+
+
+def test_paired_set_for_publication(spark, tmp_path):
+    token_shards.register(spark)
+    path, columns = str(tmp_path / "q"), "shard int, tokens array<int>, targets array<int>"
+    spark.createDataFrame([(k, [1, 2, 3, 4], [-1, 2, 3, 4]) for k in range(2)], columns).write.format("token_shards").option("path", path).mode("append").save()
+    state = {"next_shard": 2, "shard_size_tokens": 4, "max_shards": 2, "committed_tokens": 8}
+    validation.check_set(spark, path, state, publish=True, paired=True)
+    with pytest.raises(ValueError, match="incomplete"):
+        validation.check_set(spark, path, state | {"next_shard": 1}, publish=True, paired=True)
+    (tmp_path / "q" / "shard_0001_targets.bin").write_bytes(b"xx")
+    with pytest.raises(ValueError, match="0001: targets shard has an invalid size"):
+        validation.check_set(spark, path, state, publish=True, paired=True)
+    (tmp_path / "q" / "shard_0000_inputs.bin").unlink()
+    with pytest.raises(ValueError, match="0000: inputs shard is missing"):
+        validation.check_set(spark, path, state, paired=True)
+
+
+def test_checkpoint_config(spark, tmp_path):
+    defaults, path = {"n_layer": 12, "n_head": 8}, tmp_path / "training_state.json"
+    path.write_text(json.dumps({"step": 12, "model_config": {"n_layer": 4}}))
+    config, state = validation.checkpoint_config(spark, str(tmp_path), defaults)
+    assert config == {"n_layer": 4, "n_head": 8} and state["step"] == 12
+    path.write_text(json.dumps({"step": 12}))
+    with pytest.warns(RuntimeWarning, match="no saved model_config"):
+        assert validation.checkpoint_config(spark, str(tmp_path), defaults)[0] == defaults
+    path.write_text(json.dumps({"model_config": {"n_layers": 4}}))
+    with pytest.raises(ValueError, match="n_layers"):
+        validation.checkpoint_config(spark, str(tmp_path), defaults)
+
+
+def test_bounds_and_divisibility():
+    assert S.task_names(" arc_easy,hellaswag,arc_easy, ") == ["arc_easy", "hellaswag"]
+    with pytest.raises(ValueError, match="at least one"):
+        S.task_names(" , ")
+    for target, start in ((0, 0), (-1, 0), (10, -1), (10, 11)):
+        with pytest.raises(ValueError):
+            metrics.check_bounds(target, start)
+    metrics.check_bounds(10, 10)
+    splits.check_split(1, 1)
+    for train, dev in ((0, 1), (1, 0)):
+        with pytest.raises(ValueError, match="too little"):
+            splits.check_split(train, dev)
+    splits.check_accumulation(8, 4)
+    with pytest.raises(ValueError, match="divisible"):
+        splits.check_accumulation(9, 4)
+
+
+def test_vocabulary_and_special_ids(spark):
+    assert T.special_ids(5) == {"eos": 5, "bos": None, "pad": 5, "im_start": 0, "im_end": 0}
+    assert T.special_ids(5, 6, 7, 8, 9) == {"eos": 5, "bos": 7, "pad": 6, "im_start": 8, "im_end": 9}
+    for size, eos in ((None, 1), (70_000, 1), (100, None)):
+        with pytest.raises(ValueError):
+            T.check_vocabulary(size, eos)
+    assert spark.range(1).select(S.shard_name("chat", F.col("id"))).first()[0] == "chat_0000"
+
+
+def test_bpe_counts_equal_the_library(spark, data):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tokenweir.plans import catalog
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r["doc_id"]: len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in catalog.QUERIES["bpe_token_counts"](spark, data).collect()} == want
+
+
+def test_ranks_and_random_split(spark):
+    rows = spark.range(300).withColumnRenamed("id", "window").withColumn("more", F.lit("x"))
+    got = splits.random_split(rows, 25, 42)
+    assert got.columns == ["window", "more", "split"] and got.where("split = 'dev'").count() == 25 and got.count() == 300
+
+
+def test_rolling_rate_equals_a_scan(spark):
+    rng = np.random.default_rng(2)
+    rows, seq = [], 0
+    for run in range(4):
+        total = 0
+        for _ in range(120):
+            seq, total = seq + 1, max(0, total + int(rng.integers(-1, 6)))
+            rows.append((run, seq, int(rng.integers(0, 3000)) if run else seq * 37, total))
+    got = {r["seq"]: r["rate"] for r in metrics.rolling_rate(spark.createDataFrame(rows, "run long, seq long, t long, total long"), "run", "seq", "t", "total", 500).collect()}
+    for run in range(4):
+        own, segment, before = [r for r in rows if r[0] == run], [], None
+        for r in own:
+            segment.append(segment[-1] + (r[3] < before[3]) if segment else 0)
+            before = r
+        for k, (_, seq, t, u) in enumerate(own):
+            same = [i for i in range(len(own)) if segment[i] == segment[k]]
+            first = min(i for i in same if t - 500 <= own[i][2] <= t)
+            first = max([i for i in same if i < k], default=first) if first == k else first
+            passed = (t - own[first][2]) / 1000
+            assert got[seq] == pytest.approx(max(0.0, (u - own[first][3]) / passed) if passed > 0 else 0.0)
+
+
+def test_reports(spark, tmp_path):
+    path = str(tmp_path / "nested" / "results.json")
+    for value in (0.25, 0.5):
+        reports.write_report(spark, path, reports.evaluation_results({"results": {"arc_easy": {"acc,none": value, "at": datetime.date(2026, 1, 2)}}, "ignored": 1}))
+    assert json.loads((tmp_path / "nested" / "results.json").read_text()) == {"arc_easy": {"acc,none": 0.5, "at": "2026-01-02"}}
+    assert not [p for p in (tmp_path / "nested").iterdir() if p.name.endswith(".tmp")]
+
+
+def test_run_identity():
+    now = datetime.datetime(2026, 1, 2, 3, 4, 5)
+    assert reports.run_identity({"run_id": "a", "run_name": "b"}, "sft", "continue", now) == {"id": "a", "resume": "must", "name": "b"}
+    assert reports.run_identity({"run_id": "a"}, "sft", "fresh", now) == {"name": "20260102-030405-sft", "resume": "never"}
+    assert reports.run_identity(None, "pretrain", "continue", now) == {"name": "20260102-030405-pretrain", "resume": "allow"}
+
+
+def test_progress_listener(spark, tmp_path):
+    spark.range(30).write.parquet(str(tmp_path / "in"))
+    seen = reports.Progress()
+    spark.streams.addListener(seen)
+    try:
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if seen.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    assert sum(n for _, _, n, _ in seen.seen) == 30 and len(seen.ended) == 1
+
+
+def test_scopes_own_their_tables(spark):
+    """A scope drops its own tables and no others; nothing of it is left."""
+    import os
+
+    kept = materialise(spark.range(5), "kept")
+    with scope(spark) as own:
+        lost = materialise(spark.range(6), "lost")
+        assert lost.count() == 6
+        folder = token_shards.local(own[0])
+        inner: list[str] = []
+        with collecting(inner):
+            other = materialise(spark.range(7), "other")
+            scratch(spark, "never-written")
+    assert not os.path.exists(folder) and kept.count() == 5 and other.count() == 7 and len(inner) == 2
+    drop(spark, inner)
+    assert inner == [] and kept.count() == 5
+
+
 def test_state_checks():
     good = {"schema_version": 1, "shard_size_tokens": 8, "max_shards": 2, "pending_tokens": 4, "next_shard": 2, "committed_tokens": 16}
     validation.check_state(good, {"max_shards": 2}, True, 4)
     for state, expected, outputs, pending, said in ((None, {}, True, None, "without"), (good | {"schema_version": 999}, {}, True, 4, "version"), (good, {"max_shards": 3}, True, 4, "mismatch"), (good, {}, True, None, "missing")):
         with pytest.raises(ValueError, match=said):
             validation.check_state(state, expected, outputs, pending)
+    validation.check_state(good, {}, True, (4, 4))
+    with pytest.raises(ValueError, match="missing"):
+        validation.check_state(good, {}, True, (4, 3))
     assert validation.is_complete(good) and not validation.is_complete(good | {"max_shards": 3}) and not validation.is_complete(good | {"max_shards": None})
 
 

@@ -15,15 +15,22 @@ def rolling_rate(samples: DataFrame, run: str, seq: str, t_ms: str, total: str,
     order = Window.partitionBy(run).orderBy(seq)
     fell = F.when(F.col(total) < F.lag(total).over(order), 1).otherwise(0)
     cut = samples.withColumn("__segment", F.sum(fell).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy(run, "__segment").orderBy(t_ms).rangeBetween(-window_ms, 0)
-    last = Window.partitionBy(run, "__segment").orderBy(seq)
     sample = F.struct(F.col(seq).alias("seq"), F.col(t_ms).alias("t"), F.col(total).alias("u"))
-    first = F.min(sample).over(own)
-    cut = cut.withColumn("__first", first).withColumn("__before", F.lag(sample).over(last))
+    cut = cut.withColumn("__sample", sample).withColumn("__before", F.lag(sample).over(Window.partitionBy(run, "__segment").orderBy(seq)))
+    # a window of w reaches over the end of one bucket of w and the front of the next: the least sample of each comes from one pass
+    # over the bucket, so that the work does not grow with the samples of a window
+    bucket, names = F.floor(F.col(t_ms) / window_ms), samples.columns
+    front = Window.partitionBy(run, "__segment", "__bucket").orderBy(t_ms).rangeBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("__bucket", bucket).withColumn("__front", F.min("__sample").over(front))
+    back = Window.partitionBy(run, "__segment", "__bucket").orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, 0)
+    held = cut.select(run, "__segment", "__bucket", F.col(t_ms).alias("__at"), "__sample", F.lit(None).cast(cut.select(F.struct(*names, "__front", "__before").alias("r")).schema["r"].dataType).alias("__row"))
+    asked = cut.select(run, "__segment", (F.col("__bucket") - 1).alias("__bucket"), (F.col(t_ms) - window_ms).alias("__at"), F.lit(None).cast(held.schema["__sample"].dataType).alias("__sample"), F.struct(*names, "__front", "__before").alias("__row"))
+    met = held.unionByName(asked).withColumn("__back", F.min("__sample").over(back)).where("__row is not null")
+    cut = met.select("__row.*", "__back").withColumn("__first", F.least("__front", "__back"))
     anchor = F.when(F.col("__first.seq") == F.col(seq), F.coalesce("__before", "__first")).otherwise(F.col("__first"))
     cut = cut.withColumn("__anchor", anchor).withColumn("elapsed", (F.col(t_ms) - F.col("__anchor.t")) / 1000.0)
     rate = F.when(F.col("elapsed") > 0, F.greatest(F.lit(0.0), (F.col(total) - F.col("__anchor.u")) / F.col("elapsed"))).otherwise(0.0)
-    return cut.withColumn("rate", rate).drop("__segment", "__first", "__before", "__anchor")
+    return cut.withColumn("rate", rate).drop("__first", "__front", "__back", "__before", "__anchor")
 
 
 def eta(remaining, rate):
@@ -31,6 +38,14 @@ def eta(remaining, rate):
     return F.when(rate > 0, F.floor(remaining / rate)).otherwise(0).cast("long")
 
 
+def check_bounds(target: int, start: int = 0) -> None:
+    """A counter needs a positive target and a start up to it."""
+    if target <= 0:
+        raise ValueError("the target must be greater than zero")
+    if not 0 <= start <= target:
+        raise ValueError("the start must lie between zero and the target")
+
+
 def counter_violations(samples: DataFrame, run: str, seq: str, total: str, added: str) -> DataFrame:
     """Rows whose counter fell or does not grow by what was added."""
     before = F.coalesce(F.lag(total).over(Window.partitionBy(run).orderBy(seq)), F.lit(0))

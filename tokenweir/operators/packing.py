@@ -44,16 +44,24 @@ def shard_totals(offsets: DataFrame, size: int, length: int, max_shards: int | N
     return out if max_shards is None else out.where(F.col("shard") < max_shards)
 
 
-def chunks(docs: DataFrame, tokens: dict[str, Column], size: int) -> DataFrame:
-    """The token arrays of each shard, in lock-step for several columns.
-
-    A document is cut at the shards that it touches and its parts meet by shard: a row for each document and boundary, none
-    for a token. ``docs`` must have start and end."""
+def pieces(docs: DataFrame, tokens: dict[str, Column], size: int) -> DataFrame:
+    """(shard, first, and a token array for each of ``tokens``): what each document gives to each shard that it touches, and where
+    in the shard it begins. A row for each document and boundary, none for a token. ``docs`` must have start and end."""
     span = docs.withColumns(tokens).where(F.col("end") > F.col("start")).withColumn("shard", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
     low = F.greatest(F.col("start"), F.col("shard") * size)
     high = F.least(F.col("end"), (F.col("shard") + 1) * size)
     cut = {c: F.slice(F.col(c), (low - F.col("start") + 1).cast("int"), (high - low).cast("int")) for c in tokens}
-    parts = span.select("shard", F.struct(low.alias("at"), *[x.alias(c) for c, x in cut.items()]).alias("part"))
+    return span.select("shard", (low - F.col("shard") * size).alias("first"), *[x.alias(c) for c, x in cut.items()])
+
+
+def by_shard(parts: DataFrame) -> DataFrame:
+    """Pieces dealt out for the ``token_shards`` writer: those of a shard in one task, in order. No shard is ever one row."""
+    return parts.repartition("shard").sortWithinPartitions("shard", "first")
+
+
+def chunks(docs: DataFrame, tokens: dict[str, Column], size: int) -> DataFrame:
+    """The token arrays of each shard, in lock-step for several columns, for shards that fit in a row; ``pieces`` is for larger ones."""
+    parts = pieces(docs, tokens, size).select("shard", F.struct("first", *tokens).alias("part"))
     met = parts.groupBy("shard").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     return met.select("shard", *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in tokens])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packing import prefix_sum
+
 
 def shard_split(shards: DataFrame, ratio: float = 0.95) -> DataFrame:
     """The first min(n - 1, max(1, round half even)) shards train, the rest are for development."""
@@ -31,29 +33,55 @@ def hashed(seed: Column | int, index: Column) -> Column:
     return F.md5(F.concat_ws("-", F.lit(seed) if isinstance(seed, int) else seed, index))
 
 
+def ranked(rows: DataFrame, column: str, seed: int) -> DataFrame:
+    """Adds the ``rank`` from 0 in the order of a seeded hash of the column: ranges of hashes are counted, then ranked within."""
+    one = rows.withColumns({"__hash": hashed(seed, F.col(column)), "__one": F.lit(1).cast("long")})
+    return prefix_sum(one, ["__hash", column], "__one", "rank", "__to").drop("__hash", "__one", "__to")
+
+
 def random_split(windows: DataFrame, dev: int, seed: int = 42) -> DataFrame:
     """``dev`` windows chosen by a seeded hash."""
-    rank = F.row_number().over(Window.orderBy(hashed(seed, F.col("window")), "window"))
-    return windows.withColumn("split", F.when(rank <= dev, "dev").otherwise("train"))
+    return ranked(windows, "window", seed).withColumn("split", F.when(F.col("rank") < dev, "dev").otherwise("train")).drop("rank")
+
+
+def check_split(train: int, dev: int) -> None:
+    """Both sides of a split must hold a window."""
+    if not train or not dev:
+        raise ValueError("too little data for a split that shares no token: two shards or a longer file are needed")
+
+
+def check_accumulation(batches_per_epoch: int, accumulation: int) -> None:
+    """Exact resume needs epochs of whole steps."""
+    if accumulation < 1 or batches_per_epoch % accumulation:
+        raise ValueError("batches of an epoch must be divisible by the accumulation steps")
 
 
 def epoch_order(indices: DataFrame, seed: int, epoch: int) -> DataFrame:
     """(idx, rank): a permutation for each epoch, from hashes; ids move, token arrays do not."""
     if epoch < 0:
         raise ValueError("epoch must not be negative")
-    rank = F.row_number().over(Window.orderBy(hashed(seed + epoch, F.col("idx")), "idx")) - 1
-    return indices.select("idx", rank.cast("long").alias("rank"))
+    return ranked(indices.select("idx"), "idx", seed + epoch)
 
 
 def exact_order(spark, count: int, seed: int, epoch: int) -> DataFrame:
-    """The same from NumPy's generator, bit for bit; made on the driver, for counts that it can hold."""
+    """The same from NumPy's generator, bit for bit. Its shuffle is one sequence of draws, so one task makes it, with 8 bytes for
+    each index; ``epoch_order`` is for more."""
     import numpy as np
+    import pyarrow as pa
 
     if epoch < 0:
         raise ValueError("epoch must not be negative")
-    order = np.arange(count, dtype=np.int64)
-    np.random.default_rng(seed + epoch).shuffle(order)
-    return spark.createDataFrame([(int(i), r) for r, i in enumerate(order)], "idx long, rank long")
+
+    def run(batches):
+        for _ in batches:
+            pass
+        order = np.arange(count, dtype=np.int64)
+        np.random.default_rng(seed + epoch).shuffle(order)
+        for at in range(0, count, 1 << 16):
+            own = order[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.arange(at, at + len(own), dtype=np.int64))], ["idx", "rank"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "idx long, rank long")
 
 
 def batches(ranked: DataFrame, size: int, drop_last: bool) -> DataFrame:

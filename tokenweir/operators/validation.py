@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,34 +24,60 @@ def shard_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.regexp_extract(F.col("_metadata.file_path"), r"_(\d{4,})_meta\.json$", 1).cast("long").alias("shard"), "*")
 
 
-def violations(spark: SparkSession, files: DataFrame, meta: DataFrame, shards: int, size: int, width: int = 2, dtype: str = "uint16", revisions: dict[str, str] | None = None) -> DataFrame:
-    """(shard, problem) of each expected shard that is missing, of a wrong size, or described wrongly."""
-    want = spark.range(shards).withColumnRenamed("id", "shard")
-    met = want.join(files.select("shard", "length"), "shard", "left").join(meta.withColumn("described", F.lit(True)), "shard", "left")
-    wrong = (F.col("shard_index") != F.col("shard")) | (F.col("tokens") != size) | (F.coalesce("dtype", "inputs_dtype") != dtype)
-    for column, value in (revisions or {}).items():
+#: Of each kind of set: the files of a shard, by the end of their names, with the bytes of a token, and what describes their types.
+KINDS = {False: ({"": 2}, {"dtype": "uint16"}), True: ({"_inputs": 2, "_targets": 4}, {"inputs_dtype": "uint16", "targets_dtype": "int32"})}
+
+
+def violations(spark: SparkSession, files: DataFrame, meta: DataFrame, shards: int, size: int, paired: bool = False, revisions: dict[str, str] | None = None) -> DataFrame:
+    """(shard, problem) of each expected shard that is missing, of a wrong size, or described wrongly. A paired set has the two
+    files of inputs and targets for each shard; ``files`` then needs their names."""
+    ends, types = KINDS[paired]
+    met = spark.range(shards).withColumnRenamed("id", "shard")
+    problems = []
+    for end, width in ends.items():
+        column = f"length{end}"
+        own = files.where(F.col("name").endswith(f"{end}.bin")) if paired else files
+        met = met.join(own.select("shard", F.col("length").alias(column)), "shard", "left")
+        what = f"{end[1:]} shard" if end else "shard"
+        problems += [F.when(F.col(column).isNull(), f"{what} is missing"), F.when(F.col(column) != size * width, f"{what} has an invalid size")]
+    met = met.join(meta.withColumn("described", F.lit(True)), "shard", "left")
+    wrong = ~F.col("shard_index").eqNullSafe(F.col("shard")) | ~F.col("tokens").eqNullSafe(F.lit(size).cast("long"))
+    for column, value in {**types, **(revisions or {})}.items():
         wrong = wrong | ~F.col(column).eqNullSafe(F.lit(value))
-    problems = F.array(
-        F.when(F.col("length").isNull(), "shard is missing"),
-        F.when(F.col("length") != size * width, "shard has an invalid size"),
-        F.when(F.col("described").isNull(), "metadata is missing"),
-        F.when(F.col("described") & F.coalesce(wrong, F.lit(True)), "metadata is invalid"),
-    )
-    return met.select("shard", F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("problem"))
+    problems += [F.when(F.col("described").isNull(), "metadata is missing"), F.when(F.col("described") & wrong, "metadata is invalid")]
+    return met.select("shard", F.explode(F.filter(F.array(*problems), lambda p: p.isNotNull())).alias("problem"))
 
 
-def check_set(spark: SparkSession, folder: str, state: dict, publish: bool = False) -> None:
-    """Raise for the first violations of a folder's committed shards; for publication the set must be complete."""
+def check_set(spark: SparkSession, folder: str, state: dict, publish: bool = False, paired: bool = False) -> None:
+    """Raise for the first violations of a folder's committed shards; for publication the set must be complete and, if not paired, of the state's revisions."""
     if publish and isinstance(state.get("max_shards"), int) and not is_complete(state):
         raise ValueError("the set is incomplete")
-    revisions = {k: state[k] for k in ("dataset_revision", "tokenizer_revision") if k in state} if publish else None
-    found = violations(spark, shard_files(spark, folder), shard_metadata(spark, folder), state["next_shard"], state["shard_size_tokens"], revisions=revisions).orderBy("shard").limit(10).collect()
+    revisions = {k: state[k] for k in ("dataset_revision", "tokenizer_revision") if k in state} if publish and not paired else None
+    found = violations(spark, shard_files(spark, folder), shard_metadata(spark, folder), state["next_shard"], state["shard_size_tokens"], paired, revisions).orderBy("shard").limit(10).collect()
     if found:
         raise ValueError("; ".join(f"{r['shard']:04d}: {r['problem']}" for r in found))
 
 
-def check_state(state: dict | None, expected: dict, outputs: bool, pending: int | None) -> None:
-    """Resume only from a state of this version and configuration, whose pending tokens are there."""
+def checkpoint_config(spark: SparkSession, folder: str, defaults: dict) -> tuple[dict, dict]:
+    """(configuration, state) that a checkpoint's ``training_state.json`` holds, from any store that Spark reads. A checkpoint
+    of before configurations were saved has the defaults, with a warning; fields that the defaults do not know are refused."""
+    found = spark.read.option("wholetext", True).option("pathGlobFilter", "training_state.json").text(folder).collect()  # one small file
+    state = json.loads(found[0]["value"]) if found else {}
+    saved = state.get("model_config")
+    if saved is None:
+        warnings.warn("the checkpoint has no saved model_config; the defaults are used", RuntimeWarning, stacklevel=2)
+        return dict(defaults), state
+    unknown = sorted(set(saved) - set(defaults))
+    if unknown:
+        raise ValueError(f"model_config has unknown fields: {', '.join(unknown)}")
+    return {**defaults, **saved}, state
+
+
+def check_state(state: dict | None, expected: dict, outputs: bool, pending: int | tuple[int, ...] | None) -> None:
+    """Resume only from a state of this version and configuration, whose pending tokens are there; of a paired set the inputs
+    and the targets that are pending are counted, and must be as many."""
+    if isinstance(pending, tuple):
+        pending = pending[0] if len(set(pending)) == 1 else None
     if state is None:
         if outputs:
             raise ValueError("outputs exist without a resume state")

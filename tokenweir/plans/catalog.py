@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import tokenizers as T
 from ..operators import chat, decoding, losses, metrics, packing, splits
-from ..session import load
+from ..session import load, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,9 +91,25 @@ def shard_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.window_offsets(_totals(spark, sf_dir).select("shard", "windows"))
 
 
-@query(f"WITH {SHARDS_SQL}, o AS (SELECT shard, sum(windows) OVER (ORDER BY shard) - windows AS a, sum(windows) OVER (ORDER BY shard) AS b FROM win), i AS (SELECT unnest(range(-20, 400, 7)) AS idx), r AS (SELECT idx, CASE WHEN idx < 0 THEN idx + (SELECT max(b) FROM o) ELSE idx END AS j FROM i) SELECT idx, shard, (j - a)::BIGINT AS local FROM r JOIN o ON j >= a AND j < b")
+#: All windows of the documents, in a table of one row.
+COUNT_SQL = f"WITH {SHARDS_SQL}, n AS (SELECT coalesce(sum(windows), 0)::BIGINT AS n FROM win)"
+BATCH, ACCUMULATION = 16, 4
+
+
+def _window_total(spark: SparkSession, sf_dir: str) -> int:
+    return _totals(spark, sf_dir).agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+
+
+def _indices(spark: SparkSession, sf_dir: str, column: str = "idx") -> DataFrame:
+    return spark.range(_window_total(spark, sf_dir)).withColumnRenamed("id", column)
+
+
+@query(f"{COUNT_SQL}, o AS (SELECT shard, sum(windows) OVER (ORDER BY shard) - windows AS a, sum(windows) OVER (ORDER BY shard) AS b FROM win), i AS (SELECT unnest(range(-n, n)) AS idx FROM n), r AS (SELECT idx, CASE WHEN idx < 0 THEN idx + (SELECT max(b) FROM o) ELSE idx END AS j FROM i) SELECT idx, shard, (j - a)::BIGINT AS local FROM r JOIN o ON j >= a AND j < b")
 def window_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.locate(spark.range(-20, 400, 7).withColumnRenamed("id", "idx"), packing.window_offsets(_totals(spark, sf_dir).select("shard", "windows")))
+    """Every window by its index, from the front and from the end."""
+    offsets = packing.window_offsets(materialise(_totals(spark, sf_dir).select("shard", "windows"), "totals"))
+    n = offsets.agg(F.coalesce(F.max("end_window"), F.lit(0))).first()[0]
+    return packing.locate(spark.range(-n, n).withColumnRenamed("id", "idx"), offsets)
 
 
 @query(f"WITH {STREAM_SQL}, s AS (SELECT pos // {SHARD} AS shard, list(t ORDER BY pos) AS w FROM pos GROUP BY 1), k AS (SELECT *, unnest(range(0, greatest(0, floor((len(w) - {LENGTH + 1}) / {LENGTH})::BIGINT + 1))) AS \"window\" FROM s) SELECT shard, \"window\", md5(array_to_string(w[\"window\" * {LENGTH} + 1 : \"window\" * {LENGTH} + {LENGTH}], ' ')) AS x, md5(array_to_string(w[\"window\" * {LENGTH} + 2 : \"window\" * {LENGTH} + {LENGTH + 1}], ' ')) AS y FROM k")
@@ -110,6 +127,7 @@ def train_dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def single_shard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = _offsets(spark, sf_dir).agg(packing.window_count(F.max("end"), LENGTH, 64).alias("n")).first()["n"]
     train, dev = splits.window_split(total, LENGTH, 64)
+    splits.check_split(train, total - dev)
     w = F.col("window")
     return spark.range(total).withColumnRenamed("id", "window").where((w < train) | (w >= dev)).withColumn("split", F.when(w < train, "train").otherwise("dev"))
 
@@ -119,48 +137,64 @@ def sft_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.tail_split(_totals(spark, sf_dir).select("shard"), 0.05)
 
 
-@query("SELECT w AS \"window\", CASE WHEN row_number() OVER (ORDER BY md5('42-' || w), w) <= 25 THEN 'dev' ELSE 'train' END AS split FROM (SELECT unnest(range(0, 500)) AS w)")
+@query(f"{COUNT_SQL} SELECT w AS \"window\", CASE WHEN row_number() OVER (ORDER BY md5('42-' || w), w) <= greatest(1, n // 20) THEN 'dev' ELSE 'train' END AS split FROM (SELECT unnest(range(0, n)) AS w, n FROM n)")
 def sft_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.random_split(spark.range(500).withColumnRenamed("id", "window"), 25)
+    n = _window_total(spark, sf_dir)
+    return splits.random_split(spark.range(n).withColumnRenamed("id", "window"), max(1, n // 20))
 
 
-ORDER_SQL = f"SELECT idx, row_number() OVER (ORDER BY md5('{SEED + 3}-' || idx), idx) - 1 AS rank FROM (SELECT unnest(range(0, 1003)) AS idx)"
+ORDER_SQL = f"{COUNT_SQL}, i AS (SELECT unnest(range(0, n)) AS idx, n FROM n), r AS (SELECT idx, row_number() OVER (ORDER BY md5('{SEED + 3}-' || idx), idx) - 1 AS rank, n FROM i)"
 
 
-@query(ORDER_SQL)
+@query(f"{ORDER_SQL} SELECT idx, rank FROM r")
 def epoch_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.epoch_order(spark.range(1003).withColumnRenamed("id", "idx"), SEED, 3)
+    return splits.epoch_order(_indices(spark, sf_dir), SEED, 3)
 
 
 @query()
 def epoch_permutation_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.exact_order(spark, 1003, SEED, 3)
+    return splits.exact_order(spark, _window_total(spark, sf_dir), SEED, 3)
 
 
-@query(f"SELECT idx, rank, rank // 16 AS batch FROM ({ORDER_SQL}) WHERE rank // 16 < 1003 // 16")
+@query(f"{ORDER_SQL} SELECT idx, rank, rank // {BATCH} AS batch FROM r WHERE rank // {BATCH} < n // {BATCH}")
 def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.batches(epoch_permutation(spark, sf_dir), 16, drop_last=True)
+    return splits.batches(epoch_permutation(spark, sf_dir), BATCH, drop_last=True)
 
 
-@query("SELECT idx, idx AS rank, idx // 16 AS batch FROM (SELECT unnest(range(0, 1003)) AS idx)")
+@query(f"{COUNT_SQL} SELECT idx, idx AS rank, idx // {BATCH} AS batch FROM (SELECT unnest(range(0, n)) AS idx FROM n)")
 def dev_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.batches(spark.range(1003).select(F.col("id").alias("idx"), F.col("id").alias("rank")), 16, drop_last=False)
+    return splits.batches(_indices(spark, sf_dir).withColumn("rank", F.col("idx")), BATCH, drop_last=False)
+
 
+def _per_epoch(windows: int) -> int:
+    """Batches of an epoch that make whole steps."""
+    batches = max(ACCUMULATION, windows // BATCH // ACCUMULATION * ACCUMULATION)
+    splits.check_accumulation(batches, ACCUMULATION)
+    return batches
 
-@query("SELECT s AS step, (s * 4) // 62 AS epoch, (s * 4) % 62 AS batch FROM (SELECT unnest(range(0, 200)) AS s)")
+
+EPOCH_SQL = f"greatest({ACCUMULATION}, n // {BATCH} // {ACCUMULATION} * {ACCUMULATION})"
+
+
+@query(f"{COUNT_SQL}, e AS (SELECT {EPOCH_SQL} AS k FROM n), s AS (SELECT unnest(range(0, k)) AS s, k FROM e) SELECT s AS step, (s * {ACCUMULATION}) // k AS epoch, (s * {ACCUMULATION}) % k AS batch FROM s")
 def resume_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    epoch, batch = splits.data_position(F.col("id"), 4, 62)
-    return spark.range(200).select(F.col("id").alias("step"), epoch.alias("epoch"), batch.alias("batch"))
+    """Where each step of the first epochs goes on."""
+    n = _per_epoch(_window_total(spark, sf_dir))
+    epoch, batch = splits.data_position(F.col("id"), ACCUMULATION, n)
+    return spark.range(n).select(F.col("id").alias("step"), epoch.alias("epoch"), batch.alias("batch"))
 
 
-@query(f"SELECT idx, rank, rank // 16 AS batch FROM ({ORDER_SQL}) WHERE rank // 16 < 62 AND rank // 16 >= 38")
+@query(f"{ORDER_SQL} SELECT idx, rank, rank // {BATCH} AS batch FROM r WHERE rank // {BATCH} < n // {BATCH} AND rank // {BATCH} >= n // {BATCH} * 3 // 5")
 def resumed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train_batches(spark, sf_dir).where(F.col("batch") >= 38)
+    """What is left of an epoch three fifths through."""
+    done = _window_total(spark, sf_dir) // BATCH * 3 // 5
+    return train_batches(spark, sf_dir).where(F.col("batch") >= done)
 
 
-@query("SELECT e AS eval, s AS slot, (e * 20 + s) % 63 AS batch FROM (SELECT unnest(range(0, 30)) AS e), (SELECT unnest(range(0, 20)) AS s)")
+@query(f"{COUNT_SQL}, t AS (SELECT greatest(1, (n + {BATCH - 1}) // {BATCH}) AS t FROM n) SELECT e AS eval, s AS slot, (e * least(20, t) + s) % t AS batch FROM (SELECT unnest(range(0, t)) AS e, t FROM t) JOIN (SELECT unnest(range(0, 20)) AS s) ON s < t")
 def dev_cursor_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.dev_cursor(spark.range(30).withColumnRenamed("id", "eval"), 20, 63).select("eval", F.col("slot").cast("long").alias("slot"), "batch")
+    total = max(1, -(-_window_total(spark, sf_dir) // BATCH))
+    return splits.dev_cursor(spark.range(total).withColumnRenamed("id", "eval"), 20, total).select("eval", F.col("slot").cast("long").alias("slot"), "batch")
 
 
 TURNS_SQL = f"""
@@ -358,13 +392,10 @@ def task_accuracy_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses.accuracy_report(met.select(F.col("source").alias("task"), own.alias("metrics"))).withColumn("accuracy", F.round("accuracy", 9))
 
 
-LIST_SQL = "list_filter(list_transform(string_split(c, ','), lambda x: trim(x)), lambda x: x <> '')"
-
-
-@query(f"SELECT doc_id, array_to_string(list_filter({LIST_SQL}, lambda x, i: list_position({LIST_SQL}, x) = i), '|') AS tasks FROM (SELECT doc_id, replace(text[1:120], ' ', ',') AS c FROM documents WHERE text NOT LIKE '%\t%')")
+@query("WITH p AS (SELECT doc_id, string_split(replace(coalesce(text, ''), ' ', ','), ',') AS p FROM documents), u AS (SELECT doc_id, trim(unnest(p)) AS x, generate_subscripts(p, 1) AS i FROM p), f AS (SELECT doc_id, x, min(i) AS i FROM u WHERE x <> '' GROUP BY doc_id, x), t AS (SELECT doc_id, string_agg(x, '|' ORDER BY i) AS tasks FROM f GROUP BY doc_id) SELECT p.doc_id, coalesce(tasks, '') AS tasks FROM p LEFT JOIN t ON p.doc_id = t.doc_id")
 def task_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents").where(~F.col("text").contains("\t"))
-    return d.select("doc_id", F.array_join(S.parse_list(F.replace(F.substring("text", 1, 120), F.lit(" "), F.lit(","))), "|").alias("tasks"))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(","))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(S.parse_list(text), "|").alias("tasks"))
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5")
@@ -447,16 +478,17 @@ def optimizer_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("name", S.optimizer_group(F.col("name"), F.col("ndim")).alias("grp"))
 
 
-@query("SELECT 'union' AS op, source FROM (SELECT source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT 'except', source FROM (SELECT DISTINCT source FROM documents WHERE doc_id < 40 EXCEPT SELECT source FROM documents WHERE doc_id % 7 = 0 AND doc_id < 60) UNION ALL SELECT 'intersect', source FROM (SELECT source FROM documents WHERE doc_id < 30 INTERSECT SELECT source FROM documents WHERE doc_id % 5 = 0 AND doc_id < 200)")
+KEYS_SQL = "d AS (SELECT doc_id, source, source || '/' || lang AS key FROM documents), l AS (SELECT d.*, quality, toxic FROM d JOIN labels USING (doc_id))"
+
+
+@query(f"WITH {KEYS_SQL} SELECT 'union' AS op, key FROM (SELECT source AS key FROM d UNION ALL SELECT source FROM l) UNION ALL SELECT 'except', key FROM (SELECT DISTINCT key FROM d EXCEPT SELECT key FROM l WHERE toxic = 1) UNION ALL SELECT 'intersect', key FROM (SELECT key FROM l WHERE quality = 1 INTERSECT SELECT key FROM l WHERE toxic = 1)")
 def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, i = load(spark, sf_dir, "documents").select("doc_id", "source"), F.col("doc_id")
-    of = lambda c: d.where(c).select("source")
-    parts = {"union": of(i % 2 == 0).unionByName(of(i % 3 == 0)), "except": of(i < 40).subtract(of((i % 7 == 0) & (i < 60))), "intersect": of(i < 30).intersect(of((i % 5 == 0) & (i < 200)))}
-    out = None
-    for name, part in parts.items():
-        part = part.select(F.lit(name).alias("op"), "source")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Sources and languages of all documents against those of labelled ones."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", F.concat("source", F.lit("/"), "lang").alias("key"))
+    found = d.join(load(spark, sf_dir, "labels"), "doc_id")
+    toxic, good, source = found.where("toxic = 1").select("key"), found.where("quality = 1").select("key"), F.col("source").alias("key")
+    parts = {"union": d.select(source).unionByName(found.select(source)), "except": d.select("key").subtract(toxic), "intersect": good.intersect(toxic)}
+    return reduce(DataFrame.unionByName, [part.select(F.lit(name).alias("op"), "key") for name, part in parts.items()])
 
 
 from . import storage  # noqa: E402,F401  registers the queries of files and streams

@@ -11,36 +11,47 @@ from pyspark.sql import functions as F
 
 from ..functions import tokenizers as T
 from ..operators import packing, validation
-from ..session import load, scratch
+from ..session import load, materialise, scratch
 from ..sources import token_shards
-from ..streaming import ingest
+from ..streaming import ingest, reports
 from . import catalog
 from .catalog import SHARD, query
 
 EOS = T.BYTE_SPECIALS[T.EOS]
 BYTES_SQL = f"WITH n AS (SELECT sum(strlen(coalesce(text, '')) + 1)::BIGINT AS t FROM documents), s AS (SELECT unnest(range(0, t // {SHARD})) AS shard FROM n)"
+#: The stream of ids, a row each: the bytes of every text, then the end id.
+IDS_SQL = f"""
+b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT *, sum(n + 1) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n - 1 AS start FROM b),
+u AS (SELECT start, n, h, unnest(range(0, n + 1)) AS i FROM o),
+i AS (SELECT (start + i) // {SHARD} AS shard, (start + i) % {SHARD} AS pos, CASE WHEN i = n THEN {EOS} ELSE ('0x' || substr(h, 2 * i + 1, 2))::INT END AS tok FROM u)
+"""
 
 
 def _byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all full shards."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     sizes = docs.select("doc_id", (T.byte_count(F.col("text")) + 1).alias("n"))
-    placed = docs.join(packing.prefix_sum(sizes, ["doc_id"], "n"), "doc_id")
-    cut = packing.chunks(placed, {"tokens": T.with_eos(T.byte_ids(F.col("text")), F.lit(EOS))}, SHARD)
-    return cut.where(F.size("tokens") == SHARD).select(F.col("shard").cast("int").alias("shard"), "tokens")
+    offsets = packing.prefix_sum(sizes, ["doc_id"], "n")
+    full = offsets.agg(F.coalesce(F.floor(F.max("end") / SHARD), F.lit(0)).alias("n")).first()["n"]
+    cut = packing.pieces(docs.join(offsets, "doc_id"), {"tokens": T.with_eos(T.byte_ids(F.col("text")), F.lit(EOS))}, SHARD)
+    return cut.where(F.col("shard") < full).select(F.col("shard").cast("int").alias("shard"), "first", "tokens")
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
     token_shards.register(spark)
     folder = scratch(spark, "shards")
-    _byte_shards(spark, sf_dir).write.format("token_shards").option("path", folder).mode("append").save()
+    packing.by_shard(_byte_shards(spark, sf_dir)).write.format("token_shards").option("path", folder).mode("append").save()
     return folder
 
 
-@query(BYTES_SQL + f" SELECT shard::INT AS shard, {SHARD}::BIGINT AS n, 0::BIGINT AS first, {SHARD - 1}::BIGINT AS last FROM s")
+@query(f"{BYTES_SQL}, {IDS_SQL} SELECT shard::INT AS shard, count(*) AS n, min(pos)::BIGINT AS first, max(pos)::BIGINT AS last, sum(tok * (pos % 1009 + 1))::BIGINT AS checksum FROM i JOIN s USING (shard) GROUP BY shard")
 def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards written as files and read back."""
-    read = spark.read.format("token_shards").load(_written(spark, sf_dir))
-    return read.groupBy("shard").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    """Shards written as files and read back in runs; the checksum is one of ids and their places."""
+    read = spark.read.format("token_shards").option("runs", "true").load(_written(spark, sf_dir))
+    own = F.aggregate(F.transform("tokens", lambda t, i: t * ((F.col("first") + i) % 1009 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    runs = read.select("shard", F.col("first").alias("low"), F.size("tokens").cast("long").alias("size"), own.alias("own"))
+    return runs.groupBy("shard").agg(F.sum("size").alias("n"), F.min("low").alias("first"), F.max(F.col("low") + F.col("size") - 1).alias("last"), F.sum("own").alias("checksum"))
 
 
 @query(BYTES_SQL + f" SELECT shard, {2 * SHARD}::BIGINT AS length, {SHARD}::BIGINT AS tokens, 'uint16' AS dtype FROM s")
@@ -65,12 +76,97 @@ def key_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.check_keys(keys, ["transformer.wte.weight", "lm_head.weight", "transformer.h.9.bias"], ("transformer.wte.weight", "lm_head.weight"))
 
 
+def _paired(spark: SparkSession, sf_dir: str) -> str:
+    """The conversations as full paired shards."""
+    token_shards.register(spark)
+    ids = materialise(catalog._chat_ids(spark, sf_dir), "chat")
+    offsets = packing.prefix_sum(ids.select("conv_id", F.size("inputs").cast("long").alias("n")), ["conv_id"], "n")
+    full = offsets.agg(F.coalesce(F.floor(F.max("end") / SHARD), F.lit(0)).alias("n")).first()["n"]
+    cut = packing.pieces(offsets.join(ids, "conv_id"), {"inputs": F.col("inputs"), "targets": F.col("targets")}, SHARD)
+    cut = cut.where(F.col("shard") < full).select(F.col("shard").cast("int").alias("shard"), "first", F.col("inputs").alias("tokens"), "targets")
+    folder = scratch(spark, "paired")
+    packing.by_shard(cut).write.format("token_shards").option("path", folder).option("prefix", "chat").mode("append").save()
+    return folder
+
+
+@query(catalog.ORACLES["sft_shard_loss_ratio"])
+def paired_shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired shards written as files, checked as for publication, and what describes them."""
+    folder = _paired(spark, sf_dir)
+    meta = validation.shard_metadata(spark, folder)
+    n = meta.count()
+    validation.check_set(spark, folder, {"next_shard": n, "shard_size_tokens": SHARD, "max_shards": n, "committed_tokens": n * SHARD}, publish=True, paired=True)
+    return meta.select("shard", "tokens", "loss_tokens", "loss_token_ratio")
+
+
+@query(f"{BYTES_SQL} SELECT count(*) AS files, (count(*) * {2 * SHARD})::BIGINT AS bytes FROM s")
+def shard_set_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of a set, from the listing alone."""
+    return validation.shard_files(spark, _written(spark, sf_dir)).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 @query()
 def bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    encode = T.bpe_ids(public_tokenizers.path("word_bpe_49k.json"))
-    return load(spark, sf_dir, "documents").select("doc_id", F.size(encode(F.col("text"))).cast("long").alias("n_tokens"))
+    count = T.bpe_count(public_tokenizers.path("word_bpe_49k.json"))
+    return load(spark, sf_dir, "documents").select("doc_id", count(F.col("text")).alias("n_tokens"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
+def bpe_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts through the ids of a byte-level vocabulary and back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = load(spark, sf_dir, "documents").select("doc_id", T.bpe_ids(path)(F.col("text")).alias("ids"))
+    return ids.select("doc_id", F.md5(T.bpe_text(path)(F.col("ids"))).alias("digest"))
+
+
+@query("SELECT conv_id, turn, role, strlen(coalesce(text, ''))::BIGINT AS n_bytes, turn % 2 = 0 AS even FROM conversations")
+def json_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines of JSON and back."""
+    turns = load(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct("conv_id", "turn", F.struct("role", "text").alias("message"), (F.col("turn") % 2 == 0).alias("even")))
+    kind = "conv_id long, turn long, message struct<role:string,text:string>, even boolean"
+    back = turns.select(F.from_json(line, kind).alias("j"))
+    types = dict(turns.dtypes)
+    return back.select(*[F.col(f"j.{c}").cast(types[c]).alias(c) for c in ("conv_id", "turn")], "j.message.role", F.octet_length(F.coalesce("j.message.text", F.lit(""))).cast("long").alias("n_bytes"), "j.even")
+
+
+@query(catalog.ORACLES["validation_perplexity"])
+def validation_report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation report as a file, and what it says."""
+    path = f"{scratch(spark, 'report')}/validation.json"
+    rows = catalog.validation_perplexity(spark, sf_dir).collect()  # a row for each kind of run
+    reports.write_report(spark, path, [r.asDict() for r in rows])
+    return spark.read.schema("kind string, loss double, tokens long, perplexity double").option("multiLine", True).json(path)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    base = scratch(spark, "events")
+    events = load(spark, sf_dir, "events")
+    events.write.parquet(f"{base}/in")
+    return base, spark.readStream.schema(events.schema).parquet(f"{base}/in")
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last, count(DISTINCT user_id) AS runs FROM events GROUP BY event_type")
+def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream into a JSON log of metrics by kind, and the log read back."""
+    base, stream = _event_stream(spark, sf_dir)
+    reports.log_metrics(stream.select("event_type", "event_id", "user_id", "value"), f"{base}/log", f"{base}/checkpoint", ["event_type"]).awaitTermination()
+    log = spark.read.schema("event_id long, user_id long, value double, event_type string").json(f"{base}/log")
+    return log.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.countDistinct("user_id").alias("runs"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 70 MINUTE <= (SELECT max(ts) FROM events)")
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time windows of a stream: those that the watermark has closed, once each."""
+    base, stream = _event_stream(spark, sf_dir)
+    closed = ingest.windowed_counts(stream).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    closed.writeStream.format("parquet").option("path", f"{base}/windows").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    out = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{base}/windows")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query(f"SELECT count(*) // 1 AS documents, (sum(strlen(coalesce(text, '')) + 1) // {SHARD})::BIGINT AS shards, (sum(strlen(coalesce(text, '')) + 1) % {SHARD})::BIGINT AS pending FROM documents")

@@ -1,10 +1,13 @@
 """Token shards as files: headerless little-endian uint16 ids (inputs) beside int32 targets, with a JSON description each.
 
-``spark.read.format("token_shards")`` reads a folder of memory-mapped files, small shards together in an input partition;
-``df.write.format("token_shards")`` writes a shard for each row of (shard, tokens[, targets]). A shard is written under a
-name of its own attempt and renamed when the job commits, so a failed or repeated task leaves no half file under a final
-name; readers skip names that start with a dot, and the next job sweeps them. The folder must be one that driver and
-executors share as a file system.
+``spark.read.format("token_shards")`` reads a folder of memory-mapped files, small shards together in an input partition and
+large ones cut into several: rows of (shard, pos, tok[, target]), or with the option ``runs`` rows of (shard, first,
+tokens[, targets]) of RUN tokens at most, which is what to read at scale. ``df.write.format("token_shards")`` takes rows of
+(shard, tokens[, targets]); a shard may be many rows, which are to come to one task in their order (``packing.by_shard``) and
+are appended as they come, so that a shard of any size is written with little memory. If there is a column ``first`` it is
+checked against what has been written. A shard is written under a name of its own attempt and renamed when the job commits,
+so a failed or repeated task leaves no half file under a final name; readers skip names that start with a dot, and the next
+job sweeps them. The folder must be one that driver and executors share as a file system: a path of another kind is refused.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 IDS, TARGETS = "<u2", "<i4"
-ROWS = 1 << 16
+RUN = 1 << 16
 
 
 def local(path: str) -> Path:
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", path) and not path.startswith("file:"):
+        raise ValueError(f"token shards need a folder that is mounted on every host, not {path}")
     return Path(re.sub(r"^file:/*", "/", path))
 
 
@@ -65,25 +71,32 @@ def discover(folder: str, paired: bool = False) -> list[Path]:
     return found
 
 
-#: Small shards share an input partition up to about so many bytes.
+#: Bytes of an input partition at most: small shards share one, a large shard has several.
 PARTITION_BYTES = 8 << 20
 
 
 @dataclass
-class Shard:
+class Stretch:
+    """Tokens [low, high) of a shard's files."""
+
     index: int
     path: str
-    paired: bool
+    low: int
+    high: int
 
 
 @dataclass
-class Shards(InputPartition):
-    shards: list[Shard]
+class Stretches(InputPartition):
+    stretches: list[Stretch]
+
+
+def _mapped(path: str, kind: str) -> np.ndarray:
+    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.paired = options["path"], options.get("paired", "false").lower() == "true"
+        self.path, self.paired, self.runs = options["path"], *(options.get(k, "false").lower() == "true" for k in ("paired", "runs"))
         self.wanted: set[int] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -98,41 +111,44 @@ class Reader(DataSourceReader):
                 continue
             self.wanted = own if self.wanted is None else self.wanted & own
 
-    def partitions(self) -> list[Shards]:
-        shards = []
+    def partitions(self) -> list[Stretches]:
+        width = np.dtype(IDS).itemsize
+        most = PARTITION_BYTES // width
+        out: list[Stretches] = []
+        room = 0
         for k, p in enumerate(discover(self.path, self.paired)):
             m = re.search(r"_(\d{4,})(?:_inputs)?\.bin$", p.name)
-            shards.append(Shard(int(m[1]) if m else k, str(p), self.paired))
-        out: list[Shards] = []
-        room = 0
-        for s in shards:
-            if self.wanted is None or s.index in self.wanted:
-                size = os.path.getsize(s.path)
-                if not out or size > room:
-                    out.append(Shards([]))
-                    room = PARTITION_BYTES
-                out[-1].shards.append(s)
-                room -= size
+            index, n = int(m[1]) if m else k, os.path.getsize(p) // width
+            if self.wanted is not None and index not in self.wanted:
+                continue
+            for low in range(0, max(n, 1), most):
+                own = Stretch(index, str(p), low, min(n, low + most))
+                if not out or own.high - low > room:
+                    out.append(Stretches([]))
+                    room = most
+                out[-1].stretches.append(own)
+                room -= own.high - low
         return out
 
-    def read(self, partition: Shards) -> Iterator[pa.RecordBatch]:
-        for shard in partition.shards:
-            yield from self._read(shard)
-
-    def _read(self, shard: Shard) -> Iterator[pa.RecordBatch]:
-        inputs = np.memmap(shard.path, IDS, "r") if os.path.getsize(shard.path) else np.zeros(0, IDS)
-        targets = None
-        if shard.paired:
-            other = shard.path.removesuffix("_inputs.bin") + "_targets.bin"
-            targets = np.memmap(other, TARGETS, "r") if os.path.getsize(other) else np.zeros(0, TARGETS)
-            if len(inputs) != len(targets):
-                raise ValueError(f"Mismatch: {len(inputs)} inputs and {len(targets)} targets in {shard.path}")
-        for at in range(0, len(inputs), ROWS):
-            n = min(ROWS, len(inputs) - at)
-            columns = [pa.array(np.full(n, shard.index, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64)), pa.array(np.asarray(inputs[at : at + n]).astype(np.int32))]
-            if targets is not None:
-                columns.append(pa.array(np.asarray(targets[at : at + n]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "pos", "tok", "target"][: len(columns)])
+    def read(self, partition: Stretches) -> Iterator[pa.RecordBatch]:
+        for own in partition.stretches:
+            yield from self._read(own)
+
+    def _read(self, own: Stretch) -> Iterator[pa.RecordBatch]:
+        columns = [_mapped(own.path, IDS)]
+        if self.paired:
+            columns.append(_mapped(own.path.removesuffix("_inputs.bin") + "_targets.bin", TARGETS))
+            if len(columns[0]) != len(columns[1]):
+                raise ValueError(f"Mismatch: {len(columns[0])} inputs and {len(columns[1])} targets in {own.path}")
+        for at in range(own.low, own.high, RUN):
+            n = min(RUN, own.high - at)
+            values = [pa.array(np.asarray(c[at : at + n]).astype(np.int32)) for c in columns]
+            if self.runs:
+                lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), v) for v in values]
+                yield pa.RecordBatch.from_arrays([pa.array([own.index], pa.int32()), pa.array([at], pa.int64()), *lists], ["shard", "first", "tokens", "targets"][: 2 + len(lists)])
+            else:
+                at_each = [pa.array(np.full(n, own.index, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays([*at_each, *values], ["shard", "pos", "tok", "target"][: 2 + len(values)])
 
 
 @dataclass
@@ -157,35 +173,53 @@ class Writer(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         root, attempt = local(self.path), uuid.uuid4().hex
-        out = Written([], [])
-
-        def put(name: str, values: np.ndarray) -> None:
-            beside = root / f".{name}.{self.job}.{attempt}.tmp"
-            with beside.open("wb") as f:
-                values.tofile(f)
+        out, done = Written([], []), set()
+        now: int | None = None
+        files: dict[str, IO[bytes]] = {}
+        n = active = 0
+
+        def finish() -> None:
+            if now is None:
+                return
+            name = f"{self.prefix}_{now:04d}"
+            for final, f in files.items():
                 f.flush()
                 os.fsync(f.fileno())
-            out.moves.append((str(beside), str(root / name)))
+                f.close()
+                out.moves.append((f.name, str(root / final)))
+            about = {"shard_index": now, "tokens": n, **self.about}
+            kinds = {"loss_tokens": active, "loss_token_ratio": round(active / max(1, n), 4), "inputs_dtype": "uint16", "targets_dtype": "int32"} if self.paired else {"dtype": "uint16"}
+            out.described.append((str(root / f"{name}_meta.json"), about | kinds))
+            files.clear()
+            done.add(now)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.array(row["tokens"], np.int64)
-                if len(ids) and (ids.min() < 0 or ids.max() > 65_535):
+            ids, targets = batch.column("tokens"), batch.column("targets") if self.paired else None
+            firsts = batch.column("first").to_pylist() if "first" in batch.schema.names else None
+            for k, shard in enumerate(batch.column("shard").to_pylist()):
+                if shard != now:
+                    finish()
+                    if shard in done:
+                        raise ValueError(f"the rows of shard {shard} do not come together")
+                    now, n, active = shard, 0, 0
+                    names = [f"{self.prefix}_{shard:04d}{x}.bin" for x in (("_inputs", "_targets") if self.paired else ("",))]
+                    files |= {x: (root / f".{x}.{self.job}.{attempt}.tmp").open("wb") for x in names}
+                if firsts is not None and firsts[k] != n:
+                    raise ValueError(f"shard {shard} goes on at {firsts[k]} after {n} tokens")
+                own = ids[k].values.to_numpy(zero_copy_only=False) if ids[k].is_valid else np.zeros(0, np.int64)
+                if len(own) and (own.min() < 0 or own.max() > 65_535):
                     raise ValueError("a token id does not fit in 16 bits")
-                name = f"{self.prefix}_{row['shard']:04d}"
-                about = {"shard_index": int(row["shard"]), "tokens": len(ids), **self.about}
-                if self.paired:
-                    targets = np.array(row["targets"], np.int64)
-                    if len(targets) != len(ids):
+                columns = [own.astype(IDS)]
+                if targets is not None:
+                    aims = targets[k].values.to_numpy(zero_copy_only=False) if targets[k].is_valid else np.zeros(0, np.int64)
+                    if len(aims) != len(own):
                         raise ValueError("Mismatch: inputs and targets differ in length")
-                    put(f"{name}_inputs.bin", ids.astype(IDS))
-                    put(f"{name}_targets.bin", targets.astype(TARGETS))
-                    active = int((targets != -1).sum())
-                    about |= {"loss_tokens": active, "loss_token_ratio": round(active / max(1, len(ids)), 4), "inputs_dtype": "uint16", "targets_dtype": "int32"}
-                else:
-                    put(f"{name}.bin", ids.astype(IDS))
-                    about |= {"dtype": "uint16"}
-                out.described.append((str(root / f"{name}_meta.json"), about))
+                    active += int((aims != -1).sum())
+                    columns.append(aims.astype(TARGETS))
+                for f, values in zip(files.values(), columns, strict=True):
+                    f.write(values.tobytes())
+                n += len(own)
+        finish()
         return out
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -209,7 +243,10 @@ class TokenShards(DataSource):
         return "token_shards"
 
     def schema(self) -> str:
-        return "shard int, pos long, tok int" + (", target int" if self.options.get("paired", "false").lower() == "true" else "")
+        paired, runs = (self.options.get(k, "false").lower() == "true" for k in ("paired", "runs"))
+        if runs:
+            return "shard int, first long, tokens array<int>" + ", targets array<int>" * paired
+        return "shard int, pos long, tok int" + ", target int" * paired
 
     def reader(self, schema: StructType) -> Reader:
         return Reader(self.options)

@@ -10,12 +10,12 @@ from __future__ import annotations
 import json
 import shutil
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import packing, validation
+from ..session import materialise, scope
 from ..sources import token_shards
 
 
@@ -46,24 +46,25 @@ class PackingSink:
         docs = batch.select("doc_id", F.concat(self.ids(F.col("text")), F.array(F.lit(self.eos))).alias("tokens"))
         rows = docs.select(F.lit(1).alias("source"), F.col("doc_id"), "tokens")
         if state["pending_tokens"]:
-            rows = spark.read.parquet(str(self.root / state["pending"])).select(F.lit(0).alias("source"), F.lit(-1).cast("long").alias("doc_id"), "tokens").unionByName(rows)
-        placed = packing.prefix_sum(rows.withColumn("n", F.size("tokens").cast("long")), ["source", "doc_id"], "n")
-        cut = packing.chunks(placed, {"tokens": F.col("tokens")}, self.size).cache()
-        try:
+            # pending rows stand by their place before all documents
+            rows = spark.read.parquet(str(self.root / state["pending"])).select(F.lit(0).alias("source"), F.col("at").alias("doc_id"), "tokens").unionByName(rows)
+        with scope(spark):
+            rows = materialise(rows, "batch")
+            placed = packing.prefix_sum(rows.withColumn("n", F.size("tokens").cast("long")), ["source", "doc_id"], "n")
+            cut = packing.pieces(placed, {"tokens": F.col("tokens")}, self.size)
             totals = placed.agg(F.coalesce(F.max("end"), F.lit(0)).alias("t"), F.coalesce(F.sum("source"), F.lit(0)).alias("d")).first()
             full = totals["t"] // self.size
             if self.max_shards is not None:
                 full = min(full, self.max_shards - state["next_shard"])
             first = state["next_shard"]
             if full:
-                shards = cut.where(F.col("shard") < full).select((F.col("shard") + first).cast("int").alias("shard"), "tokens")
-                shards.write.format("token_shards").option("path", str(self.root)).mode("append").save()
+                shards = cut.where(F.col("shard") < full).select((F.col("shard") + first).cast("int").alias("shard"), "first", "tokens")
+                packing.by_shard(shards).write.format("token_shards").option("path", str(self.root)).mode("append").save()
             left = totals["t"] - full * self.size
             pending = f"pending-{batch_id:08d}.parquet"
             if left:
-                cut.where(F.col("shard") >= full).orderBy("shard").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("shard", "tokens"))), lambda x: x["tokens"])).alias("tokens")).write.mode("overwrite").parquet(str(self.root / pending))
-        finally:
-            cut.unpersist()
+                at = (F.col("shard") - full) * self.size + F.col("first")
+                cut.where(F.col("shard") >= full).select(at.cast("long").alias("at"), "tokens").write.mode("overwrite").parquet(str(self.root / pending))
         before = state["pending"]
         state |= {"batch": batch_id, "next_shard": first + full, "committed_tokens": state["committed_tokens"] + full * self.size, "pending_tokens": left, "pending": pending if left else "", "source_documents_consumed": state["source_documents_consumed"] + totals["d"]}
         token_shards.write_json(self.root / "state.json", state)
@@ -86,8 +87,3 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     """Events by type in event-time windows, with a watermark."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-
-def report(path: str, value: dict) -> None:
-    """A report as JSON, whole or not at all; what JSON cannot hold is text."""
-    token_shards.write_json(Path(path), value)
