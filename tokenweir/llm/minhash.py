@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, int64, materialise, mix, quoted, sieved, text_views, words
+from .common import PLAIN_WORD, int64, materialise, mix, quoted, sieved, small, text_views, words
 from .components import components
 
 PLACES = 128
@@ -191,7 +191,7 @@ def _star(met: DataFrame) -> DataFrame:
     best = met.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("degree", (-F.col("id")).alias("low"))).alias("p"))
     # written, so that both sides of the join come straight from an exchange and a hot bucket can be split
     best = materialise(best.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("m")), "pivots")
-    return met.join(best, "key")
+    return met.join(small(best), "key")
 
 
 def _test(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,11 +255,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.where("n > 0 and doc_id is not null")
     # classes of equal sets, by two sums over the set; each is known by its smallest doc_id
     classes = materialise(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    # rows of one doc_id are one node
-    firsts = full.join(classes.select("id").distinct(), full["doc_id"] == F.col("id"), "left_semi")
-    members = firsts.select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")).distinct()
-    full_keys = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    met = materialise(members.join(full_keys, "key"), "members")
+    # rows of one doc_id are one node, and those of one set are taken once
+    firsts = full.join(classes.select("id").distinct(), full["doc_id"] == F.col("id"), "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"])
+    firsts = materialise(firsts.select("doc_id", "n", "keys"), "firsts")
+    members = firsts.select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key"))
+    full_keys = materialise(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "keys")
+    met = materialise(members.join(small(full_keys), "key"), "members")
     involved = materialise(met.select("id").distinct(), "involved")
     texts = sieved(docs.select("doc_id", "text"), involved.select(F.col("id").alias("d"))).where("__may")
     sets = materialise(texts.join(involved, texts["doc_id"] == involved["id"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, set binary"), "sets", "none")
