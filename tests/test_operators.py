@@ -278,6 +278,13 @@ def test_vocabulary_and_special_ids(spark):
     for size, eos in ((None, 1), (70_000, 1), (100, None)):
         with pytest.raises(ValueError):
             T.check_vocabulary(size, eos)
+    import public_tokenizers
+
+    byte, file = T.tokenizer("bytes"), T.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    df = spark.createDataFrame([("Hé, <|endoftext|> you",), ("",)], "t string")
+    for t in (byte, file):
+        assert [r[0] for r in df.select(t.text(t.ids(F.col("t")))).collect()] == ["Hé, <|endoftext|> you", ""]
+    assert byte.special["eos"] == 258 and byte.special["im_start"] == 256 and file.special == {"eos": 50256, "bos": None, "pad": 50256, "im_start": 0, "im_end": 0}
     assert spark.range(1).select(S.shard_name("chat", F.col("id"))).first()[0] == "chat_0000"
 
 
@@ -292,6 +299,11 @@ def test_bpe_counts_equal_the_library(spark, data):
     assert {r["doc_id"]: r["n_tokens"] for r in catalog.QUERIES["bpe_token_counts"](spark, data).collect()} == want
 
 
+def test_skip_first(spark):
+    rows = spark.createDataFrame([(k, "x") for k in (5, 3, 9, 1, 7)], "k long, more string").repartition(3)
+    assert sorted(r["k"] for r in packing.skip_first(rows, ["k"], 2).collect()) == [5, 7, 9] and packing.skip_first(rows, ["k"], 9).count() == 0
+
+
 def test_ranks_and_random_split(spark):
     rows = spark.range(300).withColumnRenamed("id", "window").withColumn("more", F.lit("x"))
     got = splits.random_split(rows, 25, 42)

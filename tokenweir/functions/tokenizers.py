@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -84,6 +85,30 @@ def bpe_text(path: str, skip_special: bool = False) -> Callable[[Column], Column
     return decode
 
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """One interface for all: ids of a text column, text of an id column where ids have one, and the special ids."""
+
+    ids: Callable[[Column], Column]
+    text: Callable[[Column], Column] | None
+    special: dict[str, int | None]
+
+
+def byte_text(ids: Column) -> Column:
+    """The text of byte ids; special ids have none."""
+    return F.decode(F.unhex(F.array_join(F.transform(F.filter(ids, lambda x: x < 256), lambda x: F.lpad(F.hex(x), 2, "0")), "")), "UTF-8")
+
+
+def tokenizer(name: str) -> Tokenizer:
+    """``bytes``, or the path of a tokenizers file, whose end, start and chat tokens are found by their usual names."""
+    if name == "bytes":
+        return Tokenizer(byte_ids, byte_text, special_ids(BYTE_SPECIALS[EOS], start=BYTE_SPECIALS["<|im_start|>"], end=BYTE_SPECIALS["<|im_end|>"]))
+    find = _loaded(name).token_to_id
+    eos, bos, pad = (next((i for t in names if (i := find(t)) is not None), None) for names in (("<|endoftext|>", EOS, "</s>"), ("<|startoftext|>", "<s>"), ("<pad>", "<|pad|>")))
+    check_vocabulary(_loaded(name).get_vocab_size(), eos)
+    return Tokenizer(bpe_ids(name), bpe_text(name), special_ids(eos, pad, bos, find("<|im_start|>"), find("<|im_end|>")))
+
+
 def special_ids(eos: int, pad: int | None = None, bos: int | None = None, start: int | None = None, end: int | None = None) -> dict[str, int | None]:
     """Special ids with their fallbacks: pad falls back to the end id, chat marks to 0."""
     return {"eos": eos, "bos": bos, "pad": eos if pad is None else pad, "im_start": start or 0, "im_end": end or 0}

@@ -22,6 +22,12 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, start: str = "start"
     return out.withColumns({start: (F.col("__base") + F.col("__end") - F.col(value)).cast("long"), end: (F.col("__base") + F.col("__end")).cast("long")}).drop("__part", "__end", "__base")
 
 
+def skip_first(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The rows after the first ``n`` in the order given: where a scan goes on that has read so many."""
+    ranked = prefix_sum(rows.withColumn("__one", F.lit(1).cast("long")), order, "__one", "__rank", "__to")
+    return ranked.where(F.col("__rank") >= n).drop("__one", "__rank", "__to")
+
+
 def doc_offsets(docs: DataFrame, tokens: Column) -> DataFrame:
     """doc_id, n, start and end of each document in the stream; only counts are shuffled."""
     return prefix_sum(docs.select("doc_id", F.size(tokens).cast("long").alias("n")), ["doc_id"], "n")

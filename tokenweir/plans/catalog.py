@@ -71,6 +71,18 @@ def doc_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _offsets(spark, sf_dir).select("doc_id", "n", "start", "end")
 
 
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r > n // 3")
+def scan_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a scan has still to read once it has read a third."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source")
+    return packing.skip_first(docs, ["doc_id"], docs.count() // 3)
+
+
+@query(f"WITH {SHARDS_SQL} SELECT shard, printf('shard_%04d', shard) AS name FROM win")
+def shard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _totals(spark, sf_dir).select("shard", S.shard_name("shard", F.col("shard")).alias("name"))
+
+
 @query(f"WITH {SHARDS_SQL} SELECT shard, tokens, docs, is_full, windows FROM win")
 def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(spark, sf_dir)
