@@ -102,6 +102,33 @@ def test_minhash_large_groups(spark):
     assert got == grouped(made)
 
 
+def test_minhash_texts_of_one_id(spark):
+    """Texts that share a doc_id are one node with several sets, in large open buckets, too."""
+    rng = np.random.default_rng(9)
+    base, rows = [f"b{i}" for i in range(60)], []
+    for k in range(120):
+        w = list(base)
+        for at in rng.choice(60, rng.integers(0, 9), replace=False):
+            w[at] = f"r{rng.integers(0, 30)}"
+        rows.append((k % 100, " ".join(w)))
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    of = {i: i for i, _ in rows}
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            both = len(x & y)
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                a, b = find(i), find(j)
+                of[max(a, b)] = min(a, b)
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.op1_minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, find(i)) for i in of}
+
+
 def test_signature_estimates_similarity():
     a, b = np.arange(1, 1001, dtype=np.uint64), np.arange(201, 1201, dtype=np.uint64)
     from tokenweir.llm.common import mix

@@ -168,8 +168,8 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(sets[end])
                 end += 1
             at = np.repeat(np.arange(first, end), [len(x) for x in sets[first:end]])
-            own = batch.select(["id", "n", "component"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(int64(np.concatenate(sets[first:end])))], ["id", "n", "component", "s"])
+            own = batch.select(["id", "part", "n", "component"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(int64(np.concatenate(sets[first:end])))], ["id", "part", "n", "component", "s"])
             first = end
 
 
@@ -203,13 +203,14 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _fronts(postings: DataFrame) -> DataFrame:
-    """Of postings (id, n, component, s), a row (key, id, n, component, after) for each shingle of which a text must share one with any
+    """Of postings (id, part, n, component, s), a row (key, id, n, component, after) for each shingle of which a text must share one with any
     text similar to it, and how many of its shingles come after. In their order those that no other component has come first
-    of all, and meet nothing; then rare ones before frequent ones. A text that has too few others has no row."""
+    of all, and meet nothing; then rare ones before frequent ones. A text that has too few others has no row. ``part`` tells the
+    texts of one id apart."""
     shared = postings.groupBy("s").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     # written, so that both sides of the join come straight from an exchange and a frequent shingle can be split
     met = postings.join(materialise(shared.select("s", "k"), "shared"), "s")
-    texts = met.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("k", "s"))).alias("order"))
+    texts = met.groupBy("id", "part").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("k", "s"))).alias("order"))
     left = F.size("order")
     front = left - F.ceil(F.col("n") * SIMILAR / 100).cast("int") + 1
     rows = texts.where(front > 0).select("id", "n", "component", left.alias("left"), F.posexplode(F.slice("order", F.lit(1), F.greatest(front, F.lit(0)))).alias("p", "e"))
@@ -226,10 +227,10 @@ def _across(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def _rest(opened: DataFrame, sets: DataFrame, tested: DataFrame, same: DataFrame, found: DataFrame) -> DataFrame:
-    """The components, once every text of ``opened`` (id, n) has met those of other components that it can be similar to."""
+    """The components, once every text of ``opened`` (id) has met those of other components that it can be similar to."""
     for first in (True, False):
-        texts = _labelled(opened, found).join(sets, "id").select("id", "n", "component", "set")
-        fronts = materialise(_fronts(materialise(texts.mapInArrow(_exploded, "id long, n long, component long, s long"), "shingles")), "fronts")
+        texts = _labelled(opened, found).join(sets, "id").select("id", F.xxhash64("set").alias("part"), (F.octet_length("set") / 8).cast("long").alias("n"), "component", "set")
+        fronts = materialise(_fronts(materialise(texts.mapInArrow(_exploded, "id long, part long, n long, component long, s long"), "shingles")), "fronts")
         parts = fronts.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("id", "n", "after")).alias("first"))
         of_key = parts.groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("parts"), F.max("c").alias("most"), F.max_by(F.struct("component", "first"), F.struct("c", "component")).alias("home"))
         of_key = materialise(of_key.where("parts > 1").select("key", "c", "most", "home.component", "home.first"), "keys")
@@ -276,7 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the texts of large buckets that hold several components
     marked = _labelled(star.where(F.col("c") > SMALL).select("key", "id", "n"), found)
     split = materialise(marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "split")
-    opened = materialise(marked.join(split, "key").select("id", "n").distinct(), "opened")
+    opened = materialise(marked.join(split, "key").select("id").distinct(), "opened")
     if not opened.isEmpty():
         found = _rest(opened, sets, tested, same, found)
     of_class = materialise(classes.join(found, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component")), "labels")
