@@ -60,6 +60,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: Where the folders of intermediate tables are listed: that of the innermost ``collecting``, else of the application.
 _LISTS: ContextVar[list[str] | None] = ContextVar("tokenweir_folders", default=None)
 _OWN: list[str] = []
+_USED: list[SparkSession] = []
 
 
 @contextmanager
@@ -92,10 +93,9 @@ def drop(spark: SparkSession, folders: list[str]) -> None:
 
 def _at_exit() -> None:
     """What no scope has dropped goes with the application, if its session is still there."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _OWN:
+    if _USED and _OWN and _USED[-1].sparkContext._jsc is not None:
         with suppress(Exception):
-            drop(spark, _OWN)
+            drop(_USED[-1], _OWN)
 
 
 atexit.register(_at_exit)
@@ -110,6 +110,7 @@ def adopt(folders: list[str]) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder of this name in the shared folder, listed to be dropped."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _USED[:] = [spark]
     adopt([path])
     return path
 
