@@ -50,6 +50,10 @@ def wsd_rate(step: Column, rate: float, least: float, warmup: int, steps: int, d
     return F.when(step < warmup, F.lit(rate) * (step + 1) / F.lit(warmup)).when(step < start, F.lit(rate)).otherwise(F.lit(least) + (1.0 - ratio) * (rate - least))
 
 
+def tokens_per_step(batch: int, accumulation: int, length: int, processes: int = 1) -> int:
+    return batch * accumulation * length * processes
+
+
 def parse_list(text: Column) -> Column:
     """Trimmed, non-empty, distinct parts in their order."""
     return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))

@@ -58,6 +58,14 @@ def check_set(spark: SparkSession, folder: str, state: dict, publish: bool = Fal
         raise ValueError("; ".join(f"{r['shard']:04d}: {r['problem']}" for r in found))
 
 
+def publishable(spark: SparkSession, folder: str, prefix: str = "shard") -> DataFrame:
+    """(name, kind, length) of the files of a set that may be published: its shards and what describes them, and nothing else."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}_*{{.bin,_meta.json}}").load(folder).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = F.when(name.endswith("_inputs.bin"), "inputs").when(name.endswith("_targets.bin"), "targets").when(name.endswith("_meta.json"), "meta").otherwise("ids")
+    return found.select(name.alias("name"), kind.alias("kind"), "length")
+
+
 def checkpoint_config(spark: SparkSession, folder: str, defaults: dict) -> tuple[dict, dict]:
     """(configuration, state) that a checkpoint's ``training_state.json`` holds, from any store that Spark reads. A checkpoint
     of before configurations were saved has the defaults, with a warning; fields that the defaults do not know are refused."""

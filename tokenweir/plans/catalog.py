@@ -334,7 +334,7 @@ def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s AS step, round(CASE WHEN s < 200 THEN 6e-4 * (s + 1) / 200 WHEN s < 4000 THEN 6e-4 ELSE 6e-5 + (1 - (s - 4000) / 1000.0) * (6e-4 - 6e-5) END::DOUBLE, 12) AS lr, round(0.04 * (CASE WHEN s < 200 THEN 6e-4 * (s + 1) / 200 WHEN s < 4000 THEN 6e-4 ELSE 6e-5 + (1 - (s - 4000) / 1000.0) * (6e-4 - 6e-5) END) / 6e-4::DOUBLE, 10) AS muon_lr, s * 65536 AS tokens, round(100.0::DOUBLE * s / 5000, 6) AS progress FROM (SELECT unnest(range(0, 5001)) AS s)")
 def wsd_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     lr = S.wsd_rate(F.col("id"), 6e-4, 6e-5, 200, 5000)
-    return spark.range(5001).select(F.col("id").alias("step"), F.round(lr, 12).alias("lr"), F.round(0.04 * lr / 6e-4, 10).alias("muon_lr"), (F.col("id") * 65_536).alias("tokens"), F.round(100.0 * F.col("id") / 5000, 6).alias("progress"))
+    return spark.range(5001).select(F.col("id").alias("step"), F.round(lr, 12).alias("lr"), F.round(0.04 * lr / 6e-4, 10).alias("muon_lr"), (F.col("id") * S.tokens_per_step(BATCH, ACCUMULATION, 1024)).alias("tokens"), F.round(100.0 * F.col("id") / 5000, 6).alias("progress"))
 
 
 def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,13 @@ def paired_shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta.select("shard", "tokens", "loss_tokens", "loss_token_ratio")
 
 
+@query(f"WITH c AS (SELECT count(*) AS n FROM ({catalog.ORACLES['sft_shard_loss_ratio']})) SELECT kind, n AS files, n * {SHARD} * width AS bytes FROM c, (VALUES ('inputs', 2), ('targets', 4), ('meta', 0)) AS v(kind, width) WHERE n > 0")
+def publication_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a paired set is published, by kind, and the bytes of ids and targets."""
+    files = validation.publishable(spark, _paired(spark, sf_dir), "chat")
+    return files.groupBy("kind").agg(F.count("*").alias("files"), F.sum(F.when(F.col("kind") != "meta", F.col("length")).otherwise(0)).alias("bytes"))
+
+
 @query(f"{BYTES_SQL} SELECT count(*) AS files, (count(*) * {2 * SHARD})::BIGINT AS bytes FROM s")
 def shard_set_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and bytes of a set, from the listing alone."""
