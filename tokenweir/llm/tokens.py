@@ -157,16 +157,16 @@ class Encoder:
         # an added token ends the text before it, white space too; such a text is one stretch
         per_text = [[t] if self.added and self.added(t) else self.find(t) for t in texts]
         known = len(self.place)
-        places = list(map(self.place.__getitem__, chain.from_iterable(per_text)))
+        cuts = np.cumsum([0, *map(len, per_text)])
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(per_text)), np.int64, int(cuts[-1]))
         if len(self.place) > known:
             self._learn(known)
-        at = np.array(places, np.int64)
         self.hits[: len(self.place)] += np.bincount(at, minlength=len(self.place))
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, per_text)])]
+        bounds = np.concatenate([[0], ends])[cuts]
         return ids, np.diff(bounds)
 
 
