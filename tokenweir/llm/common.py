@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,22 @@ def text_views(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         row = end
 
 
+#: Bytes of a text that are taken at once where it can be cut.
+PIECE = 4 << 20
+
+
+def pieces(data: bytes, edge: re.Pattern) -> Iterator[bytes]:
+    """A long text in pieces that end before a byte which is no part of a word (``edge``), so that no word is cut."""
+    at = 0
+    while len(data) - at > PIECE:
+        m = edge.search(data, at + PIECE)
+        if m is None:
+            break
+        yield data[at : m.start()]
+        at = m.start()
+    yield data[at:] if at else data
+
+
 def _byte_values() -> np.ndarray:
     return np.random.default_rng(20_240_607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, huffman, linededup, minhash, packing, quality, sharding, tokencount, toxicity
+from . import decontam, divergence, html, huffman, importance, linededup, minhash, packing, ppm, quality, sharding, tokencount, toxicity
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.op11_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.op12_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.op13_language_model(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -61,9 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_divergence": op11_divergence,
+    "op12_importance": op12_importance,
+    "op13_language_model": op13_language_model,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": linededup.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_decontamination": decontam.ORACLE_SQL,
+    "op11_divergence": divergence.ORACLE_SQL,
+    "op12_importance": importance.ORACLE_SQL,
 }
