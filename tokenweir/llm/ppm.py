@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ END = b"\n"
 SYMBOLS = 252
 #: Bytes of the longest context; with the byte after it they fit in a long.
 ORDER = 5
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 48 << 20
 #: Bytes whose contexts are worked on at once.
 SLICE = 2 << 20
 
@@ -91,22 +92,25 @@ def leaves(texts: Iterator[list[list[bytes]]], order: int) -> Iterator[tuple[np.
 def _listed(order: int) -> Callable:
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         """The distinct leaves and tokens of a chunk, and how often they stand in training texts."""
-        texts = [list(read(t.as_py())) for t in docs.column("text").fill_null("").cast(pa.binary())]
         trains = ~docs.column("held").to_numpy()
-        found = [[np.zeros(0, np.int64)] * 2]
-        for leaf, owner in leaves(iter(texts), order):
-            both, first = np.unique(leaf, return_inverse=True)
-            found.append([both, np.bincount(first, trains[owner], len(both)).astype(np.int64)])
+        of_kind: tuple[Counter, Counter] = Counter(), Counter()
+
+        def texts() -> Iterator[list[list[bytes]]]:
+            for t, train in zip(docs.column("text").cast(pa.binary()), trains, strict=True):
+                parts = list(read(t.as_py() or b""))
+                for words in parts:
+                    of_kind[int(train)].update(words)
+                yield parts
+
+        found = []
+        for leaf, owner in leaves(texts(), order):
+            # the lowest bit tells whether the text trains, so that one sort counts both
+            found.append(np.unique(leaf << 1 | trains[owner], return_counts=True))
             if len(found) > 16:
                 found = [_merged(found)]
-        leaf, n = _merged(found)
-        counts: Counter = Counter()
-        for parts, train in zip(texts, trains, strict=True):
-            for words in parts:
-                if train:
-                    counts.update(words)
-                else:
-                    counts.update(dict.fromkeys(words, 0))
+        counts = dict.fromkeys(of_kind[0], 0) | of_kind[1]
+        both, times = _merged(found)
+        leaf, n = _merged([(both >> 1, times * (both & 1))])
         return pa.table({
             "chunk": pa.array(np.full(len(leaf) + len(counts), key[0].as_py()), pa.int64()),
             "leaf": pa.concat_arrays([pa.array(leaf), pa.nulls(len(counts), pa.int64())]),
@@ -117,11 +121,13 @@ def _listed(order: int) -> Callable:
     return run
 
 
-def _merged(found: list[list[np.ndarray]]) -> list[np.ndarray]:
-    leaf, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-    n = np.zeros(len(leaf), np.int64)
-    np.add.at(n, at, np.concatenate([y for _, y in found]))
-    return [leaf, n]
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of several lists, and the sums of their numbers."""
+    keys, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(keys, kind="stable")  # of runs that are sorted
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def trie(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -215,16 +221,17 @@ def _scored(order: int, total: int, kinds: int) -> Callable:
         by_leaf, by_token = values.filter(own), values.filter(pa.compute.invert(own))
         cost = Lookup(by_leaf.column("leaf").to_numpy(), by_leaf.column("cost").to_numpy())
         count = dict(zip(by_token.column("token").to_pylist(), by_token.column("n").to_pylist(), strict=True))
-        texts = [list(read(t.as_py())) for t in docs.column("text").fill_null("").cast(pa.binary())]
-        n, known, base, score = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
-        for k, parts in enumerate(texts):
-            for words in parts:
-                c = np.fromiter(map(count.__getitem__, words), np.int64, len(words))
-                n[k] += len(c)
-                known[k] += np.count_nonzero(c)
-                base[k] += np.log10((c + 0.5) / divisor).sum()
-        for leaf, owner in leaves(iter(texts), order):
-            score += np.bincount(owner, cost(leaf), len(texts))
+        n, known, base, score = (np.zeros(docs.num_rows, kind) for kind in (np.int64, np.int64, float, float))
+
+        def texts() -> Iterator[list[list[bytes]]]:
+            for k, t in enumerate(docs.column("text").cast(pa.binary())):
+                parts = list(read(t.as_py() or b""))
+                c = np.array(list(map(count.__getitem__, chain.from_iterable(parts))), np.int64)
+                n[k], known[k], base[k] = len(c), np.count_nonzero(c), np.log10((c + 0.5) / divisor).sum()
+                yield parts
+
+        for leaf, owner in leaves(texts(), order):
+            score += np.bincount(owner, cost(leaf), len(score))
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": base, "score": score})
 
     return run
@@ -246,8 +253,8 @@ def score(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
     costs = probabilities(counts, nodes, materialise(contexts(nodes), "contexts"), order)
     tokens = materialise(listed.where("leaf is null").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
     totals = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
-    of_leaf = listed.where("leaf is not null").select("chunk", "leaf").join(costs, "leaf").select("chunk", "leaf", F.lit(None).cast("binary").alias("token"), "cost", F.lit(None).cast("long").alias("n"))
-    of_token = listed.where("leaf is null").select("chunk", "token").join(tokens, "token").select("chunk", F.lit(None).cast("long").alias("leaf"), "token", F.lit(None).cast("double").alias("cost"), "n")
+    of_leaf = listed.where("leaf is not null").select("chunk", "leaf").join(costs.hint("shuffle_hash"), "leaf").select("chunk", "leaf", F.lit(None).cast("binary").alias("token"), "cost", F.lit(None).cast("long").alias("n"))
+    of_token = listed.where("leaf is null").select("chunk", "token").join(tokens.hint("shuffle_hash"), "token").select("chunk", F.lit(None).cast("long").alias("leaf"), "token", F.lit(None).cast("double").alias("cost"), "n")
     values = of_leaf.unionByName(of_token)
     return own.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_scored(order, totals["n"], totals["kinds"]), SCHEMA)
 
