@@ -40,9 +40,9 @@ END = b"\n"
 SYMBOLS = 252
 #: Bytes of the longest context; with the byte after it they fit in a long.
 ORDER = 5
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 16 << 20
 #: Bytes whose contexts are worked on at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def is_held(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -106,9 +106,12 @@ def _listed(order: int) -> Callable:
         for leaf, owner in leaves(texts(), order):
             # the lowest bit tells whether the text trains, so that one sort counts both
             found.append(np.unique(leaf << 1 | trains[owner], return_counts=True))
-            if len(found) > 16:
+            if len(found) > 6:
                 found = [_merged(found)]
-        counts = dict.fromkeys(of_kind[0], 0) | of_kind[1]
+        counts = of_kind[1]
+        for w in of_kind[0].keys() - counts.keys():
+            counts[w] = 0
+        of_kind[0].clear()
         both, times = _merged(found)
         leaf, n = _merged([(both >> 1, times * (both & 1))])
         return pa.table({
