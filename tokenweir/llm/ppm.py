@@ -40,9 +40,9 @@ END = b"\n"
 SYMBOLS = 252
 #: Bytes of the longest context; with the byte after it they fit in a long.
 ORDER = 5
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 #: Bytes whose contexts are worked on at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def is_held(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -106,7 +106,7 @@ def _listed(order: int) -> Callable:
         for leaf, owner in leaves(texts(), order):
             # the lowest bit tells whether the text trains, so that one sort counts both
             found.append(np.unique(leaf << 1 | trains[owner], return_counts=True))
-            if len(found) > 6:
+            if len(found) > 8:
                 found = [_merged(found)]
         counts = of_kind[1]
         for w in of_kind[0].keys() - counts.keys():
@@ -114,6 +114,7 @@ def _listed(order: int) -> Callable:
         of_kind[0].clear()
         both, times = _merged(found)
         leaf, n = _merged([(both >> 1, times * (both & 1))])
+        pa.default_memory_pool().release_unused()
         return pa.table({
             "chunk": pa.array(np.full(len(leaf) + len(counts), key[0].as_py()), pa.int64()),
             "leaf": pa.concat_arrays([pa.array(leaf), pa.nulls(len(counts), pa.int64())]),
@@ -235,6 +236,7 @@ def _scored(order: int, total: int, kinds: int) -> Callable:
 
         for leaf, owner in leaves(texts(), order):
             score += np.bincount(owner, cost(leaf), len(score))
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": base, "score": score})
 
     return run
