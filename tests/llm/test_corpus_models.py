@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -256,13 +257,34 @@ def test_scores_of_documents(docs):
 
 @pytest.mark.parametrize("order", [0, 1, 5])
 def test_slices_give_the_same_leaves(monkeypatch, order):
-    texts = [b"", b"one", b" \n ", b"The quick  brown\tfox " * 20, b"x" * 50, b"a b c d e f g h"]
-    whole = [np.concatenate(x) for x in zip(*ppm.leaves((list(ppm.read(t)) for t in texts), order), strict=True)]
-    assert (np.bincount(whole[1]) == [len(b" ".join(t.split())) + 1 for t in texts]).all()
+    texts = [b"", b"one", b" \n ", b"The quick  brown\tfox " * 20, b"x" * 50, b"a b c d e f g h", b"y" * 9, b"z" * 18]
+    bodies = [ppm.normal(t) for t in texts]
+    assert bodies[3] == b" ".join([b"the quick brown fox"] * 20)
+    whole = [np.concatenate(x) for x in zip(*ppm.leaves(bodies, order), strict=True)]
+    tokens = [[w for part in ppm.tokens_of(b) for w in part] for b in bodies]
+    assert (np.bincount(whole[1]) == [len(b) + 1 for b in bodies]).all() and tokens == [[*b.split(), b"\n"] for b in bodies]
     monkeypatch.setattr(ppm, "SLICE", 9)
     monkeypatch.setattr("tokenweir.llm.common.PIECE", 4)
-    cut = [np.concatenate(x) for x in zip(*ppm.leaves((list(ppm.read(t)) for t in texts), order), strict=True)]
-    assert (cut[0] == whole[0]).all() and (cut[1] == whole[1]).all()
+    cut = [np.concatenate(x) for x in zip(*ppm.leaves(bodies, order), strict=True)]
+    assert (cut[0] == whole[0]).all() and (cut[1] == whole[1]).all() and [ppm.normal(t) for t in texts] == bodies
+    assert [[w for part in ppm.tokens_of(b) for w in part] for b in bodies] == tokens
+
+
+def test_chunks_hold_their_texts(monkeypatch):
+    """However a partition is cut: every text once, and sums of leaves and tokens that do not depend on the cuts."""
+    ids, texts = [1, 2, None, 4, 5], ["a b a", None, "", "c" * 30, "a b a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([False, True, False, False, True]), pa.array(texts, pa.string())], ["doc_id", "held", "text"])
+    sums = []
+    for size in (1, 12, 1 << 20):
+        monkeypatch.setattr(ppm, "CHUNK_BYTES", size)
+        rows = [r for b in ppm._listed(3)(iter([batch])) for r in b.to_pylist()]
+        assert [i for r in rows if r["texts"] is not None for i in r["doc_ids"]] == ids and len({r["chunk"] for r in rows}) == sum(r["texts"] is not None for r in rows)
+        own = Counter()
+        for r in rows:
+            if r["texts"] is None:
+                own[r["leaf"], r["token"]] += r["n"]
+        sums.append(own)
+    assert sums[0] == sums[1] == sums[2] and sums[0][None, b"a"] == 2 and sums[0][None, b"\n"] == 3
 
 
 def test_probabilities_sum_to_one():

@@ -6,28 +6,30 @@ followed by costs an escape to the context that is one byte shorter, where the b
 from all counts; escapes are estimated as in method C, by the number of different bytes that followed. Below the empty context all
 remaining bytes are alike.
 
-The trie is a table (level, node, count), and no task holds it. Documents go by hash into chunks of about ``CHUNK_BYTES``. Each
-chunk lists its distinct contexts with the next byte (8 bytes each) and its distinct tokens; their sums over all chunks are the
-trie's leaves and the token counts, inner nodes are sums of leaves, and joins give each distinct leaf its probability. Each chunk
-then gets the values of its own leaves and tokens by a join, and reads its texts against them. So memory is bounded by a chunk,
-the trie grows with the corpus without a limit, and nothing of it is broadcast or passes through the driver but two totals.
+The trie is a table (level, node, count), and no task holds it. Each task cuts its partition into chunks of about ``CHUNK_BYTES``
+and writes them, compressed, with each chunk's distinct contexts and next bytes (8 bytes each) and its distinct tokens. Their sums
+over all chunks are the trie's leaves and the token counts, inner nodes are sums of leaves, and joins give each distinct leaf its
+probability. Each chunk then gets the values of its own leaves and tokens by a join, and is read against them. So memory is
+bounded by a chunk, the trie grows with the corpus without a limit, and nothing of it is broadcast or passes through the driver but
+two totals.
 
 Defined cases: a null text is empty: one token, the end; a null doc_id counts as the empty text and trains; repeated rows are
 scored alike and train as often as they stand; without training texts every byte costs log10(252), and a token log10(1 / 1) = 0
-in the base, as the vocabulary is empty; an empty table gives no rows; extra columns do no harm; a long text is cut into pieces at
-white space while it is read, and scored whole.
+in the base, as the vocabulary is empty; an empty table gives no rows; extra columns do no harm; a text longer than a chunk is a chunk
+by itself.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ END = b"\n"
 SYMBOLS = 252
 #: Bytes of the longest context; with the byte after it they fit in a long.
 ORDER = 5
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 16 << 20
 #: Bytes whose contexts are worked on at once.
 SLICE = 1 << 19
 
@@ -49,19 +51,25 @@ def is_held(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % folds == fold
 
 
-def read(text: bytes) -> Iterator[list[bytes]]:
-    """The tokens of a text, a list for each piece; the last ends it."""
-    for part in pieces(text, _SPACE):
-        yield _WORD.findall(part.lower())
+def normal(text: bytes) -> bytes:
+    """The text as it is scored, without its end."""
+    return b" ".join([w for part in pieces(text, _SPACE) for w in _WORD.findall(part.lower())])
+
+
+def tokens_of(body: bytes) -> Iterator[list[bytes]]:
+    """The tokens of a text as it is scored, a list for each piece, and the end."""
+    if body:
+        for part in pieces(body, _SPACE):
+            yield part.split()
     yield [END]
 
 
-def leaves(texts: Iterator[list[list[bytes]]], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def leaves(bodies: Iterable[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of texts in turn: the leaf at every byte, and the number of the text it is in. A leaf is a context of ``order`` bytes and the
     byte after it, as a number; before a text there are ends."""
     held: list[bytes] = []
     owners: list[tuple[int, int, int]] = []  # text, bytes before its own, own bytes
-    size, tail = 0, b""
+    size = 0
 
     def given() -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(held), np.uint8).astype(np.int64)
@@ -71,17 +79,13 @@ def leaves(texts: Iterator[list[list[bytes]]], order: int) -> Iterator[tuple[np.
         own = np.concatenate([np.arange(at, at + n) for _, at, n in owners])
         return key[own - order], np.repeat([t for t, _, _ in owners], [n for _, _, n in owners])
 
-    for k, parts in enumerate(texts):
-        tail = END * order
-        for i, words in enumerate(parts):
-            if not words:
-                continue
-            gap = b" " if words is not parts[-1] and any(parts[:i]) else b""
-            body = gap + b" ".join(words)
-            held += [tail, body]
-            owners.append((k, size + len(tail), len(body)))
-            size += len(tail) + len(body)
-            tail = (tail + body)[-order:] if order else b""
+    for k, body in enumerate(bodies):
+        for at in range(0, len(body) + 1, SLICE):
+            own = body[at : at + SLICE] + END * (at + SLICE > len(body))
+            before = (END * order + body[max(0, at - order) : at])[-order:] if order else b""
+            held += [before, own]
+            owners.append((k, size + order, len(own)))
+            size += order + len(own)
             if size > SLICE:
                 yield given()
                 held, owners, size = [], [], 0
@@ -89,38 +93,71 @@ def leaves(texts: Iterator[list[list[bytes]]], order: int) -> Iterator[tuple[np.
         yield given()
 
 
-def _listed(order: int) -> Callable:
-    def run(key: tuple, docs: pa.Table) -> pa.Table:
-        """The distinct leaves and tokens of a chunk, and how often they stand in training texts."""
-        trains = ~docs.column("held").to_numpy()
-        of_kind: tuple[Counter, Counter] = Counter(), Counter()
+class _Chunk:
+    """Texts of a partition in a row, until they are ``CHUNK_BYTES``."""
+
+    def __init__(self) -> None:
+        self.doc_ids: list[int | None] = []
+        self.held: list[bool] = []
+        self.bodies: list[bytes] = []
+        self.size = 0
 
-        def texts() -> Iterator[list[list[bytes]]]:
-            for t, train in zip(docs.column("text").cast(pa.binary()), trains, strict=True):
-                parts = list(read(t.as_py() or b""))
-                for words in parts:
-                    of_kind[int(train)].update(words)
-                yield parts
+    def add(self, doc_id: int | None, held: bool, text: bytes) -> None:
+        self.doc_ids.append(doc_id)
+        self.held.append(held)
+        self.bodies.append(normal(text))
+        self.size += len(self.bodies[-1]) + 1
 
+    def listed(self, number: int, order: int) -> pa.RecordBatch:
+        """The distinct leaves and tokens, and how often they stand in training texts; then the texts."""
+        trains = ~np.array(self.held, bool)
         found = []
-        for leaf, owner in leaves(texts(), order):
+        for leaf, owner in leaves(self.bodies, order):
             # the lowest bit tells whether the text trains, so that one sort counts both
             found.append(np.unique(leaf << 1 | trains[owner], return_counts=True))
             if len(found) > 8:
                 found = [_merged(found)]
+        both, times = _merged(found)
+        leaf, n = _merged([(both >> 1, times * (both & 1))])
+        of_kind: tuple[Counter, Counter] = Counter(), Counter()
+        for body, train in zip(self.bodies, trains, strict=True):
+            for words in tokens_of(body):
+                of_kind[int(train)].update(words)
         counts = of_kind[1]
         for w in of_kind[0].keys() - counts.keys():
             counts[w] = 0
-        of_kind[0].clear()
-        both, times = _merged(found)
-        leaf, n = _merged([(both >> 1, times * (both & 1))])
+        a, b = len(leaf), len(counts)
+        none = lambda k, kind: pa.nulls(k, kind)
+        one = lambda value, kind: pa.concat_arrays([none(a + b, kind), pa.array([value], kind)])
+        columns = [
+            pa.array(np.full(a + b + 1, number), pa.int64()),
+            pa.concat_arrays([pa.array(leaf), none(b + 1, pa.int64())]),
+            pa.concat_arrays([none(a, pa.binary()), pa.array(counts, pa.binary()), none(1, pa.binary())]),
+            pa.concat_arrays([pa.array(n), pa.array(counts.values(), pa.int64()), none(1, pa.int64())]),
+            one(self.doc_ids, pa.list_(pa.int64())), one(self.held, pa.list_(pa.bool_())), one([len(x) for x in self.bodies], pa.list_(pa.int64())),
+            one(pa.compress(b"".join(self.bodies), "zstd", asbytes=True), pa.binary()),
+        ]
         pa.default_memory_pool().release_unused()
-        return pa.table({
-            "chunk": pa.array(np.full(len(leaf) + len(counts), key[0].as_py()), pa.int64()),
-            "leaf": pa.concat_arrays([pa.array(leaf), pa.nulls(len(counts), pa.int64())]),
-            "token": pa.concat_arrays([pa.nulls(len(leaf), pa.binary()), pa.array(list(counts), pa.binary())]),
-            "n": pa.concat_arrays([pa.array(n), pa.array(list(counts.values()), pa.int64())]),
-        })
+        return pa.RecordBatch.from_arrays(columns, LISTED.names)
+
+
+LISTED = pa.schema([("chunk", pa.int64()), ("leaf", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
+LISTED_SQL = "chunk long, leaf long, token binary, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, texts binary"
+
+
+def _listed(order: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
+        chunk = _Chunk()
+        for batch in batches:
+            for doc_id, held, text in zip(batch.column("doc_id"), batch.column("held"), batch.column("text").cast(pa.binary()), strict=True):
+                chunk.add(doc_id.as_py(), held.as_py(), text.as_py() or b"")
+                if chunk.size > CHUNK_BYTES:
+                    yield chunk.listed(number, order)
+                    chunk, number = _Chunk(), number + 1
+        if chunk.bodies:
+            yield chunk.listed(number, order)
 
     return run
 
@@ -220,24 +257,24 @@ class Lookup:
 def _scored(order: int, total: int, kinds: int) -> Callable:
     divisor = total + 0.5 * (kinds + 1)
 
-    def run(key: tuple, docs: pa.Table, values: pa.Table) -> pa.Table:
+    def run(key: tuple, chunks: pa.Table, values: pa.Table) -> pa.Table:
         own = values.column("leaf").is_valid()
         by_leaf, by_token = values.filter(own), values.filter(pa.compute.invert(own))
         cost = Lookup(by_leaf.column("leaf").to_numpy(), by_leaf.column("cost").to_numpy())
         count = dict(zip(by_token.column("token").to_pylist(), by_token.column("n").to_pylist(), strict=True))
-        n, known, base, score = (np.zeros(docs.num_rows, kind) for kind in (np.int64, np.int64, float, float))
-
-        def texts() -> Iterator[list[list[bytes]]]:
-            for k, t in enumerate(docs.column("text").cast(pa.binary())):
-                parts = list(read(t.as_py() or b""))
-                c = np.array(list(map(count.__getitem__, chain.from_iterable(parts))), np.int64)
-                n[k], known[k], base[k] = len(c), np.count_nonzero(c), np.log10((c + 0.5) / divisor).sum()
-                yield parts
-
-        for leaf, owner in leaves(texts(), order):
+        (chunk,) = chunks.to_batches()
+        doc_ids, held, sizes = (chunk.column(c).flatten() for c in ("doc_ids", "held", "sizes"))
+        ends = np.cumsum(sizes.to_numpy())
+        data = pa.decompress(chunk.column("texts")[0].as_buffer(), int(ends[-1]), "zstd", asbytes=True) if ends[-1] else b""
+        bodies = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        n, known, base, score = (np.zeros(len(bodies), kind) for kind in (np.int64, np.int64, float, float))
+        for k, body in enumerate(bodies):
+            c = np.array(list(map(count.__getitem__, chain.from_iterable(tokens_of(body)))), np.int64)
+            n[k], known[k], base[k] = len(c), np.count_nonzero(c), np.log10((c + 0.5) / divisor).sum()
+        for leaf, owner in leaves(bodies, order):
             score += np.bincount(owner, cost(leaf), len(score))
         pa.default_memory_pool().release_unused()
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": base, "score": score})
+        return pa.table({"doc_id": doc_ids, "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": base, "score": score})
 
     return run
 
@@ -249,19 +286,18 @@ def score(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
     """Every document's log10 probability under the model of the documents that are not ``held``, and under their unigrams."""
     if not 0 <= order <= 6:
         raise ValueError("contexts of 0 to 6 bytes fit in a leaf")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(8, -(-size // CHUNK_BYTES))))
-    own = docs.select("doc_id", held.alias("held"), "text", chunk.alias("chunk"))
-    listed = materialise(own.groupBy("chunk").applyInArrow(_listed(order), "chunk long, leaf long, token binary, n long"), "listed")
+    own = docs.select("doc_id", held.alias("held"), "text")
+    listed = materialise(own.mapInArrow(_listed(order), LISTED_SQL), "listed")
     counts = materialise(listed.where("leaf is not null").groupBy("leaf").agg(F.sum("n").alias("n")), "leaves")
     nodes = materialise(trie(counts, order), "nodes")
     costs = probabilities(counts, nodes, materialise(contexts(nodes), "contexts"), order)
-    tokens = materialise(listed.where("leaf is null").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
+    tokens = materialise(listed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
     totals = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
     of_leaf = listed.where("leaf is not null").select("chunk", "leaf").join(costs.hint("shuffle_hash"), "leaf").select("chunk", "leaf", F.lit(None).cast("binary").alias("token"), "cost", F.lit(None).cast("long").alias("n"))
-    of_token = listed.where("leaf is null").select("chunk", "token").join(tokens.hint("shuffle_hash"), "token").select("chunk", F.lit(None).cast("long").alias("leaf"), "token", F.lit(None).cast("double").alias("cost"), "n")
+    of_token = listed.where("token is not null").select("chunk", "token").join(tokens.hint("shuffle_hash"), "token").select("chunk", F.lit(None).cast("long").alias("leaf"), "token", F.lit(None).cast("double").alias("cost"), "n")
     values = of_leaf.unionByName(of_token)
-    return own.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_scored(order, totals["n"], totals["kinds"]), SCHEMA)
+    texts = listed.where("texts is not null").select(*[F.col(c).alias(c) for c in ("chunk", "doc_ids", "held", "sizes", "texts")])
+    return texts.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_scored(order, totals["n"], totals["kinds"]), SCHEMA)
 
 
 def op13_language_model(docs: DataFrame) -> DataFrame:
