@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-SYSTEM = "You are a helpful, precise and respectful assistant."
+SYSTEM = "Answer clearly and to the point, and say so where you do not know."
 MASKED = -1
 
 

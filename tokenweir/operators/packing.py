@@ -28,9 +28,22 @@ def skip_first(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return ranked.where(F.col("__rank") >= n).drop("__one", "__rank", "__to")
 
 
+def after(rows: DataFrame, key: str, last: object) -> DataFrame:
+    """The rows behind the last key that a scan has read: a filter that reaches the files. None is before all; a null key is never
+    behind one, as scans read null keys first."""
+    return rows if last is None else rows.where(F.col(key) > F.lit(last))
+
+
+def place(rows: DataFrame, key: str, n: Column) -> DataFrame:
+    """Adds n, start and end: each row carries its own place, so that rows of a null or repeated key are neither lost nor multiplied.
+    Rows of one key stand in the order of a hash of all that they hold."""
+    sized = rows.withColumns({"n": n.cast("long"), "__tie": F.xxhash64(*rows.columns)})
+    return prefix_sum(sized, [key, "__tie"], "n").drop("__tie")
+
+
 def doc_offsets(docs: DataFrame, tokens: Column) -> DataFrame:
     """doc_id, n, start and end of each document in the stream; only counts are shuffled."""
-    return prefix_sum(docs.select("doc_id", F.size(tokens).cast("long").alias("n")), ["doc_id"], "n")
+    return prefix_sum(docs.select("doc_id", F.size(tokens).cast("long").alias("n"), F.xxhash64("doc_id", "text").alias("__tie")), ["doc_id", "__tie"], "n").drop("__tie")
 
 
 def window_count(n: Column, length: int, step: int | None = None) -> Column:
@@ -67,9 +80,13 @@ def by_shard(parts: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame, tokens: dict[str, Column], size: int) -> DataFrame:
     """The token arrays of each shard, in lock-step for several columns, for shards that fit in a row; ``pieces`` is for larger ones."""
-    parts = pieces(docs, tokens, size).select("shard", F.struct("first", *tokens).alias("part"))
-    met = parts.groupBy("shard").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    return met.select("shard", *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in tokens])
+    return chunk_pieces(pieces(docs, tokens, size), list(tokens))
+
+
+def chunk_pieces(cut: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each shard of its pieces (shard, first, and token arrays)."""
+    met = cut.select("shard", F.struct("first", *columns).alias("part")).groupBy("shard").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return met.select("shard", *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in columns])
 
 
 def tail(offsets: DataFrame, size: int, max_shards: int | None = None) -> DataFrame:
@@ -98,7 +115,7 @@ def window_offsets(shards: DataFrame, windows_column: str = "windows") -> DataFr
 
 
 def locate(indices: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(idx, shard, local) of window indices; negative ones count from the end, shards without windows are never met.
+    """Window indices with their (shard, local), beside what else their rows hold; negative ones count from the end, shards without windows are never met.
 
     The offsets, a row for each shard, are cut into steps of the least power of two that holds the mean, so that the range
     join becomes an equi-join on the step with a check of the range; nothing is broadcast by hand."""
@@ -108,4 +125,4 @@ def locate(indices: DataFrame, offsets: DataFrame) -> DataFrame:
     real = real.withColumn("bucket", F.floor(F.col("real") / F.col("stride")))
     spans = offsets.where("end_window > first_window").crossJoin(F.broadcast(total)).select("shard", "first_window", "end_window", F.explode(F.sequence(F.floor(F.col("first_window") / F.col("stride")), F.floor((F.col("end_window") - 1) / F.col("stride")))).alias("bucket"))
     met = real.join(spans, "bucket").where((F.col("real") >= F.col("first_window")) & (F.col("real") < F.col("end_window")))
-    return met.select("idx", "shard", (F.col("real") - F.col("first_window")).alias("local"))
+    return met.select(*indices.columns, "shard", (F.col("real") - F.col("first_window")).alias("local"))

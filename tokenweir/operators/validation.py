@@ -69,7 +69,7 @@ def publishable(spark: SparkSession, folder: str, prefix: str = "shard") -> Data
 def checkpoint_config(spark: SparkSession, folder: str, defaults: dict) -> tuple[dict, dict]:
     """(configuration, state) that a checkpoint's ``training_state.json`` holds, from any store that Spark reads. A checkpoint
     of before configurations were saved has the defaults, with a warning; fields that the defaults do not know are refused."""
-    found = spark.read.option("wholetext", True).option("pathGlobFilter", "training_state.json").text(folder).collect()  # one small file
+    found = spark.read.option("pathGlobFilter", "training_state.json").text(folder, wholetext=True).collect()  # one small file
     state = json.loads(found[0]["value"]) if found else {}
     saved = state.get("model_config")
     if saved is None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import tokenizers as T
-from ..operators import chat, decoding, losses, metrics, packing, splits
+from ..operators import chat, decoding, losses, metrics, packing, splits, templates
 from ..session import load, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,8 +56,7 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = docs.join(_offsets(spark, sf_dir), "doc_id")
-    return packing.chunks(placed, {"tokens": _tokens()}, SHARD)
+    return packing.chunks(packing.place(docs, "doc_id", F.size(_tokens())), {"tokens": _tokens()}, SHARD)
 
 
 @query(f"SELECT doc_id, len({WORDS_SQL}) AS n_words, strlen(coalesce(text, '')) AS n_bytes, len({WORDS_SQL}) + 1 AS n_with_eos FROM documents")
@@ -78,6 +77,14 @@ def scan_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.skip_first(docs, ["doc_id"], docs.count() // 3)
 
 
+@query("SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents WHERE doc_id > (SELECT max(doc_id) // 2 FROM documents)")
+def scan_after_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents behind the key that a scan has come to; files and row groups before it are not read."""
+    docs = load(spark, sf_dir, "documents")
+    last = docs.agg(F.floor(F.max("doc_id") / 2)).first()[0]  # from the files' statistics
+    return packing.after(docs, "doc_id", last).select("doc_id", "source", T.byte_count(F.col("text")).alias("n_bytes"))
+
+
 @query(f"WITH {SHARDS_SQL} SELECT shard, printf('shard_%04d', shard) AS name FROM win")
 def shard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(spark, sf_dir).select("shard", S.shard_name("shard", F.col("shard")).alias("name"))
@@ -230,6 +237,40 @@ def chatml_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).select("conv_id", F.size("messages").cast("long").alias("turns"), chat.render(F.col("messages"), True).alias("text"))
 
 
+#: Templates with marks of different kinds: a tag before each turn, and turns of the user in brackets.
+TAGGED = """{% for message in messages %}
+{{ '<|' + message['role'] + '|>' }}
+{{ message['content'] | trim }}{{ eos_token }}
+{% endfor %}
+{% if add_generation_prompt %}
+<|assistant|>
+{% endif %}"""
+BRACKETS = """{{ bos_token }}{%- for message in messages -%}
+{%- if message.role == 'user' -%}{{ '[INST] ' ~ message.content ~ ' [/INST]' }}
+{%- elif message.role == 'assistant' -%}{{ ' ' + message.content + eos_token }}
+{%- else -%}{{ '<<' + (message.role | upper) + '>> ' + message.content + ' ' }}{%- endif -%}
+{%- if loop.last and not message.role == 'assistant' -%}{{ ' ' }}{%- endif -%}{%- endfor -%}"""
+TRIM_SQL = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, turn = max(turn) OVER (PARTITION BY conv_id) AS final FROM conversations) SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || {TRIM_SQL} || '</s>' || chr(10), '' ORDER BY turn) || '<|assistant|>' || chr(10) AS tagged, '<s>' || string_agg(CASE role WHEN 'user' THEN '[INST] ' || text || ' [/INST]' WHEN 'assistant' THEN ' ' || text || '</s>' ELSE '<<' || upper(role) || '>> ' || text || ' ' END || CASE WHEN final AND role <> 'assistant' THEN ' ' ELSE '' END, '' ORDER BY turn) AS brackets FROM c GROUP BY conv_id")
+def chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations through two templates, compiled to expressions."""
+    tagged, brackets = (templates.chat_template(t, bos_token="<s>", eos_token="</s>") for t in (TAGGED, BRACKETS))
+    talks = chat.conversations(load(spark, sf_dir, "conversations"))
+    return talks.select("conv_id", tagged(F.col("messages"), True).alias("tagged"), brackets(F.col("messages")).alias("brackets"))
+
+
+PROMPT = "Keep to what the text says."
+
+
+@query(f"WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT DISTINCT conv_id, -1, 'system', '{PROMPT}' FROM conversations) SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'system') AS system_turns, md5(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)) AS digest FROM t GROUP BY conv_id")
+def chatml_given_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A system prompt that is given goes first in every conversation, also before a system turn of its own."""
+    talks = chat.conversations(load(spark, sf_dir, "conversations")).withColumn("messages", chat.inject_system(F.col("messages"), PROMPT))
+    return talks.select("conv_id", F.size("messages").cast("long").alias("turns"), F.size(F.filter("messages", lambda m: m["role"] == "system")).cast("long").alias("system_turns"), F.md5(chat.render(F.col("messages"))).alias("digest"))
+
+
 @query(f"WITH {TURNS_SQL} SELECT conv_id, sum(strlen(header) + strlen(body))::BIGINT AS tokens, sum(CASE WHEN role = 'assistant' THEN strlen(body) ELSE 0 END)::BIGINT AS loss_tokens, md5(string_agg(header || body, '' ORDER BY turn)) AS inputs, md5(string_agg(CASE WHEN role = 'assistant' THEN repeat('_', strlen(header)) || body ELSE repeat('_', strlen(header) + strlen(body)) END, '' ORDER BY turn)) AS targets FROM x GROUP BY conv_id")
 def chat_loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.md5(F.unhex(F.array_join(F.transform(c, lambda b: F.lpad(F.hex(F.when(b < 0, F.lit(95)).otherwise(b)), 2, "0")), "")))
@@ -238,15 +279,13 @@ def chat_loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TURNS_SQL}, p AS (SELECT role, conv_id, turn, 'h' AS k, strlen(header) AS n FROM x UNION ALL SELECT role, conv_id, turn, 't', strlen(body) FROM x), q AS (SELECT *, sum(n) OVER (ORDER BY conv_id, turn, k ROWS UNBOUNDED PRECEDING) AS e FROM p), r AS (SELECT *, unnest(range(((e - n) // {SHARD})::BIGINT, ((e - 1) // {SHARD})::BIGINT + 1)) AS shard FROM q WHERE n > 0), u AS (SELECT shard, sum(least(e, (shard + 1) * {SHARD}) - greatest(e - n, shard * {SHARD}))::BIGINT AS tokens, sum(CASE WHEN role = 'assistant' AND k = 't' THEN least(e, (shard + 1) * {SHARD}) - greatest(e - n, shard * {SHARD}) ELSE 0 END)::BIGINT AS loss_tokens FROM r GROUP BY shard) SELECT *, round_even(loss_tokens::DOUBLE / tokens, 4) AS loss_token_ratio FROM u WHERE tokens = {SHARD}")
 def sft_shard_loss_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _chat_ids(spark, sf_dir)
-    placed = packing.prefix_sum(ids.select("conv_id", F.size("inputs").cast("long").alias("n")), ["conv_id"], "n").join(ids, "conv_id")
+    placed = packing.place(_chat_ids(spark, sf_dir), "conv_id", F.size("inputs"))
     shards = packing.chunks(placed, {"inputs": F.col("inputs"), "targets": F.col("targets")}, SHARD)
     return chat.loss_stats(shards).where(F.col("tokens") == SHARD)
 
 
 def _sft_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _chat_ids(spark, sf_dir)
-    placed = packing.prefix_sum(ids.select("conv_id", F.size("inputs").cast("long").alias("n")), ["conv_id"], "n").join(ids, "conv_id")
+    placed = packing.place(_chat_ids(spark, sf_dir), "conv_id", F.size("inputs"))
     shards = packing.chunks(placed, {"inputs": F.col("inputs"), "targets": F.col("targets")}, SHARD)
     return packing.windows(shards, "inputs", LENGTH, target="targets")
 

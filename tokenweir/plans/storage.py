@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import tokenizers as T
-from ..operators import packing, validation
+from ..operators import choices, fetch, packing, splits, validation
 from ..session import load, materialise, scratch
-from ..sources import token_shards
-from ..streaming import ingest, reports
+from ..sources import publication, token_shards
+from ..streaming import ingest, rates, reports, summary
 from . import catalog
 from .catalog import SHARD, query
 
@@ -30,14 +32,22 @@ i AS (SELECT (start + i) // {SHARD} AS shard, (start + i) % {SHARD} AS pos, CASE
 
 def _byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all full shards."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    sizes = docs.select("doc_id", (T.byte_count(F.col("text")) + 1).alias("n"))
-    offsets = packing.prefix_sum(sizes, ["doc_id"], "n")
-    full = offsets.agg(F.coalesce(F.floor(F.max("end") / SHARD), F.lit(0)).alias("n")).first()["n"]
-    cut = packing.pieces(docs.join(offsets, "doc_id"), {"tokens": T.with_eos(T.byte_ids(F.col("text")), F.lit(EOS))}, SHARD)
+    placed = packing.place(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", T.byte_count(F.col("text")) + 1)
+    full = placed.agg(F.coalesce(F.floor(F.max("end") / SHARD), F.lit(0)).alias("n")).first()["n"]
+    cut = packing.pieces(placed, {"tokens": T.byte_arrays(EOS)(F.col("text"))}, SHARD)
     return cut.where(F.col("shard") < full).select(F.col("shard").cast("int").alias("shard"), "first", "tokens")
 
 
+@F.arrow_udf(LongType())
+def run_checksum(tokens: pa.Array, first: pa.Array) -> pa.Array:
+    """The sum of each run's ids, weighted by their places."""
+    sizes = pa.compute.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids, ends = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes)
+    places = np.repeat(first.to_numpy(zero_copy_only=False) - (ends - sizes), sizes) + np.arange(len(ids))
+    sums = np.concatenate([[0], np.cumsum(ids * (places % 1009 + 1))])
+    return pa.array(sums[ends] - sums[ends - sizes])
+
+
 def _written(spark: SparkSession, sf_dir: str) -> str:
     token_shards.register(spark)
     folder = scratch(spark, "shards")
@@ -49,8 +59,7 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
 def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards written as files and read back in runs; the checksum is one of ids and their places."""
     read = spark.read.format("token_shards").option("runs", "true").load(_written(spark, sf_dir))
-    own = F.aggregate(F.transform("tokens", lambda t, i: t * ((F.col("first") + i) % 1009 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
-    runs = read.select("shard", F.col("first").alias("low"), F.size("tokens").cast("long").alias("size"), own.alias("own"))
+    runs = read.select("shard", F.col("first").alias("low"), F.size("tokens").cast("long").alias("size"), run_checksum("tokens", "first").alias("own"))
     return runs.groupBy("shard").agg(F.sum("size").alias("n"), F.min("low").alias("first"), F.max(F.col("low") + F.col("size") - 1).alias("last"), F.sum("own").alias("checksum"))
 
 
@@ -61,6 +70,35 @@ def shard_file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("shard", "length").join(meta.select("shard", "tokens", "dtype"), "shard", "full_outer")
 
 
+#: Of every shard, the places that a slice takes.
+SLICE_LOW, SLICE_HIGH = 4000, 4064
+
+
+@query(f"{BYTES_SQL}, {IDS_SQL} SELECT shard::INT AS shard, pos::BIGINT AS pos, tok FROM i JOIN s USING (shard) WHERE pos >= {SLICE_LOW} AND pos < {SLICE_HIGH}")
+def shard_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of every shard: the filter reaches the source as byte ranges, so that no other part of a file is mapped."""
+    read = spark.read.format("token_shards").load(_written(spark, sf_dir))
+    return read.where((F.col("pos") >= SLICE_LOW) & (F.col("pos") < SLICE_HIGH)).select("shard", "pos", "tok")
+
+
+WINDOW_SQL = f"""
+l AS (SELECT shard, list(tok ORDER BY pos) AS w FROM i JOIN s USING (shard) GROUP BY shard),
+k AS (SELECT shard, w, unnest(range(0, {(SHARD - catalog.LENGTH - 1) // catalog.LENGTH + 1})) AS "local" FROM l),
+v AS (SELECT (shard * {(SHARD - catalog.LENGTH - 1) // catalog.LENGTH + 1} + "local")::BIGINT AS idx, md5(array_to_string(w["local" * {catalog.LENGTH} + 1 : "local" * {catalog.LENGTH} + {catalog.LENGTH}], ' ')) AS x, md5(array_to_string(w["local" * {catalog.LENGTH} + 2 : "local" * {catalog.LENGTH} + {catalog.LENGTH + 1}], ' ')) AS y FROM k),
+r AS (SELECT idx, x, y, row_number() OVER (ORDER BY md5('{catalog.SEED + 3}-' || idx), idx) - 1 AS rank, count(*) OVER () AS n FROM v)
+"""
+
+
+@query(f"{BYTES_SQL}, {IDS_SQL}, {WINDOW_SQL} SELECT rank // {catalog.BATCH} AS batch, rank, idx, x, y FROM r WHERE rank // {catalog.BATCH} < n // {catalog.BATCH}")
+def train_batch_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of an epoch with their tokens: windows of written shards in shuffled order, the last batch dropped if not full."""
+    folder = _written(spark, sf_dir)
+    n = fetch.windows_of(spark, folder, catalog.LENGTH).agg(F.coalesce(F.max("end_window"), F.lit(0))).first()[0]
+    order = splits.batches(splits.epoch_order(spark.range(n).withColumnRenamed("id", "idx"), catalog.SEED, 3), catalog.BATCH, drop_last=True)
+    text = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), " ")).alias(c)
+    return fetch.fetch(order, folder, catalog.LENGTH).select("batch", "rank", "idx", text("x"), text("y"))
+
+
 @query("SELECT shard, problem FROM (VALUES (1, 'shard is missing'), (2, 'shard has an invalid size'), (3, 'metadata is missing'), (4, 'metadata is invalid'), (6, 'shard is missing'), (6, 'metadata is missing')) AS v(shard, problem)")
 def shard_meta_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliberate damage to a described set, and what the check finds."""
@@ -79,10 +117,9 @@ def key_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _paired(spark: SparkSession, sf_dir: str) -> str:
     """The conversations as full paired shards."""
     token_shards.register(spark)
-    ids = materialise(catalog._chat_ids(spark, sf_dir), "chat")
-    offsets = packing.prefix_sum(ids.select("conv_id", F.size("inputs").cast("long").alias("n")), ["conv_id"], "n")
-    full = offsets.agg(F.coalesce(F.floor(F.max("end") / SHARD), F.lit(0)).alias("n")).first()["n"]
-    cut = packing.pieces(offsets.join(ids, "conv_id"), {"inputs": F.col("inputs"), "targets": F.col("targets")}, SHARD)
+    placed = packing.place(catalog._chat_ids(spark, sf_dir), "conv_id", F.size("inputs"))
+    full = placed.agg(F.coalesce(F.floor(F.max("end") / SHARD), F.lit(0)).alias("n")).first()["n"]
+    cut = packing.pieces(placed, {"inputs": F.col("inputs"), "targets": F.col("targets")}, SHARD)
     cut = cut.where(F.col("shard") < full).select(F.col("shard").cast("int").alias("shard"), "first", F.col("inputs").alias("tokens"), "targets")
     folder = scratch(spark, "paired")
     packing.by_shard(cut).write.format("token_shards").option("path", folder).option("prefix", "chat").mode("append").save()
@@ -186,6 +223,113 @@ def stream_pack_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(state["source_documents_consumed"], state["next_shard"], state["pending_tokens"])], "documents long, shards long, pending long")
 
 
+@query(f"{BYTES_SQL}, {IDS_SQL} SELECT count(*) AS n, md5(string_agg(tok, ' ' ORDER BY pos)) AS digest FROM i JOIN s USING (shard) GROUP BY shard")
+def stream_shard_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards as a stream into the sink, a few files to a batch, and out of the source into a table."""
+    token_shards.register(spark)
+    base = scratch(spark, "relay")
+    packing.chunk_pieces(_byte_shards(spark, sf_dir), ["tokens"]).repartitionByRange(6, "shard").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("shard int, tokens array<int>").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    stream.writeStream.format("token_shards").option("path", f"{base}/set").option("checkpointLocation", f"{base}/to").trigger(availableNow=True).start().awaitTermination()
+    read = spark.readStream.format("token_shards").option("runs", "true").load(f"{base}/set")
+    read.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/from").trigger(availableNow=True).start().awaitTermination()
+    runs = spark.read.schema("shard int, first long, tokens array<int>").parquet(f"{base}/out")  # a run for each shard of this size
+    return runs.select(F.size("tokens").cast("long").alias("n"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), " ")).alias("digest"))
+
+
+def _in_turn(rows: DataFrame, key: str, parts: int, folder: str) -> None:
+    """Files of a stream in the order of a key, as they would come: a stream takes them by their time."""
+    last = rows.agg(F.max(key)).first()[0] or 0
+    for k in range(parts):
+        rows.where(F.floor(F.col(key) * parts / (last + 1)) == k).coalesce(1).sortWithinPartitions(key).write.mode("append").parquet(folder)
+
+
+@query(catalog.ORACLES["sft_shard_loss_ratio"])
+def stream_chat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a stream of files into paired shards, stopped and taken up again between files."""
+    base = scratch(spark, "chat")
+    talks = materialise(catalog._messages(spark, sf_dir).where(F.size("messages") > 0), "talks")
+    _in_turn(talks, "conv_id", 4, f"{base}/in")
+    sink = ingest.PairedSink(f"{base}/out", SHARD, T.byte_ids)
+    ingest.ingest(spark, f"{base}/in", talks.schema.simpleString()[7:-1].replace(":", " ", 1).replace(",messages:", ", messages "), sink, f"{base}/checkpoint", 1)
+    return validation.shard_metadata(spark, f"{base}/out").select("shard", "tokens", "loss_tokens", "loss_token_ratio")
+
+
+@query(f"WITH {catalog.RATE_SQL} SELECT user_id AS run, event_id AS seq, round(elapsed::DOUBLE, 3) AS elapsed, round(rate::DOUBLE, 9) AS rate, FALSE AS late FROM r")
+def stream_rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples as a stream of files, rated as they come; a run's state goes over from batch to batch."""
+    base = scratch(spark, "rates")
+    samples = catalog._counter(spark, sf_dir).select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), "t", F.col("total").cast("double").alias("total"))
+    _in_turn(samples, "seq", 3, f"{base}/in")
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = rates.rolling_rate(stream, 86_400_000)
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    rows = spark.read.schema(rates.SCHEMA).parquet(f"{base}/out")
+    return rows.select("run", "seq", F.round("elapsed", 3).alias("elapsed"), F.round("rate", 9).alias("rate"), "late")
+
+
+CHOICES_SQL = f"""
+t AS (SELECT item_id, {catalog.WORDS_SQL} AS w FROM benchmark),
+p AS (SELECT item_id, item_id % 3 AS gold, array_to_string(w[: (len(w) // 2)::INT], ' ') || ' ' AS prompt, w[(len(w) // 2)::INT + 1 :] AS rest FROM t),
+v AS (SELECT item_id, gold, prompt, k, array_to_string(CASE (k - gold + 3) % 3 WHEN 0 THEN rest WHEN 1 THEN list_reverse(rest) ELSE list_sort(rest) END, ' ') AS text FROM p, (SELECT unnest(range(0, 3)) AS k)),
+b AS (SELECT item_id, gold, k, strlen(text) AS n_bytes, strlen(prompt) AS start, hex(encode(prompt || text)) AS h FROM v),
+s AS (SELECT item_id, gold, k, n_bytes, coalesce(list_sum(list_transform(range(start, start + n_bytes), lambda i: -((('0x' || substr(h, (2 * i - 1)::INT, 2))::BIGINT * 31 + ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT) % 97 + 1) / 16.0::DOUBLE)), 0) AS score FROM b),
+a AS (SELECT item_id, any_value(gold) AS gold, arg_max(k, row(score, -k)) AS raw, arg_max(k, row(score / greatest(1, n_bytes), -k)) AS norm FROM s GROUP BY item_id),
+m AS (SELECT 'task' || (item_id % 4) AS task, count(*) AS items, avg((raw = gold)::INT) AS acc, avg((norm = gold)::INT) AS acc_norm FROM a GROUP BY 1)
+"""
+
+
+def _choice_score(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A stand-in for a model that SQL can state: each id's score depends on the one before."""
+    each = -((np.concatenate([[0], ids[:-1]]).astype(np.int64) * 31 + ids) % 97 + 1) / 16.0
+    sums = np.concatenate([[0.0], np.cumsum(each)])
+    before = np.concatenate([[0], ends[:-1]])
+    return sums[ends] - sums[before + starts]
+
+
+@query(f"WITH {CHOICES_SQL} SELECT task, items, acc, acc_norm FROM m UNION ALL SELECT 'macro_average', sum(items)::BIGINT, avg(acc), NULL FROM m")
+def choice_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's second half as it is, turned round and sorted: which of the three goes on from the first half."""
+    words = load(spark, sf_dir, "benchmark").select("item_id", T.words(F.col("text")).alias("w"), (F.col("item_id") % 3).alias("gold"))
+    half = F.floor(F.size("w") / 2).cast("int")
+    rest = F.slice("w", half + 1, F.size("w") - half)
+    texts = F.array(*[F.array_join(x, " ") for x in (rest, F.reverse(rest), F.array_sort(rest))])
+    turned = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.get(texts, ((k - F.col("gold") + 3) % 3).cast("int")))
+    tasks = words.select(F.concat(F.lit("task"), F.col("item_id") % 4).alias("task"), F.col("item_id").alias("item"), F.concat(F.array_join(F.slice("w", F.lit(1), half), " "), F.lit(" ")).alias("prompt"), turned.alias("choices"), "gold")
+    found = choices.evaluate(tasks, T.byte_arrays(), _choice_score).cache()  # a row for each task
+    own = found.select("task", "items", F.col("metrics")["acc,none"].alias("acc"), F.col("metrics")["acc_norm,none"].alias("acc_norm"))
+    mean = choices.report(found).where("task = 'macro_average'").crossJoin(found.agg(F.sum("items").alias("items")))
+    return own.unionByName(mean.select("task", "items", F.col("accuracy").alias("acc"), F.lit(None).cast("double").alias("acc_norm")))
+
+
+@query(f"{BYTES_SQL} SELECT printf('shard_%04d.bin', shard) AS name, {2 * SHARD}::BIGINT AS length, 0::BIGINT AS again FROM s")
+def publication_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set that is published, published again without a copy, and what its manifest says of the shards."""
+    target = scratch(spark, "published")
+    folder = _written(spark, sf_dir)
+    publication.publish(spark, folder, target)
+    again, _ = publication.publish(spark, folder, target)
+    lines = spark.read.text(f"{target}/{publication.MANIFEST}", wholetext=True)
+    entries = lines.select(F.explode(F.from_json("value", "map<string, struct<length: long, sha256: string>>")).alias("name", "about"))
+    return entries.where(F.col("name").endswith(".bin")).select("name", "about.length", F.lit(again).cast("long").alias("again"))
+
+
+#: What of each metric a summary keeps; the rest keep their last value.
+FOLDS = {"purchase": "max", "error": "min"}
+
+
+@query("SELECT user_id AS run, event_type AS name, CASE event_type WHEN 'purchase' THEN max(value) WHEN 'error' THEN min(value) ELSE arg_max(value, event_id) END AS value FROM events GROUP BY user_id, event_type")
+def run_summary_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of files into the summaries of their runs, a map for each run."""
+    base = scratch(spark, "summary")
+    events = load(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("event_type").alias("name"), "value")
+    events.repartitionByRange(3, F.col("step") % 101).write.parquet(f"{base}/in")
+    store = summary.SummaryStore(spark, f"{base}/store", FOLDS)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.read().select("run", F.explode("summary").alias("name", "value"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ingest.windowed_counts(load(spark, sf_dir, "events"))
@@ -193,19 +337,26 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score(rows: DataFrame, model) -> DataFrame:
-    """Plug-in for models: ``model`` maps (ids as a list of arrays) to a loss each, a batch at a time."""
+    """Plug-in for models: ``model`` maps a batch, its values one behind the other and where each row ends, to a loss for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.asarray(model(b.column("x").to_pylist()), np.float64))], ["row", "loss"])
+            x = b.column("x")
+            ends = np.cumsum(pa.compute.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(model(x.flatten().to_numpy(zero_copy_only=False), ends), pa.float64())], ["row", "loss"])
 
     return rows.select("row", "x").mapInArrow(run, "row long, loss double")
 
 
+def _squares(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    rows = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    return np.bincount(rows, np.square(values.astype(np.float64)), len(ends))
+
+
 @query("SELECT vec_id AS row, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS loss FROM embeddings")
 def model_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").alias("x"))
-    return score(rows, lambda xs: [float(np.square(np.array(x, np.float64)).sum()) for x in xs]).withColumn("loss", F.round("loss", 6))
+    return score(rows, _squares).withColumn("loss", F.round("loss", 6))
 
 
 assert catalog.QUERIES

@@ -8,6 +8,11 @@ are appended as they come, so that a shard of any size is written with little me
 checked against what has been written. A shard is written under a name of its own attempt and renamed when the job commits,
 so a failed or repeated task leaves no half file under a final name; readers skip names that start with a dot, and the next
 job sweeps them. The folder must be one that driver and executors share as a file system: a path of another kind is refused.
+
+Filters on ``shard`` and on ``pos`` (or ``first`` of runs) become byte ranges: what they rule out is neither planned nor mapped.
+``spark.readStream`` follows the numbered shards of a folder, each once it is described and all before it are. ``writeStream``
+appends the shards of each micro-batch, in the order of their numbers, behind those that are there: the batch's place is logged
+before its files are renamed, so that a batch which is run again, at whatever point it broke off, leaves the same set once.
 """
 
 from __future__ import annotations
@@ -16,14 +21,14 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 from typing import IO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 IDS, TARGETS = "<u2", "<i4"
@@ -90,44 +95,89 @@ class Stretches(InputPartition):
     stretches: list[Stretch]
 
 
-def _mapped(path: str, kind: str) -> np.ndarray:
-    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-
+def _mapped(path: str, kind: str, low: int, high: int) -> np.ndarray:
+    """Values [low, high) of a file; no other page of it is touched."""
+    return np.memmap(path, kind, "r", low * np.dtype(kind).itemsize, (high - low,)) if high > low else np.zeros(0, kind)
+
+
+class Bounds:
+    """The whole numbers that filters let through: those of a range, and of a list if there is one."""
+
+    def __init__(self) -> None:
+        self.low, self.high = 0, 1 << 62
+        self.listed: set[int] | None = None
+
+    def take(self, f: Filter) -> bool:
+        """Whether the filter is one of these, which then holds."""
+        if isinstance(f, IsNotNull):
+            return True
+        values = f.value if isinstance(f, In) else [f.value] if hasattr(f, "value") else [None]
+        if not all(isinstance(v, int) for v in values):
+            return False
+        if isinstance(f, EqualTo | EqualNullSafe | In):
+            self.listed = set(values) if self.listed is None else self.listed & set(values)
+        elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+            self.low = max(self.low, values[0] + isinstance(f, GreaterThan))
+        elif isinstance(f, LessThan | LessThanOrEqual):
+            self.high = min(self.high, values[0] + isinstance(f, LessThanOrEqual))
+        else:
+            return False
+        return True
+
+    def __contains__(self, x: int) -> bool:
+        return self.low <= x < self.high and (self.listed is None or x in self.listed)
+
+    def ranges(self, low: int, high: int) -> Iterator[tuple[int, int]]:
+        """Of [low, high), what is let through."""
+        low, high = max(low, self.low), min(high, self.high)
+        if self.listed is None:
+            if low < high:
+                yield low, high
+            return
+        yield from joined((x, x + 1) for x in sorted(self.listed) if low <= x < high)
+
+
+def joined(ranges: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Ranges in order, those that touch as one."""
+    now: tuple[int, int] | None = None
+    for low, high in ranges:
+        if now and now[1] == low:
+            now = now[0], high
+            continue
+        if now:
+            yield now
+        now = low, high
+    if now:
+        yield now
+
+
+class _Files:
+    """How files are cut into input partitions and read, for batches and streams."""
 
-class Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.paired, self.runs = options["path"], *(options.get(k, "false").lower() == "true" for k in ("paired", "runs"))
-        self.wanted: set[int] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Shards that the filter rules out are not opened."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("shard",):
-                own = {f.value}
-            elif isinstance(f, In) and f.attribute == ("shard",):
-                own = set(f.value)
-            else:
-                yield f
-                continue
-            self.wanted = own if self.wanted is None else self.wanted & own
+        self.shards, self.places = Bounds(), Bounds()
 
-    def partitions(self) -> list[Stretches]:
+    def cut(self, files: list[Path]) -> list[Stretches]:
         width = np.dtype(IDS).itemsize
         most = PARTITION_BYTES // width
         out: list[Stretches] = []
         room = 0
-        for k, p in enumerate(discover(self.path, self.paired)):
-            m = re.search(r"_(\d{4,})(?:_inputs)?\.bin$", p.name)
-            index, n = int(m[1]) if m else k, os.path.getsize(p) // width
-            if self.wanted is not None and index not in self.wanted:
+        for k, p in enumerate(files):
+            index = shard_index(p, k)
+            if index not in self.shards:
                 continue
-            for low in range(0, max(n, 1), most):
-                own = Stretch(index, str(p), low, min(n, low + most))
-                if not out or own.high - low > room:
-                    out.append(Stretches([]))
-                    room = most
-                out[-1].stretches.append(own)
-                room -= own.high - low
+            n = os.path.getsize(p) // width
+            for start in range(0, n, most):
+                end = min(n, start + most)
+                # runs begin at fixed places, so that a filter picks whole ones
+                ranges = joined((at, min(at + RUN, end)) for at in range(start, end, RUN) if at in self.places) if self.runs else self.places.ranges(start, end)
+                for low, high in ranges:
+                    if not out or high - low > room:
+                        out.append(Stretches([]))
+                        room = most
+                    out[-1].stretches.append(Stretch(index, str(p), low, high))
+                    room -= high - low
         return out
 
     def read(self, partition: Stretches) -> Iterator[pa.RecordBatch]:
@@ -135,14 +185,12 @@ class Reader(DataSourceReader):
             yield from self._read(own)
 
     def _read(self, own: Stretch) -> Iterator[pa.RecordBatch]:
-        columns = [_mapped(own.path, IDS)]
+        columns = [_mapped(own.path, IDS, own.low, own.high)]
         if self.paired:
-            columns.append(_mapped(own.path.removesuffix("_inputs.bin") + "_targets.bin", TARGETS))
-            if len(columns[0]) != len(columns[1]):
-                raise ValueError(f"Mismatch: {len(columns[0])} inputs and {len(columns[1])} targets in {own.path}")
+            columns.append(_mapped(targets_of(own.path), TARGETS, own.low, own.high))
         for at in range(own.low, own.high, RUN):
             n = min(RUN, own.high - at)
-            values = [pa.array(np.asarray(c[at : at + n]).astype(np.int32)) for c in columns]
+            values = [pa.array(np.asarray(c[at - own.low : at - own.low + n]).astype(np.int32)) for c in columns]
             if self.runs:
                 lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), v) for v in values]
                 yield pa.RecordBatch.from_arrays([pa.array([own.index], pa.int32()), pa.array([at], pa.int64()), *lists], ["shard", "first", "tokens", "targets"][: 2 + len(lists)])
@@ -151,13 +199,71 @@ class Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([*at_each, *values], ["shard", "pos", "tok", "target"][: 2 + len(values)])
 
 
+def shard_index(path: Path, place: int) -> int:
+    m = re.search(r"_(\d{4,})(?:_inputs)?\.bin$", path.name)
+    return int(m[1]) if m else place
+
+
+def targets_of(path: str) -> str:
+    """The targets' file beside an inputs' file, of as many values."""
+    out = path.removesuffix("_inputs.bin") + "_targets.bin"
+    inputs, targets = os.path.getsize(path) // np.dtype(IDS).itemsize, os.path.getsize(out) // np.dtype(TARGETS).itemsize
+    if inputs != targets:
+        raise ValueError(f"Mismatch: {inputs} inputs and {targets} targets in {path}")
+    return out
+
+
+class Reader(_Files, DataSourceReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """What filters rule out is not opened."""
+        columns = {("shard",): self.shards, ("first" if self.runs else "pos",): self.places}
+        for f in filters:
+            own = columns.get(getattr(f, "attribute", None))
+            if own is None or not own.take(f):
+                yield f
+
+    def partitions(self) -> list[Stretches]:
+        return self.cut(discover(self.path, self.paired)) or [Stretches([])]
+
+
+class StreamReader(_Files, DataSourceStreamReader):
+    """The offset is the number of shards from 0 on that are described without a gap."""
+
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.prefix = options.get("prefix", "shard")
+        self.seen = 0
+
+    def initialOffset(self) -> dict:
+        return {"next": 0}
+
+    def latestOffset(self) -> dict:
+        while (local(self.path) / f"{self.prefix}_{self.seen:04d}_meta.json").exists():
+            self.seen += 1
+        return {"next": self.seen}
+
+    def partitions(self, start: dict, end: dict) -> list[Stretches]:
+        ending = "_inputs.bin" if self.paired else ".bin"
+        return self.cut([local(self.path) / f"{self.prefix}_{k:04d}{ending}" for k in range(start["next"], end["next"])])
+
+
+@dataclass
+class Part:
+    """A shard that a task has written: its files under names of their own, by the end of their final names, and what describes it."""
+
+    shard: int
+    files: dict[str, str]
+    about: dict
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    moves: list[tuple[str, str]]
-    described: list[tuple[str, dict]]
+    parts: list[Part]
+
 
+class _Shards:
+    """What writers of batches and streams share."""
 
-class Writer(DataSourceArrowWriter):
     def __init__(self, schema: StructType, options: dict, overwrite: bool) -> None:
         self.path, self.prefix = options["path"], options.get("prefix", "shard")
         self.about = json.loads(options.get("about", "{}"))
@@ -165,15 +271,13 @@ class Writer(DataSourceArrowWriter):
         self.job = uuid.uuid4().hex
         root = local(self.path)
         root.mkdir(parents=True, exist_ok=True)
-        for p in root.glob(".*.tmp"):  # what a job before has left
-            p.unlink(missing_ok=True)
         if overwrite:
             for p in [*root.glob(f"{self.prefix}_*.bin"), *root.glob(f"{self.prefix}_*.json")]:
                 p.unlink(missing_ok=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         root, attempt = local(self.path), uuid.uuid4().hex
-        out, done = Written([], []), set()
+        out, done = Written([]), set()
         now: int | None = None
         files: dict[str, IO[bytes]] = {}
         n = active = 0
@@ -181,15 +285,13 @@ class Writer(DataSourceArrowWriter):
         def finish() -> None:
             if now is None:
                 return
-            name = f"{self.prefix}_{now:04d}"
-            for final, f in files.items():
+            for f in files.values():
                 f.flush()
                 os.fsync(f.fileno())
                 f.close()
-                out.moves.append((f.name, str(root / final)))
-            about = {"shard_index": now, "tokens": n, **self.about}
+            about = {"tokens": n, **self.about}
             kinds = {"loss_tokens": active, "loss_token_ratio": round(active / max(1, n), 4), "inputs_dtype": "uint16", "targets_dtype": "int32"} if self.paired else {"dtype": "uint16"}
-            out.described.append((str(root / f"{name}_meta.json"), about | kinds))
+            out.parts.append(Part(now, {end: f.name for end, f in files.items()}, about | kinds))
             files.clear()
             done.add(now)
 
@@ -202,8 +304,7 @@ class Writer(DataSourceArrowWriter):
                     if shard in done:
                         raise ValueError(f"the rows of shard {shard} do not come together")
                     now, n, active = shard, 0, 0
-                    names = [f"{self.prefix}_{shard:04d}{x}.bin" for x in (("_inputs", "_targets") if self.paired else ("",))]
-                    files |= {x: (root / f".{x}.{self.job}.{attempt}.tmp").open("wb") for x in names}
+                    files |= {x: (root / f".{self.prefix}_{shard:04d}{x}.{self.job}.{attempt}.tmp").open("wb") for x in (("_inputs", "_targets") if self.paired else ("",))}
                 if firsts is not None and firsts[k] != n:
                     raise ValueError(f"shard {shard} goes on at {firsts[k]} after {n} tokens")
                 own = ids[k].values.to_numpy(zero_copy_only=False) if ids[k].is_valid else np.zeros(0, np.int64)
@@ -222,21 +323,72 @@ class Writer(DataSourceArrowWriter):
         finish()
         return out
 
+    def publish(self, parts: list[tuple[int, Part]]) -> None:
+        """Shards under their final numbers first, then what describes them."""
+        root = local(self.path)
+        for index, part in parts:
+            for end, beside in part.files.items():
+                os.replace(beside, root / f"{self.prefix}_{index:04d}{end}.bin")
+        sync_folder(root)
+        for index, part in parts:
+            write_json(root / f"{self.prefix}_{index:04d}_meta.json", {"shard_index": index} | part.about)
+
+    def sweep(self) -> None:
+        """Delete files that no job or batch has taken up."""
+        for p in local(self.path).glob(".*.tmp"):
+            p.unlink(missing_ok=True)
+
+
+def _parts(messages: list[Written | None]) -> list[Part]:
+    return [p for m in messages if m for p in m.parts]
+
+
+class Writer(_Shards, DataSourceArrowWriter):
+    def __init__(self, schema: StructType, options: dict, overwrite: bool) -> None:
+        super().__init__(schema, options, overwrite)
+        self.sweep()  # what a job before has left
+
     def commit(self, messages: list[Written | None]) -> None:
-        """Shards first, then what describes them."""
-        for m in messages:
-            for beside, final in m.moves if m else ():
-                os.replace(beside, final)
-        sync_folder(local(self.path))
-        for m in messages:
-            for path, about in m.described if m else ():
-                write_json(Path(path), about)
+        self.publish([(p.shard, p) for p in _parts(messages)])
 
     def abort(self, messages: list[Written | None]) -> None:
         for p in local(self.path).glob(f".*.{self.job}.*.tmp"):
             p.unlink(missing_ok=True)
 
 
+class StreamWriter(_Shards, DataSourceStreamArrowWriter):
+    """Each batch has a line in a log: its first number, how many shards it has, and whether all of them are there. Batches are
+    committed in turn, by a process that is not the tasks', so that what is still beside the set after a commit belongs to none."""
+
+    def commit(self, messages: list[Written | None], batchId: int) -> None:
+        parts = sorted(_parts(messages), key=lambda p: p.shard)
+        if len({p.shard for p in parts}) < len(parts):
+            raise ValueError("the rows of a shard come from several tasks")
+        logs = local(self.path) / f"_{self.prefix}_commits"
+        logs.mkdir(exist_ok=True)
+        log = logs / f"{batchId:09d}.json"
+        entry = json.loads(log.read_text()) if log.exists() else {"first": self._next(logs, log), "shards": len(parts), "done": False}
+        if entry["done"]:
+            self.sweep()
+            return
+        if entry["shards"] != len(parts):
+            raise ValueError(f"batch {batchId} had {entry['shards']} shards and now has {len(parts)}")
+        write_json(log, entry)
+        self.publish([(entry["first"] + k, p) for k, p in enumerate(parts)])
+        write_json(log, entry | {"done": True})
+        self.sweep()
+
+    def _next(self, logs: Path, log: Path) -> int:
+        before = max((p for p in logs.glob("*.json") if p.name < log.name), default=None)
+        if before:
+            last = json.loads(before.read_text())
+            return last["first"] + last["shards"]
+        return 1 + max((shard_index(p, -1) for p in local(self.path).glob(f"{self.prefix}_*.bin")), default=-1)
+
+    def abort(self, messages: list[Written | None], batchId: int) -> None:
+        self.sweep()
+
+
 class TokenShards(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -251,9 +403,15 @@ class TokenShards(DataSource):
     def reader(self, schema: StructType) -> Reader:
         return Reader(self.options)
 
+    def streamReader(self, schema: StructType) -> StreamReader:
+        return StreamReader(self.options)
+
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         return Writer(schema, self.options, overwrite)
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> StreamWriter:
+        return StreamWriter(schema, self.options, overwrite)
+
 
 def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import packing, validation
+from ..operators import chat, packing, validation
 from ..session import materialise, scope
 from ..sources import token_shards
 
@@ -22,13 +22,17 @@ from ..sources import token_shards
 class PackingSink:
     """``foreachBatch`` target. ``ids``: a column of token ids from a text column; ``config``: what a resume must find unchanged."""
 
-    def __init__(self, folder: str, size: int, ids: Callable[[Column], Column], eos: int, max_shards: int | None = None, config: dict | None = None) -> None:
+    #: Token arrays that are cut in lock-step, and how the set's files begin.
+    columns: tuple[str, ...] = ("tokens",)
+    prefix = "shard"
+
+    def __init__(self, folder: str, size: int, ids: Callable[[Column], Column], eos: int | None, max_shards: int | None = None, config: dict | None = None) -> None:
         self.root = token_shards.local(folder)
         self.root.mkdir(parents=True, exist_ok=True)
         self.size, self.ids, self.eos, self.max_shards = size, ids, eos, max_shards
         self.config = {"shard_size_tokens": size, "max_shards": max_shards, **(config or {})}
         state = self.state()
-        validation.check_state(state, self.config, any(self.root.glob("shard_*.bin")), state and self._pending_size(state))
+        validation.check_state(state, self.config, any(self.root.glob(f"{self.prefix}_*.bin")), state and self._pending_size(state))
 
     def state(self) -> dict | None:
         path = self.root / "state.json"
@@ -37,34 +41,46 @@ class PackingSink:
     def _pending_size(self, state: dict) -> int | None:
         return state["pending_tokens"] if (self.root / state["pending"]).exists() or not state["pending_tokens"] else None
 
+    def rows(self, batch: DataFrame) -> DataFrame:
+        """(key, and the token arrays) of a batch."""
+        return batch.select(F.col("doc_id").alias("key"), F.concat(self.ids(F.col("text")), F.array(F.lit(self.eos))).alias("tokens"))
+
+    def _pending(self, spark: SparkSession, state: dict) -> DataFrame:
+        """The rows that are pending, which must be as many tokens as the state says, in every column."""
+        found = spark.read.parquet(str(self.root / state["pending"]))
+        sizes = found.agg(*[F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(c) for c in self.columns]).first()
+        if set(sizes) != {state["pending_tokens"]}:
+            raise ValueError(f"pending tokens are {list(sizes)} and not {state['pending_tokens']}")
+        return found.select(F.lit(0).alias("source"), F.col("at").alias("key"), *self.columns)
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         token_shards.register(spark)
         state = self.state() or {**self.config, "schema_version": validation.STATE_VERSION, "batch": -1, "next_shard": 0, "committed_tokens": 0, "pending_tokens": 0, "pending": "", "source_documents_consumed": 0}
         if batch_id <= state["batch"] or validation.is_complete(state):
             return
-        docs = batch.select("doc_id", F.concat(self.ids(F.col("text")), F.array(F.lit(self.eos))).alias("tokens"))
-        rows = docs.select(F.lit(1).alias("source"), F.col("doc_id"), "tokens")
+        rows = self.rows(batch).select(F.lit(1).alias("source"), "key", *self.columns)
         if state["pending_tokens"]:
             # pending rows stand by their place before all documents
-            rows = spark.read.parquet(str(self.root / state["pending"])).select(F.lit(0).alias("source"), F.col("at").alias("doc_id"), "tokens").unionByName(rows)
+            rows = self._pending(spark, state).unionByName(rows)
         with scope(spark):
             rows = materialise(rows, "batch")
-            placed = packing.prefix_sum(rows.withColumn("n", F.size("tokens").cast("long")), ["source", "doc_id"], "n")
-            cut = packing.pieces(placed, {"tokens": F.col("tokens")}, self.size)
+            placed = packing.prefix_sum(rows.withColumns({"n": F.size(self.columns[0]).cast("long"), "__tie": F.xxhash64(*self.columns)}), ["source", "key", "__tie"], "n")
+            cut = packing.pieces(placed, {c: F.col(c) for c in self.columns}, self.size)
             totals = placed.agg(F.coalesce(F.max("end"), F.lit(0)).alias("t"), F.coalesce(F.sum("source"), F.lit(0)).alias("d")).first()
             full = totals["t"] // self.size
             if self.max_shards is not None:
                 full = min(full, self.max_shards - state["next_shard"])
             first = state["next_shard"]
+            named = dict(zip(self.columns, ("tokens", "targets"), strict=False))
             if full:
-                shards = cut.where(F.col("shard") < full).select((F.col("shard") + first).cast("int").alias("shard"), "first", "tokens")
-                packing.by_shard(shards).write.format("token_shards").option("path", str(self.root)).mode("append").save()
+                shards = cut.where(F.col("shard") < full).select((F.col("shard") + first).cast("int").alias("shard"), "first", *[F.col(c).alias(x) for c, x in named.items()])
+                packing.by_shard(shards).write.format("token_shards").option("path", str(self.root)).option("prefix", self.prefix).mode("append").save()
             left = totals["t"] - full * self.size
             pending = f"pending-{batch_id:08d}.parquet"
             if left:
                 at = (F.col("shard") - full) * self.size + F.col("first")
-                cut.where(F.col("shard") >= full).select(at.cast("long").alias("at"), "tokens").write.mode("overwrite").parquet(str(self.root / pending))
+                cut.where(F.col("shard") >= full).select(at.cast("long").alias("at"), *self.columns).write.mode("overwrite").parquet(str(self.root / pending))
         before = state["pending"]
         state |= {"batch": batch_id, "next_shard": first + full, "committed_tokens": state["committed_tokens"] + full * self.size, "pending_tokens": left, "pending": pending if left else "", "source_documents_consumed": state["source_documents_consumed"] + totals["d"]}
         token_shards.write_json(self.root / "state.json", state)
@@ -72,6 +88,20 @@ class PackingSink:
             shutil.rmtree(self.root / before, ignore_errors=True)
 
 
+class PairedSink(PackingSink):
+    """The same of conversations (conv_id, messages): inputs and targets in lock-step, as paired shards."""
+
+    columns = ("inputs", "targets")
+    prefix = "chat"
+
+    def __init__(self, folder: str, size: int, ids: Callable[[Column], Column], max_shards: int | None = None, config: dict | None = None) -> None:
+        super().__init__(folder, size, ids, None, max_shards, config)
+
+    def rows(self, batch: DataFrame) -> DataFrame:
+        inputs, targets = chat.encode(F.col("messages"), self.ids)
+        return batch.select(F.col("conv_id").alias("key"), inputs.alias("inputs"), targets.alias("targets"))
+
+
 def ingest(spark: SparkSession, source: str, schema: str, sink: PackingSink, checkpoint: str, files_per_batch: int = 4) -> dict | None:
     """Read what is new in ``source`` (Parquet) and return the state after it."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
