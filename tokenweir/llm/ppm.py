@@ -42,7 +42,7 @@ END = b"\n"
 SYMBOLS = 252
 #: Bytes of the longest context; with the byte after it they fit in a long.
 ORDER = 5
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 #: Bytes whose contexts are worked on at once.
 SLICE = 1 << 19
 
@@ -260,8 +260,8 @@ def _scored(order: int, total: int, kinds: int) -> Callable:
     def run(key: tuple, chunks: pa.Table, values: pa.Table) -> pa.Table:
         own = values.column("leaf").is_valid()
         by_leaf, by_token = values.filter(own), values.filter(pa.compute.invert(own))
-        cost = Lookup(by_leaf.column("leaf").to_numpy(), by_leaf.column("cost").to_numpy())
-        count = dict(zip(by_token.column("token").to_pylist(), by_token.column("n").to_pylist(), strict=True))
+        cost = Lookup(by_leaf.column("leaf").to_numpy(), by_leaf.column("value").to_numpy())
+        count = dict(zip(by_token.column("token").to_pylist(), by_token.column("value").to_pylist(), strict=True))
         (chunk,) = chunks.to_batches()
         doc_ids, held, sizes = (chunk.column(c).flatten() for c in ("doc_ids", "held", "sizes"))
         ends = np.cumsum(sizes.to_numpy())
@@ -293,8 +293,8 @@ def score(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
     costs = probabilities(counts, nodes, materialise(contexts(nodes), "contexts"), order)
     tokens = materialise(listed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
     totals = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
-    of_leaf = listed.where("leaf is not null").select("chunk", "leaf").join(costs.hint("shuffle_hash"), "leaf").select("chunk", "leaf", F.lit(None).cast("binary").alias("token"), "cost", F.lit(None).cast("long").alias("n"))
-    of_token = listed.where("token is not null").select("chunk", "token").join(tokens.hint("shuffle_hash"), "token").select("chunk", F.lit(None).cast("long").alias("leaf"), "token", F.lit(None).cast("double").alias("cost"), "n")
+    of_leaf = listed.where("leaf is not null").select("chunk", "leaf").join(costs.hint("shuffle_hash"), "leaf").select("chunk", "leaf", F.lit(None).cast("binary").alias("token"), F.col("cost").alias("value"))
+    of_token = listed.where("token is not null").select("chunk", "token").join(tokens.hint("shuffle_hash"), "token").select("chunk", F.lit(None).cast("long").alias("leaf"), "token", F.col("n").cast("double").alias("value"))
     values = of_leaf.unionByName(of_token)
     texts = listed.where("texts is not null").select(*[F.col(c).alias(c) for c in ("chunk", "doc_ids", "held", "sizes", "texts")])
     return texts.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_scored(order, totals["n"], totals["kinds"]), SCHEMA)
