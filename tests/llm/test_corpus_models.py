@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tokenweir.llm import divergence, importance, ppm
+from tokenweir.llm import divergence, html, importance, ppm
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LINE = "the quick brown fox jumps over the lazy dog near the old river bank today"
@@ -308,3 +308,37 @@ def test_lookup(keys):
     own = np.array(sorted(keys), np.int64)
     find = ppm.Lookup(own, own * 2)
     assert (find(own[::-1]) == own[::-1] * 2).all()
+
+
+# --- main text: what is an article's stays
+
+
+def test_articles_keep_what_they_share():
+    """A sentence that all articles of a host hold stays in its place; plain lines at the ends of all of them go."""
+    said = "The river rose again on the third day of the flood"
+    pages = [html.lines(f"<main><div>Home and all topics</div><p>Story {k} begins {'x' * (k + 30)}</p><p>{said}</p><p>Story {k} ends {'y' * (k + 30)}</p><div>Read more of us</div></main>") for k in range(6)]
+    for k in range(6):
+        text = html.main_text(pages[k], [pages[i] for i in (k - 2, k - 1, k + 1, k + 2) if 0 <= i < 6])
+        assert text == f"Story {k} begins {'x' * (k + 30)}\n\n{said}\n\nStory {k} ends {'y' * (k + 30)}"
+
+
+@pytest.mark.parametrize("name,frame", [("related-work", False), ("share-prices", False), ("ad-hoc", False), ("commentary", False), ("header-image-of-the-day", False), ("ad", True), ("site-footer", True), ("footer-links", True), ("nav__item", True), ("ads-300x250", True), ("related-posts", True), ("main comments", True), ("Cookie-Banner", True)])
+def test_names_of_frames_are_whole(name, frame):
+    for kind in ("class", "id"):
+        got = html.lines(f'<article><p>One</p><div {kind}="{name}">Two</div></article>')
+        assert dict(got) == {"One": html.CONTENT, "Two": html.FRAMED if frame else html.CONTENT}
+
+
+def texts_of(markup):
+    """The parser alone, held against blocks found by splitting well-formed markup at its block elements."""
+    import html as entities
+
+    flat = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", markup, flags=re.S)
+    parts = re.split(r"</?(?:html|body|article|main|nav|footer|aside|div|p|ul|li|h1|h2|section)\b[^>]*>", flat)
+    return [t for t in (" ".join(entities.unescape(re.sub(r"<br[^>]*>", " ", re.sub(r"</?(?:a|b|i|em|span|strong)\b[^>]*>", "", p))).split()) for p in parts) if t]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.recursive(st.sampled_from(["one", "t&eacute;xt &amp; more", "<b>bold</b> <i>word</i>", "a<br>b", "  ", "<script>x('<p>')</script>", "<!-- <p>no</p> -->", "&#20013;"]), lambda inner: st.tuples(st.sampled_from(["div", "section", "main", "article", "ul"]), st.lists(inner, max_size=4)).map(lambda x: f"<{x[0]}>" + "".join(x[1]) + f"</{x[0]}>"), max_leaves=12))
+def test_parser_finds_the_blocks(markup):
+    assert [t for t, _ in html.lines(f"<html><body>{markup}</body></html>")] == texts_of(f"<html><body>{markup}</body></html>")

@@ -5,7 +5,8 @@ with its nearest neighbours there: NEIGHBOURS pages before and after it of the s
 their longest common subsequence; lines that both pages share are the site's frame and are deleted.
 
 A line outside of the page's article and main elements goes when one neighbour has it, too. A line inside them goes when
-every neighbour that differs from the page has it, and there are two at least: single lines recur in articles by chance.
+every neighbour that differs from the page has it, there are two at least, and only such lines stand between it and an end of
+those elements: single lines recur in articles by chance, and articles of a site share sentences.
 Sites repeat whole articles: where nothing would be left of the article and main elements and they hold more text than is
 left outside of them, they are a copy and stay. A neighbour that shares most of the page's text beside its frame
 elements may be a copy or have the same large frame: of it only those lines count that every other differing neighbour has. Lines in elements that are never content (menus, headers, footers, sidebars,
@@ -25,7 +26,7 @@ import re
 from bisect import bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,18 +47,28 @@ FRAME = "nav footer aside form button dialog menu".split()
 BLOCKS = "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 FRAME_WORDS = "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+#: What may follow such a word in a name that is still one of a frame: "footer-links", but not "related-work" or "share-prices".
+PART_WORDS = "area articles bar block body bottom box button buttons center col column container content end group icon icons info inner item items label layer left line link links list logo main message outer overlay panel posts primary right row secondary section slot start stories strip tabs text tile title top trail unit wrap wrapper zone".split()
 ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split()
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(?=[a-zA-Z/])[^<]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[A-Za-z]+")
+_PARTS = re.compile(r"[-_:.]+")
 _BLANK = re.compile(r"\s+")
-_NO_TEXT, _FRAME, _BLOCKS, _VOID, _FRAME_WORDS, _ROLES = map(frozenset, (NO_TEXT, FRAME, BLOCKS, VOID, FRAME_WORDS, ROLES))
+_NO_TEXT, _FRAME, _BLOCKS, _VOID, _FRAME_WORDS, _PART_WORDS, _ROLES = map(frozenset, (NO_TEXT, FRAME, BLOCKS, VOID, FRAME_WORDS, PART_WORDS, ROLES))
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title")}
 
 CONTENT, OUTSIDE, FRAMED = 0, 1, 2
 
 
+def _names_frame(name: str) -> bool:
+    """Whether a class or an id is that of a frame: its last word says what it is, but for words of parts and numbers behind it."""
+    words = [w for w in _PARTS.split(name.lower()) if w]
+    while len(words) > 1 and (words[-1] in _PART_WORDS or not words[-1].isalpha()):
+        words.pop()
+    return bool(words) and words[-1].rstrip("0123456789") in _FRAME_WORDS
+
+
 def _framed(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element never holds content. A header inside an article holds its title."""
     if tag in _FRAME or tag == "header" and not inside:
@@ -70,7 +81,7 @@ def _framed(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(w.lower() in _FRAME_WORDS for w in _WORDS.findall(value)):
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(map(_names_frame, value.split())):
             return True
     return False
 
@@ -229,6 +240,10 @@ def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]
     size = lambda at: sum(len(page[k][0]) for k in at)
     frame = every if every is not None and len(others) > 1 else set()
     left = outside - shared - frame
+    # inside of an article a frame stands at its ends; what neighbours share in its middle is theirs as well
+    order = sorted(inside)
+    ends = {*takewhile(frame.__contains__, order), *takewhile(frame.__contains__, reversed(order))}
+    frame = frame - inside | ends
     if inside <= frame and size(inside) > size(left):
         frame = frame - inside
     if not others and size(inside) > size(outside):
