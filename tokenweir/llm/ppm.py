@@ -43,6 +43,8 @@ SYMBOLS = 252
 #: Bytes of the longest context; with the byte after it they fit in a long.
 ORDER = 5
 CHUNK_BYTES = 32 << 20
+#: Of zstd, for the texts of a chunk, which are written once and shuffled once.
+LEVEL = 6
 #: Bytes whose contexts are worked on at once.
 SLICE = 1 << 19
 
@@ -126,16 +128,18 @@ class _Chunk:
         counts = of_kind[1]
         for w in of_kind[0].keys() - counts.keys():
             counts[w] = 0
-        a, b = len(leaf), len(counts)
+        words = sorted(counts)
+        a, b = len(leaf), len(words)
         none = lambda k, kind: pa.nulls(k, kind)
         one = lambda value, kind: pa.concat_arrays([none(a + b, kind), pa.array([value], kind)])
         columns = [
             pa.array(np.full(a + b + 1, number), pa.int64()),
-            pa.concat_arrays([pa.array(leaf), none(b + 1, pa.int64())]),
-            pa.concat_arrays([none(a, pa.binary()), pa.array(counts, pa.binary()), none(1, pa.binary())]),
-            pa.concat_arrays([pa.array(n), pa.array(counts.values(), pa.int64()), none(1, pa.int64())]),
+            # a token's place among the chunk's, from -1 down
+            pa.concat_arrays([pa.array(leaf), pa.array(-1 - np.arange(b)), none(1, pa.int64())]),
+            pa.concat_arrays([none(a, pa.binary()), pa.array(words, pa.binary()), none(1, pa.binary())]),
+            pa.concat_arrays([pa.array(n), pa.array([counts[w] for w in words], pa.int64()), none(1, pa.int64())]),
             one(self.doc_ids, pa.list_(pa.int64())), one(self.held, pa.list_(pa.bool_())), one([len(x) for x in self.bodies], pa.list_(pa.int64())),
-            one(pa.compress(b"".join(self.bodies), "zstd", asbytes=True), pa.binary()),
+            one(pa.Codec("zstd", compression_level=LEVEL).compress(b"".join(self.bodies), asbytes=True), pa.binary()),
         ]
         pa.default_memory_pool().release_unused()
         return pa.RecordBatch.from_arrays(columns, LISTED.names)
@@ -258,18 +262,24 @@ def _scored(order: int, total: int, kinds: int) -> Callable:
     divisor = total + 0.5 * (kinds + 1)
 
     def run(key: tuple, chunks: pa.Table, values: pa.Table) -> pa.Table:
-        own = values.column("leaf").is_valid()
-        by_leaf, by_token = values.filter(own), values.filter(pa.compute.invert(own))
-        cost = Lookup(by_leaf.column("leaf").to_numpy(), by_leaf.column("value").to_numpy())
-        count = dict(zip(by_token.column("token").to_pylist(), by_token.column("value").to_pylist(), strict=True))
+        leaf, value = (values.column(c).to_numpy() for c in ("leaf", "value"))
+        own = leaf >= 0
+        cost = Lookup(leaf[own], value[own])
+        count = np.zeros(len(leaf) - np.count_nonzero(own), np.int64)
+        count[-1 - leaf[~own]] = value[~own]
         (chunk,) = chunks.to_batches()
         doc_ids, held, sizes = (chunk.column(c).flatten() for c in ("doc_ids", "held", "sizes"))
         ends = np.cumsum(sizes.to_numpy())
         data = pa.decompress(chunk.column("texts")[0].as_buffer(), int(ends[-1]), "zstd", asbytes=True) if ends[-1] else b""
         bodies = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        seen: set[bytes] = set()
+        for body in bodies:
+            seen.update(*tokens_of(body))
+        place = {w: k for k, w in enumerate(sorted(seen))}
+        seen.clear()
         n, known, base, score = (np.zeros(len(bodies), kind) for kind in (np.int64, np.int64, float, float))
         for k, body in enumerate(bodies):
-            c = np.array(list(map(count.__getitem__, chain.from_iterable(tokens_of(body)))), np.int64)
+            c = count[np.array(list(map(place.__getitem__, chain.from_iterable(tokens_of(body)))), np.int64)]
             n[k], known[k], base[k] = len(c), np.count_nonzero(c), np.log10((c + 0.5) / divisor).sum()
         for leaf, owner in leaves(bodies, order):
             score += np.bincount(owner, cost(leaf), len(score))
@@ -288,13 +298,13 @@ def score(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
         raise ValueError("contexts of 0 to 6 bytes fit in a leaf")
     own = docs.select("doc_id", held.alias("held"), "text")
     listed = materialise(own.mapInArrow(_listed(order), LISTED_SQL), "listed")
-    counts = materialise(listed.where("leaf is not null").groupBy("leaf").agg(F.sum("n").alias("n")), "leaves")
+    counts = materialise(listed.where("leaf >= 0").groupBy("leaf").agg(F.sum("n").alias("n")), "leaves")
     nodes = materialise(trie(counts, order), "nodes")
     costs = probabilities(counts, nodes, materialise(contexts(nodes), "contexts"), order)
     tokens = materialise(listed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
     totals = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
-    of_leaf = listed.where("leaf is not null").select("chunk", "leaf").join(costs.hint("shuffle_hash"), "leaf").select("chunk", "leaf", F.lit(None).cast("binary").alias("token"), F.col("cost").alias("value"))
-    of_token = listed.where("token is not null").select("chunk", "token").join(tokens.hint("shuffle_hash"), "token").select("chunk", F.lit(None).cast("long").alias("leaf"), "token", F.col("n").cast("double").alias("value"))
+    of_leaf = listed.where("leaf >= 0").select("chunk", "leaf").join(costs.hint("shuffle_hash"), "leaf").select("chunk", "leaf", F.col("cost").alias("value"))
+    of_token = listed.where("token is not null").select("chunk", "leaf", "token").join(tokens.hint("shuffle_hash"), "token").select("chunk", "leaf", F.col("n").cast("double").alias("value"))
     values = of_leaf.unionByName(of_token)
     texts = listed.where("texts is not null").select(*[F.col(c).alias(c) for c in ("chunk", "doc_ids", "held", "sizes", "texts")])
     return texts.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_scored(order, totals["n"], totals["kinds"]), SCHEMA)
