@@ -29,6 +29,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,38 +97,44 @@ def leaves(bodies: Iterable[bytes], order: int) -> Iterator[tuple[np.ndarray, np
 
 
 class _Chunk:
-    """Texts of a partition in a row, until they are ``CHUNK_BYTES``."""
+    """Texts of a partition in a row, until they are ``CHUNK_BYTES``; each is counted and compressed as it comes, and not kept."""
 
     def __init__(self) -> None:
         self.doc_ids: list[int | None] = []
         self.held: list[bool] = []
-        self.bodies: list[bytes] = []
-        self.size = 0
-
-    def add(self, doc_id: int | None, held: bool, text: bytes) -> None:
-        self.doc_ids.append(doc_id)
-        self.held.append(held)
-        self.bodies.append(normal(text))
-        self.size += len(self.bodies[-1]) + 1
-
-    def listed(self, number: int, order: int) -> pa.RecordBatch:
+        self.sizes: list[int] = []
+        self.counts: tuple[Counter, Counter] = Counter(), Counter()  # of texts that train, and of others
+        self.packer, self.packed = zstandard.ZstdCompressor(level=LEVEL).compressobj(), []
+
+    def taken(self, rows: Iterator[tuple]) -> Iterator[bytes]:
+        size = 0
+        for doc_id, held, text in rows:
+            body = normal(text)
+            self.doc_ids.append(doc_id)
+            self.held.append(held)
+            self.sizes.append(len(body))
+            for words in tokens_of(body):
+                self.counts[held].update(words)
+            self.packed.append(self.packer.compress(body))
+            yield body
+            size += len(body) + 1
+            if size > CHUNK_BYTES:
+                return
+
+    def listed(self, rows: Iterator[tuple], number: int, order: int) -> pa.RecordBatch:
         """The distinct leaves and tokens, and how often they stand in training texts; then the texts."""
-        trains = ~np.array(self.held, bool)
         found = []
-        for leaf, owner in leaves(self.bodies, order):
+        for leaf, owner in leaves(self.taken(rows), order):
             # the lowest bit tells whether the text trains, so that one sort counts both
-            found.append(np.unique(leaf << 1 | trains[owner], return_counts=True))
-            if len(found) > 8:
-                found = [_merged(found)]
+            found.append(np.unique(leaf << 1 | ~np.array(self.held, bool)[owner], return_counts=True))
+            if len(found) > 5:
+                found.append(_merged(found))
         both, times = _merged(found)
         leaf, n = _merged([(both >> 1, times * (both & 1))])
-        of_kind: tuple[Counter, Counter] = Counter(), Counter()
-        for body, train in zip(self.bodies, trains, strict=True):
-            for words in tokens_of(body):
-                of_kind[int(train)].update(words)
-        counts = of_kind[1]
-        for w in of_kind[0].keys() - counts.keys():
+        counts, others = self.counts
+        for w in others.keys() - counts.keys():
             counts[w] = 0
+        others.clear()
         words = sorted(counts)
         a, b = len(leaf), len(words)
         none = lambda k, kind: pa.nulls(k, kind)
@@ -138,8 +145,8 @@ class _Chunk:
             pa.concat_arrays([pa.array(leaf), pa.array(-1 - np.arange(b)), none(1, pa.int64())]),
             pa.concat_arrays([none(a, pa.binary()), pa.array(words, pa.binary()), none(1, pa.binary())]),
             pa.concat_arrays([pa.array(n), pa.array([counts[w] for w in words], pa.int64()), none(1, pa.int64())]),
-            one(self.doc_ids, pa.list_(pa.int64())), one(self.held, pa.list_(pa.bool_())), one([len(x) for x in self.bodies], pa.list_(pa.int64())),
-            one(pa.Codec("zstd", compression_level=LEVEL).compress(b"".join(self.bodies), asbytes=True), pa.binary()),
+            one(self.doc_ids, pa.list_(pa.int64())), one(self.held, pa.list_(pa.bool_())), one(self.sizes, pa.list_(pa.int64())),
+            one(b"".join([*self.packed, self.packer.flush()]), pa.binary()),
         ]
         pa.default_memory_pool().release_unused()
         return pa.RecordBatch.from_arrays(columns, LISTED.names)
@@ -153,26 +160,28 @@ def _listed(order: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
-        chunk = _Chunk()
-        for batch in batches:
-            for doc_id, held, text in zip(batch.column("doc_id"), batch.column("held"), batch.column("text").cast(pa.binary()), strict=True):
-                chunk.add(doc_id.as_py(), held.as_py(), text.as_py() or b"")
-                if chunk.size > CHUNK_BYTES:
-                    yield chunk.listed(number, order)
-                    chunk, number = _Chunk(), number + 1
-        if chunk.bodies:
-            yield chunk.listed(number, order)
+        rows = (
+            (doc_id.as_py(), held.as_py(), text.as_py() or b"")
+            for batch in batches
+            for doc_id, held, text in zip(batch.column("doc_id"), batch.column("held"), batch.column("text").cast(pa.binary()), strict=True)
+        )
+        for row in rows:
+            yield _Chunk().listed(chain([row], rows), number, order)
+            number += 1
 
     return run
 
 
 def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of several lists, and the sums of their numbers."""
+    """The distinct keys of several lists, and the sums of their numbers; empties the list, as it is most of a task's memory."""
     keys, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    found.clear()
     order = np.argsort(keys, kind="stable")  # of runs that are sorted
-    keys, n = keys[order], n[order]
+    keys = keys[order]
+    n = n[order]
+    del order
     first = np.flatnonzero(np.diff(keys, prepend=-1))
-    return keys[first], np.add.reduceat(n, first)
+    return keys[first], np.add.reduceat(n, first, dtype=np.int64)
 
 
 def trie(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -272,6 +281,7 @@ def _scored(order: int, total: int, kinds: int) -> Callable:
         ends = np.cumsum(sizes.to_numpy())
         data = pa.decompress(chunk.column("texts")[0].as_buffer(), int(ends[-1]), "zstd", asbytes=True) if ends[-1] else b""
         bodies = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        del data
         seen: set[bytes] = set()
         for body in bodies:
             seen.update(*tokens_of(body))
