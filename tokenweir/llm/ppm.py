@@ -22,7 +22,6 @@ by itself.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -35,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, pieces
+from .tokens import Places
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -45,9 +45,9 @@ SYMBOLS = 252
 ORDER = 5
 CHUNK_BYTES = 32 << 20
 #: Of zstd, for the texts of a chunk, which are written once and shuffled once.
-LEVEL = 6
+LEVEL = 3
 #: Bytes whose contexts are worked on at once.
-SLICE = 1 << 19
+SLICE = 1 << 20
 
 
 def is_held(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -67,6 +67,10 @@ def tokens_of(body: bytes) -> Iterator[list[bytes]]:
     yield [END]
 
 
+def numbered(place: Places, body: bytes) -> np.ndarray:
+    return np.fromiter(map(place.__getitem__, chain.from_iterable(tokens_of(body))), np.int32)
+
+
 def leaves(bodies: Iterable[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of texts in turn: the leaf at every byte, and the number of the text it is in. A leaf is a context of ``order`` bytes and the
     byte after it, as a number; before a text there are ends."""
@@ -103,7 +107,8 @@ class _Chunk:
         self.doc_ids: list[int | None] = []
         self.held: list[bool] = []
         self.sizes: list[int] = []
-        self.counts: tuple[Counter, Counter] = Counter(), Counter()  # of texts that train, and of others
+        self.place = Places()  # of each token, as it is first met
+        self.trained: list[np.ndarray] = [np.zeros(0, np.int32)]  # places of the tokens of texts that train
         self.packer, self.packed = zstandard.ZstdCompressor(level=LEVEL).compressobj(), []
 
     def taken(self, rows: Iterator[tuple]) -> Iterator[bytes]:
@@ -113,8 +118,9 @@ class _Chunk:
             self.doc_ids.append(doc_id)
             self.held.append(held)
             self.sizes.append(len(body))
-            for words in tokens_of(body):
-                self.counts[held].update(words)
+            own = numbered(self.place, body)
+            if not held:
+                self.trained.append(own)
             self.packed.append(self.packer.compress(body))
             yield body
             size += len(body) + 1
@@ -127,15 +133,12 @@ class _Chunk:
         for leaf, owner in leaves(self.taken(rows), order):
             # the lowest bit tells whether the text trains, so that one sort counts both
             found.append(np.unique(leaf << 1 | ~np.array(self.held, bool)[owner], return_counts=True))
-            if len(found) > 5:
+            if len(found) > 9:
                 found.append(_merged(found))
         both, times = _merged(found)
         leaf, n = _merged([(both >> 1, times * (both & 1))])
-        counts, others = self.counts
-        for w in others.keys() - counts.keys():
-            counts[w] = 0
-        others.clear()
-        words = sorted(counts)
+        words = list(self.place)
+        counts = np.bincount(np.concatenate(self.trained), minlength=len(words))
         a, b = len(leaf), len(words)
         none = lambda k, kind: pa.nulls(k, kind)
         one = lambda value, kind: pa.concat_arrays([none(a + b, kind), pa.array([value], kind)])
@@ -144,7 +147,7 @@ class _Chunk:
             # a token's place among the chunk's, from -1 down
             pa.concat_arrays([pa.array(leaf), pa.array(-1 - np.arange(b)), none(1, pa.int64())]),
             pa.concat_arrays([none(a, pa.binary()), pa.array(words, pa.binary()), none(1, pa.binary())]),
-            pa.concat_arrays([pa.array(n), pa.array([counts[w] for w in words], pa.int64()), none(1, pa.int64())]),
+            pa.concat_arrays([pa.array(n), pa.array(counts, pa.int64()), none(1, pa.int64())]),
             one(self.doc_ids, pa.list_(pa.int64())), one(self.held, pa.list_(pa.bool_())), one(self.sizes, pa.list_(pa.int64())),
             one(b"".join([*self.packed, self.packer.flush()]), pa.binary()),
         ]
@@ -176,7 +179,7 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     """The distinct keys of several lists, and the sums of their numbers; empties the list, as it is most of a task's memory."""
     keys, n = (np.concatenate(x) for x in zip(*found, strict=True))
     found.clear()
-    order = np.argsort(keys, kind="stable")  # of runs that are sorted
+    order = np.argsort(keys)
     keys = keys[order]
     n = n[order]
     del order
@@ -282,14 +285,10 @@ def _scored(order: int, total: int, kinds: int) -> Callable:
         data = pa.decompress(chunk.column("texts")[0].as_buffer(), int(ends[-1]), "zstd", asbytes=True) if ends[-1] else b""
         bodies = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         del data
-        seen: set[bytes] = set()
-        for body in bodies:
-            seen.update(*tokens_of(body))
-        place = {w: k for k, w in enumerate(sorted(seen))}
-        seen.clear()
+        place = Places()
         n, known, base, score = (np.zeros(len(bodies), kind) for kind in (np.int64, np.int64, float, float))
         for k, body in enumerate(bodies):
-            c = count[np.array(list(map(place.__getitem__, chain.from_iterable(tokens_of(body)))), np.int64)]
+            c = count[numbered(place, body)]
             n[k], known[k], base[k] = len(c), np.count_nonzero(c), np.log10((c + 0.5) / divisor).sum()
         for leaf, owner in leaves(bodies, order):
             score += np.bincount(owner, cost(leaf), len(score))
