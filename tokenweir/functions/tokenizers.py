@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EOS = "<eos>"
@@ -67,18 +67,24 @@ def _loaded(path: str):
 
 
 def _encoded(path: str, kind: str, of: Callable) -> Callable[[Column], Column]:
-    @F.pandas_udf(kind)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = _loaded(path)
         for texts in batches:
             out: list = []
             for first in range(0, len(texts), CALL):
-                out += map(of, tokenizer.encode_batch_fast(texts.iloc[first : first + CALL].fillna("").tolist(), add_special_tokens=False))
-            yield pd.Series(out, index=texts.index)
+                out += map(of, tokenizer.encode_batch_fast(texts.slice(first, CALL).fill_null("").to_pylist(), add_special_tokens=False))
+            yield pa.array(out, pa.list_(pa.int32()) if kind == "array<int>" else pa.int64())
 
     return encode
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt out to all of them, for work that costs more than moving a row."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if len(rows.inputFiles()) < n else rows
+
+
 def bpe_ids(path: str) -> Callable[[Column], Column]:
     """Ids of a tokenizers file, a batch of texts to a call."""
     return _encoded(path, "array<int>", lambda e: e.ids)

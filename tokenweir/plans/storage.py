@@ -154,7 +154,7 @@ def bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     count = T.bpe_count(public_tokenizers.path("word_bpe_49k.json"))
-    return load(spark, sf_dir, "documents").select("doc_id", count(F.col("text")).alias("n_tokens"))
+    return T.spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", count(F.col("text")).alias("n_tokens"))
 
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
@@ -163,7 +163,7 @@ def bpe_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = load(spark, sf_dir, "documents").select("doc_id", T.bpe_ids(path)(F.col("text")).alias("ids"))
+    ids = T.spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.bpe_ids(path)(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.md5(T.bpe_text(path)(F.col("ids"))).alias("digest"))
 
 
