@@ -3,6 +3,7 @@ import shutil
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In,
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tokenweir.functions import tokenizers as T
-from tokenweir.operators import chat, choices, fetch, packing, splits, templates
+from tokenweir.operators import chat, choices, fetch, packing, splits, templates, validation
 from tokenweir.sources import publication, token_shards
 from tokenweir.streaming import ingest, rates, summary
 
@@ -366,3 +367,27 @@ def test_templates_that_are_refused(spark):
     with pytest.raises(Exception, match="no system"):
         df.select(templates.chat_template("{% if messages[0].role == 'system' %}{{ raise_exception('no system') }}{% endif %}")(F.col("messages"))).collect()
     assert df.limit(0).select(templates.chat_template("{{ messages | length }}")(F.col("messages"))).collect() == []
+
+
+def test_tasks_describe_the_shards_that_they_write(tmp_path):
+    """The driver only renames: what it does for a shard must not wait for the disk."""
+    w = token_shards.Writer(SCHEMA, {"path": str(tmp_path / "set")}, False)
+    message = w.write(iter(batch_of([(0, [1, 2]), (2, [3])])))
+    beside = sorted((tmp_path / "set").glob(".shard_*_meta.json.*.tmp"))
+    assert [json.loads(p.read_text())["shard_index"] for p in beside] == [0, 2]
+    w.commit([message])
+    assert {p.name for p in (tmp_path / "set").iterdir()} == {f"shard_{k:04d}{e}" for k in (0, 2) for e in (".bin", "_meta.json")}
+
+
+def test_files_are_opened_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Tasks go by files, not by bytes: small ones must not all come to one task, nor each few to a task of their own."""
+    write_shards(spark, tmp_path / "set", [10] * 12)
+    (tmp_path / "set" / ".shard_0099.bin.tmp").write_bytes(b"half")
+    found = validation.shard_files(spark, str(tmp_path / "set"))
+    assert found.rdd.getNumPartitions() == 1 and sorted(map(tuple, found.collect())) == [(k, f"shard_{k:04d}.bin", 20) for k in range(12)]
+    monkeypatch.setattr(token_shards, "TASK_FILES", 2)
+    assert validation.shard_files(spark, str(tmp_path / "set")).rdd.getNumPartitions() > 4
+    assert sorted(r["tokens"] for r in validation.shard_metadata(spark, str(tmp_path / "set")).collect()) == [10] * 12
+    (tmp_path / "set" / "shard_0003_meta.json").write_text("{")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        validation.shard_metadata(spark, str(tmp_path / "set")).collect()

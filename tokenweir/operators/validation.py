@@ -3,25 +3,41 @@
 from __future__ import annotations
 
 import json
+import os
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources import token_shards
 
 META = "shard_index long, tokens long, vocab_size long, dtype string, dataset_revision string, tokenizer_revision string, loss_tokens long, loss_token_ratio double, inputs_dtype string, targets_dtype string"
 STATE_VERSION = 1
 
 
+def _length(path: str) -> tuple[int]:
+    return (os.path.getsize(path),)
+
+
+def _text(path: str) -> tuple[str]:
+    with open(path, encoding="utf-8") as f:
+        return (f.read(),)
+
+
 def shard_files(spark: SparkSession, folder: str, suffix: str = ".bin") -> DataFrame:
     """(shard, name, length) of a folder's shard files, without their content."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "length")
-    name = F.element_at(F.split("path", "/"), -1)
-    return found.select(F.regexp_extract(name, r"_(\d{4,})", 1).cast("long").alias("shard"), name.alias("name"), "length")
+    found = token_shards.each_file(spark, folder, f"*{suffix}", _length, "length long")
+    return found.select(F.regexp_extract("name", r"_(\d{4,})", 1).cast("long").alias("shard"), "name", "length")
 
 
 def shard_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    found = spark.read.schema(META).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*_meta.json").json(folder)
-    return found.select(F.regexp_extract(F.col("_metadata.file_path"), r"_(\d{4,})_meta\.json$", 1).cast("long").alias("shard"), "*")
+    """(shard, and what its description says); a description that is not JSON is an error. Spark's own reader would take a task for
+    every few files."""
+    found = token_shards.each_file(spark, folder, "*_meta.json", _text, "text string")
+    about = F.from_json("text", META, {"mode": "FAILFAST"})
+    read = found.select("name", F.when(F.trim("text") == "", F.raise_error(F.concat(F.lit("empty description: "), "name")).cast(StructType.fromDDL(META))).otherwise(about).alias("about"))
+    return read.select(F.regexp_extract("name", r"_(\d{4,})_meta\.json$", 1).cast("long").alias("shard"), "about.*")
 
 
 #: Of each kind of set: the files of a shard, by the end of their names, with the bytes of a token, and what describes their types.
@@ -60,8 +76,8 @@ def check_set(spark: SparkSession, folder: str, state: dict, publish: bool = Fal
 
 def publishable(spark: SparkSession, folder: str, prefix: str = "shard") -> DataFrame:
     """(name, kind, length) of the files of a set that may be published: its shards and what describes them, and nothing else."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}_*{{.bin,_meta.json}}").load(folder).select("path", "length")
-    name = F.element_at(F.split("path", "/"), -1)
+    found = token_shards.each_file(spark, folder, f"{prefix}_*", _length, "length long").where(F.col("name").endswith(".bin") | F.col("name").endswith("_meta.json"))
+    name = F.col("name")
     kind = F.when(name.endswith("_inputs.bin"), "inputs").when(name.endswith("_targets.bin"), "targets").when(name.endswith("_meta.json"), "meta").otherwise("ids")
     return found.select(name.alias("name"), kind.alias("kind"), "length")
 

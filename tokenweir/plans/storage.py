@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..functions import tokenizers as T
-from ..operators import choices, fetch, packing, splits, validation
-from ..session import load, materialise, scratch
+from ..operators import chat, choices, fetch, packing, splits, validation
+from ..session import bound_batches, load, materialise, scratch
 from ..sources import publication, token_shards
 from ..streaming import ingest, rates, reports, summary
 from . import catalog

@@ -46,6 +46,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that go to a Python worker at a time; Spark's own bound is of rows, however long they are.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of the rows that come to it, unless the session has a lower bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = str(spark.conf.get(name, None) or "")
+    if not own.isdigit() or int(own) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of this machine only where the session names none and runs on it alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,9 +5,9 @@ large ones cut into several: rows of (shard, pos, tok[, target]), or with the op
 tokens[, targets]) of RUN tokens at most, which is what to read at scale. ``df.write.format("token_shards")`` takes rows of
 (shard, tokens[, targets]); a shard may be many rows, which are to come to one task in their order (``packing.by_shard``) and
 are appended as they come, so that a shard of any size is written with little memory. If there is a column ``first`` it is
-checked against what has been written. A shard is written under a name of its own attempt and renamed when the job commits,
-so a failed or repeated task leaves no half file under a final name; readers skip names that start with a dot, and the next
-job sweeps them. The folder must be one that driver and executors share as a file system: a path of another kind is refused.
+checked against what has been written. A shard and what describes it are written by a task under names of its own attempt and
+renamed when the job commits, which is all that the driver does for a shard, so a failed or repeated task leaves no half file under
+a final name; readers skip names that start with a dot, and the next job sweeps them. The folder must be one that driver and executors share as a file system: a path of another kind is refused.
 
 Filters on ``shard`` and on ``pos`` (or ``first`` of runs) become byte ranges: what they rule out is neither planned nor mapped.
 ``spark.readStream`` follows the numbered shards of a folder, each once it is described and all before it are. ``writeStream``
@@ -21,8 +21,10 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 from pathlib import Path
 from typing import IO
 
@@ -31,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..session import bound_batches
+
 IDS, TARGETS = "<u2", "<i4"
 RUN = 1 << 16
 
@@ -49,19 +53,72 @@ def sync_folder(path: Path) -> None:
         os.close(at)
 
 
-def write_atomic(path: Path, data: bytes) -> None:
-    """Write beside, sync, rename, sync the folder."""
-    beside = path.with_name(f".{path.name}.{uuid.uuid4().hex}.tmp")
-    with beside.open("wb") as f:
+def write_synced(path: Path, data: bytes) -> None:
+    with path.open("wb") as f:
         f.write(data)
         f.flush()
         os.fsync(f.fileno())
+
+
+def replace_synced(path: Path, data: bytes) -> None:
+    """Write beside, sync, rename; the folder is to be synced afterwards."""
+    beside = path.with_name(f".{path.name}.{uuid.uuid4().hex}.tmp")
+    write_synced(beside, data)
     os.replace(beside, path)
+
+
+def write_atomic(path: Path, data: bytes) -> None:
+    """Write beside, sync, rename, sync the folder."""
+    replace_synced(path, data)
     sync_folder(path.parent)
 
 
-def write_json(path: Path, value: dict) -> None:
-    write_atomic(path, json.dumps(value, indent=2, sort_keys=True, default=str).encode())
+def as_json(value: dict) -> bytes:
+    return json.dumps(value, indent=2, sort_keys=True, default=str).encode()
+
+
+def write_json(path: Path, value: dict, folder_too: bool = True) -> None:
+    (write_atomic if folder_too else replace_synced)(path, as_json(value))
+
+
+#: Files of a task at least, where files are listed.
+TASK_FILES = 128
+
+
+def each_file(spark, folder: str, pattern: str, of: Callable[[str], tuple], columns: str):
+    """(name, and ``columns`` that ``of`` gives for a path) of the files of a folder that fit the pattern and do not start with a dot
+    or an underscore. One task streams the names, as a folder is read in one go; the files are then opened by many."""
+    root = str(local(folder))
+    with os.scandir(root) as entries:
+        n = sum(1 for _ in entries)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism * 4, n // TASK_FILES))
+    kinds = StructType.fromDDL(columns)
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            own: list[str] = []
+            with os.scandir(root) as entries:
+                for e in entries:
+                    if e.name[0] not in "._" and fnmatchcase(e.name, pattern):
+                        own.append(e.name)
+                    if len(own) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["name"])
+                        own = []
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["name"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(kinds).types
+        for b in batches:
+            own = b.column("name").to_pylist()
+            for at in range(0, len(own), 1024):
+                rows = [of(os.path.join(root, x)) for x in own[at : at + 1024]]
+                values = zip(*rows, strict=True) if rows else [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 1024], pa.string()), *(pa.array(list(v), t) for v, t in zip(values, types, strict=True))], ["name", *kinds.names])
+
+    found = spark.range(0, 1, 1, 1).mapInArrow(names, "name string")
+    return found.repartition(tasks, "name").mapInArrow(opened, f"name string, {columns}")
 
 
 def discover(folder: str, paired: bool = False) -> list[Path]:
@@ -70,7 +127,8 @@ def discover(folder: str, paired: bool = False) -> list[Path]:
     if paired:
         found = [p.with_name(p.name.removesuffix("_meta.json") + "_inputs.bin") for p in sorted(root.glob("*_meta.json"))]
     else:
-        found = sorted(p for p in root.glob("*.bin") if re.search(r"_\d{4,}\.bin$", p.name)) or sorted(root.glob("train.bin"))
+        numbered = sorted(x for x in (os.listdir(root) if root.is_dir() else []) if x.endswith(".bin") and x[0] != "." and re.search(r"_\d{4,}\.bin$", x))
+        found = [root / x for x in numbered] or sorted(root.glob("train.bin"))
     if not found:
         raise FileNotFoundError(f"no token shards in {folder}")
     return found
@@ -248,50 +306,65 @@ class StreamReader(_Files, DataSourceStreamReader):
 
 
 @dataclass
-class Part:
-    """A shard that a task has written: its files under names of their own, by the end of their final names, and what describes it."""
+class Written(WriterCommitMessage):
+    """What a task has written: (shard, tokens, targets that count) of each, and what the names of their files hold until they are renamed."""
 
-    shard: int
-    files: dict[str, str]
-    about: dict
+    attempt: str
+    shards: list[tuple[int, int, int]]
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    parts: list[Part]
+#: What describes a shard: the end of the file's name.
+META = "_meta.json"
+#: Descriptions that are on their way to the disk at a time, where a stream's batch is committed.
+SYNCS = 16
 
 
 class _Shards:
     """What writers of batches and streams share."""
 
+    #: Whether tasks know the final numbers, and so can describe their shards.
+    described = True
+
     def __init__(self, schema: StructType, options: dict, overwrite: bool) -> None:
         self.path, self.prefix = options["path"], options.get("prefix", "shard")
         self.about = json.loads(options.get("about", "{}"))
         self.paired = "targets" in schema.fieldNames()
+        self.ends = ("_inputs.bin", "_targets.bin") if self.paired else (".bin",)
         self.job = uuid.uuid4().hex
         root = local(self.path)
+        self.root = str(root)
         root.mkdir(parents=True, exist_ok=True)
         if overwrite:
             for p in [*root.glob(f"{self.prefix}_*.bin"), *root.glob(f"{self.prefix}_*.json")]:
                 p.unlink(missing_ok=True)
 
+    def _name(self, shard: int, end: str) -> str:
+        return f"{self.prefix}_{shard:04d}{end}"
+
+    def _beside(self, shard: int, end: str, attempt: str) -> str:
+        return f"{self.root}/.{self._name(shard, end)}.{attempt}.tmp"
+
+    def _about(self, index: int, tokens: int, active: int) -> dict:
+        """What describes a shard."""
+        paired = {"loss_tokens": active, "loss_token_ratio": round(active / max(1, tokens), 4), "inputs_dtype": "uint16", "targets_dtype": "int32"}
+        return {"shard_index": index, "tokens": tokens, **self.about} | (paired if self.paired else {"dtype": "uint16"})
+
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        root, attempt = local(self.path), uuid.uuid4().hex
-        out, done = Written([]), set()
+        out, done = Written(f"{self.job}.{uuid.uuid4().hex}", []), set()
         now: int | None = None
-        files: dict[str, IO[bytes]] = {}
+        files: list[IO[bytes]] = []
         n = active = 0
 
         def finish() -> None:
             if now is None:
                 return
-            for f in files.values():
+            for f in files:
                 f.flush()
                 os.fsync(f.fileno())
                 f.close()
-            about = {"tokens": n, **self.about}
-            kinds = {"loss_tokens": active, "loss_token_ratio": round(active / max(1, n), 4), "inputs_dtype": "uint16", "targets_dtype": "int32"} if self.paired else {"dtype": "uint16"}
-            out.parts.append(Part(now, {end: f.name for end, f in files.items()}, about | kinds))
+            if self.described:
+                write_synced(Path(self._beside(now, META, out.attempt)), as_json(self._about(now, n, active)))
+            out.shards.append((now, n, active))
             files.clear()
             done.add(now)
 
@@ -304,7 +377,7 @@ class _Shards:
                     if shard in done:
                         raise ValueError(f"the rows of shard {shard} do not come together")
                     now, n, active = shard, 0, 0
-                    files |= {x: (root / f".{self.prefix}_{shard:04d}{x}.{self.job}.{attempt}.tmp").open("wb") for x in (("_inputs", "_targets") if self.paired else ("",))}
+                    files += [open(self._beside(shard, end, out.attempt), "wb") for end in self.ends]
                 if firsts is not None and firsts[k] != n:
                     raise ValueError(f"shard {shard} goes on at {firsts[k]} after {n} tokens")
                 own = ids[k].values.to_numpy(zero_copy_only=False) if ids[k].is_valid else np.zeros(0, np.int64)
@@ -317,30 +390,25 @@ class _Shards:
                         raise ValueError("Mismatch: inputs and targets differ in length")
                     active += int((aims != -1).sum())
                     columns.append(aims.astype(TARGETS))
-                for f, values in zip(files.values(), columns, strict=True):
+                for f, values in zip(files, columns, strict=True):
                     f.write(values.tobytes())
                 n += len(own)
         finish()
         return out
 
-    def publish(self, parts: list[tuple[int, Part]]) -> None:
-        """Shards under their final numbers first, then what describes them."""
-        root = local(self.path)
-        for index, part in parts:
-            for end, beside in part.files.items():
-                os.replace(beside, root / f"{self.prefix}_{index:04d}{end}.bin")
-        sync_folder(root)
-        for index, part in parts:
-            write_json(root / f"{self.prefix}_{index:04d}_meta.json", {"shard_index": index} | part.about)
+    def _rename(self, parts: list[tuple[int, int, str]], ends: tuple[str, ...]) -> None:
+        """Files of these ends under their final numbers; parts: final number, the task's own, attempt."""
+        for index, shard, attempt in parts:
+            for end in ends:
+                os.replace(self._beside(shard, end, attempt), f"{self.root}/{self._name(index, end)}")
+        sync_folder(local(self.path))
 
     def sweep(self) -> None:
         """Delete files that no job or batch has taken up."""
-        for p in local(self.path).glob(".*.tmp"):
-            p.unlink(missing_ok=True)
-
-
-def _parts(messages: list[Written | None]) -> list[Part]:
-    return [p for m in messages if m for p in m.parts]
+        with os.scandir(local(self.path)) as entries:
+            left = [e.path for e in entries if e.name[0] == "." and e.name.endswith(".tmp")]
+        for p in left:
+            Path(p).unlink(missing_ok=True)
 
 
 class Writer(_Shards, DataSourceArrowWriter):
@@ -349,7 +417,9 @@ class Writer(_Shards, DataSourceArrowWriter):
         self.sweep()  # what a job before has left
 
     def commit(self, messages: list[Written | None]) -> None:
-        self.publish([(p.shard, p) for p in _parts(messages)])
+        parts = [(k, k, m.attempt) for m in messages if m for k, _, _ in m.shards]
+        self._rename(parts, self.ends)
+        self._rename(parts, (META,))
 
     def abort(self, messages: list[Written | None]) -> None:
         for p in local(self.path).glob(f".*.{self.job}.*.tmp"):
@@ -360,9 +430,25 @@ class StreamWriter(_Shards, DataSourceStreamArrowWriter):
     """Each batch has a line in a log: its first number, how many shards it has, and whether all of them are there. Batches are
     committed in turn, by a process that is not the tasks', so that what is still beside the set after a commit belongs to none."""
 
+    described = False
+
+    def publish(self, first: int, parts: list[tuple[int, int, int, str]]) -> None:
+        """Shards under their final numbers first, then what describes them; parts: the task's own number, tokens, targets that count, attempt."""
+        root = local(self.path)
+        self._rename([(first + k, p[0], p[3]) for k, p in enumerate(parts)], self.ends)
+
+        def describe(part: tuple[int, tuple[int, int, int, str]]) -> None:
+            k, (_, tokens, active, _) = part
+            write_json(root / self._name(first + k, META), self._about(first + k, tokens, active), False)
+
+        with ThreadPoolExecutor(SYNCS) as pool:  # they wait for the disk, not for each other
+            for _ in pool.map(describe, enumerate(parts)):
+                pass
+        sync_folder(root)
+
     def commit(self, messages: list[Written | None], batchId: int) -> None:
-        parts = sorted(_parts(messages), key=lambda p: p.shard)
-        if len({p.shard for p in parts}) < len(parts):
+        parts = sorted((*s, m.attempt) for m in messages if m for s in m.shards)
+        if len({p[0] for p in parts}) < len(parts):
             raise ValueError("the rows of a shard come from several tasks")
         logs = local(self.path) / f"_{self.prefix}_commits"
         logs.mkdir(exist_ok=True)
@@ -374,7 +460,7 @@ class StreamWriter(_Shards, DataSourceStreamArrowWriter):
         if entry["shards"] != len(parts):
             raise ValueError(f"batch {batchId} had {entry['shards']} shards and now has {len(parts)}")
         write_json(log, entry)
-        self.publish([(entry["first"] + k, p) for k, p in enumerate(parts)])
+        self.publish(entry["first"], parts)
         write_json(log, entry | {"done": True})
         self.sweep()
 
@@ -414,5 +500,6 @@ class TokenShards(DataSource):
 
 
 def register(spark) -> None:
+    bound_batches(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TokenShards)
