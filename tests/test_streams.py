@@ -391,3 +391,12 @@ def test_files_are_opened_by_many_tasks(spark, tmp_path, monkeypatch):
     (tmp_path / "set" / "shard_0003_meta.json").write_text("{")
     with pytest.raises(Exception, match="(?i)malformed"):
         validation.shard_metadata(spark, str(tmp_path / "set")).collect()
+
+
+def test_manifest_is_read_a_line_at_a_time(spark, tmp_path):
+    write_shards(spark, tmp_path / "set", [10, 20])
+    publication.publish(spark, str(tmp_path / "set"), str(tmp_path / "to"))
+    text = (tmp_path / "to" / publication.MANIFEST).read_text()
+    assert len(text.splitlines()) == 4 + 2
+    rows = {r["name"]: (r["length"], r["sha256"]) for r in publication.manifest(spark, str(tmp_path / "to")).collect()}
+    assert rows == {n: (a["length"], a["sha256"]) for n, a in json.loads(text).items()} and rows["shard_0001.bin"][0] == 40

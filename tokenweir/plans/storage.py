@@ -309,9 +309,8 @@ def publication_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _written(spark, sf_dir)
     publication.publish(spark, folder, target)
     again, _ = publication.publish(spark, folder, target)
-    lines = spark.read.text(f"{target}/{publication.MANIFEST}", wholetext=True)
-    entries = lines.select(F.explode(F.from_json("value", "map<string, struct<length: long, sha256: string>>")).alias("name", "about"))
-    return entries.where(F.col("name").endswith(".bin")).select("name", "about.length", F.lit(again).cast("long").alias("again"))
+    entries = publication.manifest(spark, target)
+    return entries.where(F.col("name").endswith(".bin")).select("name", "length", F.lit(again).cast("long").alias("again"))
 
 
 #: What of each metric a summary keeps; the rest keep their last value.
