@@ -400,3 +400,9 @@ def test_manifest_is_read_a_line_at_a_time(spark, tmp_path):
     assert len(text.splitlines()) == 4 + 2
     rows = {r["name"]: (r["length"], r["sha256"]) for r in publication.manifest(spark, str(tmp_path / "to")).collect()}
     assert rows == {n: (a["length"], a["sha256"]) for n, a in json.loads(text).items()} and rows["shard_0001.bin"][0] == 40
+
+
+def test_calls_to_the_tokenizer_are_bounded_by_size():
+    """Few long texts are as much work for a call as many short ones."""
+    assert list(T.runs(pa.array([5, 5, None, 30, 1, 1, 9]), 10)) == [(0, 3), (3, 4), (4, 6), (6, 7)]
+    assert list(T.runs(pa.array([], pa.int32()), 10)) == []

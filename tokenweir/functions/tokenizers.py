@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,7 @@ def byte_arrays(end: int | None = None) -> Callable[[Column], Column]:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        texts = texts.fill_null("").cast(pa.large_string())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = texts.buffers()[2]
-        ids = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.int32) if data is not None and data.size else np.zeros(0, np.int32)
-        offsets = offsets - offsets[0]
+        ids, offsets = widened(texts)
         if end is not None:
             ids, offsets = np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
@@ -50,12 +47,35 @@ def byte_arrays(end: int | None = None) -> Callable[[Column], Column]:
     return encode
 
 
+def widened(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row as ids, and where each text's begin, with the end of the last."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    ids = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.int32) if data is not None and data.size else np.zeros(0, np.int32)
+    return ids, offsets - offsets[0]
+
+
 def byte_count(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
 
 
-#: Texts of a call to the library.
-CALL = 1000
+#: Bytes of the texts of a call to the library, and ids of a call back: it makes a string and four places for each id.
+CALL_BYTES = 1 << 18
+CALL_IDS = 1 << 16
+# tasks take all cores; threads of the library's own would only keep memory of theirs
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def runs(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches [first, end) of rows whose sizes are ``most`` together, or one row that is larger."""
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield first, end
+        first = end
 
 
 def _loaded(path: str):
@@ -66,15 +86,28 @@ def _loaded(path: str):
     return tokenizer
 
 
-def _encoded(path: str, kind: str, of: Callable) -> Callable[[Column], Column]:
-    @F.arrow_udf(kind)
+@dataclass(frozen=True)
+class _Of:
+    """What is kept of an encoded text."""
+
+    value: Callable
+    kind: pa.DataType
+    name: str
+
+
+def _encoded(path: str, of: _Of) -> Callable[[Column], Column]:
+    @F.arrow_udf(of.name)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = _loaded(path)
         for texts in batches:
-            out: list = []
-            for first in range(0, len(texts), CALL):
-                out += map(of, tokenizer.encode_batch_fast(texts.slice(first, CALL).fill_null("").to_pylist(), add_special_tokens=False))
-            yield pa.array(out, pa.list_(pa.int32()) if kind == "array<int>" else pa.int64())
+            out = [pa.array([], of.kind)]
+            for first, end in runs(pa.compute.binary_length(texts), CALL_BYTES):
+                found = tokenizer.encode_batch_fast(texts.slice(first, end - first).fill_null("").to_pylist(), add_special_tokens=False)
+                out.append(pa.array([of.value(e) for e in found], of.kind))
+                del found
+            yield pa.concat_arrays(out)
+            del out, texts
+            pa.default_memory_pool().release_unused()
 
     return encode
 
@@ -87,25 +120,27 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def bpe_ids(path: str) -> Callable[[Column], Column]:
     """Ids of a tokenizers file, a batch of texts to a call."""
-    return _encoded(path, "array<int>", lambda e: e.ids)
+    return _encoded(path, _Of(lambda e: e.ids, pa.list_(pa.int32()), "array<int>"))
 
 
 def bpe_count(path: str) -> Callable[[Column], Column]:
     """How many ids a text has; the ids themselves stay in the worker."""
-    return _encoded(path, "long", len)
+    return _encoded(path, _Of(len, pa.int64(), "long"))
 
 
 def bpe_text(path: str, skip_special: bool = False) -> Callable[[Column], Column]:
     """Text of ids."""
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = _loaded(path)
         for ids in batches:
-            out: list = []
-            for first in range(0, len(ids), CALL):
-                out += tokenizer.decode_batch([list(map(int, x)) for x in ids.iloc[first : first + CALL]], skip_special_tokens=skip_special)
-            yield pd.Series(out, index=ids.index)
+            out = [pa.array([], pa.string())]
+            for first, end in runs(pa.compute.list_value_length(ids), CALL_IDS):
+                out.append(pa.array(tokenizer.decode_batch(ids.slice(first, end - first).to_pylist(), skip_special_tokens=skip_special), pa.string()))
+            yield pa.concat_arrays(out)
+            del out, ids
+            pa.default_memory_pool().release_unused()
 
     return decode
 
