@@ -406,3 +406,14 @@ def test_calls_to_the_tokenizer_are_bounded_by_size():
     """Few long texts are as much work for a call as many short ones."""
     assert list(T.runs(pa.array([5, 5, None, 30, 1, 1, 9]), 10)) == [(0, 3), (3, 4), (4, 6), (6, 7)]
     assert list(T.runs(pa.array([], pa.int32()), 10)) == []
+
+
+def test_runs_are_dealt_to_tasks_by_their_samples(spark, monkeypatch):
+    from tokenweir.operators import metrics
+
+    rows = spark.range(1000).select((F.col("id") % 40).alias("run"), F.col("id").alias("seq"), F.col("id").alias("t"), F.col("id").alias("total"))
+    monkeypatch.setattr(metrics, "TASK_ROWS", 50)
+    dealt = metrics.dealt(rows, "run", 1000)
+    assert dealt.rdd.getNumPartitions() == 20
+    plan = metrics.rolling_rate(dealt, "run", "seq", "t", "total", 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Union" not in plan

@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.scalars import is_finite
 
 
+#: Samples of a task, about: it sorts them, and holds what it sorts.
+TASK_ROWS = 250_000
+
+
+def dealt(samples: DataFrame, run: str, rows: int) -> DataFrame:
+    """Runs dealt out to tasks whose number grows with the ``rows`` of all, so that what one sorts does not; at least as many as a
+    shuffle of the session has."""
+    return samples.repartition(max(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), run)
+
+
 def rolling_rate(samples: DataFrame, run: str, seq: str, t_ms: str, total: str, window_ms: int = 30_000) -> DataFrame:
-    """Adds rate and elapsed: units a second since the oldest sample of the window, at least the one before; a counter that falls starts anew."""
+    """Adds rate and elapsed: units a second since the oldest sample of the window, at least the one before; a counter that falls starts anew.
+    All stays with the partitions of the runs, if ``samples`` has such (``dealt``)."""
     if window_ms <= 0:
         raise ValueError("window must be greater than zero")
     order = Window.partitionBy(run).orderBy(seq)
@@ -23,9 +34,12 @@ def rolling_rate(samples: DataFrame, run: str, seq: str, t_ms: str, total: str,
     front = Window.partitionBy(run, "__segment", "__bucket").orderBy(t_ms).rangeBetween(Window.unboundedPreceding, 0)
     cut = cut.withColumn("__bucket", bucket).withColumn("__front", F.min("__sample").over(front))
     back = Window.partitionBy(run, "__segment", "__bucket").orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, 0)
-    held = cut.select(run, "__segment", "__bucket", F.col(t_ms).alias("__at"), "__sample", F.lit(None).cast(cut.select(F.struct(*names, "__front", "__before").alias("r")).schema["r"].dataType).alias("__row"))
-    asked = cut.select(run, "__segment", (F.col("__bucket") - 1).alias("__bucket"), (F.col(t_ms) - window_ms).alias("__at"), F.lit(None).cast(held.schema["__sample"].dataType).alias("__sample"), F.struct(*names, "__front", "__before").alias("__row"))
-    met = held.unionByName(asked).withColumn("__back", F.min("__sample").over(back)).where("__row is not null")
+    # each sample twice: as what its own bucket holds, and as what asks the bucket before; a union would make all of them twice
+    row, own = F.struct(*names, "__front", "__before"), F.col("__sample")
+    of = lambda bucket, at, held, asks: F.struct(bucket.alias("__bucket"), at.alias("__at"), held.alias("__sample"), asks.alias("__row"))
+    both = F.array(of(F.col("__bucket"), F.col(t_ms), own, F.when(F.lit(False), row)), of(F.col("__bucket") - 1, F.col(t_ms) - window_ms, F.when(F.lit(False), own), row))
+    twice = cut.select(run, "__segment", F.explode(both).alias("__x")).select(run, "__segment", "__x.*")
+    met = twice.withColumn("__back", F.min("__sample").over(back)).where("__row is not null")
     cut = met.select("__row.*", "__back").withColumn("__first", F.least("__front", "__back"))
     anchor = F.when(F.col("__first.seq") == F.col(seq), F.coalesce("__before", "__first")).otherwise(F.col("__first"))
     cut = cut.withColumn("__anchor", anchor).withColumn("elapsed", (F.col(t_ms) - F.col("__anchor.t")) / 1000.0)
