@@ -417,3 +417,42 @@ def test_runs_are_dealt_to_tasks_by_their_samples(spark, monkeypatch):
     assert dealt.rdd.getNumPartitions() == 20
     plan = metrics.rolling_rate(dealt, "run", "seq", "t", "total", 100)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Union" not in plan
+
+
+def test_conversations_as_bytes_in_arrow(spark):
+    rows = [(1, [("user", "hé"), ("assistant", "yo"), (None, "x"), ("assistant", None)]), (2, [("assistant", "")]), (3, [])]
+    df = spark.createDataFrame(rows, TALKS).repartition(1)
+    a, b = chat.encode(F.col("messages"), T.byte_ids), chat.encode_bytes(F.col("messages"))
+    got = df.select(a[0].alias("i"), a[1].alias("t"), b[0].alias("i2"), b[1].alias("t2")).collect()
+    assert all((r["i"], r["t"]) == (r["i2"], r["t2"]) for r in got) and len(got) == 3
+    assert "_byte_pairs" in df.select(*b)._jdf.queryExecution().toString()
+
+
+def test_files_in_turn(spark, tmp_path):
+    """A stream takes files by their time, which follows the key though all are written at once."""
+    from tokenweir.plans import storage
+
+    storage._in_turn(spark.range(100).select(((F.col("id") * 37) % 100).alias("k")).repartition(3), "k", 6, str(tmp_path / "in"))
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    assert len(files) > 4 and [x for p in files for x in pd.read_parquet(p)["k"]] == list(range(100))
+
+
+def test_files_of_a_stream_grow_in_number(spark, data, monkeypatch):
+    """More rows are more files, three batches all the same, and the same result."""
+    from tokenweir.plans import storage
+
+    seen = []
+    real = ingest.ingest
+    monkeypatch.setattr(ingest, "ingest", lambda *a: seen.append(a) or real(*a))
+    want = storage.stream_pack_available_now(spark, data).collect()
+    monkeypatch.setattr(storage, "FILE_BYTES", 20_000)
+    assert storage.stream_pack_available_now(spark, data).collect() == want
+    assert seen[0][-1] == 2 and seen[1][-1] > 4 and spark.read.parquet(seen[1][1]).rdd.getNumPartitions() > 0
+
+
+def test_relay_deals_shards_by_their_size(spark, data, monkeypatch):
+    from tokenweir.plans import storage
+
+    want = sorted(storage.stream_shard_relay(spark, data).collect())
+    monkeypatch.setattr(storage, "FILE_BYTES", 100_000)
+    assert storage._files(7, 3) == 3 and sorted(storage.stream_shard_relay(spark, data).collect()) == want

@@ -228,7 +228,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs, targets = chat.encode(F.col("messages"), T.byte_ids)
+    inputs, targets = chat.encode_bytes(F.col("messages"))
     return _messages(spark, sf_dir).where(F.size("messages") > 0).select("conv_id", inputs.alias("inputs"), targets.alias("targets"))
 
 

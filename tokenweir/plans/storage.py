@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ i AS (SELECT (start + i) // {SHARD} AS shard, (start + i) % {SHARD} AS pos, CASE
 
 def _byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all full shards."""
+    bound_batches(spark)
     placed = packing.place(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", T.byte_count(F.col("text")) + 1)
     full = placed.agg(F.coalesce(F.floor(F.max("end") / SHARD), F.lit(0)).alias("n")).first()["n"]
     cut = packing.pieces(placed, {"tokens": T.byte_arrays(EOS)(F.col("text"))}, SHARD)
@@ -153,6 +155,7 @@ def shard_set_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bound_batches(spark)
     count = T.bpe_count(public_tokenizers.path("word_bpe_49k.json"))
     return T.spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", count(F.col("text")).alias("n_tokens"))
 
@@ -162,6 +165,7 @@ def bpe_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts through the ids of a byte-level vocabulary and back."""
     import public_tokenizers
 
+    bound_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
     ids = T.spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.bpe_ids(path)(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.md5(T.bpe_text(path)(F.col("ids"))).alias("digest"))
@@ -216,10 +220,14 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT count(*) // 1 AS documents, (sum(strlen(coalesce(text, '')) + 1) // {SHARD})::BIGINT AS shards, (sum(strlen(coalesce(text, '')) + 1) % {SHARD})::BIGINT AS pending FROM documents")
 def stream_pack_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files, packed with exact resume."""
+    bound_batches(spark)
     base = scratch(spark, "stream")
-    load(spark, sf_dir, "documents").select("doc_id", "text").repartitionByRange(6, "doc_id").write.parquet(f"{base}/in")
-    sink = ingest.PackingSink(f"{base}/out", SHARD, T.byte_ids, EOS)
-    state = ingest.ingest(spark, f"{base}/in", "doc_id long, text string", sink, f"{base}/checkpoint", 2)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    size = docs.agg(F.coalesce(F.sum(T.byte_count(F.col("text"))), F.lit(0))).first()[0]
+    files = 2 * _files(size, 6 * FILE_BYTES)  # of each batch
+    docs.repartitionByRange(3 * files, "doc_id").write.parquet(f"{base}/in")
+    sink = ingest.PackingSink(f"{base}/out", SHARD, T.byte_arrays(), EOS)
+    state = ingest.ingest(spark, f"{base}/in", "doc_id long, text string", sink, f"{base}/checkpoint", files)
     return spark.createDataFrame([(state["source_documents_consumed"], state["next_shard"], state["pending_tokens"])], "documents long, shards long, pending long")
 
 
@@ -228,8 +236,11 @@ def stream_shard_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards as a stream into the sink, a few files to a batch, and out of the source into a table."""
     token_shards.register(spark)
     base = scratch(spark, "relay")
-    packing.chunk_pieces(_byte_shards(spark, sf_dir), ["tokens"]).repartitionByRange(6, "shard").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("shard int, tokens array<int>").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    cut = _byte_shards(spark, sf_dir)
+    last = cut.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
+    files = 2 * _files(4 * SHARD * last, 6 * FILE_BYTES)  # of each batch
+    packing.chunk_pieces(cut, ["tokens"]).repartitionByRange(3 * files, "shard").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("shard int, tokens array<int>").option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     stream.writeStream.format("token_shards").option("path", f"{base}/set").option("checkpointLocation", f"{base}/to").trigger(availableNow=True).start().awaitTermination()
     read = spark.readStream.format("token_shards").option("runs", "true").load(f"{base}/set")
     read.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/from").trigger(availableNow=True).start().awaitTermination()
@@ -237,21 +248,41 @@ def stream_shard_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select(F.size("tokens").cast("long").alias("n"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), " ")).alias("digest"))
 
 
+#: Bytes of rows of a file of a stream, about.
+FILE_BYTES = 64 << 20
+#: Samples of such a file, about.
+FILE_ROWS = 500_000
+
+
+def _files(size: int, most: int) -> int:
+    """Files of a share of a stream, so that they grow in number and not in size."""
+    return max(1, -(-size // most))
+
+
 def _in_turn(rows: DataFrame, key: str, parts: int, folder: str) -> None:
-    """Files of a stream in the order of a key, as they would come: a stream takes them by their time."""
-    last = rows.agg(F.max(key)).first()[0] or 0
-    for k in range(parts):
-        rows.where(F.floor(F.col(key) * parts / (last + 1)) == k).coalesce(1).sortWithinPartitions(key).write.mode("append").parquet(folder)
+    """Files of a stream in the order of a key, as they would come: a stream takes them by their time. All are written at once, by as
+    many tasks, and get times a second apart after that, so that a batch of any number of files is behind those before it."""
+    spark = rows.sparkSession
+    rows.repartitionByRange(parts, key).sortWithinPartitions(key).write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    now = int(time.time() * 1000)
+    for k, p in enumerate(found):
+        fs.setTimes(p, now - 1000 * (len(found) - k), -1)
 
 
 @query(catalog.ORACLES["sft_shard_loss_ratio"])
 def stream_chat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a stream of files into paired shards, stopped and taken up again between files."""
     base = scratch(spark, "chat")
+    bound_batches(spark)
     talks = materialise(catalog._messages(spark, sf_dir).where(F.size("messages") > 0), "talks")
-    _in_turn(talks, "conv_id", 4, f"{base}/in")
-    sink = ingest.PairedSink(f"{base}/out", SHARD, T.byte_ids)
-    ingest.ingest(spark, f"{base}/in", talks.schema.simpleString()[7:-1].replace(":", " ", 1).replace(",messages:", ", messages "), sink, f"{base}/checkpoint", 1)
+    size = talks.agg(F.coalesce(F.sum(F.octet_length(chat.render(F.col("messages")))), F.lit(0))).first()[0]
+    files = _files(size, 4 * FILE_BYTES)  # of each batch
+    _in_turn(talks, "conv_id", 4 * files, f"{base}/in")
+    sink = ingest.PairedSink(f"{base}/out", SHARD, T.byte_ids, encode=chat.encode_bytes)
+    ingest.ingest(spark, f"{base}/in", talks.schema.simpleString()[7:-1].replace(":", " ", 1).replace(",messages:", ", messages "), sink, f"{base}/checkpoint", files)
     return validation.shard_metadata(spark, f"{base}/out").select("shard", "tokens", "loss_tokens", "loss_token_ratio")
 
 
@@ -260,8 +291,10 @@ def stream_rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples as a stream of files, rated as they come; a run's state goes over from batch to batch."""
     base = scratch(spark, "rates")
     samples = catalog._counter(spark, sf_dir).select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), "t", F.col("total").cast("double").alias("total"))
-    _in_turn(samples, "seq", 3, f"{base}/in")
-    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    files = _files(load(spark, sf_dir, "events").count(), 3 * FILE_ROWS)  # of each batch
+    samples = materialise(samples, "samples")
+    _in_turn(samples, "seq", 3 * files, f"{base}/in")
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     out = rates.rolling_rate(stream, 86_400_000)
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode("append").start().awaitTermination()
     rows = spark.read.schema(rates.SCHEMA).parquet(f"{base}/out")
