@@ -484,6 +484,22 @@ def test_stretches_encode_as_whole_texts(text):
         assert ids.tolist() == want[0] + want[1] and n.tolist() == [len(want[0]), len(want[1])]
 
 
+def test_stretches_of_a_run_are_looked_up_once():
+    class Counted(tokens.Places):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    texts = ["the cat, (12) \u00e9t\u00e9 don't\n" * 3000, "", "a\u00d7b 1\u00e9 (\u00c9t\u00e9) \u0130x \u024f\u0250 ##", " \u3000 the\u00a0cat ", "of <|endoftext|> the", "the"]
+    for name, stretch in (("byte_bpe_50k.json", tokens.BYTE_LEVEL), ("word_bpe_49k.json", tokens.WORD_LEVEL)):
+        looked, enc = [], tokens.Encoder(tokens.vocabulary_file(name), stretch)
+        enc.place = Counted()
+        ids, n = enc.encode(texts)
+        want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+        assert len(looked) == len(set(looked)) < 60
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "_KEPT", 30)
     enc = tokens.Encoder(tokens.vocabulary_file("byte_bpe_50k.json"), tokens.BYTE_LEVEL)

@@ -161,12 +161,12 @@ def tokenized(docs: DataFrame, path: str, stretch: str = WORD_LEVEL, end_id: int
         kind, counts = "<u2" if size <= 1 << 16 else "<u4", np.zeros(size, np.int64)
         for batch in batches:
             texts = batch.column("text")
-            for first, end, _, _ in text_views(texts):
-                ids, sizes = enc.encode([t or "" for t in texts.slice(first, end - first).to_pylist()])
+            for first, end, data, offsets in text_views(texts):
+                ids, sizes = enc.encode_utf8(data, offsets)
                 counts += np.bincount(ids, minlength=size)
                 counts[end_id] += end - first
                 ends = np.cumsum(sizes)
-                ids = np.insert(ids, ends, end_id).astype(kind)
+                ids = np.insert(ids.astype(kind), ends, end_id)
                 cuts = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * ids.itemsize
                 values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), values.cast(pa.binary()), pa.array(np.full(end - first, ids.itemsize), pa.int32()), pa.nulls(end - first, pa.binary())], names)

@@ -114,8 +114,8 @@ def _pieces(path: str, capacity: int, piece: int, group_windows: int):
         waiting = _Waiting(TaskContext.get().partitionId() << 40, capacity, group_windows)
         for batch in batches:
             texts = batch.column("text")
-            for first, end, _, _ in text_views(texts):
-                ids, sizes = enc.encode([t or "" for t in texts.slice(first, end - first).to_pylist()])
+            for first, end, data, offsets in text_views(texts):
+                ids, sizes = enc.encode_utf8(data, offsets)
                 raw, at, out = ids.astype("<u4").tobytes(), 0, []
                 for doc, n in zip(batch.column("doc_id").slice(first, end - first).to_pylist(), sizes.tolist(), strict=True):
                     own, total = raw[4 * at : 4 * (at + n)] + END_ID.to_bytes(4, "little"), n + 1

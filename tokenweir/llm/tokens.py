@@ -2,17 +2,20 @@
 
 Neither vocabulary joins characters across white space, but for one leading space in the byte-level one. So a text is cut
 at white space into stretches that encode alone as they do in place; distinct stretches go to the library in batches, and
-texts are put together from their ids with array operations. A task keeps a bounded table of stretches. Most are words of
-Latin letters, which no rule before the merges changes but for lower-casing: they go to the library's model without those rules.
+texts are put together from their ids with array operations. Texts are cut and distinct stretches found in the UTF-8 bytes of a
+run of texts at once, so that only a run's distinct stretches are looked up one by one. A task keeps a bounded table of stretches.
+Most are words of Latin letters, which no rule before the merges changes but for lower-casing: they go to the library's model
+without those rules.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -25,8 +28,20 @@ _LETTERS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]"
 _RUNS = (rf"{_LETTERS}++{_ENDS}", rf"[0-9]++{_ENDS}", r"[!-&(-/:-@\[-`{-~]++(?=[A-Za-z0-9\t-\r ]|\Z)")
 #: Byte-level: a run with one space before it, or the rest up to white space; of white space, all but the last go first.
 BYTE_LEVEL = "|".join([*(f" ?{x}" for x in _RUNS), rf" ?[^{SPACE}]+", rf"[{SPACE}]+(?![^{SPACE}])", f"[{SPACE}]"])
-#: Word-level: white space is dropped.
-WORD_LEVEL = "|".join([*_RUNS, rf"[^{SPACE}]+"])
+#: Word-level: white space has no ids.
+WORD_LEVEL = "|".join([*_RUNS, rf"[^{SPACE}]+", rf"[{SPACE}]+"])
+#: White space beyond ASCII, in UTF-8.
+_WIDE = re.compile(b"|".join(x.encode() for x in re.findall(f"[{SPACE}]", "".join(map(chr, range(0x80, 0x3001)))))).search
+# Kinds of bytes. Where all of a word is letters, digits and marks, its runs of one kind are the stretches, as _RUNS has them; any
+# other byte in it (the apostrophe, control characters, characters beyond ASCII but for _LETTERS) leaves it whole. The last kind
+# is for texts that are cut otherwise.
+_BLANK, _LETTER, _DIGIT, _MARK, _OTHER, _APART = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[39] = _OTHER
+_KIND[[*range(9, 14), 32]] = _BLANK
 _KEPT = 600_000
 _KEPT_CHARS = 16 << 20
 
@@ -44,7 +59,7 @@ _BYTES = _alphabet()
 class Places(dict):
     """Numbers its keys in the order in which they are first met."""
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: str | bytes) -> int:
         self[key] = at = len(self)
         return at
 
@@ -58,12 +73,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.find = re.compile(stretch).findall
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))).search if added else None
+        self.added = re.compile("|".join(map(re.escape, added)).encode()).search if added else None
         # byte-level: a line feed is a piece by itself; word-level: so is a bar between spaces
         self.mark = next(m for m in ("\n", " | ") if len(self.tokenizer.encode(m, add_special_tokens=False).ids) == 1)
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
+        self.spaced = self.mark == "\n"  # white space has ids, and a word may take the space before it
         # a word, with a space before it where one belongs to it, as the merges see it
-        self.word = re.compile(f" ?{_LETTERS}+" if self.mark == "\n" else f"{_LETTERS}+").fullmatch
+        self.word = re.compile(f" ?{_LETTERS}+" if self.spaced else f"{_LETTERS}+").fullmatch
         upper, lower = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in "Aa")
         self.cased = upper != lower
         self.model = Tokenizer(self.tokenizer.model)
@@ -79,13 +95,14 @@ class Encoder:
 
     def _learn(self, known: int) -> None:
         """Ids of the stretches that have got a place since there were ``known``."""
-        stretches = list(islice(self.place, known, None))
+        raw = list(islice(self.place, known, None))
+        stretches = [s.decode() for s in raw]
         sizes, starts = np.zeros(len(stretches), np.int64), np.zeros(len(stretches), np.int64)
         # many stretches go to the library as one text, with a mark of one id between them; what holds the mark, or could join it, goes alone
-        words = [k for k, s in enumerate(stretches) if self.word(s) and not (self.added and self.added(s))]
+        words = [k for k, s in enumerate(stretches) if self.word(s) and not (self.added and self.added(raw[k]))]
         self._words([stretches[k] for k in words], np.array(words, np.int64), sizes, starts)
         rest, mark = set(range(len(stretches))).difference(words), self.mark.strip(" ")
-        plain = [k for k in sorted(rest) if mark not in stretches[k] and not stretches[k].isspace() and not (self.added and self.added(stretches[k]))]
+        plain = [k for k in sorted(rest) if mark not in stretches[k] and not stretches[k].isspace() and not (self.added and self.added(raw[k]))]
         alone = rest.difference(plain)
         for first in range(0, len(plain), 20_000):
             own = plain[first : first + 20_000]
@@ -97,7 +114,7 @@ class Encoder:
             self._append(np.array(e.ids, np.uint32))
         self._reserve(0)
         self.size[known : known + len(sizes)], self.start[known : known + len(sizes)] = sizes, starts
-        self.chars += sum(map(len, stretches))
+        self.chars += sum(map(len, raw))
 
     def _joined(self, tokenizer, texts: list[str], mark: str, at: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> bool:
         """Encode texts with marks between them and note where their ids are; false if the marks cannot be told."""
@@ -133,16 +150,20 @@ class Encoder:
         """Keep the half that was met most often, if short."""
         hits = self.hits[: len(self.place)]
         kept = hits > np.median(hits)
-        old = {s: k for s, k in self.place.items() if kept[k] and len(s) < 40}
-        ids = {s: self.flat[self.start[k] : self.start[k] + self.size[k]] for s, k in old.items()}
+        stretches, at = [], []
+        for k, x in enumerate(self.place):
+            if kept[k] and len(x) < 40:
+                stretches.append(x)
+                at.append(k)
+        at = np.array(at, np.int64)
+        size, start = self.size[at], self.start[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(size.sum())]
         self.clear()
-        at = np.cumsum([0, *map(len, ids.values())])
-        self.place = Places((s, k) for k, s in enumerate(ids))
-        self._reserve(int(at[-1]))
-        if ids:
-            self.flat[: at[-1]] = np.concatenate(list(ids.values()))
-        self.start[: len(ids)], self.size[: len(ids)], self.used = at[:-1], np.diff(at), int(at[-1])
-        self.chars = sum(map(len, ids))
+        self.place = Places(zip(stretches, range(len(stretches)), strict=True))
+        self._append(ids)
+        self.size[: len(size)], self.start[: len(size)] = size, ends - size
+        self.chars = sum(map(len, stretches))
 
     def _reserve(self, ids: int) -> None:
         while self.used + ids > len(self.flat):
@@ -150,24 +171,71 @@ class Encoder:
         while len(self.place) > len(self.start):
             self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and the number of each text's."""
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all stretches in a row, where each begins there (and the end), and the number of stretches before each text (and in all)."""
+        kind, begins = _KIND[data], np.zeros(len(data) + 1, bool)
+        begins[offsets] = True
+        # letters of two bytes, but where they follow a digit or a mark
+        pair = np.flatnonzero(data - np.uint8(0xC3) <= 0xC9 - 0xC3)
+        code, before = data[pair].astype(np.uint16) << 8 | data[pair + 1], _KIND[data[pair - 1]]
+        pair = pair[(code <= 0xC98F) & (code != 0xC397) & (code != 0xC3B7) & (code != 0xC4B0) & (begins[pair] | (before != _DIGIT) & (before != _MARK))]
+        kind[pair] = kind[pair + 1] = _LETTER
+        plain = bool((kind != _OTHER).all())
+        if not plain:
+            blank = kind == _BLANK
+            words = np.flatnonzero(~blank & (begins[:-1] | np.append(True, blank[:-1])))
+            whole = np.repeat(np.maximum.reduceat(kind, words) == _OTHER, np.diff(words, append=len(data)))
+            kind[words[0] :][whole & ~blank[words[0] :]] = _OTHER
+        raw = memoryview(data)
+        for at, end in pairwise(offsets.tolist()):
+            # an added token ends the text before it, white space too; such a text is one stretch
+            if self.added and self.added(raw, at, end):
+                kind[at:end] = _APART
+            elif not plain and _WIDE(raw, at, end):
+                kind[at:end] = _APART
+                begins[at + np.cumsum([len(s.encode()) for s in self.find(bytes(raw[at:end]).decode())])] = True
+        first = begins[:-1].copy()
+        first[1:] |= kind[1:] != kind[:-1]
+        if self.spaced:
+            blank = kind == _BLANK
+            last = np.flatnonzero(blank[:-1] & ~blank[1:] & ~begins[1:-1])
+            first[last] = True
+            first[last[data[last] == 32] + 1] = False
+        else:
+            kept = kind != _BLANK
+            data, begins[:-1] = data[kept], first & kept
+            first = first[kept]
+        bounds = np.flatnonzero(np.append(first, True))
+        if self.spaced:
+            return data, bounds, np.searchsorted(bounds, offsets)
+        return data, bounds, np.searchsorted(np.flatnonzero(begins[:-1]), offsets)
+
+    def encode_utf8(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of each text's. ``data``: their UTF-8 bytes; ``offsets``: where each begins, and the end."""
         if len(self.place) > _KEPT or self.chars > _KEPT_CHARS:
             self._forget()
-        # an added token ends the text before it, white space too; such a text is one stretch
-        per_text = [[t] if self.added and self.added(t) else self.find(t) for t in texts]
-        known = len(self.place)
-        cuts = np.cumsum([0, *map(len, per_text)])
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(per_text)), np.int64, int(cuts[-1]))
+        data, bounds, cuts = self._cut(data, offsets)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        del data, bounds
+        distinct, known = coded.dictionary, len(self.place)
+        if not len(distinct):
+            return np.zeros(0, np.uint32), np.diff(cuts)
+        raw, ends = distinct.buffers()[2].to_pybytes(), np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1].tolist()
+        at = np.fromiter(map(self.place.__getitem__, map(raw.__getitem__, map(slice, ends, ends[1:]))), np.int64, len(distinct))
         if len(self.place) > known:
             self._learn(known)
+        at = at[coded.indices.to_numpy()]
+        del coded, distinct, raw, ends
         self.hits[: len(self.place)] += np.bincount(at, minlength=len(self.place))
         size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[cuts]
-        return ids, np.diff(bounds)
+        ends = np.append(0, np.cumsum(size))
+        place = np.repeat(self.start[at] - ends[:-1], size)
+        place += np.arange(len(place))
+        return self.flat[place], np.diff(ends[cuts])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [t.encode() for t in texts]
+        return self.encode_utf8(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
