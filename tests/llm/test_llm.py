@@ -5,13 +5,14 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tokenweir.llm import decontam, html, huffman, linededup, minhash, packing, quality, queries, sharding, tokencount, tokens, toxicity
+from tokenweir.llm import common, decontam, html, huffman, linededup, minhash, packing, quality, queries, sharding, tokencount, tokens, toxicity
 from tokenweir.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -508,6 +509,48 @@ def test_encoder_forgets(monkeypatch):
         assert enc.encode([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_shrinks_between_tasks(monkeypatch):
+    monkeypatch.setattr(tokens, "_BETWEEN", 20)
+    enc = tokens.Encoder(tokens.vocabulary_file("byte_bpe_50k.json"), tokens.BYTE_LEVEL)
+    for k in range(5):
+        text = " ".join(f"alpha{k}x{i % 7} the née {i}" for i in range(60))
+        for _ in range(2):
+            assert enc.encode([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(enc.place) > 20
+        enc.shrink()
+        assert 0 < len(enc.place) <= 20 and b" the" in enc.place
+
+
+@pytest.mark.parametrize("step", [minhash._signed, minhash._sets, packing._pieces(tokens.vocabulary_file("byte_bpe_50k.json"), 1024, 128, 128), decontam._clean([decontam.Block(["a"], [LINE], 10)])])
+def test_workers_give_memory_back(monkeypatch, step):
+    calls, give = [], common.release
+    monkeypatch.setattr(common, "release", lambda: calls.append(give()))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(tokens, "_BETWEEN", 50)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [" ".join(f"w{k * i}" for i in range(2000)) for k in range(40)]})
+    assert len(list(step(iter([batch])))) > 0 and len(calls) == 1
+    assert len(common._POWERS[0]) == 1 and all(len(e.place) <= 50 for e in tokens._ENCODERS.values())
+    broken_off = step(iter([batch, batch]))
+    next(broken_off)
+    broken_off.close()
+    assert len(calls) == 2
+
+
+@pytest.mark.parametrize("f", [lambda s, d: minhash.near_duplicates(d), lambda s, d: packing.pack_documents(d), lambda s, d: decontam.remove_contaminated(d, s.createDataFrame([("a", LINE)], "item_id string, text string"))])
+def test_texts_come_in_bounded_batches(spark, f):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    wide = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 15000) AS text")
+    f(spark, wide)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    got = wide.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 200 and max(r["size"] for r in got) <= common.CHUNK_BYTES + 100_000
+
+
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=60), st.integers(6, 12))
 @settings(max_examples=60, deadline=None)
 def test_code_lengths(counts, limit):

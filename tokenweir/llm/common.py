@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import adopt, collecting, drop, materialise, scratch  # noqa: F401
+from ..session import adopt, bound_batches, collecting, drop, materialise, scratch  # noqa: F401
 
 #: Bytes of text that a Python task works on at once; a single longer text is taken whole.
 CHUNK_BYTES = 2 << 20
+Batches = Iterator[pa.RecordBatch]
 _MASK = (1 << 64) - 1
 
 
+def released(f: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A step in Python whose worker gives memory back when its task ends: workers wait for more tasks, for a minute at least, and what
+    they have freed but hold counts beside the JVM in an executor's memory."""
+
+    @functools.wraps(f)
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """What this process has freed goes back to the system, and so do the powers of the hash base."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # of the C library, which numpy's arrays are from
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

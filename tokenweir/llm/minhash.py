@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, int64, materialise, mix, quoted, sieved, small, text_views, words
+from .common import CHUNK_BYTES, PLAIN_WORD, bound_batches, int64, materialise, mix, quoted, released, sieved, small, text_views, words
 from .components import components
 
 PLACES = 128
@@ -120,6 +120,7 @@ def _offer(out: np.ndarray, row: np.ndarray, h: np.ndarray, places: int) -> None
             own, seed, order = own[left], seed[left], order[left]
 
 
+@released
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in text_views(batch.column("text")):
@@ -138,6 +139,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(n.astype(np.int64)), pa.array(int64(marks[0])), pa.array(int64(marks[1])), lists], ["doc_id", "n", "f1", "f2", "keys"])
 
 
+@released
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in text_views(batch.column("text")):
@@ -147,6 +149,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), values.cast(pa.binary())], ["id", "set"])
 
 
+@released
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -157,6 +160,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
 
+@released
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of a text."""
     for batch in batches:
@@ -252,6 +256,7 @@ def _rest(opened: DataFrame, sets: DataFrame, tested: DataFrame, same: DataFrame
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
+    bound_batches(docs.sparkSession, CHUNK_BYTES)
     signed = materialise(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n long, f1 long, f2 long, keys array<long>"), "signed")
     full = signed.where("n > 0 and doc_id is not null")
     # classes of equal sets, by two sums over the set; each is known by its smallest doc_id

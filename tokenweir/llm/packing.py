@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_views
+from .common import CHUNK_BYTES, bound_batches, materialise, released, text_views
 from .tokens import BYTE_LEVEL, encoder, vocabulary_file
 
 CAPACITY = 1024
@@ -109,6 +109,7 @@ class _Waiting:
 
 
 def _pieces(path: str, capacity: int, piece: int, group_windows: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, BYTE_LEVEL)
         waiting = _Waiting(TaskContext.get().partitionId() << 40, capacity, group_windows)
@@ -130,11 +131,13 @@ def _pieces(path: str, capacity: int, piece: int, group_windows: int):
                         out += waiting.packed()
                 yield _rows(out)
         yield _rows([(*w, None, None) for w in waiting.pieces])
+        enc.shrink()
 
     return run
 
 
 def _left_over(capacity: int, group_windows: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = _Waiting(LATER + (TaskContext.get().partitionId() << 40), capacity, group_windows)
         for batch in batches:
@@ -151,6 +154,7 @@ def _left_over(capacity: int, group_windows: int):
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, piece: int = PIECE, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """One row for each piece: its document, place in it, checksum of its ids, and its sequence and place there."""
+    bound_batches(docs.sparkSession, CHUNK_BYTES)
     path = vocabulary or vocabulary_file("byte_bpe_50k.json")
     made = materialise(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, piece, group_windows), SCHEMA), "pieces")
     left = made.where("sequence_id is null")

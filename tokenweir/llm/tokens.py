@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain, islice, pairwise
+from itertools import accumulate, chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ _KIND[39] = _OTHER
 _KIND[[*range(9, 14), 32]] = _BLANK
 _KEPT = 600_000
 _KEPT_CHARS = 16 << 20
+#: Stretches that a worker keeps from one task to the next.
+_BETWEEN = 100_000
 
 
 def _alphabet() -> dict[int, str]:
@@ -149,7 +151,15 @@ class Encoder:
     def _forget(self) -> None:
         """Keep the half that was met most often, if short."""
         hits = self.hits[: len(self.place)]
-        kept = hits > np.median(hits)
+        self._keep(hits > np.median(hits))
+
+    def shrink(self) -> None:
+        """Keep no more than what was met most often, for the next task of this worker."""
+        if len(self.place) > _BETWEEN:
+            hits = self.hits[: len(self.place)]
+            self._keep(hits > np.partition(hits, -_BETWEEN - 1)[-_BETWEEN - 1])
+
+    def _keep(self, kept: np.ndarray) -> None:
         stretches, at = [], []
         for k, x in enumerate(self.place):
             if kept[k] and len(x) < 40:
@@ -159,11 +169,14 @@ class Encoder:
         size, start = self.size[at], self.start[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(size.sum())]
+        # as one string while all others go, so that those left do not lie scattered over the memory that these had
+        raw, lengths = b"".join(stretches), [0, *accumulate(map(len, stretches))]
+        del stretches, x
         self.clear()
-        self.place = Places(zip(stretches, range(len(stretches)), strict=True))
+        self.place = Places(zip(map(raw.__getitem__, map(slice, lengths, lengths[1:])), range(len(lengths) - 1)))
         self._append(ids)
         self.size[: len(size)], self.start[: len(size)] = size, ends - size
-        self.chars = sum(map(len, stretches))
+        self.chars = len(raw)
 
     def _reserve(self, ids: int) -> None:
         while self.used + ids > len(self.flat):

@@ -50,12 +50,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound what a Python worker holds of the rows that come to it, unless the session has a lower bound."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     own = str(spark.conf.get(name, None) or "")
-    if not own.isdigit() or int(own) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if not own.isdigit() or int(own) > size:
+        spark.conf.set(name, str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
