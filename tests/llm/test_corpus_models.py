@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -287,6 +288,37 @@ def test_chunks_hold_their_texts(monkeypatch):
     assert sums[0] == sums[1] == sums[2] and sums[0][None, b"a"] == 2 and sums[0][None, b"\n"] == 3
 
 
+def test_memory_of_a_chunk(monkeypatch, spark):
+    """Rows go to Spark in small batches, and neither leaves nor tokens of a task grow with what its texts hold."""
+    letters = np.random.default_rng(7).integers(97, 123, (6000, 1000), np.uint8)
+    letters[:, ::9] = 32
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000), pa.int64()), pa.array([k % 5 == 1 for k in range(6000)]), pa.array([x.tobytes().decode() for x in letters])], ["doc_id", "held", "text"])
+    tracemalloc.start()
+    sizes = [(len(b), b.nbytes, len(b.column("texts").drop_null())) for b in ppm._listed(5)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(n for n, *_ in sizes) <= ppm.ROWS and max(n for _, n, text in sizes if not text) < 8 << 20
+    assert peak < 250 << 20, peak
+    for name in ("LEAVES", "TOKENS"):
+        monkeypatch.setattr(ppm, "WAITING", 10_000)
+        with monkeypatch.context() as patch:
+            patch.setattr(ppm, name, 50_000)
+            patch.setattr(ppm, "SLICE", 1 << 14)
+            chunks = Counter()
+            ids = []
+            for b in ppm._listed(5)(iter([batch.slice(0, 1000)])):
+                chunks.update(b.filter(b.column("token" if name == "TOKENS" else "leaf").is_valid()).column("chunk").to_pylist())
+                ids += [i for own in b.column("doc_ids").drop_null().to_pylist() for i in own]
+            assert ids == list(range(1000)) and len(chunks) > 1 and max(chunks.values()) < 400_000
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        ppm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 def test_probabilities_sum_to_one():
     model = Brute([b"abracadabra", b"abc abd"], 3)
     symbols = [b for b in range(256) if b not in (9, 11, 12, 13)]

@@ -6,8 +6,8 @@ followed by costs an escape to the context that is one byte shorter, where the b
 from all counts; escapes are estimated as in method C, by the number of different bytes that followed. Below the empty context all
 remaining bytes are alike.
 
-The trie is a table (level, node, count), and no task holds it. Each task cuts its partition into chunks of about ``CHUNK_BYTES``
-and writes them, compressed, with each chunk's distinct contexts and next bytes (8 bytes each) and its distinct tokens. Their sums
+The trie is a table (level, node, count), and no task holds it. Each task cuts its partition into chunks of about ``CHUNK_BYTES``,
+or less where texts hold very many different leaves or tokens, and writes them, compressed, with each chunk's distinct contexts and next bytes (8 bytes each) and its distinct tokens. Their sums
 over all chunks are the trie's leaves and the token counts, inner nodes are sums of leaves, and joins give each distinct leaf its
 probability. Each chunk then gets the values of its own leaves and tokens by a join, and is read against them. So memory is
 bounded by a chunk, the trie grows with the corpus without a limit, and nothing of it is broadcast or passes through the driver but
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces
+from .common import bound_batches, materialise, pieces, release, released
 from .tokens import Places
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -46,8 +46,15 @@ ORDER = 5
 CHUNK_BYTES = 32 << 20
 #: Of zstd, for the texts of a chunk, which are written once and shuffled once.
 LEVEL = 3
+#: Distinct leaves or tokens that end a chunk before; texts of the given tables have fewer.
+LEAVES = 2 << 20
+TOKENS = 1 << 20
 #: Bytes whose contexts are worked on at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
+#: Distinct leaves, at least, that wait to be merged with those of their chunk.
+WAITING = 1 << 19
+#: Leaves or tokens that a task hands to Spark at a time.
+ROWS = 1 << 16
 
 
 def is_held(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -101,14 +108,17 @@ def leaves(bodies: Iterable[bytes], order: int) -> Iterator[tuple[np.ndarray, np
 
 
 class _Chunk:
-    """Texts of a partition in a row, until they are ``CHUNK_BYTES``; each is counted and compressed as it comes, and not kept."""
+    """Texts of a partition in a row, until they are ``CHUNK_BYTES`` or hold ``LEAVES`` or ``TOKENS``; each is counted and compressed as it
+    comes, and not kept."""
 
     def __init__(self) -> None:
         self.doc_ids: list[int | None] = []
         self.held: list[bool] = []
         self.sizes: list[int] = []
+        self.full = False
         self.place = Places()  # of each token, as it is first met
-        self.trained: list[np.ndarray] = [np.zeros(0, np.int32)]  # places of the tokens of texts that train
+        self.counts = np.zeros(0, np.int64)  # of each token, in texts that train
+        self.trained, self.waiting = [np.zeros(0, np.int32)], 0  # places of the tokens of texts that train, until they are counted
         self.packer, self.packed = zstandard.ZstdCompressor(level=LEVEL).compressobj(), []
 
     def taken(self, rows: Iterator[tuple]) -> Iterator[bytes]:
@@ -121,44 +131,62 @@ class _Chunk:
             own = numbered(self.place, body)
             if not held:
                 self.trained.append(own)
+                self.waiting += len(own)
+                if self.waiting > SLICE:
+                    self.count()
             self.packed.append(self.packer.compress(body))
             yield body
             size += len(body) + 1
-            if size > CHUNK_BYTES:
+            if size > CHUNK_BYTES or len(self.place) > TOKENS or self.full:
                 return
 
-    def listed(self, rows: Iterator[tuple], number: int, order: int) -> pa.RecordBatch:
+    def count(self) -> None:
+        """The tokens of texts that train, since they were last counted."""
+        before = self.counts
+        self.counts = np.bincount(np.concatenate(self.trained), minlength=len(self.place))
+        self.counts[: len(before)] += before
+        del self.trained[1:]
+        self.waiting = 0
+
+    def listed(self, rows: Iterator[tuple], number: int, order: int) -> Iterator[pa.RecordBatch]:
         """The distinct leaves and tokens, and how often they stand in training texts; then the texts."""
-        found = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for leaf, owner in leaves(self.taken(rows), order):
             # the lowest bit tells whether the text trains, so that one sort counts both
-            found.append(np.unique(leaf << 1 | ~np.array(self.held, bool)[owner], return_counts=True))
-            if len(found) > 9:
+            found.append(_counted(leaf << 1 | ~np.array(self.held, bool)[owner]))
+            del leaf, owner
+            if sum(len(keys) for keys, _ in found[1:]) > max(WAITING, len(found[0][0])):
                 found.append(_merged(found))
-        both, times = _merged(found)
-        leaf, n = _merged([(both >> 1, times * (both & 1))])
+                self.full = len(found[0][0]) > LEAVES
+        self.count()
+        both, n = _merged(found)
+        n *= (both & 1).astype(n.dtype)
+        both >>= 1
+        first = _firsts(both)
+        leaf, n = both[first], np.add.reduceat(n, first, dtype=np.int64)
+        del both, first
+        for at in range(0, len(leaf), ROWS):
+            yield _rows(number, leaf=pa.array(leaf[at : at + ROWS]), n=pa.array(n[at : at + ROWS]))
         words = list(self.place)
-        counts = np.bincount(np.concatenate(self.trained), minlength=len(words))
-        a, b = len(leaf), len(words)
-        none = lambda k, kind: pa.nulls(k, kind)
-        one = lambda value, kind: pa.concat_arrays([none(a + b, kind), pa.array([value], kind)])
-        columns = [
-            pa.array(np.full(a + b + 1, number), pa.int64()),
+        for at in range(0, len(words), ROWS):
+            own = words[at : at + ROWS]
             # a token's place among the chunk's, from -1 down
-            pa.concat_arrays([pa.array(leaf), pa.array(-1 - np.arange(b)), none(1, pa.int64())]),
-            pa.concat_arrays([none(a, pa.binary()), pa.array(words, pa.binary()), none(1, pa.binary())]),
-            pa.concat_arrays([pa.array(n), pa.array(counts, pa.int64()), none(1, pa.int64())]),
-            one(self.doc_ids, pa.list_(pa.int64())), one(self.held, pa.list_(pa.bool_())), one(self.sizes, pa.list_(pa.int64())),
-            one(b"".join([*self.packed, self.packer.flush()]), pa.binary()),
-        ]
-        pa.default_memory_pool().release_unused()
-        return pa.RecordBatch.from_arrays(columns, LISTED.names)
+            yield _rows(number, leaf=pa.array(-1 - np.arange(at, at + len(own))), token=pa.array(own, pa.binary()), n=pa.array(self.counts[at : at + ROWS]))
+        self.packed.append(self.packer.flush())
+        yield _rows(number, **{name: pa.array([value], LISTED.field(name).type) for name, value in (("doc_ids", self.doc_ids), ("held", self.held), ("sizes", self.sizes), ("texts", b"".join(self.packed)))})
 
 
 LISTED = pa.schema([("chunk", pa.int64()), ("leaf", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
 LISTED_SQL = "chunk long, leaf long, token binary, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, texts binary"
 
 
+def _rows(number: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of a chunk; the columns that are not given are null."""
+    size = len(next(iter(columns.values())))
+    columns["chunk"] = pa.array(np.full(size, number))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in LISTED], schema=LISTED)
+
+
 def _listed(order: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -169,10 +197,25 @@ def _listed(order: int) -> Callable:
             for doc_id, held, text in zip(batch.column("doc_id"), batch.column("held"), batch.column("text").cast(pa.binary()), strict=True)
         )
         for row in rows:
-            yield _Chunk().listed(chain([row], rows), number, order)
+            yield from _Chunk().listed(chain([row], rows), number, order)
+            release()
             number += 1
 
-    return run
+    return released(run)
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each of sorted keys is first met."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and how often each is there; sorts them in place."""
+    keys.sort()
+    first = _firsts(keys)
+    return keys[first], np.diff(first, append=len(keys)).astype(np.uint32)
 
 
 def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +226,8 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     keys = keys[order]
     n = n[order]
     del order
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
-    return keys[first], np.add.reduceat(n, first, dtype=np.int64)
+    first = _firsts(keys)
+    return keys[first], np.add.reduceat(n, first, dtype=np.uint32)
 
 
 def trie(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -273,28 +316,34 @@ class Lookup:
 def _scored(order: int, total: int, kinds: int) -> Callable:
     divisor = total + 0.5 * (kinds + 1)
 
-    def run(key: tuple, chunks: pa.Table, values: pa.Table) -> pa.Table:
+    def scores(chunks: pa.Table, values: pa.Table) -> pa.Table:
         leaf, value = (values.column(c).to_numpy() for c in ("leaf", "value"))
         own = leaf >= 0
         cost = Lookup(leaf[own], value[own])
         count = np.zeros(len(leaf) - np.count_nonzero(own), np.int64)
         count[-1 - leaf[~own]] = value[~own]
+        del leaf, value, own
         (chunk,) = chunks.to_batches()
         doc_ids, held, sizes = (chunk.column(c).flatten() for c in ("doc_ids", "held", "sizes"))
-        ends = np.cumsum(sizes.to_numpy())
-        data = pa.decompress(chunk.column("texts")[0].as_buffer(), int(ends[-1]), "zstd", asbytes=True) if ends[-1] else b""
-        bodies = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        del data
+        ends = np.cumsum(sizes.to_numpy()).tolist()
+        data = pa.decompress(chunk.column("texts")[0].as_buffer(), ends[-1], "zstd", asbytes=True) if ends[-1] else b""
+        bodies = lambda: (data[a:b] for a, b in pairwise([0, *ends]))
         place = Places()
-        n, known, base, score = (np.zeros(len(bodies), kind) for kind in (np.int64, np.int64, float, float))
-        for k, body in enumerate(bodies):
+        n, known, base, score = (np.zeros(len(ends), kind) for kind in (np.int64, np.int64, float, float))
+        for k, body in enumerate(bodies()):
             c = count[numbered(place, body)]
             n[k], known[k], base[k] = len(c), np.count_nonzero(c), np.log10((c + 0.5) / divisor).sum()
-        for leaf, owner in leaves(bodies, order):
+        del place, count
+        for leaf, owner in leaves(bodies(), order):
             score += np.bincount(owner, cost(leaf), len(score))
-        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": doc_ids, "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": base, "score": score})
 
+    def run(key: tuple, chunks: pa.Table, values: pa.Table) -> pa.Table:
+        try:
+            return scores(chunks, values)
+        finally:
+            release()
+
     return run
 
 
@@ -305,6 +354,7 @@ def score(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
     """Every document's log10 probability under the model of the documents that are not ``held``, and under their unigrams."""
     if not 0 <= order <= 6:
         raise ValueError("contexts of 0 to 6 bytes fit in a leaf")
+    bound_batches(docs.sparkSession)
     own = docs.select("doc_id", held.alias("held"), "text")
     listed = materialise(own.mapInArrow(_listed(order), LISTED_SQL), "listed")
     counts = materialise(listed.where("leaf >= 0").groupBy("leaf").agg(F.sum("n").alias("n")), "leaves")
