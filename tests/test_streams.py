@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tokenweir.functions import tokenizers as T
 from tokenweir.operators import chat, choices, fetch, packing, splits, templates, validation
+from tokenweir.session import materialise
 from tokenweir.sources import publication, token_shards
 from tokenweir.streaming import ingest, rates, summary
 
@@ -456,3 +457,94 @@ def test_relay_deals_shards_by_their_size(spark, data, monkeypatch):
     want = sorted(storage.stream_shard_relay(spark, data).collect())
     monkeypatch.setattr(storage, "FILE_BYTES", 100_000)
     assert storage._files(7, 3) == 3 and sorted(storage.stream_shard_relay(spark, data).collect()) == want
+
+
+def test_relay_leaves_only_what_it_returns(spark, data, monkeypatch):
+    from tokenweir import session
+    from tokenweir.plans import storage
+
+    want = sorted(storage.stream_shard_relay(spark, data).collect())
+    monkeypatch.setattr(storage, "FILE_BYTES", 100_000)
+    monkeypatch.setattr(storage, "BATCH_FILES", 1)
+    with session.collecting([]) as own:
+        got = storage.stream_shard_relay(spark, data)
+    assert len(own) == 1 and all(own[0] in f for f in got.inputFiles())
+    assert sorted(got.collect()) == want and not list(token_shards.local(own[0]).parent.glob("relay-*/*"))
+
+
+def test_bytes_are_dealt_out_and_then_become_ids(spark):
+    texts = ["né 中😀" * 9, "", None, "x" * 50, "é", "né 中😀"]
+    placed = materialise(packing.place(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id", T.byte_count(F.col("text")) + 1), "placed")
+    want = packing.pieces(placed, {"tokens": T.byte_arrays(258)(F.col("text"))}, 16).orderBy("shard", "first").collect()
+    cut = packing.byte_pieces(placed, "text", 16)
+    assert dict(cut.dtypes)["data"] == "binary"
+    assert cut.repartition("shard").select("shard", "first", T.byte_pieces(258)("data", "ended").alias("tokens")).orderBy("shard", "first").collect() == want
+    met = packing.met_pieces(cut.repartitionByRange(3, "shard"), ["data", "ended"])
+    runs = met.select("shard", T.byte_runs(258)("parts.data", "parts.ended").alias("tokens"))
+    assert {r["shard"]: r["tokens"] for r in runs.collect()} == {r["shard"]: r["tokens"] for r in packing.chunk_pieces(spark.createDataFrame(want), ["tokens"]).collect()}
+    assert "hashpartitioning" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert cut.limit(0).select(T.byte_pieces(1)("data", "ended")).collect() == []
+
+
+def test_shuffle_files_go_with_their_query(spark, data):
+    from tokenweir.plans import storage
+    from tokenweir.session import SHEDS
+
+    def shuffled():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    storage._written(spark, data)
+    # what only counts rows may stay until the driver collects its garbage; that is a few hundred bytes for a task
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    sizes = [found.apply(k).length() for k in range(found.size()) if found.apply(k).getName() in shuffled() - before]
+    assert sum(sizes) < 20_000 and spark.conf.get(SHEDS) == "false"
+
+
+def test_shards_that_a_stream_has_read_are_deleted(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "s"
+    want = write_shards(spark, folder, [5, 6, 7, 8])
+    (folder / "other.bin").write_bytes(b"1")
+    options = {"path": str(folder), "runs": "true", "cleanSource": "delete"}
+    reader = token_shards.StreamReader(options)
+    assert (reader.initialOffset(), reader.latestOffset()) == ({"next": 0}, {"next": 4})
+    reader.commit({"next": 0})
+    assert len(list(folder.glob("shard_*"))) == 8
+    # stopped when it was written down which are to go, and before they did
+    with monkeypatch.context() as m:
+        m.setattr(token_shards.os, "scandir", lambda path: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            reader.commit({"next": 2})
+    again = token_shards.StreamReader(options)
+    assert (again.initialOffset(), again.latestOffset()) == ({"next": 2}, {"next": 4})
+    again.commit({"next": 3})
+    again.commit({"next": 2})
+    assert sorted(p.name for p in folder.glob("[!_]*")) == ["other.bin", "shard_0003.bin", "shard_0003_meta.json"]
+    got = [b.column("tokens")[0].as_py() for p in again.partitions({"next": 3}, again.latestOffset()) for b in again.read(p)]
+    assert got == [want[3].tolist()]
+    again.commit({"next": 4})
+    # numbers go on, and a reader without the option deletes nothing
+    writer = token_shards.StreamWriter(SCHEMA, {"path": str(folder)}, False)
+    writer.commit([writer.write(iter(batch_of([(0, [1, 2])])))], 0)
+    plain = token_shards.StreamReader({"path": str(folder)})
+    assert plain.latestOffset() == {"next": 5}
+    plain.commit({"next": 5})
+    assert (folder / "shard_0004.bin").exists()
+
+
+def test_paired_shards_are_deleted_behind_a_stream(spark, tmp_path):
+    token_shards.register(spark)
+    rows = [(k, [1, 2, k], [-1, 2, k]) for k in range(6)]
+    spark.createDataFrame(rows, "shard int, tokens array<int>, targets array<int>").write.format("token_shards").option("path", str(tmp_path / "s")).option("prefix", "chat").mode("append").save()
+    read = spark.readStream.format("token_shards").options(runs="true", paired="true", prefix="chat", cleanSource="delete").load(str(tmp_path / "s"))
+    for last in (6, 9):
+        read.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        more = [(k, [1, 2, k], [-1, 2, k]) for k in range(last, last + 3)]
+        assert spark.read.parquet(str(tmp_path / "out")).count() == last
+        spark.createDataFrame(more, "shard int, tokens array<int>, targets array<int>").write.format("token_shards").option("path", str(tmp_path / "s")).option("prefix", "chat").mode("append").save()
+        rows += more
+    left = {p.name for p in (tmp_path / "s").glob("chat_*")}
+    assert {f"chat_{k:04d}_{e}" for k in range(6, 12) for e in ("inputs.bin", "targets.bin", "meta.json")} == left - {f"chat_{k:04d}_{e}" for k in range(6) for e in ("inputs.bin", "targets.bin", "meta.json")}
+    got = sorted((r["shard"], r["tokens"], r["targets"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(r for r in rows if r[0] < 9)

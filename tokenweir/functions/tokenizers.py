@@ -47,9 +47,39 @@ def byte_arrays(end: int | None = None) -> Callable[[Column], Column]:
     return encode
 
 
+def byte_pieces(end: int) -> Callable[[Column, Column], Column]:
+    """The same of stretches of texts, as bytes: the end id stands behind those that the second column says end their text."""
+
+    @F.arrow_udf("array<int>")
+    def encode(data: pa.Array, ended: pa.Array) -> pa.Array:
+        ids, offsets = _ended(data, ended, end)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+
+    return encode
+
+
+def byte_runs(end: int) -> Callable[[Column, Column], Column]:
+    """The same of arrays of stretches, one behind the other."""
+
+    @F.arrow_udf("array<int>")
+    def encode(data: pa.Array, ended: pa.Array) -> pa.Array:
+        ids, offsets = _ended(data.flatten(), ended.flatten(), end)
+        ends = np.cumsum(pa.compute.list_value_length(data).fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(offsets[np.concatenate([[0], ends])].astype(np.int32)), pa.array(ids))
+
+    return encode
+
+
+def _ended(data: pa.Array, ended: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of stretches of bytes, with the end id behind those that end a text, and where each stretch's begin."""
+    ids, offsets = widened(data)
+    last = ended.to_numpy(zero_copy_only=False).astype(bool)
+    return np.insert(ids, offsets[1:][last], end), offsets + np.concatenate([[0], np.cumsum(last)])
+
+
 def widened(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in a row as ids, and where each text's begin, with the end of the last."""
-    texts = texts.fill_null("").cast(pa.large_string())
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     ids = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.int32) if data is not None and data.size else np.zeros(0, np.int32)

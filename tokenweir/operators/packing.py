@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +68,22 @@ def shard_totals(offsets: DataFrame, size: int, length: int, max_shards: int | N
 def pieces(docs: DataFrame, tokens: dict[str, Column], size: int) -> DataFrame:
     """(shard, first, and a token array for each of ``tokens``): what each document gives to each shard that it touches, and where
     in the shard it begins. A row for each document and boundary, none for a token. ``docs`` must have start and end."""
-    span = docs.withColumns(tokens).where(F.col("end") > F.col("start")).withColumn("shard", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
+    return _cut(docs.withColumns(tokens), size, lambda at, n, ends: [F.slice(F.col(c), at, n).alias(c) for c in tokens])
+
+
+def byte_pieces(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """(shard, first, data, ended): the same of texts of an id for each byte and an end id, which are cut as bytes, a quarter of
+    their ids and less: they become ids (``tokenizers.byte_pieces``) when they have been dealt out."""
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    return _cut(docs.withColumn("data", data), size, lambda at, n, ends: [F.substring(F.col("data"), at, n).alias("data"), ends.alias("ended")])
+
+
+def _cut(docs: DataFrame, size: int, of: Callable[[Column, Column, Column], list[Column]]) -> DataFrame:
+    """shard, first, and what ``of`` makes of a piece's place in its document (from 1), its ids and whether it ends the document."""
+    span = docs.where(F.col("end") > F.col("start")).withColumn("shard", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
     low = F.greatest(F.col("start"), F.col("shard") * size)
     high = F.least(F.col("end"), (F.col("shard") + 1) * size)
-    cut = {c: F.slice(F.col(c), (low - F.col("start") + 1).cast("int"), (high - low).cast("int")) for c in tokens}
-    return span.select("shard", (low - F.col("shard") * size).alias("first"), *[x.alias(c) for c, x in cut.items()])
+    return span.select("shard", (low - F.col("shard") * size).alias("first"), *of((low - F.col("start") + 1).cast("int"), (high - low).cast("int"), high == F.col("end")))
 
 
 def by_shard(parts: DataFrame) -> DataFrame:
@@ -85,8 +98,12 @@ def chunks(docs: DataFrame, tokens: dict[str, Column], size: int) -> DataFrame:
 
 def chunk_pieces(cut: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each shard of its pieces (shard, first, and token arrays)."""
-    met = cut.select("shard", F.struct("first", *columns).alias("part")).groupBy("shard").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    return met.select("shard", *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in columns])
+    return met_pieces(cut, columns).select("shard", *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in columns])
+
+
+def met_pieces(cut: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each shard with its pieces in order, as ``parts``; nothing is moved if the pieces of a shard are together already."""
+    return cut.select("shard", F.struct("first", *columns).alias("part")).groupBy("shard").agg(F.array_sort(F.collect_list("part")).alias("parts"))
 
 
 def tail(offsets: DataFrame, size: int, max_shards: int | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType
 
 from ..functions import tokenizers as T
 from ..operators import chat, choices, fetch, packing, splits, validation
-from ..session import bound_batches, load, materialise, scratch
+from ..session import bound_batches, load, materialise, scope, scratch, shedding
 from ..sources import publication, token_shards
 from ..streaming import ingest, rates, reports, summary
 from . import catalog
@@ -32,12 +32,21 @@ i AS (SELECT (start + i) // {SHARD} AS shard, (start + i) % {SHARD} AS pos, CASE
 
 
 def _byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of all full shards."""
+    """The pieces of all full shards, as bytes: ``_ids`` is for when they have been dealt out."""
     bound_batches(spark)
-    placed = packing.place(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", T.byte_count(F.col("text")) + 1)
+    path = scratch(spark, "placed")
+    with shedding(spark), scope(spark):
+        placed = packing.place(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", T.byte_count(F.col("text")) + 1)
+        placed.select("text", "start", "end").write.option("compression", "zstd").parquet(path)
+    placed = spark.read.schema("text string, start long, end long").parquet(path)
     full = placed.agg(F.coalesce(F.floor(F.max("end") / SHARD), F.lit(0)).alias("n")).first()["n"]
-    cut = packing.pieces(placed, {"tokens": T.byte_arrays(EOS)(F.col("text"))}, SHARD)
-    return cut.where(F.col("shard") < full).select(F.col("shard").cast("int").alias("shard"), "first", "tokens")
+    cut = packing.byte_pieces(placed, "text", SHARD)
+    return cut.where(F.col("shard") < full).withColumn("shard", F.col("shard").cast("int"))
+
+
+def _ids(cut: DataFrame) -> DataFrame:
+    """The pieces with their ids."""
+    return cut.select("shard", "first", T.byte_pieces(EOS)("data", "ended").alias("tokens"))
 
 
 @F.arrow_udf(LongType())
@@ -53,7 +62,8 @@ def run_checksum(tokens: pa.Array, first: pa.Array) -> pa.Array:
 def _written(spark: SparkSession, sf_dir: str) -> str:
     token_shards.register(spark)
     folder = scratch(spark, "shards")
-    packing.by_shard(_byte_shards(spark, sf_dir)).write.format("token_shards").option("path", folder).mode("append").save()
+    with shedding(spark), scope(spark):
+        _ids(packing.by_shard(_byte_shards(spark, sf_dir))).write.format("token_shards").option("path", folder).mode("append").save()
     return folder
 
 
@@ -233,23 +243,37 @@ def stream_pack_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BYTES_SQL}, {IDS_SQL} SELECT count(*) AS n, md5(string_agg(tok, ' ' ORDER BY pos)) AS digest FROM i JOIN s USING (shard) GROUP BY shard")
 def stream_shard_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards as a stream into the sink, a few files to a batch, and out of the source into a table."""
+    """Shards as a stream into the sink, a few files to a batch, and out of the source into a table. Both streams run at a time, and
+    what has gone through one is deleted behind it, so that no more than a few batches are on disk as shards."""
     token_shards.register(spark)
-    base = scratch(spark, "relay")
-    cut = _byte_shards(spark, sf_dir)
-    last = cut.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
-    files = 2 * _files(4 * SHARD * last, 6 * FILE_BYTES)  # of each batch
-    packing.chunk_pieces(cut, ["tokens"]).repartitionByRange(3 * files, "shard").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("shard int, tokens array<int>").option("maxFilesPerTrigger", files).parquet(f"{base}/in")
-    stream.writeStream.format("token_shards").option("path", f"{base}/set").option("checkpointLocation", f"{base}/to").trigger(availableNow=True).start().awaitTermination()
-    read = spark.readStream.format("token_shards").option("runs", "true").load(f"{base}/set")
-    read.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/from").trigger(availableNow=True).start().awaitTermination()
-    runs = spark.read.schema("shard int, first long, tokens array<int>").parquet(f"{base}/out")  # a run for each shard of this size
+    out = scratch(spark, "relayed")
+    with scope(spark):
+        base = scratch(spark, "relay")
+        with shedding(spark), scope(spark):
+            cut = _byte_shards(spark, sf_dir)
+            last = cut.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
+            files = 2 * _files(4 * SHARD * last, 6 * FILE_BYTES)  # of a third
+            # pieces meet where they are dealt to, so that they move once
+            met = packing.met_pieces(cut.repartitionByRange(3 * files, "shard"), ["data", "ended"])
+            met.select("shard", T.byte_runs(EOS)("parts.data", "parts.ended").alias("tokens")).write.option("compression", "zstd").parquet(f"{base}/in")
+        stream = spark.readStream.schema("shard int, tokens array<int>").option("maxFilesPerTrigger", min(files, BATCH_FILES)).option("cleanSource", "delete").parquet(f"{base}/in")
+        read = spark.readStream.format("token_shards").option("runs", "true").option("cleanSource", "delete").load(f"{base}/set")
+        follower = read.writeStream.format("parquet").option("compression", "zstd").option("path", out).option("checkpointLocation", f"{base}/from").trigger(processingTime=POLL).start()
+        try:
+            stream.writeStream.format("token_shards").option("path", f"{base}/set").option("checkpointLocation", f"{base}/to").trigger(availableNow=True).start().awaitTermination()
+            follower.processAllAvailable()
+        finally:
+            follower.stop()
+    runs = spark.read.schema("shard int, first long, tokens array<int>").parquet(out)  # a run for each shard of this size
     return runs.select(F.size("tokens").cast("long").alias("n"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), " ")).alias("digest"))
 
 
 #: Bytes of rows of a file of a stream, about.
 FILE_BYTES = 64 << 20
+#: Such files of a batch at most, where what a batch leaves on disk is not to grow with the stream.
+BATCH_FILES = 12
+#: How often a stream looks for what another has written.
+POLL = "2 seconds"
 #: Samples of such a file, about.
 FILE_ROWS = 500_000
 

@@ -127,6 +127,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Whether shuffle files go at the end of a query, and not when the driver next collects its garbage.
+SHEDS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shedding(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each query that is run inside go when it ends. For queries that are run once: a second run makes them anew."""
+    before = spark.conf.get(SHEDS, None)
+    spark.conf.set(SHEDS, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHEDS)
+        else:
+            spark.conf.set(SHEDS, before)
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: a later loss of executors replays nothing above it."""
     spark = df.sparkSession

@@ -10,7 +10,9 @@ renamed when the job commits, which is all that the driver does for a shard, so
 a final name; readers skip names that start with a dot, and the next job sweeps them. The folder must be one that driver and executors share as a file system: a path of another kind is refused.
 
 Filters on ``shard`` and on ``pos`` (or ``first`` of runs) become byte ranges: what they rule out is neither planned nor mapped.
-``spark.readStream`` follows the numbered shards of a folder, each once it is described and all before it are. ``writeStream``
+``spark.readStream`` follows the numbered shards of a folder, each once it is described and all before it are; with the option
+``cleanSource`` as ``delete``, as Spark's file source has it, those of a batch go once it is committed, for a folder that only hands
+on. ``writeStream``
 appends the shards of each micro-batch, in the order of their numbers, behind those that are there: the batch's place is logged
 before its files are renamed, so that a batch which is run again, at whatever point it broke off, leaves the same set once.
 """
@@ -285,15 +287,16 @@ class Reader(_Files, DataSourceReader):
 
 
 class StreamReader(_Files, DataSourceStreamReader):
-    """The offset is the number of shards from 0 on that are described without a gap."""
+    """The offset is the number of shards from 0 on that are described without a gap, or have been and are deleted."""
 
     def __init__(self, options: dict) -> None:
         super().__init__(options)
         self.prefix = options.get("prefix", "shard")
-        self.seen = 0
+        self.deletes = options.get("cleanSource", "off").lower() == "delete"
+        self.seen = deleted(local(self.path), self.prefix)
 
     def initialOffset(self) -> dict:
-        return {"next": 0}
+        return {"next": deleted(local(self.path), self.prefix)}
 
     def latestOffset(self) -> dict:
         while (local(self.path) / f"{self.prefix}_{self.seen:04d}_meta.json").exists():
@@ -304,6 +307,30 @@ class StreamReader(_Files, DataSourceStreamReader):
         ending = "_inputs.bin" if self.paired else ".bin"
         return self.cut([local(self.path) / f"{self.prefix}_{k:04d}{ending}" for k in range(start["next"], end["next"])])
 
+    def commit(self, end: dict) -> None:
+        """A batch up to here is committed. That its shards go is written down before they do; what a stop then leaves goes the next time."""
+        root = local(self.path)
+        if not self.deletes or not end["next"]:
+            return
+        if end["next"] > deleted(root, self.prefix):
+            write_json(deletions(root, self.prefix), {"next": end["next"]})
+        own = re.compile(re.escape(self.prefix) + r"_(\d{4,})(_inputs|_targets)?(\.bin|_meta\.json)")
+        with os.scandir(root) as entries:
+            gone = [e.path for e in entries if (m := own.fullmatch(e.name)) and int(m[1]) < end["next"]]
+        for p in gone:
+            Path(p).unlink(missing_ok=True)
+
+
+def deletions(root: Path, prefix: str) -> Path:
+    """Where it is written down which shards of a folder have been deleted behind a stream."""
+    return root / f"_{prefix}_deleted.json"
+
+
+def deleted(root: Path, prefix: str) -> int:
+    """How many of a folder's shards, from 0 on, have been deleted behind a stream."""
+    path = deletions(root, prefix)
+    return json.loads(path.read_text())["next"] if path.exists() else 0
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -335,7 +362,7 @@ class _Shards:
         self.root = str(root)
         root.mkdir(parents=True, exist_ok=True)
         if overwrite:
-            for p in [*root.glob(f"{self.prefix}_*.bin"), *root.glob(f"{self.prefix}_*.json")]:
+            for p in [*root.glob(f"{self.prefix}_*.bin"), *root.glob(f"{self.prefix}_*.json"), deletions(root, self.prefix)]:
                 p.unlink(missing_ok=True)
 
     def _name(self, shard: int, end: str) -> str:
@@ -469,7 +496,7 @@ class StreamWriter(_Shards, DataSourceStreamArrowWriter):
         if before:
             last = json.loads(before.read_text())
             return last["first"] + last["shards"]
-        return 1 + max((shard_index(p, -1) for p in local(self.path).glob(f"{self.prefix}_*.bin")), default=-1)
+        return max(deleted(local(self.path), self.prefix), 1 + max((shard_index(p, -1) for p in local(self.path).glob(f"{self.prefix}_*.bin")), default=-1))
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:
         self.sweep()
