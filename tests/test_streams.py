@@ -465,7 +465,6 @@ def test_relay_leaves_only_what_it_returns(spark, data, monkeypatch):
 
     want = sorted(storage.stream_shard_relay(spark, data).collect())
     monkeypatch.setattr(storage, "FILE_BYTES", 100_000)
-    monkeypatch.setattr(storage, "BATCH_FILES", 1)
     with session.collecting([]) as own:
         got = storage.stream_shard_relay(spark, data)
     assert len(own) == 1 and all(own[0] in f for f in got.inputFiles())
@@ -548,3 +547,33 @@ def test_paired_shards_are_deleted_behind_a_stream(spark, tmp_path):
     assert {f"chat_{k:04d}_{e}" for k in range(6, 12) for e in ("inputs.bin", "targets.bin", "meta.json")} == left - {f"chat_{k:04d}_{e}" for k in range(6) for e in ("inputs.bin", "targets.bin", "meta.json")}
     got = sorted((r["shard"], r["tokens"], r["targets"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(r for r in rows if r[0] < 9)
+
+
+def test_relay_keeps_the_shards_of_a_few_turns(spark, data, monkeypatch):
+    from tokenweir import session
+    from tokenweir.plans import storage
+
+    monkeypatch.setattr(storage, "FILE_BYTES", 200_000)
+    monkeypatch.setattr(storage, "BATCH_FILES", 2)
+    there, through = [], storage._through
+
+    def seen(*writers):
+        through(*writers)
+        there.append(len(list(token_shards.local(session.shared_dir(spark)).glob("relay-*/set/*.bin"))))
+
+    monkeypatch.setattr(storage, "_through", seen)
+    n = storage.stream_shard_relay(spark, data).count()
+    assert len(there) > 6 and n > 24 and max(there) <= n // 2
+
+
+def test_streams_stop_together(spark, tmp_path):
+    from tokenweir.plans import storage
+
+    token_shards.register(spark)
+    spark.range(3).selectExpr("int(id) AS shard", "array(70000) AS tokens").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("shard int, tokens array<int>").parquet(str(tmp_path / "in"))
+    bad = stream.writeStream.format("token_shards").option("path", str(tmp_path / "set")).option("checkpointLocation", str(tmp_path / "a"))
+    good = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "b"))
+    with pytest.raises(Exception, match="16 bits"):
+        storage._through(bad, good)
+    assert not spark.streams.active

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import LongType
 
 from ..functions import tokenizers as T
@@ -243,8 +244,9 @@ def stream_pack_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BYTES_SQL}, {IDS_SQL} SELECT count(*) AS n, md5(string_agg(tok, ' ' ORDER BY pos)) AS digest FROM i JOIN s USING (shard) GROUP BY shard")
 def stream_shard_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards as a stream into the sink, a few files to a batch, and out of the source into a table. Both streams run at a time, and
-    what has gone through one is deleted behind it, so that no more than a few batches are on disk as shards."""
+    """Shards as a stream into the sink, a few files to a batch, and out of the source into a table. The streams take turns of a batch,
+    one reads what the other has written the turn before, and what has gone through is deleted behind them: no more than the shards
+    of a few batches are on disk."""
     token_shards.register(spark)
     out = scratch(spark, "relayed")
     with scope(spark):
@@ -255,25 +257,22 @@ def stream_shard_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
             files = 2 * _files(4 * SHARD * last, 6 * FILE_BYTES)  # of a third
             # pieces meet where they are dealt to, so that they move once
             met = packing.met_pieces(cut.repartitionByRange(3 * files, "shard"), ["data", "ended"])
-            met.select("shard", T.byte_runs(EOS)("parts.data", "parts.ended").alias("tokens")).write.option("compression", "zstd").parquet(f"{base}/in")
-        stream = spark.readStream.schema("shard int, tokens array<int>").option("maxFilesPerTrigger", min(files, BATCH_FILES)).option("cleanSource", "delete").parquet(f"{base}/in")
-        read = spark.readStream.format("token_shards").option("runs", "true").option("cleanSource", "delete").load(f"{base}/set")
-        follower = read.writeStream.format("parquet").option("compression", "zstd").option("path", out).option("checkpointLocation", f"{base}/from").trigger(processingTime=POLL).start()
-        try:
-            stream.writeStream.format("token_shards").option("path", f"{base}/set").option("checkpointLocation", f"{base}/to").trigger(availableNow=True).start().awaitTermination()
-            follower.processAllAvailable()
-        finally:
-            follower.stop()
+            met.select("shard", T.byte_runs(EOS)("parts.data", "parts.ended").alias("tokens")).write.option("compression", "zstd").parquet(f"{base}/cut")
+        stream = spark.readStream.schema("shard int, tokens array<int>").option("cleanSource", "delete").parquet(_folder(spark, f"{base}/in"))
+        to = stream.writeStream.format("token_shards").option("path", f"{base}/set").option("checkpointLocation", f"{base}/to")
+        read = spark.readStream.format("token_shards").option("runs", "true").option("cleanSource", "delete").load(_folder(spark, f"{base}/set"))
+        back = read.writeStream.format("parquet").option("compression", "zstd").option("path", out).option("checkpointLocation", f"{base}/from")
+        for _ in _fed(spark, f"{base}/cut", f"{base}/in", min(files, BATCH_FILES)):
+            _through(to, back)
+        _through(back)
     runs = spark.read.schema("shard int, first long, tokens array<int>").parquet(out)  # a run for each shard of this size
     return runs.select(F.size("tokens").cast("long").alias("n"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), " ")).alias("digest"))
 
 
 #: Bytes of rows of a file of a stream, about.
 FILE_BYTES = 64 << 20
-#: Such files of a batch at most, where what a batch leaves on disk is not to grow with the stream.
-BATCH_FILES = 12
-#: How often a stream looks for what another has written.
-POLL = "2 seconds"
+#: Such files of a turn at most, where what a turn leaves on disk is not to grow with the stream.
+BATCH_FILES = 8
 #: Samples of such a file, about.
 FILE_ROWS = 500_000
 
@@ -283,14 +282,50 @@ def _files(size: int, most: int) -> int:
     return max(1, -(-size // most))
 
 
+def _folder(spark: SparkSession, folder: str) -> str:
+    """The folder, made if it is not there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return folder
+
+
+def _parts(spark: SparkSession, folder: str) -> tuple:
+    """The file system of a folder, and the data files in it by name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+
+
+def _fed(spark: SparkSession, source: str, folder: str, n: int) -> Iterator[int]:
+    """Hands files over to the folder of a stream, ``n`` at a time; yields how many there are when they are there."""
+    fs, found = _parts(spark, source)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    for k in range(0, len(found), n):
+        for p in found[k : k + n]:
+            if not fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to, p.getName())):
+                raise OSError(f"{p.toString()} can't be handed over")
+        yield len(found[k : k + n])
+
+
+def _through(*writers: DataStreamWriter) -> None:
+    """Streams side by side, each with what is there for it now."""
+    started: list[StreamingQuery] = []
+    try:
+        for w in writers:
+            started.append(w.trigger(availableNow=True).start())
+        for q in started:
+            q.awaitTermination()
+    finally:
+        for q in started:
+            q.stop()
+
+
 def _in_turn(rows: DataFrame, key: str, parts: int, folder: str) -> None:
     """Files of a stream in the order of a key, as they would come: a stream takes them by their time. All are written at once, by as
     many tasks, and get times a second apart after that, so that a batch of any number of files is behind those before it."""
     spark = rows.sparkSession
     rows.repartitionByRange(parts, key).sortWithinPartitions(key).write.parquet(folder)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    fs, found = _parts(spark, folder)
     now = int(time.time() * 1000)
     for k, p in enumerate(found):
         fs.setTimes(p, now - 1000 * (len(found) - k), -1)
